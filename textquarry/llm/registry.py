@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, mixing
 
 
 def queries():
-    return {"op6_line_dedup": line_dedup.op6_line_dedup}
+    return {
+        "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op8_weighted_fair_mixing": mixing.op8_weighted_fair_mixing,
+    }
 
 
 def oracle_sql():
-    return {"op6_line_dedup": line_dedup.OP6_SQL}
+    return {
+        "op6_line_dedup": line_dedup.OP6_SQL,
+        "op8_weighted_fair_mixing": mixing.OP8_SQL,
+    }
