@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import line_dedup, mixing, quality
 
 
 def queries():
     return {
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_weighted_fair_mixing": mixing.op8_weighted_fair_mixing,
+        "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
