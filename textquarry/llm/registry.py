@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality
+from . import decontamination, line_dedup, mixing, quality
 
 
 def queries():
     return {
+        "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_weighted_fair_mixing": mixing.op8_weighted_fair_mixing,
         "op10_quality_rules": quality.op10_quality_rules,
@@ -15,6 +16,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op5_benchmark_decontamination": decontamination.OP5_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
         "op8_weighted_fair_mixing": mixing.OP8_SQL,
     }
