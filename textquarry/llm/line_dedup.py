@@ -34,7 +34,7 @@ def _line_hashes(min_chars: int):
     newline[0x0A] = True
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in T.slices(whole, "text")):
             ids = batch.column("d").to_numpy(zero_copy_only=False)
             marks = batch.column("row_hash").to_numpy(zero_copy_only=False)
             raw, offsets = T.utf8(batch.column("text"))

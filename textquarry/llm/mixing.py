@@ -29,7 +29,7 @@ SEED = "mix"
 
 
 def _sizes(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in T.slices(whole, "text")):
         raw, offsets = T.utf8(batch.column("text"))
         _, _, first = T.words(raw, offsets, T.SPACE)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.diff(first).astype(np.int64))], names=["doc_id", "source", "size"])

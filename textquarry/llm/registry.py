@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, quality
+from . import decontamination, jaccard, line_dedup, mixing, quality
 
 
 def queries():
     return {
+        "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_weighted_fair_mixing": mixing.op8_weighted_fair_mixing,

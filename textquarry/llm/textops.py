@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 #: Words of `[^\\x20\\x09-\\x0D]+`: separators are the ASCII white-space characters.
 SPACE = np.zeros(256, dtype=bool)
@@ -123,3 +124,15 @@ def grams(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
         ok = i < end
         out = out * np.uint64(0xD6E8FEB86659FD93) + np.where(ok, h[np.minimum(i, len(h) - 1)], np.uint64(j + 1)) if len(h) else out
     return mix(out), bounds
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """Successive parts of a batch whose texts have about `most` bytes at most; a longer text is a part of its own."""
+    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    up = np.cumsum(lengths)
+    lo = 0
+    while lo < len(up):
+        base = up[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(up, base + most, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
