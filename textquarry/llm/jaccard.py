@@ -48,9 +48,9 @@ def shingle_sets(column, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     raw, offsets = T.utf8(column)
     starts, ends, first = T.words(raw, offsets, T.SPACE)
     grams, bounds = T.grams(T.hashes(raw, starts, ends), first, size)
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        grams[lo:hi].sort()
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
     new = np.ones(len(grams), dtype=bool)
     new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
     return grams[new], np.searchsorted(owner[new], np.arange(len(bounds)))
