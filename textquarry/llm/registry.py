@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, line_dedup, mixing, quality
+from . import decontamination, jaccard, line_dedup, mixing, quality, secrets
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op7_secret_scan": secrets.op7_secret_scan,
         "op8_weighted_fair_mixing": mixing.op8_weighted_fair_mixing,
         "op10_quality_rules": quality.op10_quality_rules,
     }
