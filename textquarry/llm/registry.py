@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, line_dedup, mixing, quality, secrets
+from . import chat, decontamination, jaccard, line_dedup, mixing, quality, secrets
 
 
 def queries():
     return {
         "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
+        "op2_chat_formatting": chat.op2_chat_formatting,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_secret_scan": secrets.op7_secret_scan,
@@ -18,6 +19,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_chat_formatting": chat.OP2_SQL,
         "op5_benchmark_decontamination": decontamination.OP5_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
         "op8_weighted_fair_mixing": mixing.OP8_SQL,
