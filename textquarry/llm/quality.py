@@ -76,14 +76,17 @@ def statistics(column) -> np.ndarray:
 
     def distinct(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct values and the count of the most frequent one, by owner."""
-        order = np.lexsort((values, owner))
-        v, o = values[order], owner[order]
+        # a slice has under 2^20 texts: owner and 44 bits of the hash fit one number
+        v = np.sort((owner.astype(np.uint64) << np.uint64(44)) | (values >> np.uint64(20)))
+        o = (v >> np.uint64(44)).astype(np.int64)
         new = np.ones(len(v), dtype=bool)
-        new[1:] = (v[1:] != v[:-1]) | (o[1:] != o[:-1])
+        new[1:] = v[1:] != v[:-1]
         at = np.flatnonzero(new)
         runs = np.diff(np.concatenate((at, [len(v)])))
         top = np.zeros(n)
-        np.maximum.at(top, o[at], runs)
+        if len(at):
+            full = np.flatnonzero(np.diff(o[at], prepend=-1))
+            top[o[at][full]] = np.maximum.reduceat(runs, full)
         return np.bincount(o[at], minlength=n).astype(np.float64), top
 
     n_distinct, top = distinct(h, text_of)
@@ -98,7 +101,8 @@ def statistics(column) -> np.ndarray:
     distinct_lines, _ = distinct(T.hashes(raw, line_starts, line_ends), line_of)
     ended = per_text(_STOPS[raw[line_ends - 1]] if len(line_ends) else np.zeros(0), line_first)
     longest = np.zeros(n)
-    np.maximum.at(longest, text_of, size)
+    if len(size):
+        longest[words > 0] = np.maximum.reduceat(size, first[:-1][words > 0])
     symbol_bytes = np.concatenate(([0], np.cumsum(_SYMBOLS[raw])))
     has_symbol = symbol_bytes[ends] > symbol_bytes[starts]
     capital = _UPPER[raw[starts]] | (raw[starts] == 0xC3) if len(starts) else np.zeros(0)
@@ -114,11 +118,12 @@ def statistics(column) -> np.ndarray:
 def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns and a struct column `stats` of each text's STATISTICS."""
     fields = [f for f in docs.schema.fields if f.name in keep]
-    names = [f"k{i}" for i in range(len(fields))]
-    source = docs.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, fields, strict=True)])
+    # the text goes through once, kept or not
+    names = ["text" if f.name == text_col else f"k{i}" for i, f in enumerate(fields)]
+    source = docs.select(*[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, fields, strict=True)], *([] if "text" in names else [F.col(f"`{text_col}`").alias("text")]))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in T.slices(whole, "text")):
             stats = statistics(batch.column("text"))
             struct = pa.StructArray.from_arrays([pa.array(stats[:, i]) for i in range(len(STATISTICS))], names=list(STATISTICS))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), struct], names=[*names, "stats"])
