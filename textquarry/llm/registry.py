@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard, line_dedup, mixing, quality, secrets
+from . import chat, decontamination, jaccard, line_dedup, mixing, quality, secrets, suffix_tree
 
 
 def queries():
     return {
         "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
         "op2_chat_formatting": chat.op2_chat_formatting,
+        "op3_suffix_tree_scoring": suffix_tree.op3_suffix_tree_scoring,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_secret_scan": secrets.op7_secret_scan,
