@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard, line_dedup, mixing, quality, secrets, suffix_tree
+from . import chat, decontamination, jaccard, line_dedup, mixing, neighbours, quality, secrets, suffix_tree
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_secret_scan": secrets.op7_secret_scan,
         "op8_weighted_fair_mixing": mixing.op8_weighted_fair_mixing,
+        "op9_projection_forest_neighbours": neighbours.op9_projection_forest_neighbours,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
