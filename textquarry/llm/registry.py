@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard, line_dedup, mixing, neighbours, quality, secrets, suffix_tree
+from . import chat, decontamination, jaccard, line_dedup, mixing, neighbours, pages, quality, secrets, suffix_tree
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op3_suffix_tree_scoring": suffix_tree.op3_suffix_tree_scoring,
+        "op4_site_style_tree": pages.op4_site_style_tree,
         "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_secret_scan": secrets.op7_secret_scan,
