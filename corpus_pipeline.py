@@ -11,7 +11,7 @@ from textquarry.llm.common import saved, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of predicted quality 1; the model learns from the labels of docs that aren't held out."""
-    return quality.classified(docs, table(spark, sf_dir, "labels"), docs.columns).where("predicted = 1").select(*[F.col(f"`{n}`") for n in docs.columns])
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

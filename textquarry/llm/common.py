@@ -65,3 +65,14 @@ def release(df: DataFrame) -> None:
 def ordered_id(name: str = "doc_id"):
     """The id column as long, null last."""
     return F.coalesce(F.col(name).cast("long"), F.lit(LAST_ID))
+
+
+def packed(docs: DataFrame, apart: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """docs as the columns of `apart` and one struct `rest` of all others, whose names can't clash with any that are added."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in apart]
+    return docs.select(*apart, (F.struct(*others) if others else F.lit(None).cast("int")).alias("rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], apart: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The columns that were packed, in their order."""
+    return df.select(*[F.col(c) if c in apart else F.col("rest").getField(c).alias(c) for c in columns])

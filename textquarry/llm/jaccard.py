@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import LAST_ID, ordered_id, saved, shuffle_partitions, table
+from .common import LAST_ID, ordered_id, packed, saved, shuffle_partitions, table, unpacked
 from .graph import connected_components
 
 SHINGLE = 5
@@ -249,12 +249,11 @@ def jaccard_classes(docs: DataFrame, threshold: Fraction = THRESHOLD, tolerance:
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """docs, same columns, with one document of each class: the one of smallest id. Documents without words all stay."""
-    names = docs.columns
     # a class's first document is named once for each row of its text: rows that repeat are one document
     first = jaccard_classes(docs).where("d = class_d and row_hash = class_hash").select("d", "row_hash").distinct()
-    marked = docs.withColumns({"_d": ordered_id(), "_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = marked.join(first.withColumnsRenamed({"d": "_d", "row_hash": "_hash"}), ["_d", "_hash"], "left_semi")
-    return kept.dropDuplicates(["_d", "_hash"]).select(*[F.col(f"`{n}`") for n in names])
+    marked = packed(docs).withColumns({"d": ordered_id(), "row_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = marked.join(first, ["d", "row_hash"], "left_semi")
+    return unpacked(kept.dropDuplicates(["d", "row_hash"]), docs.columns)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import ordered_id, saved, shuffle_partitions, table
+from .common import ordered_id, packed, saved, shuffle_partitions, table, unpacked
 
 MIN_CHARS = 10
 
@@ -161,20 +161,17 @@ def keep_bitmaps_joined(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return with_keys(docs, id_col, text_col).join(line_dedup(docs, id_col, text_col, min_chars), ["d", "row_hash"], "left")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs, same columns, with the dropped lines taken out of the texts; texts that lose none stay as they are, null too."""
-    schema = docs.schema
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs(doc_id, text, ...), same columns, with the dropped lines taken out of the texts; texts that lose none stay as they are, null too."""
+    rows = packed(docs)
+    schema = rows.schema
 
     def run(batches):
-        at = schema.names.index(text_col)
         for batch in batches:
-            texts = [t if k is None else kept_lines(t, k)[0] for t, k in zip(batch.column(text_col).to_pylist(), batch.column("keep").to_pylist(), strict=True)]
-            columns = [batch.column(n) for n in schema.names]
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            texts = [t if k is None else kept_lines(t, k)[0] for t, k in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, batch.column("text").type), batch.column("rest")], names=schema.names)
 
-    joined = keep_bitmaps_joined(docs, id_col, text_col, min_chars)
-    return joined.select(*[F.col(f"`{n}`") for n in schema.names], "keep").mapInArrow(run, schema)
+    return unpacked(keep_bitmaps_joined(rows, min_chars=min_chars).select(*schema.names, "keep").mapInArrow(run, schema), docs.columns)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import table
+from .common import packed, table, unpacked
 
 #: Most labelled rows the fit uses. It bounds what the driver gathers and what is broadcast to find their texts.
 SAMPLE_ROWS = 8000
@@ -271,6 +271,11 @@ def classified(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame
     return with_statistics(docs, keep).withColumn("score", model.score()).drop("stats").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, ...), same columns, that are predicted to be of quality 1."""
+    return unpacked(classified(packed(docs), labels, ["doc_id", "text", "rest"]).where("predicted = 1"), docs.columns)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     out = classified(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"])
