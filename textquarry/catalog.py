@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .queries import texts
+
+MODULES = (texts,)
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return queries()["hybrid_search"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
