@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import texts
+from .queries import ranking, texts
 
-MODULES = (texts,)
+MODULES = (texts, ranking)
 
 
 def flagship(spark, sf_dir):

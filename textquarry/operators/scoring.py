@@ -30,7 +30,7 @@ def legal_boost(section, act, document, sections: Column, acts: Column) -> tuple
 def concept_boost(query, haystack, terms: Column) -> tuple[Column, Column]:
     """Boost and reason by how many of the query's concept terms the text has; 0.34 where it states the punishment asked for."""
     hay = F.lower(haystack)
-    matched = F.filter(terms, lambda t: hay.rlike(F.concat(F.lit(r"\b"), t, F.lit(r"\b"))))
+    matched = F.filter(terms, lambda t: F.rlike(hay, F.concat(F.lit(r"\b"), t, F.lit(r"\b"))))
     punished = F.filter(matched, lambda t: F.contains(hay, F.concat(F.lit("punishment for "), t)) | F.contains(hay, F.concat(t, F.lit(" shall be punished"))))
     asks = F.contains(F.lower(T.text_of(query)), F.lit("punishment")) & (F.size(punished) > 0)
     none = F.size(terms) == 0
@@ -91,7 +91,7 @@ def entity_boost(document, section_number, citation_section, act_text: Column, a
     doc = F.lower(T.text_of(document))
     asked = F.concat(F.col(f"{e}.sections"), F.col(f"{e}.ipc_sections"), F.col(f"{e}.bns_sections"))
     own, cited = F.lower(T.text_of(section_number)), F.lower(T.text_of(citation_section))
-    grade = F.transform(asked, lambda s: F.when((own != "") & (own == s), 0.25).when(cited == s, 0.15).when(doc.rlike(F.concat(F.lit(r"section\s+"), s)) | doc.rlike(F.concat(F.lit(r"s\.?\s*"), s)), 0.05).otherwise(0.0))
+    grade = F.transform(asked, lambda s: F.when((own != "") & (own == s), 0.25).when(cited == s, 0.15).when(F.rlike(doc, F.concat(F.lit(r"section\s+"), s)) | F.rlike(doc, F.concat(F.lit(r"s\.?\s*"), s)), 0.05).otherwise(0.0))
     strong = F.try_element_at(F.filter(grade, lambda g: g >= 0.15), F.lit(1))
     section = F.coalesce(strong, F.array_max(grade), F.lit(0.0))
 
@@ -102,7 +102,7 @@ def entity_boost(document, section_number, citation_section, act_text: Column, a
     around = F.concat_ws("\n", doc, F.lower(act_text), F.replace(F.lower(act_text), F.lit("_"), F.lit(" ")), F.lower(T.text_of(act)))
     by_act = F.exists(F.col(f"{e}.acts"), lambda a: F.exists(words(R.RERANK_ACT_WORDS, a, F.lower(a)), lambda k: F.contains(around, k)))
     by_topic = F.exists(F.col(f"{e}.topics"), lambda t: F.exists(words(R.RERANK_TOPIC_WORDS, t, F.replace(t, F.lit("_"), F.lit(" "))), lambda k: F.contains(doc, k)))
-    by_article = F.exists(F.col(f"{e}.articles"), lambda a: doc.rlike(F.concat(F.lit(r"article\s+"), a)))
+    by_article = F.exists(F.col(f"{e}.articles"), lambda a: F.rlike(doc, F.concat(F.lit(r"article\s+"), a)))
     return section + _sum((by_act, w["act"]), (by_topic, w["topic"]), (by_article, w["article"]))
 
 
