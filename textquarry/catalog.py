@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import ranking, texts
+from .queries import ranking, texts, usage
 
-MODULES = (texts, ranking)
+MODULES = (texts, ranking, usage)
 
 
 def flagship(spark, sf_dir):
