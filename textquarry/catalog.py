@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import ranking, texts, usage
+from .queries import ranking, statutes, texts, usage
 
-MODULES = (texts, ranking, usage)
+MODULES = (texts, ranking, usage, statutes)
 
 
 def flagship(spark, sf_dir):

@@ -80,7 +80,7 @@ TABLES = {
         ],
     ),
     "cites": ("src string, dst string", [("b", "a"), ("c", "a"), ("c", "b"), ("c", "b"), ("d", "c"), ("e", "d"), ("e", "zz"), ("f", "e")]),
-    "rulings": ("case_id string, by string, kind string", [("a", "e", "overruled"), ("b", "c", "followed"), ("a", "c", "followed"), ("zz", "e", "followed")]),
+    "rulings": ("case_id string, ruled_by string, kind string", [("a", "e", "overruled"), ("b", "c", "followed"), ("a", "c", "followed"), ("zz", "e", "followed")]),
     "log_lines": (
         "line_id int, message string",
         [

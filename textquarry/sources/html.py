@@ -26,12 +26,12 @@ def gazette_entries(pages: DataFrame, base_url: str, since: str) -> DataFrame:
     """(page_id, act_name, title, notified, description, url) of table rows of three cells or more whose second has a date not before `since`."""
     cut = pages.select("page_id", "act_name", F.posexplode(F.regexp_extract_all("html", F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("pos", "row"))
     cells = cut.withColumn("cells", F.transform(F.regexp_extract_all("row", F.lit("(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), lambda x: F.regexp_replace(F.trim(T.strip_tags(x)), r"\s+", " ")))
-    dated = cells.where(F.size("cells") >= 3).withColumn("raw", F.nullif(F.regexp_extract(F.col("cells")[1], r"(\d{1,2}[/-]\d{1,2}[/-]\d{4})", 1), F.lit("")))
+    dated = cells.where(F.size("cells") >= 3).withColumn("raw", F.nullif(F.regexp_extract(F.try_element_at("cells", F.lit(2)), r"(\d{1,2}[/-]\d{1,2}[/-]\d{4})", 1), F.lit("")))
     notified = F.coalesce(F.to_date(F.try_to_timestamp("raw", F.lit("d-M-y"))), F.to_date(F.try_to_timestamp("raw", F.lit("d/M/y"))))
     href = F.regexp_extract("row", '(?is)<a[^>]+href="([^"]*)"', 1)
     url = F.when(F.startswith(href, F.lit("/")), F.concat(F.lit(base_url), href)).when(F.startswith(href, F.lit("http")), href).otherwise(base_url)
     found = dated.withColumn("notified", notified).where(F.col("notified") >= F.lit(since).cast("date"))
-    return found.select("page_id", "act_name", F.col("cells")[0].alias("title"), "notified", F.col("cells")[2].alias("description"), url.alias("url"))
+    return found.select("page_id", "act_name", F.try_element_at("cells", F.lit(1)).alias("title"), "notified", F.try_element_at("cells", F.lit(3)).alias("description"), url.alias("url"))
 
 
 def search_hits(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
