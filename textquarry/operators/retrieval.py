@@ -19,19 +19,38 @@ def query_terms(queries: DataFrame, text_col: str = "query") -> DataFrame:
     return queries.select("query_id", F.explode(T.tokens(text_col)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+#: Rows up to which a query-side table is broadcast; a larger one is joined by shuffle.
+FEW_ROWS = 100_000
+
+
+def broadcast_if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows: counted, not guessed, and no further than needed."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def bm25(terms: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a term with a query; statistics are those of docs.
 
-    Only postings of query terms are kept before the join, so the corpus is counted once and the rest stays small.
+    Tokens that no query has are dropped where they are read, before anything is counted or shuffled.
     """
-    posted = index.postings(docs, id_col, text_col)
+    tokened = docs.select(F.col(id_col).alias("doc_id"), T.tokens(text_col).alias("tokens"))
     stats = index.corpus_stats(docs, text_col)
-    wanted = posted.join(terms.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = broadcast_if_few(terms.select("term").distinct())
+    rows = tokened.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    posted = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+    return bm25_of_postings(terms, posted, df, stats, k1, b)
+
+
+def bm25_of_postings(terms: DataFrame, posted: DataFrame, df: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """The same from a stored index: postings(doc_id, term, tf, dl), frequencies(term, df) and statistics(n, avgdl)."""
+    few = broadcast_if_few(terms)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))
-    scored = wanted.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", weight.alias("w"))  # stats: one row
-    return scored.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score")).where("score > 0")
+    # one frequency for each query term, one row of statistics
+    weighted = few.join(df, "term").crossJoin(F.broadcast(stats))
+    scored = posted.join(F.broadcast(weighted) if few is not terms else weighted, "term").select("query_id", "doc_id", (weight * F.col("qtf")).alias("w"))
+    return scored.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score")).where("score > 0")
 
 
 def ranked(scored: DataFrame, k: int | None = None, score: str = "score", key: str = "doc_id", digits: int | None = 9) -> DataFrame:
@@ -51,16 +70,20 @@ def min_max(scored: DataFrame, score: str = "score") -> DataFrame:
 def dense(queries: DataFrame, vectors: DataFrame, k: int, epsilon: float = 0.0, id_col: str = "vec_id", where: Column | None = None) -> DataFrame:
     """(query_id, doc_id, similarity, rank): exact cosine search of queries(query_id, vector) over vectors, filtered first if asked."""
     pool = vectors if where is None else vectors.where(where)
-    scored = pool.select(F.col(id_col).alias("doc_id"), "embedding").crossJoin(queries).select("query_id", "doc_id", T.cosine(F.col("embedding"), F.col("vector"), epsilon).alias("similarity"))
+    scored = pool.select(F.col(id_col).alias("doc_id"), "embedding").crossJoin(broadcast_if_few(queries, 10_000)).select("query_id", "doc_id", T.cosine(F.col("embedding"), F.col("vector"), epsilon).alias("similarity"))
     return ranked(scored, k, "similarity")
 
 
 def fused(semantic: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(query_id, doc_id, rrf_score, semantic_rank, bm25_rank): reciprocal-rank fusion of documents in either list."""
-    both = semantic.select("query_id", "doc_id", F.col("rank").alias("semantic_rank"), F.lit(None).cast("int").alias("bm25_rank")).unionByName(
-        lexical.select("query_id", "doc_id", F.lit(None).cast("int").alias("semantic_rank"), F.col("rank").alias("bm25_rank"))
+    """(query_id, doc_id, rrf_score, semantic_rank, bm25_rank, similarity, bm25_score): reciprocal-rank fusion of documents in either list.
+
+    One aggregation brings both lists together; similarity and normalized_score come along if the lists have them.
+    """
+    value = lambda df, c: F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
+    both = semantic.select("query_id", "doc_id", F.col("rank").alias("semantic_rank"), F.lit(None).cast("int").alias("bm25_rank"), value(semantic, "similarity").alias("similarity"), F.lit(None).cast("double").alias("bm25_score")).unionByName(
+        lexical.select("query_id", "doc_id", F.lit(None).cast("int").alias("semantic_rank"), F.col("rank").alias("bm25_rank"), F.lit(None).cast("double").alias("similarity"), value(lexical, "normalized_score").alias("bm25_score"))
     )
-    out = both.groupBy("query_id", "doc_id").agg(F.max("semantic_rank").alias("semantic_rank"), F.max("bm25_rank").alias("bm25_rank"))
+    out = both.groupBy("query_id", "doc_id").agg(*[F.max(c).alias(c) for c in ("semantic_rank", "bm25_rank", "similarity", "bm25_score")])
     part = lambda c: F.coalesce(F.lit(1.0) / (k + F.col(c)), F.lit(0.0))
     return out.withColumn("rrf_score", part("semantic_rank") + part("bm25_rank"))
 

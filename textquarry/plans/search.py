@@ -16,16 +16,17 @@ def candidates(queries: DataFrame, docs: DataFrame, probes: DataFrame, vectors:
     """(query_id, doc_id, rrf_score, bm25_score, semantic_score, boost_score, reranker_score) of both branches, each cut to the pool."""
     lexical = S.ranked(S.min_max(S.bm25(S.query_terms(queries), docs)), pool)
     semantic = S.dense(probes, vectors, pool)
-    both = S.fused(semantic, lexical).join(lexical.select("query_id", "doc_id", F.col("normalized_score").alias("bm25_score")), ["query_id", "doc_id"], "left")
-    both = both.join(semantic.select("query_id", "doc_id", "similarity"), ["query_id", "doc_id"], "left")
+    both = S.fused(semantic, lexical)
     return scoring.reranked(both.withColumns({"bm25_score": F.coalesce("bm25_score", F.lit(0.0)), "semantic_score": S.semantic_score(), "boost_score": F.lit(0.0)}))
 
 
 def hybrid(queries: DataFrame, docs: DataFrame, probes: DataFrame, vectors: DataFrame, k: int = 5, pool: int = 30) -> DataFrame:
     """The k best documents of each query, one of each (source, normalised text): (query_id, doc_id, source, score, rank)."""
     scored = candidates(queries, docs, probes, vectors, pool).select("query_id", "doc_id", F.col("reranker_score").alias("score"))
-    # only the pool's rows meet the texts; what is left is hashed before it is compared
-    found = scored.join(docs.select("doc_id", "source", F.md5(T.normalized_prefix("text")).alias("prefix")), "doc_id", "left")
+    # two pools a query meet the texts: few rows, unless the batch is large; only texts that are met are hashed
+    few = queries.limit(S.FEW_ROWS // (2 * pool) + 1).count() <= S.FEW_ROWS // (2 * pool)
+    texts = docs.select("doc_id", "source", "text").join(F.broadcast(scored.select("doc_id").distinct()) if few else scored.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = scored.join(texts.select("doc_id", "source", F.md5(T.normalized_prefix("text")).alias("prefix")), "doc_id", "left")
     first = S.first_occurrences(S.ranked(found, digits=None), F.struct(F.coalesce("source", F.lit("")), "prefix"))
     return S.ranked(first.drop("rank"), k, digits=None).select("query_id", "doc_id", "source", "score", "rank")
 

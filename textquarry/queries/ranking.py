@@ -90,7 +90,7 @@ _FUSED = f"""{_bm25_sql()}, {_dense_sql(30)}, fu AS (SELECT coalesce(s.query_id,
 @query("rrf_fusion", f"WITH {_FUSED} SELECT query_id, doc_id, semantic_rank, bm25_rank, round(rrf_score, 6) AS rrf_score FROM fu")
 def _(spark, d):
     lexical = S.ranked(S.bm25(S.query_terms(asked(spark)), table(spark, d, "documents")), 30)
-    return S.fused(S.dense(_probes(spark, d), table(spark, d, "embeddings"), 30), lexical).withColumn("rrf_score", F.round("rrf_score", 6))
+    return S.fused(S.dense(_probes(spark, d), table(spark, d, "embeddings"), 30), lexical).select("query_id", "doc_id", "semantic_rank", "bm25_rank", F.round("rrf_score", 6).alias("rrf_score"))
 
 
 _HYBRID = f"""{_FUSED}, sc AS (SELECT fu.*, coalesce(greatest(0, least(1, similarity / greatest(max(similarity) OVER (PARTITION BY query_id), 1e-9))), 0) AS semantic_score FROM fu),
