@@ -12,6 +12,10 @@ from ..functions import text as T
 _PART = re.compile(r'"([^"]*)"|(\S+)')
 
 
+def _begins(start: str):
+    return lambda t: F.startswith(t, F.lit(start))
+
+
 def condition(expression: str, text_col: str) -> Column:
     """The filter of an expression. OR binds the terms beside it; an empty expression passes all."""
     found, either, negated = [], False, False
@@ -25,8 +29,7 @@ def condition(expression: str, text_col: str) -> Column:
             field, value = word.split(":", 1)
             test = F.lower(F.col(field).cast("string")) == value.lower()
         elif word.endswith("*"):
-            start = word[:-1].lower()
-            test = F.exists(T.tokens(text_col), lambda t, start=start: F.startswith(t, F.lit(start)))
+            test = F.exists(T.tokens(text_col), _begins(word[:-1].lower()))
         else:
             test = F.array_contains(T.tokens(text_col), word.lower())
         test = ~F.coalesce(test, F.lit(False)) if negated else F.coalesce(test, F.lit(False))
