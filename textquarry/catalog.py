@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import ranking, statutes, texts, usage
+from .queries import plans, ranking, statutes, texts, usage
 
-MODULES = (texts, ranking, usage, statutes)
+MODULES = (texts, ranking, usage, statutes, plans)
 
 
 def flagship(spark, sf_dir):
