@@ -170,7 +170,9 @@ def _(spark, d):
     return p.select("query_id", F.array_join("p.section_numbers", ",").alias("sections"), F.array_join("p.acts", ",").alias("acts"), F.col("p.has_legal_citation").alias("cited"))
 
 
-@query("exact_act_names")
+@query("exact_act_names", f"""WITH {fixtures.sql('asked')}, p AS (SELECT query_id, unnest(a) AS act, generate_subscripts(a, 1) AS i FROM (SELECT query_id, list_transform(regexp_extract_all(query, '(?i){L.ACT}', 1), lambda x: coalesce(element_at({sql_map(R.ACT_CODES)}, lower(x))[1], upper(x))) AS a FROM asked)),
+    n(k, names) AS (VALUES {', '.join("('" + k + "', " + sql_list(v) + ")" for k, v in R.ACT_FULL_NAMES.items())}), x AS (SELECT query_id, i, unnest(coalesce(n.names, [act])) AS name, generate_subscripts(coalesce(n.names, [act]), 1) AS j FROM p LEFT JOIN n ON n.k = lower(act)),
+    u AS (SELECT query_id, name, min(i * 100 + j) AS o FROM x GROUP BY ALL) SELECT asked.query_id, coalesce(string_agg(name, '; ' ORDER BY o), '') AS names FROM asked LEFT JOIN u ON u.query_id = asked.query_id GROUP BY 1""")
 def _(spark, d):
     p = fixtures.frame(spark, "asked").select("query_id", L.query_acts("query").alias("acts"))
     return p.select("query_id", F.array_join(L.full_act_names(F.col("acts")), "; ").alias("names"))

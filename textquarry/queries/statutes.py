@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import answers, chunking, evaluation, graph, redaction, tenancy, understanding, verification
 from ..plans import search
 from ..sources import html, readers, writers
-from .common import sql_contains_any, sql_map, sql_words, table
+from .common import sql_contains_any, sql_list, sql_map, sql_words, table
 
 QUERIES: dict = {}
 
@@ -149,10 +149,21 @@ def _(spark, d):
     return X.frame(spark, "bilingual").select("id", understanding.normalized_term("text").alias("term"), understanding.hindi_document_type("text").alias("document_type"))
 
 
-@query("spoken_queries")
+_SPOKEN = "".join(f", n{i + 1} AS (SELECT id, regexp_replace(t, '\\b{w}\\b', '{r}', 'gi') AS t FROM n{i})" for i, (w, r) in enumerate(R.VOICE_CORRECTIONS.items())) + "".join(
+    f", n{i + 1} AS (SELECT id, replace(t, '{w}', '{r}') AS t FROM n{i})" for i, (w, r) in enumerate(R.VOICE_EXPANSIONS.items(), len(R.VOICE_CORRECTIONS))
+)
+
+
+@query("spoken_queries", f"""WITH {X.sql('spoken')}, n0 AS (SELECT id, trim(lower(text)) AS t FROM spoken) {_SPOKEN} SELECT id, t AS normalized FROM n{len(R.VOICE_CORRECTIONS) + len(R.VOICE_EXPANSIONS)}""")
 def _(spark, d):
     s = X.frame(spark, "spoken").withColumn("normalized", understanding.spoken_terms("text")).withColumn("c", understanding.spoken_command("normalized"))
-    return s.select("id", "normalized", "c.command", "c.confidence", F.array_join(understanding.key_terms("normalized"), "; ").alias("terms"))
+    return s.select("id", "normalized")
+
+
+@query("spoken_commands")
+def _(spark, d):
+    s = X.frame(spark, "spoken").withColumn("normalized", understanding.spoken_terms("text")).withColumn("c", understanding.spoken_command("normalized"))
+    return s.select("id", "c.command", "c.confidence", F.array_join(understanding.key_terms("normalized"), "; ").alias("terms"))
 
 
 @query("batch_lines", """WITH t AS (SELECT * FROM (VALUES ('"first query"' || chr(10) || '# comment' || chr(10) || chr(10) || 'second, query  ' || chr(10) || '''third''')) v(text)), l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM t)
@@ -206,7 +217,7 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", L.court_of_text("url", "url").alias("court"))
 
 
-@query("civil_acts")
+@query("civil_acts", f"""SELECT * FROM (VALUES {', '.join("('" + k + "', '" + v[0] + "', '" + v[1] + "', " + str(v[2]) + ", '" + v[3] + "', " + str(v[4]) + ")" for k, v in R.CIVIL_CATALOGUE.items())}) v(key, name, short_name, year, effective_date, sections)""")
 def _(spark, d):
     rows = [(k, *v) for k, v in R.CIVIL_CATALOGUE.items()]
     return spark.createDataFrame(rows, "key string, name string, short_name string, year int, effective_date string, sections int")
@@ -248,7 +259,10 @@ def _(spark, d):
     return verification.fabricated(X.frame(spark, "answers"))
 
 
-@query("outdated_law")
+@query("outdated_law", f"""WITH {X.sql('answers')}, l AS (SELECT response_id, lower(response) AS r FROM answers)
+    SELECT response_id, 'ipc_treated_as_current' AS type, 'ipc' AS value FROM l WHERE regexp_matches(r, '\\bipc\\b') AND regexp_matches(r, '\\bbns\\b') AND regexp_matches(r, 'ipc\\s+(?:provides|states|specifies|says|defines)|under\\s+ipc\\s+section|as\\s+per\\s+ipc')
+    UNION ALL SELECT response_id, 'invalid_ipc_section', v FROM (SELECT response_id, unnest(regexp_extract_all(r, 'section\\s+(\\d+)\\s+ipc', 1)) AS v FROM l) WHERE v::INT > 511
+    UNION ALL SELECT response_id, 'invalid_bns_section', v FROM (SELECT response_id, unnest(regexp_extract_all(r, 'section\\s+(\\d+)\\s+bns', 1)) AS v FROM l) WHERE v::INT > 395""")
 def _(spark, d):
     return verification.outdated(X.frame(spark, "answers"))
 
@@ -356,7 +370,7 @@ def _(spark, d):
     return graph.by_keyword(_ruled(spark), "fair").select("case_id", "strength")
 
 
-@query("citation_labels")
+@query("citation_labels", f"""WITH {_RULED} SELECT case_id, concat_ws(' ', CASE st.status WHEN 'active' THEN '✓' WHEN 'overruled' THEN '✗' ELSE '?' END, citation, CASE WHEN followed > 0 THEN '(followed in ' || followed || ' cases)' END, CASE WHEN st.status = 'overruled' THEN '(overruled)' END) AS label FROM st JOIN cases USING (case_id)""")
 def _(spark, d):
     return graph.with_status_mark(_ruled(spark))
 
@@ -368,8 +382,12 @@ def _(spark, d):
 
 # --- evaluation
 
+_STOP = sql_list(R.KEYWORD_STOP_WORDS)
+
 
-@query("retrieval_scores")
+@query("retrieval_scores", f"""WITH {X.sql('scored')}, t AS (SELECT *, lower(array_to_string(chunks, ' ')) AS txt FROM scored), m AS (SELECT *, coalesce(list_sum(list_transform(kw, lambda k: CASE WHEN contains(txt, lower(k)) THEN 1.0 WHEN len(list_filter(string_split(lower(k), ' '), lambda w: NOT contains(txt, w))) = 0 THEN 0.5 ELSE 0 END)), 0) AS found,
+    len(list_filter(chunks, lambda c: contains(lower(c), 'section') OR contains(lower(c), 'act') OR contains(lower(c), 'court') OR contains(lower(c), 'punishment'))) AS legal FROM t)
+    SELECT id, category, CASE WHEN category = 'irrelevant' THEN CASE WHEN legal = 0 THEN 100 WHEN legal <= 2 THEN 70 ELSE 30 END ELSE least(100, floor(found / greatest(len(kw), 1) * 100))::INT END AS score FROM m""")
 def _(spark, d):
     return X.frame(spark, "scored").select("id", "category", evaluation.retrieval_score(F.col("chunks"), F.col("kw"), F.col("category")).alias("score"))
 
@@ -386,7 +404,12 @@ def _(spark, d):
     return evaluation.compared(X.frame(spark, "runs"), "base", "new")
 
 
-@query("context_metrics")
+@query("context_metrics", f"""WITH u AS (SELECT conv_id, list_sort(list(text)) AS c FROM conversations WHERE role = 'user' GROUP BY 1), a AS (SELECT conv_id, min(text) AS answer, max(text) AS truth FROM conversations WHERE role = 'assistant' GROUP BY 1),
+    p AS (SELECT conv_id, list_transform(c, lambda x: lower(x)) AS c, lower(array_to_string(c, ' ')) AS whole, list_transform(list_filter(list_transform(regexp_split_to_array(regexp_replace(truth, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 5), lambda x: lower(x)) AS s,
+        list_distinct(list_filter(regexp_extract_all(lower(truth), '[a-zA-Z]+'), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x))) AS wanted, list_distinct(list_filter(regexp_extract_all(lower(answer), '[a-zA-Z]+'), lambda x: length(x) > 2 AND NOT list_contains({_STOP}, x))) AS said FROM u JOIN a USING (conv_id)),
+    q AS (SELECT *, list_filter(s, lambda x: length(x) > 10) AS long FROM p)
+    SELECT conv_id, round(len(list_filter(c, lambda x: len(list_filter(long, lambda y: contains(x, y))) > 0)) / len(c), 6) AS context_precision, round(coalesce(len(list_filter(long, lambda y: contains(whole, y))) / nullif(len(s), 0), 0), 6) AS context_recall,
+        round(coalesce(len(list_intersect(wanted, said)) / nullif(len(wanted), 0), 0), 6) AS answer_relevance, round(coalesce(len(list_filter(said, lambda w: contains(whole, w))) / nullif(len(said), 0), 0), 6) AS faithfulness FROM q""")
 def _(spark, d):
     c = table(spark, d, "conversations")
     users = c.where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list("text")).alias("contexts"))

@@ -171,19 +171,29 @@ def _(spark, d):
 # --- keyed state, replayed over the log
 
 
-@query("token_bucket_replay")
+@query("token_bucket_replay", """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT event_id, user_id, t, n, 3.0::DOUBLE AS had, true AS allowed FROM e WHERE n = 1
+    UNION ALL SELECT e.event_id, e.user_id, e.t, e.n, least(3, w.had - CASE WHEN w.allowed THEN 1 ELSE 0 END + (e.t - w.t) / 14400), least(3, w.had - CASE WHEN w.allowed THEN 1 ELSE 0 END + (e.t - w.t) / 14400) >= 1 FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+    SELECT event_id, user_id, allowed FROM w""")
 def _(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    return limiters.replay(e, "user_id", "t", "event_id", limiters.TokenBucket(3, 1 / 14400))
+    return limiters.replay(e, "user_id", "t", "event_id", limiters.TokenBucket(3, 1 / 14400)).select("event_id", "user_id", "allowed")
 
 
-@query("sliding_window_replay")
+@query("sliding_window_replay", """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT event_id, user_id, n, [t] AS kept, true AS allowed FROM e WHERE n = 1
+    UNION ALL SELECT e.event_id, e.user_id, e.n, CASE WHEN len(list_filter(w.kept, lambda x: x > e.t - 43200)) < 2 THEN list_append(list_filter(w.kept, lambda x: x > e.t - 43200), e.t) ELSE list_filter(w.kept, lambda x: x > e.t - 43200) END,
+        len(list_filter(w.kept, lambda x: x > e.t - 43200)) < 2 FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+    SELECT event_id, user_id, allowed FROM w""")
 def _(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    return limiters.replay(e, "user_id", "t", "event_id", limiters.SlidingWindow(2, 43200))
+    return limiters.replay(e, "user_id", "t", "event_id", limiters.SlidingWindow(2, 43200)).select("event_id", "user_id", "allowed")
 
 
-@query("ttl_cache_replay")
+@query("ttl_cache_replay", """WITH RECURSIVE e AS (SELECT event_id, event_type || '|' || user_id AS k, epoch(ts) AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (SELECT event_id, k, n, t + 172800 AS until, false AS allowed FROM e WHERE n = 1
+    UNION ALL SELECT e.event_id, e.k, e.n, CASE WHEN w.until >= e.t THEN w.until ELSE e.t + 172800 END, w.until >= e.t FROM w JOIN e ON e.k = w.k AND e.n = w.n + 1)
+    SELECT event_id, k, allowed FROM w""")
 def _(spark, d):
     e = table(spark, d, "events").select(F.concat_ws("|", "event_type", F.col("user_id").cast("string")).alias("k"), "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    return limiters.replay(e, "k", "t", "event_id", limiters.TtlEntry(172800))
+    return limiters.replay(e, "k", "t", "event_id", limiters.TtlEntry(172800)).select("event_id", "k", "allowed")
