@@ -13,7 +13,21 @@ from pyspark.sql import functions as F
 LAST_ID = (1 << 63) - 1
 
 
+#: Bytes of the batches that go between the JVM and Python: several are held at once in each task.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most BATCH_BYTES; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(name, None) or "").lower().rstrip("b")
+    size = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1:].isalpha() else int(now or 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +63,7 @@ def saved(df: DataFrame) -> DataFrame:
     The table lives until the application ends; `release` deletes it sooner.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     folder = shared_folder(spark)
     df.write.parquet(folder)
     atexit.register(_remove_at_exit, spark, folder)
