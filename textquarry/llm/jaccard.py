@@ -37,7 +37,7 @@ BANDS, ROWS = 28, 4
 TOLERANCE = 1e-6
 STEP = 16
 #: Members and shingles of a block of a candidate group, about: two blocks are in memory at a time.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 2_000_000
 
 _HASHES = BANDS * ROWS
 _MULTIPLIERS = np.random.RandomState(5).randint(1, 2**63 - 1, _HASHES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -260,3 +260,16 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class of near copies), n_links (documents it links to) of every document."""
     found = jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.nullif("d", F.lit(LAST_ID)).alias("doc_id"), F.nullif("class_d", F.lit(LAST_ID)).alias("class_id"), "n_links")
+
+
+OP1_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, least(len(w), 1)) + 1)) t(i)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE {THRESHOLD.denominator} * c >= {THRESHOLD.numerator} * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT a AS node, a AS root FROM e UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.node),
+c AS (SELECT node, min(root) AS class_id FROM reach GROUP BY node), k AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(k.links, 0) AS n_links FROM d LEFT JOIN c ON c.node = d.doc_id LEFT JOIN k ON k.a = d.doc_id
+"""

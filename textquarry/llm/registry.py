@@ -22,6 +22,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_ngram_jaccard_join": jaccard.OP1_SQL,
         "op2_chat_formatting": chat.OP2_SQL,
         "op5_benchmark_decontamination": decontamination.OP5_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
