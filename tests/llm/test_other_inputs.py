@@ -133,6 +133,8 @@ CASES = [
     ("just text &amp; more", "just text & more"),
     ("<article><p>unclosed <b>bold", "unclosed bold"),
     ("<article><p hidden>no</p><p style='display: none'>no</p><p aria-hidden=true>no</p><p>yes</p></article>", "yes"),
+    ("<div class='with-sidebar'><article><p>kept</p><div class='share'>no</div></article></div><p class='ad'>no</p>", "kept"),
+    ("<aside><article><p>teaser</p></article></aside><div><p>text</p></div>", "text"),
     ("<article><p title='a > b'>attr</p><textarea>no</textarea><img alt='no'>yes</article>", "attr yes"),
 ]
 

@@ -63,21 +63,21 @@ def host_of(url: str = "url") -> Column:
 
 
 @functools.lru_cache(maxsize=65536)
-def _element(tag: str, attributes: str) -> tuple[str, bool]:
-    """An element's signature, and whether it names itself as no content (header is judged where it stands)."""
+def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """An element's signature, whether it names itself as no content (header is judged where it stands), and whether by more than its class or id."""
     names: dict[str, str] = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         names.setdefault(name.lower(), entities.unescape(a or b or c))
     marks = f"{names.get('class', '')} {names.get('id', '')}"
-    noise = tag in _NOISE_TAGS or names.get("role", "").lower() in _NOISE_ROLES
+    sure = tag in _NOISE_TAGS or names.get("role", "").lower() in _NOISE_ROLES or "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
+    noise = sure
     if tag not in ("html", "body", "article", "main"):
         noise = noise or any(w.lower() in _NOISE_WORDS for w in _WORD.findall(marks))
     elif tag == "article":
         noise = noise or any(w.lower() in ("comment", "comments", "reply", "related", "ad", "sponsored") for w in _WORD.findall(marks))
-    noise = noise or "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
     content = tag in _CONTENT_TAGS or names.get("role", "").lower() == "main"
     kept = ".".join(sorted({re.sub(r"[0-9]+", "", c) for c in marks.split()} - {""}))
-    return f"{tag}{'.' if kept else ''}{kept}{'!' if content else ''}", noise
+    return f"{tag}{'.' if kept else ''}{kept}{'!' if content else ''}", noise, sure
 
 
 @functools.lru_cache(maxsize=65536)
@@ -86,10 +86,12 @@ def branch_hash(branch: str) -> int:
 
 
 class _Node:
-    __slots__ = ("branch", "children", "content", "noise", "tag")
+    """noise: it or what holds it names itself as no content; sure: by more than a class or id; inner: as noise, but from its outermost article or main inwards."""
 
-    def __init__(self, tag: str, branch: str, noise: bool, content: bool):
-        self.tag, self.branch, self.noise, self.content, self.children = tag, branch, noise, content, set()
+    __slots__ = ("branch", "children", "content", "inner", "noise", "sure", "tag")
+
+    def __init__(self, tag: str, branch: str, noise: bool, content: bool, sure: bool = False, inner: bool = False):
+        self.tag, self.branch, self.noise, self.content, self.sure, self.inner, self.children = tag, branch, noise, content, sure, inner, set()
 
 
 def blocks(page: str | None):
@@ -150,13 +152,13 @@ def blocks(page: str | None):
         if tag in _SIBLINGS:
             for sibling in reversed(_SIBLINGS[tag]):
                 close((sibling,), _SCOPES[tag])
-        signature, noise = _element(tag, found[3])
+        signature, noise, sure = _element(tag, found[3])
         parent = stack[-1]
         content = parent.content or signature.endswith("!")
         if tag == "header" and not parent.content:
-            noise = True
+            noise = sure = True
         parent.children.add(signature)
-        node = _Node(tag, f"{parent.branch}/{signature}", parent.noise or noise, content)
+        node = _Node(tag, f"{parent.branch}/{signature}", parent.noise or noise, content, parent.sure or sure, content and (parent.inner if parent.content else False) or (content and noise))
         if not found[3].endswith("/"):
             stack.append(node)
             if tag in _INLINE:
@@ -214,12 +216,11 @@ def low_branches(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, low: set) -> str:
-    found, only_content = [], False
-    for text, node in blocks(page):
-        if text is not None and not node.noise and not (low and branch_hash(node.branch) in low):
-            found.append((text, node.content))
-            only_content |= node.content
-    return " ".join(text for text, content in found if content or not only_content)
+    """The text of the blocks that are content. If a class or id on what holds an article rules all of it out, only its own inner branches count."""
+    found = [(text, node) for text, node in blocks(page) if text is not None and not node.sure and not (low and branch_hash(node.branch) in low)]
+    kept = [x for x in found if not x[1].noise] or [x for x in found if x[1].content and not x[1].inner]
+    only_content = any(node.content for _, node in kept)
+    return " ".join(text for text, node in kept if node.content or not only_content)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
