@@ -103,16 +103,16 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", formatting.size(F.col("n_chars")).alias("size"))
 
 
-@query("hashed_vectors", f"SELECT doc_id, len({sql_tokens('text')}) > 0 AS any, 1.0::DOUBLE AS length FROM documents WHERE doc_id < 50 AND len({sql_tokens('text')}) > 0")
+@query("hashed_vectors", f"SELECT doc_id, len({sql_tokens('text')}) > 0 AS any, 1.0::DOUBLE AS length FROM documents WHERE len({sql_tokens('text')}) > 0")
 def _(spark, d):
-    v = table(spark, d, "documents").where("doc_id < 50").select("doc_id", T.tokens("text").alias("w"), extensions.hashed_vector("text").alias("v")).where(F.size("w") > 0)
+    v = table(spark, d, "documents").select("doc_id", T.tokens("text").alias("w"), extensions.hashed_vector("text").alias("v")).where(F.size("w") > 0)
     return v.select("doc_id", (F.size("w") > 0).alias("any"), F.round(F.sqrt(T.dot(F.col("v"), F.col("v"))), 5).alias("length"))
 
 
-@query("embedding_resume", "SELECT doc_id, doc_id < 20 AS kept FROM documents WHERE doc_id < 40")
+@query("embedding_resume", "SELECT doc_id, lang = 'en' AS kept FROM documents")
 def _(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 40").select("doc_id", "text")
-    stored = docs.where("doc_id < 20").select("doc_id", F.array(F.lit(9.0).cast("float")).alias("embedding"))
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    stored = docs.where("lang = 'en'").select("doc_id", F.array(F.lit(9.0).cast("float")).alias("embedding"))
     out = extensions.embedded(docs, stored, "doc_id", "text")
     return out.select("doc_id", (F.size("embedding") == 1).alias("kept"))
 
@@ -130,9 +130,9 @@ def _(spark, d):
     return by_day.select("event_type", "d", "n", (F.col("n") - F.lag("n").over(Window.partitionBy("event_type").orderBy("d"))).alias("delta"))
 
 
-@query("citation_recall", "SELECT a.source, len(list_intersect(a.l, b.l)) / 4.0 AS recall FROM (SELECT source, list(DISTINCT lang) AS l FROM documents WHERE doc_id < 100 GROUP BY source) a, (SELECT ['en', 'fr', 'de', 'es'] AS l) b")
+@query("citation_recall", "SELECT a.source, len(list_intersect(a.l, b.l)) / 4.0 AS recall FROM (SELECT source, list(DISTINCT lang) AS l FROM documents GROUP BY source) a, (SELECT ['en', 'fr', 'de', 'es'] AS l) b")
 def _(spark, d):
-    found = table(spark, d, "documents").where("doc_id < 100").groupBy("source").agg(F.collect_set("lang").alias("l"))
+    found = table(spark, d, "documents").groupBy("source").agg(F.collect_set("lang").alias("l"))
     return found.select("source", evaluation.recall_of(F.array(*map(F.lit, ("en", "fr", "de", "es"))), F.col("l")).alias("recall"))
 
 

@@ -315,11 +315,11 @@ def _(spark, d):
 
 # --- graph
 
-_EDGES = "e AS (SELECT DISTINCT l_partkey AS p, -l_suppkey AS s FROM lineitem WHERE l_partkey < 300), b AS (SELECT p AS a, s AS b FROM e UNION SELECT s, p FROM e)"
+_EDGES = "e AS (SELECT DISTINCT l_partkey AS p, -l_suppkey AS s FROM lineitem), b AS (SELECT p AS a, s AS b FROM e UNION SELECT s, p FROM e)"
 
 
 def _edges(spark, d):
-    return table(spark, d, "lineitem").where("l_partkey < 300").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
 
 
 @query("bfs_2hop", f"WITH {_EDGES}, h1 AS (SELECT a AS start, b AS node FROM b WHERE a IN (1, 2, 3)), h2 AS (SELECT DISTINCT h1.start, b.b AS node FROM h1 JOIN b ON b.a = h1.node WHERE b.b <> h1.start) SELECT start, node, min(distance) AS distance FROM (SELECT start, node, 1 AS distance FROM h1 UNION ALL SELECT start, node, 2 FROM h2) GROUP BY ALL")
@@ -498,11 +498,12 @@ def _(spark, d):
     return X.frame(spark, "sources").select("file", readers.pdf_problem(F.col("length"), F.col("head")).alias("problem"))
 
 
-@query("upsert_by_key", "WITH n AS (SELECT doc_id, source || '+' AS source, n_chars + 1 AS age FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id + 1000000, source, n_chars FROM documents WHERE doc_id < 5), b AS (SELECT doc_id, source, n_chars AS age FROM documents UNION ALL SELECT * FROM n) SELECT doc_id, source, age FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY age DESC) = 1")
+@query("upsert_by_key", "WITH n AS (SELECT doc_id, source || '+' AS source, n_chars + 1 AS age FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id + 1000000, source, n_chars FROM documents WHERE lang = 'de'), b AS (SELECT doc_id, source, n_chars AS age FROM documents UNION ALL SELECT * FROM n) SELECT doc_id, source, age FROM b QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY age DESC) = 1")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", F.col("n_chars").alias("age"))
-    changed = docs.where("doc_id % 3 = 0").select("doc_id", F.concat("source", F.lit("+")).alias("source"), (F.col("age") + 1).alias("age"))
-    return writers.upserted(docs, changed.unionByName(docs.where("doc_id < 5").withColumn("doc_id", F.col("doc_id") + 1000000)), "doc_id", "age")
+    read = table(spark, d, "documents").select("doc_id", "lang", "source", F.col("n_chars").alias("age"))
+    docs = read.drop("lang")
+    changed = read.where("lang <> 'en'").select("doc_id", F.concat("source", F.lit("+")).alias("source"), (F.col("age") + 1).alias("age"))
+    return writers.upserted(docs, changed.unionByName(read.where("lang = 'de'").drop("lang").withColumn("doc_id", F.col("doc_id") + 1000000)), "doc_id", "age")
 
 
 @query("delete_by_predicate", "SELECT doc_id, source FROM documents WHERE source <> 'src1'")
@@ -518,11 +519,11 @@ def _(spark, d):
     return orders.join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").join(building, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 
 
-@query("new_chunks", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY substring(sha256(trim(text)), 1, 16) ORDER BY doc_id) AS n, substring(sha256(trim(text)), 1, 16) AS h FROM documents WHERE doc_id >= 500) WHERE n = 1 AND h NOT IN (SELECT substring(sha256(trim(text)), 1, 16) FROM documents WHERE doc_id < 500)")
+@query("new_chunks", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY substring(sha256(trim(text)), 1, 16) ORDER BY doc_id) AS n, substring(sha256(trim(text)), 1, 16) AS h FROM documents WHERE source >= 'src5') WHERE n = 1 AND h NOT IN (SELECT substring(sha256(trim(text)), 1, 16) FROM documents WHERE source < 'src5')")
 def _(spark, d):
-    hashed = table(spark, d, "documents").select("doc_id", T.content_hash("text").alias("content_hash"))
-    fresh = writers.new_rows(hashed.where("doc_id >= 500"), hashed.where("doc_id < 500"), "content_hash")
-    first = hashed.where("doc_id >= 500").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+    hashed = table(spark, d, "documents").select("doc_id", "source", T.content_hash("text").alias("content_hash"))
+    fresh = writers.new_rows(hashed.where("source >= 'src5'"), hashed.where("source < 'src5'"), "content_hash")
+    first = hashed.where("source >= 'src5'").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
     return fresh.select("content_hash").join(first, "content_hash").select("doc_id")
 
 
