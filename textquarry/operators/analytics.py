@@ -129,3 +129,14 @@ def gauges(samples: DataFrame) -> DataFrame:
 
 def corpus_state(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.agg(F.count("*").alias("documents")).withColumn("state", F.when(F.col("documents") > 0, "ok").otherwise("degraded"))
+
+
+def audit_event(kind, user: str = "user_id", severity: str = "info", action=None, result: str = "success", **details) -> list[Column]:
+    """The columns of an audit event made from a row: texts are cut at 500 characters, details are JSON, the id is a hash of them all."""
+    named = F.to_json(F.struct(*[F.substring(F.col(c).cast("string"), 1, 500).alias(n) for n, c in details.items()])) if details else F.lit("{}")
+    event = kind if isinstance(kind, Column) else F.lit(kind)
+    who = F.coalesce(F.col(user).cast("string"), F.lit(""))
+    return [
+        F.substring(F.sha2(F.concat_ws("|", event, who, named), 256), 1, 32).alias("event_id"), event.alias("event_type"), F.lit(severity).alias("severity"), F.col(user).alias("user_id"),
+        F.coalesce(F.lit(action), event).alias("action"), F.lit(result).alias("result"), named.alias("details"),
+    ]

@@ -129,3 +129,15 @@ def top_of_act(results: DataFrame, order: dict[str, int]) -> DataFrame:
     """Results by the priority of their acts, then by rank; acts without one come last."""
     priority = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), "act"), F.lit(len(order) + 1))
     return results.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(priority, "rank")))
+
+
+def hits(results: DataFrame) -> DataFrame:
+    """Results as they are handed out: scores between 0 and 1, a snippet, reasons."""
+    shown = lambda c: T.display_score(F.coalesce(F.col(c), F.lit(0.0))).alias(c)
+    scores = [c for c in ("reranker_score", "hybrid_score", "rrf_score", "boost_score", "semantic_score", "bm25_score") if c in results.columns]
+    return results.select("query_id", "rank", F.col("id").cast("string").alias("id"), "score", *[shown(c) for c in scores], "act", F.struct("section", F.col("page").cast("string").alias("page"), "source").alias("citation"), "reasons", T.snippet("document").alias("snippet"))
+
+
+def enriched(found: DataFrame, fetched: DataFrame, key: str = "doc") -> DataFrame:
+    """Search results with the documents that could be fetched; the others are left out."""
+    return found.join(fetched.where("status = 'success'").drop("status"), key)

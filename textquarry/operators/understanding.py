@@ -185,3 +185,12 @@ def key_terms(c) -> Column:
     acts = F.zip_with(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), F.regexp_extract_all(low, F.lit(pattern), F.lit(2)), lambda a, n: F.concat(F.upper(a), F.lit(" Section "), n))
     named = F.filter(F.array(*[F.when(F.contains(low, F.lit(a.lower())), F.lit(a)) for a in ("BNS", "BNSS", "BSA", "IPC", "CRPC", "CPC", "IEA")], *[F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in KEY_TERMS]), lambda x: x.isNotNull())
     return F.array_sort(F.array_distinct(F.concat(sections, acts, named)))
+
+
+def mapping_context(acts: DataFrame, crosswalk: DataFrame, most_acts: int = 20, most_rows: int = 32) -> DataFrame:
+    """One row, the context of a model: the commonest acts (name, n), and the first rows of the crosswalk."""
+    names = acts.orderBy(F.desc("n"), "name").limit(most_acts).agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("n", "name")))), lambda x: x["name"]), "; ").alias("acts"))
+    rows = crosswalk.orderBy("ord").limit(most_rows)
+    line = F.concat(F.lit("IPC "), "old_section", F.lit(" -> BNS "), "new_section", F.coalesce(F.concat(F.lit(" ("), "name", F.lit(")")), F.lit("")))
+    lines = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("t")))), lambda x: x["t"]), "\n").alias("mappings"))
+    return names.crossJoin(F.broadcast(lines))  # one row each

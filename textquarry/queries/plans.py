@@ -140,3 +140,75 @@ def _(spark, d):
 def _(spark, d):
     names = [(n,) for n in [*dict.fromkeys(R.QUERY_ACT_NAMES.values()), "Forest Act, 1927"]]
     return spark.createDataFrame(names, "name string").select("name", L.short_act(F.col("name")).alias("short"))
+
+
+@query("search_hits")
+def _(spark, d):
+    from ..operators import answers
+    from ..plans import search
+
+    found = answers.hits(search.statutes(X.frame(spark, "asked"), X.frame(spark, "chunks"), "2024-07-01"))
+    return found.select("query_id", "rank", "id", "score", "reranker_score" if "reranker_score" in found.columns else "bm25_score", "citation.section", "snippet")
+
+
+@query("related_provisions", f"WITH {X.sql('evidence')}, t AS (SELECT response_id, act, section FROM evidence WHERE rank = 1), r AS (SELECT DISTINCT e.response_id, 'Section ' || e.section || ' ' || e.act AS p FROM evidence e JOIN t USING (response_id) WHERE e.act = t.act AND e.section IS NOT NULL AND e.section IS DISTINCT FROM t.section) SELECT response_id AS query_id, string_agg(p, '; ' ORDER BY p) AS related FROM r GROUP BY 1")
+def _(spark, d):
+    from ..operators import answers
+
+    results = X.frame(spark, "evidence").withColumnRenamed("response_id", "query_id").withColumn("chapter", F.lit(None).cast("string"))
+    return answers.related(results).withColumn("related", F.array_join("related", "; "))
+
+
+@query("refusals", f"WITH {X.sql('asked')} SELECT query_id, true AS named, 4 AS templates FROM asked WHERE query <> ''")
+def _(spark, d):
+    from ..operators import answers
+
+    asked = X.frame(spark, "asked").where("query <> ''")
+    return asked.select("query_id", F.contains(answers.refusal(F.col("query"), R.REFUSALS), F.col("query")).alias("named"), F.lit(len(R.REFUSALS)).alias("templates"))
+
+
+@query("mapping_context", f"WITH {X.sql('crosswalk')}, a AS (SELECT source AS name, count(*) AS n FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) SELECT (SELECT string_agg(name, '; ' ORDER BY n DESC, name DESC) FROM a) AS acts, (SELECT string_agg('IPC ' || old_section || ' -> BNS ' || new_section || ' (' || name || ')', chr(10) ORDER BY ord) FROM crosswalk) AS mappings")
+def _(spark, d):
+    from ..operators import understanding
+
+    acts = table(spark, d, "documents").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("n"))
+    return understanding.mapping_context(acts, X.frame(spark, "crosswalk"))
+
+
+@query("audit_rows", "SELECT event_type, user_id, 'info' AS severity, event_type AS action, '{\"value\":\"' || event_id || '\"}' AS details FROM events")
+def _(spark, d):
+    from ..operators import analytics
+
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id")
+    return e.select(*analytics.audit_event(F.col("event_type"), value="event_id")).select("event_type", "user_id", "severity", "action", "details")
+
+
+@query("item_cache_replay")
+def _(spark, d):
+    from ..streaming import limiters
+
+    e = table(spark, d, "events").select("event_type", "event_id", (F.col("user_id") % 40).alias("item"), F.col("ts").cast("timestamp").cast("double").alias("t"))
+    return limiters.replay(e, "event_type", "t", "event_id", limiters.ItemCache(7200, 12), "item").select("event_id", "event_type", "allowed", "remaining")
+
+
+@query("irrelevant_composite", "SELECT doc_id, round(0.5 * (quality = 0)::INT + 0.3 * (toxic = 0)::INT + 0.2 * (doc_id % 2)::INT, 6)::DOUBLE AS score FROM labels")
+def _(spark, d):
+    score = evaluation.irrelevant_composite(F.col("quality") == 0, F.col("toxic") == 0, F.col("doc_id") % 2 == 1)
+    return table(spark, d, "labels").select("doc_id", F.round(score, 6).alias("score"))
+
+
+@query("markdown_report", "SELECT source AS key, '| ' || source || ' | ' || count(*) || ' |' AS line FROM documents GROUP BY source")
+def _(spark, d):
+    counts = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return evaluation.markdown(counts, "source")
+
+
+@query("file_names", "SELECT * FROM (VALUES ('My Book (2nd ed.).PDF', 'My_Book_2nd_ed.pdf'), ('a_b.txt', 'a_b.txt')) v(raw, name)")
+def _(spark, d):
+    return spark.createDataFrame([("My Book (2nd ed.).PDF",), ("a_b.txt",)], "raw string").select("raw", formatting.file_name("raw").alias("name"))
+
+
+@query("plain_texts", "SELECT * FROM (VALUES (1, 'Title' || chr(10) || 'bold and code link'), (2, '\"quoted\" - ok.')) v(id, text)")
+def _(spark, d):
+    raw = spark.createDataFrame([(1, "# Title\n**bold** and `code` [link](http://x)"), (2, "“quoted” – ok…")], "id int, raw string")
+    return raw.select("id", formatting.latin_letters(formatting.plain_markdown("raw")).alias("text"))

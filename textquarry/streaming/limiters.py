@@ -105,6 +105,28 @@ class TtlEntry:
         return t + self.seconds, False, 0, 0
 
 
+@dataclass(frozen=True)
+class ItemCache:
+    """A cache of at most max_items entries of `seconds`: a read is allowed (a hit) while its entry lives. A miss stores it, after those
+    that have expired went, or else the one that expires first. For `replay` with an item column.
+    """
+
+    seconds: float
+    max_items: int = 256
+
+    def start(self):
+        return {}
+
+    def step(self, state, t, item):
+        until = state.get(item)
+        if until is not None and until >= t:
+            return state, True, len(state), 0
+        state = {k: u for k, u in state.items() if u >= t and k != item}
+        if len(state) >= self.max_items:
+            del state[min(state, key=lambda k: (state[k], str(k)))]
+        return state | {item: t + self.seconds}, False, len(state) + 1, 0
+
+
 #: Named limits, requests and seconds; limits by address.
 NAMED = {"search": (60, 60), "api": (100, 60), "ingest": (10, 3600)}
 BY_ADDRESS = ((60, 60), (1000, 3600), (10000, 86400))
@@ -114,22 +136,23 @@ def address_limits() -> Scopes:
     return Scopes(tuple(SlidingWindow(n, s) for n, s in BY_ADDRESS))
 
 
-def replay(events: DataFrame, key: str, time: str, event_id: str, rule) -> DataFrame:
-    """(event_id, key, allowed, remaining, retry_after) of each event in time order, ties by id."""
+def replay(events: DataFrame, key: str, time: str, event_id: str, rule, item: str | None = None) -> DataFrame:
+    """(event_id, key, allowed, remaining, retry_after) of each event in time order, ties by id. item: a column that the rule is told too."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
 
     def run(batches):
         at, state = None, None
         for batch in batches:
             out = []
-            for k, t in zip(batch.column(key).to_pylist(), batch.column(time).to_pylist(), strict=True):
+            more = [(x,) for x in batch.column(item).to_pylist()] if item else [()] * batch.num_rows
+            for k, t, rest in zip(batch.column(key).to_pylist(), batch.column(time).to_pylist(), more, strict=True):
                 if at is None or k != at[0]:
                     at, state = (k,), rule.start()
-                state, allowed, remaining, wait = rule.step(state, t)
+                state, allowed, remaining, wait = rule.step(state, t, *rest)
                 out.append((allowed, remaining, wait))
             yield pa.RecordBatch.from_arrays([batch.column(event_id), batch.column(key), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.bool_(), pa.int64(), pa.int64())))], names=[event_id, key, "allowed", "remaining", "retry_after"])
 
-    ordered = events.select(event_id, key, time).repartition(key).sortWithinPartitions(key, time, event_id)
+    ordered = events.select(event_id, key, time, *([item] if item else [])).repartition(key).sortWithinPartitions(key, time, event_id)
     return ordered.mapInArrow(run, f"`{event_id}` {kinds[event_id]}, `{key}` {kinds[key]}, allowed boolean, remaining long, retry_after long")
 
 
