@@ -57,7 +57,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
 def weighted_fair_mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of docs(doc_id, source, text): taken is size times the copies taken."""
     spark = docs.sparkSession
-    sized = saved(docs.select("doc_id", "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long").withColumn("rid", F.monotonically_increasing_id()))
+    sized = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").mapInArrow(_sizes, "doc_id long, source string, size long").withColumn("rid", F.monotonically_increasing_id()))
     targets = saved(source_targets(sized))
     shuffled = sized.withColumn("shuffle", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     queue = running_sums(shuffled, [F.col("source").isNull(), F.col("source"), F.col("shuffle"), F.col("doc_id"), F.col("rid")], {"up_to": "size"})
