@@ -26,5 +26,6 @@ def oracle_sql():
         "op2_chat_formatting": chat.OP2_SQL,
         "op5_benchmark_decontamination": decontamination.OP5_SQL,
         "op6_line_dedup": line_dedup.OP6_SQL,
+        "op7_secret_scan": secrets.OP7_SQL,
         "op8_weighted_fair_mixing": mixing.OP8_SQL,
     }

@@ -49,7 +49,7 @@ ALLOWED = (
     r"(?i)example|sample|placeholder|xxxx|0123456789|abcdefgh",
 )
 
-_SPANS = "array<struct<start: long, past: long, rank: int, kind: string>>"
+_SPANS = "array<struct<start: long, rank: int, past: long, kind: string>>"
 
 
 def _located(text: Column, pattern: str, keep, kind: str, rank: int) -> Column:
@@ -61,7 +61,7 @@ def _located(text: Column, pattern: str, keep, kind: str, rank: int) -> Column:
     def step(state, piece):
         start = state["at"] + F.length(piece["gap"])
         past = start + F.coalesce(F.length(piece["m"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), past.alias("past"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")))
+        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), past.alias("past"), F.lit(kind).alias("kind")))
         passed = piece["m"].isNotNull() & keep(piece["m"])
         return F.struct(past.alias("at"), F.when(passed, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
@@ -120,7 +120,7 @@ def entropy_spans(text: Column) -> Column:
 
 def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with assign_spans, access_spans, hex_spans, base_spans (by start, then kind) and all_spans (with entropy spans): arrays of
-    (start, past, rank, kind), in code points.
+    (start, rank, past, kind), in code points.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     kinds = [f"{kind}_spans" for kind, *_ in BASE]
@@ -140,3 +140,34 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(f"{kind}_spans").cast("long").alias(f"n_{kind}") for kind, *_ in BASE]
     return found.select("doc_id", *counts, F.sha2(named("base_spans").cast("binary"), 256).alias("base_sha256"), named("all_spans").alias("spans"))
+
+
+def _sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _spans_sql(kind: str, rank: int, pattern: str, keep: str) -> str:
+    """Matches of one pattern with their positions: lengths of the pieces between matches and of the matches before, as `_located` has it."""
+    p = _sql_text(pattern)
+    at = "list_transform(range(1, len(ms) + 1), lambda i: {'m': ms[i], 's': list_sum(gl[1:i]) + coalesce(list_sum(ml[1:i - 1]), 0)})"
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, x.s::BIGINT AS s, (x.s + length(x.m))::BIGINT AS e FROM (SELECT doc_id, unnest({at}) AS x FROM (SELECT doc_id, ms, list_transform(regexp_split_to_array(t, {p}), lambda z: length(z)) AS gl,
+        list_transform(ms, lambda z: length(z)) AS ml FROM (SELECT doc_id, t, regexp_extract_all(t, {p}) AS ms FROM d))) WHERE {keep}"""
+
+
+def _entropy_sql(m: str) -> str:
+    w = f"substring({m}, i, {WINDOW})"
+    one = f"list_sum(list_transform(list_distinct(string_split({w}, '')), lambda c: -(({WINDOW} - length(replace({w}, c, ''))) / {WINDOW}.0) * log2(({WINDOW} - length(replace({w}, c, ''))) / {WINDOW}.0)))"
+    best = f"list_max(list_transform(range(1, length({m}) - {WINDOW} + 2), lambda i: {one}))"
+    limit = " ".join(f"WHEN length(translate({m}, '{alphabet}', '')) = 0 THEN {least}" for _, alphabet, least in CLASSES)
+    allowed = " OR ".join(f"regexp_matches({m}, {_sql_text(p)})" for p in ALLOWED)
+    return f"NOT ({allowed}) AND round({best}, 9) >= CASE {limit} END"
+
+
+OP7_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({' UNION ALL '.join(_spans_sql(kind, rank, pattern, f"length(regexp_extract(x.m, {_sql_text(pattern)}, {group})) >= {least}") for rank, (kind, pattern, _, least, group) in enumerate(BASE))}),
+more AS ({_spans_sql('entropy', len(BASE), CANDIDATE, _entropy_sql('x.m'))}),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = more.doc_id AND more.s < b.e AND b.s < more.e)),
+bs AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM base GROUP BY doc_id),
+es AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans FROM every GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(bs.spans, '')) AS base_sha256, coalesce(es.spans, '') AS spans
+FROM d LEFT JOIN bs ON bs.doc_id = d.doc_id LEFT JOIN es ON es.doc_id = d.doc_id"""
