@@ -14,7 +14,7 @@ LAST_ID = (1 << 63) - 1
 
 
 #: Bytes of the batches that go between the JVM and Python: several are held at once in each task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

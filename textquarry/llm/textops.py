@@ -126,7 +126,7 @@ def grams(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return mix(out), bounds
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Successive parts of a batch whose texts have about `most` bytes at most; a longer text is a part of its own."""
     lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     up = np.cumsum(lengths)
@@ -136,3 +136,4 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         hi = max(lo + 1, int(np.searchsorted(up, base + most, side="right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+    pa.default_memory_pool().release_unused()
