@@ -400,3 +400,68 @@ def test_audit_sink(spark, tmp_path):
     stream = pipelines.event_stream(spark, f"{tmp_path}/in", "event_id string, timestamp double")
     pipelines.audit_sink(stream, f"{tmp_path}/out", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(120)
     assert sorted(str(r["day"]) for r in spark.read.json(f"{tmp_path}/out").collect()) == ["1970-01-04", "1970-01-05"]
+
+
+def test_item_cache_drops_what_expires_first(spark):
+    rule, state, seen = limiters.ItemCache(10, 2), {}, []
+    for t, item in [(0, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "a"), (20, "c")]:
+        state, hit, size, _ = rule.step(state, t, item)
+        seen.append((hit, size))
+    assert seen == [(False, 1), (False, 2), (True, 2), (False, 2), (False, 2), (False, 1)]
+
+
+# --- slots and plans
+
+
+def test_models_are_called_in_batches_and_retried(spark):
+    calls: list = []
+
+    def flaky(texts):
+        calls.append(len(texts))
+        if len(calls) == 1:
+            raise OSError("once")
+        return [float(len(x)) for x in texts]
+
+    from textquarry.functions import extensions
+
+    assert extensions.retried(flaky, sleep=lambda s: None)(["ab", "c"]) == [2.0, 1.0] and calls == [2, 2]
+    model = extensions.batched(lambda texts: [[float(len(x or ""))] for x in texts], "array<float>")
+    df = spark.createDataFrame([(i, "x" * i) for i in range(50)], "id int, text string")
+    assert sorted(r["e"][0] for r in df.select(model("text").alias("e")).collect()) == [float(i) for i in range(50)]
+
+
+def test_reranker_slot(spark):
+    from textquarry.functions import extensions
+
+    df = spark.createDataFrame([(1, "q", "short", 0.1, 0.1, 0.1, 0.1)], "query_id int, query string, document string, rrf_score double, bm25_score double, semantic_score double, boost_score double")
+    model = extensions.pair_scores(lambda pairs: [0.0 for _ in pairs])
+    assert scoring.reranked(df, model("query", "document")).first()["reranker_score"] == 0.5
+
+
+def test_model_analysis_wins_only_if_surer(spark):
+    from textquarry.functions import extensions
+
+    kind = "struct<intent: string, source_act: string, source_section: string, target_act: string, target_section: string, search_strategy: string, confidence: double>"
+    df = spark.createDataFrame([(("a", "x", "1", None, None, "s", 0.7), ("b", None, "2", None, None, "t", 0.9)), (("a", "x", "1", None, None, "s", 0.7), ("b", None, "2", None, None, "t", 0.1)), (("a", "x", "1", None, None, "s", 0.7), None)], f"rules {kind}, model {kind}")
+    got = [r["m"] for r in df.select(extensions.merged_analysis(F.col("rules"), F.col("model")).alias("m")).collect()]
+    assert [(m["intent"], m["source_act"], m["source_section"]) for m in got] == [("b", "x", "2"), ("a", "x", "1"), ("a", "x", "1")]
+
+
+def test_ingestion_is_repeatable(spark, tmp_path):
+    from textquarry.plans import ingestion
+
+    pages = fixtures.frame(spark, "statute_pages").select(F.col("filename").alias("source"), F.col("page_id").alias("page"), "text")
+    first = ingestion.chunks_of(pages)
+    assert sorted(r["id"] for r in first.collect()) == sorted(r["id"] for r in ingestion.chunks_of(pages).collect())
+    ingestion.stored(first, f"{tmp_path}/index")
+    stored = spark.read.parquet(f"{tmp_path}/index")
+    assert stored.count() == first.count() and ingestion.chunks_of(pages, stored).count() == 0
+    assert ingestion.indexed(first).where(F.size("embedding") == 64).count() == first.count()
+
+
+def test_rows_of_a_batch_without_results_stay(spark):
+    from textquarry.plans import answering
+
+    queries = spark.createDataFrame([(1, "q"), (2, " ")], "query_id int, query string")
+    results = spark.createDataFrame([(1, "x")], "query_id int, id string")
+    assert sorted(tuple(r) for r in answering.batch(queries, results).collect()) == [(1, "q", 1, None), (2, " ", 0, "empty query")]
