@@ -241,3 +241,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(mixed) == set(clean)
     run = {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert run == {d: r["taken"] for d, r in mixed.items()}
+
+
+def test_native_operators_run_no_python(spark):
+    chats = chat.formatted_chats(turns_of(spark, [(1, 0, "user", "a")]))
+    found = secrets.secret_spans(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    turns = chat.json_turns(spark.createDataFrame([(1, "{}")], "id long, record string"), "id", "record")
+    for df in (chats, found, turns):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_secrets_against_sql(spark):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate(SECRET_TEXTS) if not t or "ſ" not in t]  # DuckDB folds the case of more letters
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    truth = {r[0]: r[5] for r in c.sql(secrets.OP7_SQL).fetchall()}
+    got = secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", secrets.named("all_spans").alias("s"))
+    assert {r["doc_id"]: r["s"] for r in got.collect()} == truth
