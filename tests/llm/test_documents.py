@@ -401,4 +401,18 @@ def test_tree_distributions_sum_to_one(spark):
             q = tree.step(level, np.full(len(tree.tokens), context), tree.tokens, p)
             assert q.sum() < 1 + 1e-9 and q.sum() > 0.95
 
-
+def test_scores_keep_rare_continuations(spark):
+    """What is broadcast is a share of the corpus; what is counted is not: the rest is joined to the same scores."""
+    random = np.random.RandomState(8)
+    follows = {w: f"f{random.randint(60)}" for w in range(60)}
+    texts = [*EDGES, *[" ".join(f"W{w} {follows[w]} g{w}" for w in random.randint(0, 60, 15)) for _ in range(120)]]
+    docs = docs_of(spark, texts).select("doc_id", "text", suffix_tree.held_out().alias("held_out"))
+    scores = []
+    for p_min in (0.0, 0.02, 0.5):
+        tree, tokens = suffix_tree.learn(docs.where("not held_out"), p_min)
+        scores.append({r["doc_id"]: (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in suffix_tree.score(docs, tree, tokens).collect()})
+    assert sum(r[3] for r in scores[0].values()) > 0.7 * sum(r[2] for r in scores[0].values())
+    for other in scores[1:]:
+        assert set(other) == set(scores[0])
+        for d, r in other.items():
+            assert r == pytest.approx(scores[0][d])

@@ -1,35 +1,41 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Tokens are words (runs of non-white-space, A-Z lower-cased) and one end for each text. The root of the tree is the
-smoothed unigram distribution; deeper nodes are contexts of one or two preceding tokens (a text begins after a start mark).
+smoothed unigram distribution; deeper nodes are contexts of one to `DEPTH` preceding tokens (a text begins after a start mark).
 
 1. All training tokens are counted; N tokens, V distinct.
-2. Level by level, continuations (context, next token) are counted over all training texts. One is explicit if it makes
-   up at least `P_MIN` of the tokens (and occurs twice); only contexts and tokens that can reach that are counted. So each
-   level has at most 1 / P_MIN explicit continuations, whatever the size of the corpus: that bounds what is broadcast.
+2. Level by level, continuations (context, next token) are counted over all training texts. One is explicit if it occurs
+   `MIN_COUNT` times, whatever the size of the corpus. Contexts and suffixes that can't reach that are left out before the shuffle by a
+   table of bits of fixed size; it may let others through, which the count then drops.
 3. A context is retained if its distribution diverges from its parent's by more than it costs to describe:
    the gain in log-likelihood of its occurrences must exceed log(N) / 2 for each explicit continuation.
 4. P(w | s) = (n(s, w) + (n(s) - explicit + 1) P(w | parent of s)) / (n(s) + 1), with n(s, w) of explicit continuations only:
    what a context has not seen often goes to its parent. A token is scored by its longest retained context.
 
-Frequent tokens are scored where the text is read. The others, explicit nowhere, have their counts joined on by token
-hash, one row for each document and token, and add log10 of their unigram probability.
+Contexts and continuations are written tables. In log10 a score is a sum: the unigram of each token, what each retained context
+backs off, and what each explicit continuation adds to that. So any entry can be joined to the texts by the hash of its tokens alone.
+Entries of at least `P_MIN` of the tokens (at most 1 / P_MIN a level) are broadcast and scored where the text is read; the rest
+are joined, one row for each occurrence that may have an entry (for tokens one for each document and token), in one shuffle.
 
 Null and empty texts are one end. Rows of null id are training texts. Without training texts all scores are 0.
 """
 
 from __future__ import annotations
 
+import functools
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
 from .common import saved, table
 
 P_MIN = 2e-7
+MIN_COUNT, DEPTH = 2, 2
 MU = 1.0
 
 _START, _END = (T.mix(np.array([i], dtype=np.uint64))[0] for i in (101, 202))
@@ -79,7 +85,10 @@ class Lookup:
 
 
 class Tree:
-    """The broadcast part: frequent tokens with counts, and for two levels the retained contexts and explicit continuations."""
+    """The broadcast part: frequent tokens with counts, and by level the frequent retained contexts and explicit continuations.
+
+    rest: the table (key, value) of what all other retained contexts and explicit continuations add to a score; bits: which keys may be in it.
+    """
 
     def __init__(self, total: int, distinct: int):
         self.total, self.distinct = total, distinct
@@ -87,7 +96,11 @@ class Tree:
         none = np.zeros(0, np.uint64)
         self.tokens, self.counts = none, np.zeros(0, np.int64)
         #: By level: hashes of retained contexts, their n(s), what backs off; hashes of explicit continuations, their counts.
-        self.levels = [(none, np.zeros(0), np.zeros(0), none, np.zeros(0))] * 2
+        self.levels = [(none, np.zeros(0), np.zeros(0), none, np.zeros(0))] * DEPTH
+        self.rest, self.bits = None, Bits()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "rest"}
 
     def ready(self) -> Tree:
         self.find = Lookup(self.tokens)
@@ -147,35 +160,46 @@ def _unigrams(seq: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     return [seq[keep]]
 
 
-def _fits(seq: np.ndarray, bounds: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """Which of the sequence can stand before a token: frequent tokens and starts."""
-    ok = found >= 0
-    ok[bounds[:-1]] = True
-    return ok
+def _depths(n: int, bounds: np.ndarray) -> np.ndarray:
+    """For each of the sequence, how many of its text are before it, the start mark included."""
+    return np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
+
 
+def _grams(level: int, shared: _Shared):
+    """Continuations as (context, suffix): hashes of `level` tokens, the suffix one token further on."""
 
-def _pairs(shared):
     def of(seq, bounds):
-        found = shared.value.ready_once().find(seq)
-        first = np.zeros(len(seq), dtype=bool)
-        first[bounds[:-1]] = True
-        i = np.flatnonzero(_fits(seq, bounds, found)[:-1] & (found[1:] >= 0) & ~first[1:]) if len(seq) else np.zeros(0, int)
-        return [extended(seq[i], seq[i + 1], 1), seq[i], seq[i + 1]]
+        gram = seq
+        for j in range(1, level):
+            gram = np.concatenate((gram[:1], extended(gram[:-1], seq[1:], j)))
+        context, suffix = gram[:-1], gram[1:]
+        ok = _depths(len(seq), bounds)[1:] >= level
+        if level > 1:
+            maybe = shared.ready_once().bits
+            ok[ok] = maybe(context[ok]) & maybe(suffix[ok])
+        context, suffix = context[ok], suffix[ok]
+        return [extended(context, suffix, 1), context, suffix]
 
     return of
 
 
-def _triples(shared):
-    def of(seq, bounds):
-        tree = shared.value.ready_once()
-        first = np.zeros(len(seq), dtype=bool)
-        first[bounds[:-1]] = True
-        pair = extended(seq[:-1], seq[1:], 1)
-        ok = tree.find_pair(pair) >= 0
-        i = np.flatnonzero(ok[:-1] & ok[1:] & ~first[1:-1] & ~first[2:]) if len(seq) > 2 else np.zeros(0, int)
-        return [extended(pair[i], seq[i + 2], 2), pair[i], seq[i + 1], seq[i + 2]]
+class Bits:
+    """A table of 2 ** SIZE bits that says which hashes may be in a set; a larger set makes it say yes more often, never no in error."""
 
-    return of
+    SIZE = 27
+
+    def __init__(self, keys: DataFrame | None = None):
+        self.bytes = np.zeros(1 << (self.SIZE - 3), dtype=np.uint8)
+        if keys is not None:
+            at = F.shiftrightunsigned("key", 64 - self.SIZE)
+            buckets = keys.groupBy(F.shiftright(at, 15).cast("int").alias("at")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
+            for batch in buckets.toArrow().to_batches():
+                for bucket, bits in zip(batch.column("at").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                    self.bytes[bucket << 12 : (bucket + 1) << 12] = np.frombuffer(bits, np.uint8)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.SIZE)
+        return (self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
 class _Shared:
@@ -183,91 +207,87 @@ class _Shared:
 
     _ready: dict = {}
 
-    def __init__(self, spark: SparkSession, tree: Tree, pairs: np.ndarray | None = None):
+    def __init__(self, spark: SparkSession, tree: Tree):
         self.name = f"{id(tree)}-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62)}"
-        self.broadcast = spark.sparkContext.broadcast((tree, pairs))
-
-    @property
-    def value(self):
-        return self
+        self.broadcast = spark.sparkContext.broadcast(tree)
 
     def ready_once(self) -> Tree:
         if self.name not in self._ready:
             self._ready.clear()
-            tree, pairs = self.broadcast.value
-            tree.ready()
-            tree.find_pair = Lookup(pairs if pairs is not None else np.zeros(0, np.uint64))
-            self._ready[self.name] = tree
+            self._ready[self.name] = self.broadcast.value.ready()
         return self._ready[self.name]
 
 
-def _retained(context: np.ndarray, n: np.ndarray, k: np.ndarray, parent: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The divergence test. Arrays by explicit continuation, sorted by context; n: count of the context; parent: P(w | parent).
+def _swept(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
-    Returns hash, n and back-off mass of the retained contexts.
-    """
-    at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, int)
-    if not len(at):
-        return context, n, n
-    size = np.diff(np.concatenate((at, [len(context)])))
-    known = np.add.reduceat(k, at)
-    m = n[at]
-    back = m - known + MU
-    own = (k + np.repeat(back, size) * parent) / (n + MU)
-    gain = np.add.reduceat(k * np.log(own / parent), at) + (m - known) * np.log(back / (m + MU))
-    keep = gain > 0.5 * np.log(total) * size
-    return context[at][keep], m[keep], back[keep]
+
+def _keyed(level: int):
+    """Adds the hash of context and token to rows."""
+
+    def run(batches):
+        for batch in batches:
+            context, token = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("context", "token"))
+            yield pa.RecordBatch.from_arrays([pa.array(extended(context, token, level).view(np.int64)), *batch.columns], names=["key", *batch.schema.names])
+
+    return run
 
 
 def learn(docs: DataFrame, p_min: float = P_MIN) -> tuple[Tree, DataFrame]:
-    """The tree of docs(text), and the table (token, n) of all token counts."""
+    """The tree of docs(text), and the table (token, n) of all token counts. p_min: the share of tokens from which an entry is broadcast; scores don't depend on it."""
     spark = docs.sparkSession
     texts = docs.select("text")
     tokens = saved(texts.mapInArrow(_counts(["token"], _unigrams), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    end = int(np.array(_END).view(np.int64))
+    total, distinct, n_texts = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == end, F.col("n"))), F.lit(0))).first()
     tree = Tree(total, distinct)
-    least = max(2, p_min * total)
+    least = max(MIN_COUNT, p_min * total)
 
-    def gathered(df: DataFrame, order: list[str]) -> list[np.ndarray]:
-        """Columns of a table that p_min bounds to 1 / p_min rows."""
-        rows = df.where(F.col("n") >= least).toArrow()
-        arrays = [rows[c].to_numpy().view(np.uint64) if c != "n" else rows[c].to_numpy().astype(np.float64) for c in df.columns]
-        by = np.lexsort([arrays[df.columns.index(c)] for c in reversed(order)]) if rows.num_rows else np.zeros(0, int)
-        return [a[by] for a in arrays]
+    def gathered(df: DataFrame) -> list[np.ndarray]:
+        """Columns of a table that `least` bounds to 1 / p_min rows, in order of the first, a hash."""
+        rows = df.toArrow()
+        arrays = [rows[c].to_numpy() for c in df.columns]
+        by = np.argsort(arrays[0].view(np.uint64))
+        return [arrays[0].view(np.uint64)[by], *(a[by].astype(np.float64) for a in arrays[1:])]
 
-    tree.tokens, counts = gathered(tokens, ["token"])
+    tree.tokens, counts = gathered(tokens.where(F.col("n") >= least))
     tree.counts = counts.astype(np.int64)
-    n_texts = 0
-    end = np.searchsorted(tree.tokens, _END)
-    if end < len(tree.tokens) and tree.tokens[end] == _END:
-        n_texts = int(tree.counts[end])
-    shared = _Shared(spark, tree)
-    pairs = texts.mapInArrow(_counts(["_h", "context", "token"], _pairs(shared)), "_h long, context long, token long, n long").groupBy("context", "token").agg(F.sum("n").alias("n"))
-    context, token, k = gathered(pairs, ["context", "token"])
-    find = Lookup(tree.tokens)
-    of = lambda h: np.where(h == _START, n_texts, tree.counts[find(h)] if len(tree.counts) else 0).astype(np.float64)
-    base = tree.unigram(tree.counts[find(token)] if len(token) else np.zeros(0))
-    first = _retained(context, of(context), k, base, total)
-    hashes = extended(context, token, 1)
-    by = np.argsort(hashes)
-    pair_counts = k[by]
-    kept = (Lookup(first[0])(context) >= 0)[by]
-    tree.levels[0] = (*first, hashes[by][kept], k[by][kept])
-    shared = _Shared(spark, tree, hashes[by])
-    names = ["context", "last", "token"]
-    triples = texts.mapInArrow(_counts(["_h", *names], _triples(shared)), "_h long, context long, last long, token long, n long").groupBy(names).agg(F.sum("n").alias("n"))
-    context, last, token, k = gathered(triples, ["context", "token"])
-    tree.ready()
-    base = tree.unigram(tree.counts[tree.find(token)] if len(token) else np.zeros(0))
-    parent = tree.step(0, last, token, base)
-    find_pair = Lookup(hashes[by])
-    second = _retained(context, pair_counts[find_pair(context)] if len(context) else np.zeros(0), k, parent, total)
-    hashes = extended(context, token, 2)
-    # a parent that failed the test itself has its own parent's distribution: it needs no entry
-    kept = Lookup(second[0])(context) >= 0
-    by = np.argsort(hashes[kept])
-    tree.levels[1] = (*second, hashes[kept][by], k[kept][by])
-    del tree.find, tree.find_level
+    if not total:
+        return tree, tokens
+    explicit = tokens.where(F.col("n") >= MIN_COUNT)
+    start = spark.range(1).select(F.lit(int(np.array(_START).view(np.int64))).alias("of"), F.lit(n_texts).cast("double").alias("m"))
+    contexts = explicit.select(F.col("token").alias("of"), F.col("n").cast("double").alias("m")).union(start)
+    parents = explicit.select(F.col("token").alias("suffix"), "token", ((F.col("n") + 0.5) / F.lit(float(tree.z))).alias("p"))
+    values = []
+    siblings = Window.partitionBy("context")
+    back, own = F.col("m") - F.col("known") + MU, (F.col("n") + F.col("back") * F.col("p")) / (F.col("m") + MU)
+    for level in range(1, DEPTH + 1):
+        counted = texts.mapInArrow(_counts(["_h", "context", "suffix"], _grams(level, _Shared(spark, tree))), "_h long, context long, suffix long, n long")
+        # counted in each task before: dealt as they are
+        rows = counted.repartition("context", "suffix").groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+        rows = rows.join(parents, "suffix").join(contexts, F.col("context") == F.col("of")).select("context", "token", "n", "p", "m")
+        rows = rows.withColumn("known", F.sum("n").over(siblings)).withColumn("back", back)
+        # the divergence test
+        gain = F.sum(F.col("n") * F.log(own / F.col("p"))).over(siblings) + (F.col("m") - F.col("known")) * F.log(F.col("back") / (F.col("m") + MU))
+        rows = rows.withColumn("kept", gain > 0.5 * np.log(total) * F.count("*").over(siblings)).withColumn("first", F.row_number().over(siblings.orderBy("context")) == 1)
+        rows = saved(rows.drop("known").mapInArrow(_keyed(level), "key long, context long, token long, n long, p double, m double, back double, kept boolean, first boolean"))
+        del counted
+        _swept(spark)
+        retained = rows.where("kept")
+        nodes = retained.where("first").select("context", "m", "back")
+        tree.levels[level - 1] = (*gathered(nodes.where(F.col("m") >= least)), *gathered(retained.where(F.col("n") >= least).select("key", "n")))
+        values.append(nodes.where(F.col("m") < least).select(F.col("context").alias("key"), F.log10(F.col("back") / (F.col("m") + MU)).alias("value")))
+        values.append(retained.where(F.col("n") < least).select("key", F.log10(1 + F.col("n") / (F.col("back") * F.col("p"))).alias("value")))
+        if level < DEPTH:
+            tree.bits = Bits(rows.select("key"))
+            contexts = rows.select(F.col("key").alias("of"), F.col("n").cast("double").alias("m"))
+            # a parent that failed the test itself has its own parent's distribution
+            parents = rows.select(F.col("key").alias("suffix"), "token", F.when(F.col("kept"), own).otherwise(F.col("p")).alias("p"))
+    tree.rest = functools.reduce(DataFrame.union, values)
+    tree.bits = Bits(tree.rest)
+    _swept(spark)
     return tree, tokens
 
 
@@ -287,25 +307,35 @@ def _scored(shared: _Shared):
             at = tree.find(token)
             frequent = at >= 0
             base = np.where(frequent, tree.unigram(tree.counts[at]), 1.0) if len(tree.counts) else np.ones(len(token))
-            p = tree.step(0, seq[i - 1], token, base)
-            second = np.flatnonzero(~first[i - 1])
-            before = extended(seq[i[second] - 2], seq[i[second] - 1], 1)
-            p[second] = tree.step(1, before, token[second], p[second])
+            p, depth, gram = base, _depths(len(seq), bounds), seq
+            keys, of = [], []
+            for level in range(1, DEPTH + 1):
+                held = np.flatnonzero(tree.bits(gram) & (depth >= level - 1)) if level > 1 else np.flatnonzero(tree.bits(gram) & first)
+                keys.append(gram[held])
+                of.append(held)
+                deep = np.flatnonzero(depth[i] >= level)
+                p = p.copy()
+                p[deep] = tree.step(level - 1, gram[i[deep] - 1], token[deep], p[deep])
+                gram = np.concatenate((gram[:1], extended(gram[:-1], seq[1:], level)))
+            held = np.flatnonzero(tree.bits(gram) & (depth >= DEPTH))
+            keys, of = np.concatenate([*keys, gram[held]]), np.concatenate([*of, held])
             rid = (np.int64(part) << np.int64(33)) + nth + np.arange(n)
             nth += n
             sums = [np.bincount(text_of, w, minlength=n) for w in (frequent, np.log10(base), np.log10(p))]
             zero = np.zeros(n, np.int64)
-            columns = [zero.astype(np.int8), rid, np.diff(bounds) - 1, zero, sums[0].astype(np.int64), sums[1], sums[2]]
+            columns = [zero.astype(np.int8), rid, np.diff(bounds) - 1, T.mix(rid.view(np.uint64)).view(np.int64), sums[0].astype(np.int64), sums[1], sums[2]]
             yield _batch([*columns, batch.column("doc_id"), batch.column("held_out")])
             rare = np.flatnonzero(~frequent)
-            if len(rare):
-                order = rare[np.lexsort((token[rare], text_of[rare]))]
-                h, o = token[order], text_of[order]
-                new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1]))))
-                times = np.diff(np.concatenate((new, [len(h)])))
-                m = len(new)
-                none = np.zeros(m)
-                yield _batch([np.ones(m, np.int8), rid[o[new]], times, h[new].view(np.int64), np.zeros(m, np.int64), none, none, pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_())])
+            order = rare[np.lexsort((token[rare], text_of[rare]))]
+            h, o = token[order], text_of[order]
+            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])))) if len(h) else np.zeros(0, int)
+            times = np.diff(np.concatenate((new, [len(h)]))) if len(h) else new
+            m, k = len(new), len(keys)
+            if m + k:
+                kinds = np.repeat(np.array([1, 2], np.int8), (m, k))
+                rids = rid[np.concatenate((o[new], np.searchsorted(bounds, of, side="right") - 1))]
+                none = pa.nulls(m + k, pa.float64())
+                yield _batch([kinds, rids, np.concatenate((times, np.ones(k, np.int64))), np.concatenate((h[new], keys)).view(np.int64), pa.nulls(m + k, pa.int64()), none, none, pa.nulls(m + k, pa.int64()), pa.nulls(m + k, pa.bool_())])
 
     return run
 
@@ -323,13 +353,21 @@ def score(docs: DataFrame, tree: Tree, tokens: DataFrame) -> DataFrame:
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), "held_out").mapInArrow(
         _scored(_Shared(spark, tree)), "kind byte, rid long, n long, token long, known long, base double, score double, doc_id long, held_out boolean"
     )
-    rows = saved(rows)
-    rare = rows.where("kind = 1").select("rid", F.col("n").alias("times"), "token").join(tokens.withColumnRenamed("n", "c"), "token", "left")
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.groupBy("rid").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(float(tree.z)))).alias("rest"))
-    out = rows.where("kind = 0").join(rare, "rid", "left")
-    rest = F.coalesce("rest", F.lit(0.0))
-    return out.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + rest).alias("base_score"), (F.col("score") + rest).alias("score"))
+    found = tokens.select(F.col("token").alias("key"), F.col("n").alias("c"), F.lit(0.0).alias("value"))
+    if tree.rest is not None:
+        found = found.union(tree.rest.select("key", F.lit(None).cast("long"), "value"))
+    kind, times, c = F.col("kind"), F.col("n"), F.coalesce("c", F.lit(0))
+    # a token's count is one row, and what its context backs off another
+    is_token = (kind == 1) & (F.col("c").isNotNull() | F.col("value").isNull())
+    joined = rows.withColumnRenamed("token", "key").join(found, "key", "left")
+    rest = F.when(is_token, times * F.log10((c + 0.5) / F.lit(float(tree.z)))).otherwise(0.0)
+    more = F.when(kind != 0, times * F.coalesce("value", F.lit(0.0))).otherwise(0.0)
+    own = lambda c: F.max(F.when(kind == 0, F.col(c))).alias(c)
+    out = joined.groupBy("rid").agg(
+        own("doc_id"), own("held_out"), own("n").alias("n_tokens"), own("known"), own("base"), own("score"),
+        F.sum(F.when(is_token & (c > 0), times).otherwise(0)).alias("more"), F.sum(rest).alias("rest"), F.sum(more).alias("levels"),
+    )
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), (F.col("base") + F.col("rest")).alias("base_score"), (F.col("score") + F.col("rest") + F.col("levels")).alias("score"))
 
 
 def op3_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
