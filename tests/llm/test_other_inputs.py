@@ -161,6 +161,19 @@ def test_copies_of_one_page_keep_their_text(spark):
         assert {r["text"] for r in pages.extracted(df).collect()} == {"The only story here"}
 
 
+def test_low_importance_branches_in_articles_go(spark):
+    """What all pages of a host say goes from main and article too; what only copies of one page say stays."""
+    story = lambda i: f"<article><h1>Title {i}</h1><p>Story {hashlib.md5(str(i).encode()).hexdigest() * 4}</p></article>"
+    app = "<div class='x7'>Get our app today</div>"
+    texts = [f"<main>{app}{story(i)}</main>" for i in range(12)] + [f"<main>{app}{story('copy')}<ul><li>Only in the copies</ul></main>"] * 6
+    rows = [(i, "https://h.example/p", page(t)) for i, t in enumerate(texts)] + [(100, "https://one.example/p", page(texts[0]))]
+    got = {r["page_id"]: r["text"] for r in pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("our app" not in got[i] for i in range(18))
+    assert all(f"Title {i} Story" in got[i] for i in range(12))
+    assert all("Title copy Story" in got[i] and got[i].endswith("Only in the copies") for i in range(12, 18))
+    assert "our app" in got[100]
+
+
 def test_style_tree_importance(spark):
     df = spark.createDataFrame([(i, "https://h.example/", f"<div class='a'>same</div><div class='b'>text {i}</div>") for i in range(6)], "page_id long, url string, html string")
     found = {r["branch"]: r for r in pages.style_tree(df).collect()}

@@ -5,12 +5,12 @@
    children's signatures) and each content (a block's text) occurs. These are counts by key, pre-aggregated before
    they are shuffled, so a host with very many pages is no single task's work.
 3. Entropy gives each branch an importance. Presentation: the entropy of its styles over its m pages, log base m. Content:
-   1 less the mean of log_m of the pages that share a block's text: 0 if all pages say the same, 1 if none do. The composite
-   weighs content `GAMMA`, presentation the rest.
+   1 less the mean of log_m of the pages that share a block's text: 0 if all pages say the same, 1 if none do. Pages that agree in
+   all their texts are copies of one, and a text that only they have counts as shared by none. The composite weighs content `GAMMA`, presentation the rest.
 4. From each page go the branches that name themselves as no content (tags such as nav, footer, aside, form; class or id
    words such as menu, sidebar, advert, cookie, comment), and those whose importance is low for the host: under `LOW`, and
-   under half of the host's best, on at least `LEAST_PAGES` pages. A branch in article or main, or one that holds most
-   of the host's text, never goes for low importance: copies of one page on a host keep their text.
+   under half of the host's best, on at least `LEAST_PAGES` pages, in article and main as elsewhere. The branch that holds most
+   of the host's text never goes for low importance, and an article or main of which nothing else is left keeps its text.
    If a page has article or main elements, only text in them counts.
 5. Character references are decoded, white space within a block becomes one space, and blocks are joined by one space.
 
@@ -169,13 +169,12 @@ def blocks(page: str | None):
 
 def _features(batches):
     """For each page, one row for each branch that has text: its style, how much text it holds, and a row for each of its texts."""
-    schema = pa.schema([("host", pa.string()), ("branch", pa.int64()), ("kind", pa.int8()), ("hash", pa.int64()), ("chars", pa.int64()), ("fixed", pa.bool_())])
+    schema = pa.schema([("host", pa.string()), ("branch", pa.int64()), ("kind", pa.int8()), ("hash", pa.int64()), ("chars", pa.int64()), ("page", pa.int64())])
     for batch in (part for whole in batches for part in T.slices(whole, "html")):
         rows = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             styles: dict[str, set] = {}
             texts: dict[str, set] = {}
-            fixed: dict[str, bool] = {}
             chars: dict[str, int] = {}
             for text, node in blocks(page):
                 if text is None:
@@ -184,43 +183,47 @@ def _features(batches):
                 elif not node.noise:
                     texts.setdefault(node.branch, set()).add(text)
                     chars[node.branch] = chars.get(node.branch, 0) + len(text)
-                    fixed[node.branch] = node.content
+            whole = branch_hash("\n".join(sorted({x for said in texts.values() for x in said})))
             for branch, said in texts.items():
                 key = branch_hash(branch)
-                rows.append((host, key, 0, branch_hash(" ".join(sorted(styles[branch]))), chars[branch], fixed[branch]))
-                rows += [(host, key, 1, int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True), 0, fixed[branch]) for x in said]
+                rows.append((host, key, 0, branch_hash(" ".join(sorted(styles[branch]))), chars[branch], whole))
+                rows += [(host, key, 1, int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True), 0, whole) for x in said]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, branch, pages, importance, chars, fixed) of each branch of each host that holds text and doesn't name itself as no content."""
-    rows = pages.select(host_of().alias("host"), "html").mapInArrow(_features, "host string, branch long, kind byte, hash long, chars long, fixed boolean")
-    counts = rows.groupBy("host", "branch", "kind", "hash", "fixed").agg(F.count("*").alias("c"), F.sum("chars").alias("chars"))
+    """(host, branch, pages, importance, chars) of each branch of each host that holds text and doesn't name itself as no content."""
+    rows = pages.select(host_of().alias("host"), "html").mapInArrow(_features, "host string, branch long, kind byte, hash long, chars long, page long")
+    counts = rows.groupBy("host", "branch", "kind", "hash").agg(F.count("*").alias("c"), F.sum("chars").alias("chars"), F.min("page").alias("page"), F.max("page").alias("last"))
     c = F.col("c").cast("double")
-    style, said = F.when(F.col("kind") == 0, c), F.when(F.col("kind") == 1, c)
+    style, said = F.when(F.col("kind") == 0, c), F.when(F.col("kind") == 1, F.when(F.col("page") == F.col("last"), 1.0).otherwise(c))
     nodes = counts.groupBy("host", "branch").agg(
-        F.sum(style).alias("m"), F.sum(style * F.log(c)).alias("styles"), F.sum(said).alias("texts"), F.sum(said * F.log(c)).alias("shared"), F.sum("chars").alias("chars"), F.max("fixed").alias("fixed")
+        F.sum(style).alias("m"), F.sum(style * F.log(c)).alias("styles"), F.sum(said).alias("texts"), F.sum(said * F.log(said)).alias("shared"), F.sum("chars").alias("chars")
     )
     presentation = (F.log("m") - F.col("styles") / F.col("m")) / F.log("m")
     content = 1 - F.col("shared") / F.col("texts") / F.log("m")
     importance = F.when(F.col("m") > 1, (1 - GAMMA) * presentation + GAMMA * content).otherwise(1.0)
-    return nodes.select("host", "branch", F.col("m").cast("long").alias("pages"), importance.alias("importance"), "chars", "fixed")
+    return nodes.select("host", "branch", F.col("m").cast("long").alias("pages"), importance.alias("importance"), "chars")
 
 
 def low_branches(pages: DataFrame) -> DataFrame:
     """(host, low): for hosts that have any, the hashes of their branches of low importance."""
     tree = style_tree(pages)
     hosts = tree.groupBy("host").agg(F.max("importance").alias("best"), F.max("chars").alias("most"))
-    low = tree.join(hosts, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW) & (F.col("importance") < F.col("best") / 2) & ~F.col("fixed") & (F.col("chars") < F.col("most")))
+    low = tree.join(hosts, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW) & (F.col("importance") < F.col("best") / 2) & (F.col("chars") < F.col("most")))
     return low.groupBy("host").agg(F.sort_array(F.collect_set("branch")).alias("low"))
 
 
 def main_text(page: str | None, low: set) -> str:
     """The text of the blocks that are content. If a class or id on what holds an article rules all of it out, only its own inner branches count."""
-    found = [(text, node) for text, node in blocks(page) if text is not None and not node.sure and not (low and branch_hash(node.branch) in low)]
+    found = [(text, node) for text, node in blocks(page) if text is not None and not node.sure]
     kept = [x for x in found if not x[1].noise] or [x for x in found if x[1].content and not x[1].inner]
-    only_content = any(node.content for _, node in kept)
-    return " ".join(text for text, node in kept if node.content or not only_content)
+    if any(node.content for _, node in kept):
+        kept = [x for x in kept if x[1].content]
+    high = [x for x in kept if not (low and branch_hash(x[1].branch) in low)]
+    if not high and kept and kept[0][1].content:
+        high = kept
+    return " ".join(text for text, _ in high)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
