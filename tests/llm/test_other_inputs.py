@@ -174,6 +174,14 @@ def test_low_importance_branches_in_articles_go(spark):
     assert "our app" in got[100]
 
 
+def test_ids_that_are_slugs_keep_article_text(spark):
+    html = """<article><h2 id="how-search-works">Search</h2><section id="discussion"><p>One <span id="menu">two</span></p></section>
+    <div id="social-history">three</div><p id="notice">four</p><div id="comments">no</div><div class="share">no</div></article>"""
+    df = spark.createDataFrame([(0, None, html), (1, None, "<div id='x'><h2 id='copyright-law'>Law</h2><div id='sidebar-left'>no</div></div>")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.extracted(df).collect()}
+    assert got == {0: "Search One two three four", 1: "Law"}
+
+
 def test_style_tree_importance(spark):
     df = spark.createDataFrame([(i, "https://h.example/", f"<div class='a'>same</div><div class='b'>text {i}</div>") for i in range(6)], "page_id long, url string, html string")
     found = {r["branch"]: r for r in pages.style_tree(df).collect()}

@@ -8,7 +8,8 @@
    1 less the mean of log_m of the pages that share a block's text: 0 if all pages say the same, 1 if none do. Pages that agree in
    all their texts are copies of one, and a text that only they have counts as shared by none. The composite weighs content `GAMMA`, presentation the rest.
 4. From each page go the branches that name themselves as no content (tags such as nav, footer, aside, form; class or id
-   words such as menu, sidebar, advert, cookie, comment), and those whose importance is low for the host: under `LOW`, and
+   words such as menu, sidebar, advert, cookie, comment; never by ids of headings and inline elements, and in article or main
+   not by ids of sections and paragraphs, nor by ids that say other words too), and those whose importance is low for the host: under `LOW`, and
    under half of the host's best, on at least `LEAST_PAGES` pages, in article and main as elsewhere. The branch that holds most
    of the host's text never goes for low importance, and an article or main of which nothing else is left keeps its text.
    If a page has article or main elements, only text in them counts.
@@ -52,6 +53,8 @@ _NOISE_WORDS = frozenset(
     share sharing social related recommended recommendations widget widgets comment comments disqus respond reply replies discussion
     search searchbox form pagination pager skip""".split()
 )
+#: Elements whose ids are names of places in a text.
+_SLUGGED = _INLINE | frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTENT_TAGS = frozenset(("article", "main"))
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -63,21 +66,26 @@ def host_of(url: str = "url") -> Column:
 
 
 @functools.lru_cache(maxsize=65536)
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's signature, whether it names itself as no content (header is judged where it stands), and whether by more than its class or id."""
+def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """An element's signature, whether it names itself as no content (header is judged where it stands), whether by more than its class or id, and the first as judged inside article or main."""
     names: dict[str, str] = {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         names.setdefault(name.lower(), entities.unescape(a or b or c))
     marks = f"{names.get('class', '')} {names.get('id', '')}"
     sure = tag in _NOISE_TAGS or names.get("role", "").lower() in _NOISE_ROLES or "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
-    noise = sure
+    noise = within = sure
     if tag not in ("html", "body", "article", "main"):
-        noise = noise or any(w.lower() in _NOISE_WORDS for w in _WORD.findall(marks))
+        classed, words = (any(w.lower() in _NOISE_WORDS for w in _WORD.findall(names.get(k, ""))) for k in ("class", "id"))
+        noise = noise or classed or (words and tag not in _SLUGGED)
+        # an id inside an article may be the slug of its heading: it must say nothing else, and not be on what holds a heading's text
+        alone = words and all(w.lower() in _NOISE_WORDS for w in _WORD.findall(names.get("id", "")))
+        within = within or classed or (alone and tag not in _SLUGGED and tag not in ("section", "p"))
     elif tag == "article":
         noise = noise or any(w.lower() in ("comment", "comments", "reply", "related", "ad", "sponsored") for w in _WORD.findall(marks))
+        within = noise
     content = tag in _CONTENT_TAGS or names.get("role", "").lower() == "main"
     kept = ".".join(sorted({re.sub(r"[0-9]+", "", c) for c in marks.split()} - {""}))
-    return f"{tag}{'.' if kept else ''}{kept}{'!' if content else ''}", noise, sure
+    return f"{tag}{'.' if kept else ''}{kept}{'!' if content else ''}", noise, sure, within
 
 
 @functools.lru_cache(maxsize=65536)
@@ -126,7 +134,7 @@ def blocks(page: str | None):
         buffer.append(page[at : found.start()])
         at = found.end()
         tag = (found[2] or "").lower()
-        if not tag or (tag in _INLINE and not (found[3] and _element(tag, found[3])[1])):
+        if not tag or (tag in _INLINE and not (found[3] and _element(tag, found[3])[3 if stack[-1].content else 1])):
             if tag and found[1] and inline and inline[-1] == tag and stack[-1].tag == tag:
                 if said := text():
                     yield said, stack[-1]
@@ -152,8 +160,9 @@ def blocks(page: str | None):
         if tag in _SIBLINGS:
             for sibling in reversed(_SIBLINGS[tag]):
                 close((sibling,), _SCOPES[tag])
-        signature, noise, sure = _element(tag, found[3])
+        signature, noise, sure, within = _element(tag, found[3])
         parent = stack[-1]
+        noise = within if parent.content else noise
         content = parent.content or signature.endswith("!")
         if tag == "header" and not parent.content:
             noise = sure = True
