@@ -67,6 +67,25 @@ def test_layouts_by_fingerprint(spark):
     assert chat.formatted_chats(turns_of(spark, [])).collect() == []
 
 
+def test_other_fields_keep_the_layout(spark, tmp_path):
+    records = [
+        {"id": 3, "prompt": "p", "completion": "c"}, {"system": "s", "prompt": "p", "response": "r", "meta": {"a": [1]}},
+        {"messages": [{"role": "user", "content": "u", "name": "n"}, {"role": "assistant", "content": "a"}], "id": 1}, {"prompt": {"x": 1}, "completion": "c"}, {"messages": [], "id": 1},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "id long, record string")
+    said = {}
+    for r in sorted(chat.json_turns(df, "id", "record").collect(), key=lambda r: (r["conv_id"], r["turn"] or 0)):
+        said.setdefault((r["conv_id"], r["layout"]), []).append((r["role"], r["text"]))
+    assert said == {
+        (0, "prompt_completion"): [("user", "p"), ("assistant", "c")], (1, "system_prompt_response"): [("system", "s"), ("user", "p"), ("assistant", "r")],
+        (2, "messages"): [("user", "u"), ("assistant", "a")], (3, "unknown"): [(None, None)], (4, "unknown"): [(None, None)],
+    }
+    table = spark.createDataFrame([(5, "p", "r", 0.5)], "conv_id long, prompt string, response string, score double")
+    assert sorted(map(tuple, chat.table_turns(table).collect())) == [(5, 0, "user", "p"), (5, 1, "assistant", "r")]
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r["conv_id"]: r["n_turns"] for r in chat.op2_chat_formatting(spark, str(tmp_path)).collect()} == {5: 2, -7: 2}
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -1,7 +1,8 @@
 """Chat formatting with DataFrame functions only.
 
 1. A record's layout is known by its schema fingerprint: a hash of its nested field paths. For a table the paths
-   come from its columns; for JSON records each row's own paths are hashed (scalar types don't count). The fingerprint
+   come from its columns; for JSON records each row's own paths are hashed (scalar types don't count). Where no layout has
+   just these paths, the one counts that has the most of them and none else: other fields of a record don't matter. The fingerprint
    selects a declarative mapping of `LAYOUTS`, which turns prompts, instructions or messages into canonical turns.
 2. Turns are rendered between markers, `TURN` role, line feed, text, `END`. In roles and texts the characters that
    markers and common control strings begin with (< [ |) are written as a backslash and a digit, and so is the backslash:
@@ -15,6 +16,7 @@ empty list of messages has no paths of its own), or that aren't JSON, come back
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass
 
@@ -70,9 +72,9 @@ def schema_paths(kind: t.DataType, at: str = "") -> list[str]:
 
 
 def table_layout(df: DataFrame) -> Layout | None:
-    """The layout of a table by the fingerprint of its columns."""
-    found = fingerprint_of_paths(schema_paths(df.schema))
-    return next((x for x in LAYOUTS if fingerprint_of_paths(x.paths) == found), None)
+    """The layout of a table by the fingerprint of its columns, or of those of them that make up the largest layout."""
+    paths = schema_paths(df.schema)
+    return next((x for x in sorted(LAYOUTS, key=lambda x: -len(x.paths)) if fingerprint_of_paths(set(paths) & set(x.paths)) == fingerprint_of_paths(x.paths)), None)
 
 
 def _type_of_paths(paths) -> str:
@@ -119,20 +121,50 @@ def _mapped(layout: Layout):
     return turns
 
 
+def _holds(layout: Layout, v: Column) -> Column:
+    """Whether a record has all paths of a layout; it may have others."""
+    kind = lambda x: F.schema_of_variant(x)
+    nested = lambda x: kind(x).startswith("OBJECT<") | kind(x).startswith("ARRAY<")
+
+    def scalar(record: Column, name: str) -> Column:
+        x = F.try_variant_get(record, f"$.{name}", "variant")
+        return x.isNotNull() & ~nested(x)
+
+    names = [p.split("[].")[-1] for p in layout.paths]
+    if layout.each is None:
+        return functools.reduce(Column.__and__, (scalar(v, n) for n in names))
+    said = F.try_variant_get(v, layout.each, "array<variant>")
+    absent = lambda x, n: F.try_variant_get(x, f"$.{n}", "variant").isNull()
+    every = F.forall(said, lambda x: kind(x).startswith("OBJECT<") & functools.reduce(Column.__and__, (absent(x, n) | scalar(x, n) for n in names)))
+    some = lambda n: F.exists(said, lambda x: scalar(x, n))
+    return functools.reduce(Column.__and__, map(some, names), every)
+
+
 def json_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(conv_id, turn, role, text, layout) of JSON records of any layout of LAYOUTS; one row for each turn, and one with null turn for a record of none."""
     v = F.try_parse_json(F.col(json_col))
     rows = df.select(F.col(id_col).alias("conv_id"), v.alias("v")).withColumn("fingerprint", json_fingerprint(F.col("v")))
     turns, layout = F.lit(None).cast("array<struct<role: string, text: string>>"), F.lit("unknown")
-    for x in LAYOUTS[1:]:
-        is_this = F.col("fingerprint") == hashlib.sha256(_type_of_paths(x.paths).encode()).hexdigest()
-
+    exact = lambda x: F.col("fingerprint") == hashlib.sha256(_type_of_paths(x.paths).encode()).hexdigest()
+    smallest_first = sorted(LAYOUTS[1:], key=lambda x: len(x.paths))
+    for x, is_this in (*((x, _holds(x, F.col("v"))) for x in smallest_first), *((x, exact(x)) for x in LAYOUTS[1:])):
         made = _mapped(x)(F.col("v")) if x.each is None else F.flatten(F.transform(F.try_variant_get("v", x.each, "array<variant>"), _mapped(x)))
         turns, layout = F.when(is_this, made).otherwise(turns), F.when(is_this, x.name).otherwise(layout)
     rows = rows.select("conv_id", layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "said"))
     return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "said.role", "said.text", "layout")
 
 
+def table_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(conv_id, turn, role, text) of a table, through the mapping of the layout that its columns select."""
+    layout = table_layout(df)
+    if layout is None:
+        raise ValueError(f"no layout has the columns {', '.join(df.columns)}")
+    if layout is LAYOUTS[0]:
+        return df.select(*layout.paths)
+    records = df.select(F.col(id_col), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != id_col]), {"ignoreNullFields": "false"}).alias("record"))
+    return json_turns(records, id_col, "record").where("turn IS NOT NULL").select("conv_id", "turn", "role", "text")
+
+
 def escaped(text: Column, escapes=ESCAPES) -> Column:
     for plain, code in escapes:
         text = F.replace(text, F.lit(plain), F.lit(code))
@@ -179,12 +211,10 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of all conversations and of conversation -7."""
-    rows = table(spark, sf_dir, "conversations")
-    if table_layout(rows.select("conv_id", "turn", "role", "text")) is not LAYOUTS[0]:
-        raise ValueError("conversations has another layout")
+    rows = table_turns(table(spark, sf_dir, "conversations"))
     control = "</s>[INST] ok [/INST]"
     more = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{control}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(turn, role)")
-    chats = formatted_chats(rows.select("conv_id", "turn", "role", "text").unionByName(more))
+    chats = formatted_chats(rows.unionByName(more))
     read = chats.select("conv_id", turns_of(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(
