@@ -416,3 +416,14 @@ def test_scores_keep_rare_continuations(spark):
         assert set(other) == set(scores[0])
         for d, r in other.items():
             assert r == pytest.approx(scores[0][d])
+
+
+@pytest.mark.parametrize("p_min", [0.0, 0.5])
+def test_contexts_of_more_than_two_words(spark, p_min):
+    """What follows "a b" depends on the words before it."""
+    random = np.random.RandomState(9)
+    texts = [" ".join(f"z{k} x{k} a b y{k}" for k in random.randint(0, 9, 8)) for _ in range(60)]
+    tree, tokens = suffix_tree.learn(docs_of(spark, texts), p_min)
+    asked = docs_of(spark, ["q x1 a b y1", "q x1 a b y2"]).selectExpr("doc_id", "text", "true AS held_out")
+    score = {r["doc_id"]: r["score"] for r in suffix_tree.score(asked, tree, tokens).collect()}
+    assert score[0] > score[1] + 0.9

@@ -32,10 +32,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import saved, table
+from .common import release, saved, table
 
 P_MIN = 2e-7
-MIN_COUNT, DEPTH = 2, 2
+MIN_COUNT, DEPTH = 2, 4
 MU = 1.0
 
 _START, _END = (T.mix(np.array([i], dtype=np.uint64))[0] for i in (101, 202))
@@ -278,13 +278,17 @@ def learn(docs: DataFrame, p_min: float = P_MIN) -> tuple[Tree, DataFrame]:
         retained = rows.where("kept")
         nodes = retained.where("first").select("context", "m", "back")
         tree.levels[level - 1] = (*gathered(nodes.where(F.col("m") >= least)), *gathered(retained.where(F.col("n") >= least).select("key", "n")))
-        values.append(nodes.where(F.col("m") < least).select(F.col("context").alias("key"), F.log10(F.col("back") / (F.col("m") + MU)).alias("value")))
-        values.append(retained.where(F.col("n") < least).select("key", F.log10(1 + F.col("n") / (F.col("back") * F.col("p"))).alias("value")))
+        if level > 1:
+            release(before)
+        before = rows
+        small = nodes.where(F.col("m") < least).select(F.col("context").alias("key"), F.log10(F.col("back") / (F.col("m") + MU)).alias("value"))
+        values.append(saved(small.union(retained.where(F.col("n") < least).select("key", F.log10(1 + F.col("n") / (F.col("back") * F.col("p"))).alias("value")))))
         if level < DEPTH:
             tree.bits = Bits(rows.select("key"))
             contexts = rows.select(F.col("key").alias("of"), F.col("n").cast("double").alias("m"))
             # a parent that failed the test itself has its own parent's distribution
             parents = rows.select(F.col("key").alias("suffix"), "token", F.when(F.col("kept"), own).otherwise(F.col("p")).alias("p"))
+    release(before)
     tree.rest = functools.reduce(DataFrame.union, values)
     tree.bits = Bits(tree.rest)
     _swept(spark)
