@@ -4,19 +4,24 @@ Base patterns, leftmost non-overlapping per kind: `assign` (a key word, : or =,
 `access` (AKIA and capitals or digits, 16 or more), `hex` (32 or more). A span is the whole match, in code points,
 end exclusive. Positions come from the pieces between matches: a text split at a pattern, and the matches themselves.
 
-The method adds `entropy` spans. Candidates are runs of `CANDIDATE_CHARS` characters or more of base-64 and URL letters.
-Windows of `WINDOW` characters slide over a candidate, one character at a time; for each character class (hexadecimal,
-alphanumeric, base-64) the counts of the window's characters are kept up to date as one enters and one leaves, and
-with them the sum of c log2 c, so Shannon entropy costs the same at every step. A candidate whose highest entropy in
-the narrowest class that holds all its characters reaches that class's limit is a span, unless the allow list holds:
-no digit or no letter, words of letters joined by - or _, or a pattern of `ALLOWED` (UUIDs, dates, versions, paths of words).
+The method adds `entropy` spans. Candidates are runs of `CANDIDATE_CHARS` characters or more of base-64 and URL letters, but for
+those that an `ALLOWED` pattern matches as a whole (UUIDs, digits or letters only, words of letters that end in a short number).
+Windows of `WINDOW` characters slide over a candidate, one character at a time. How often each character is in the window is kept
+up to date as one enters and one leaves, and with it the sum of c log2 c and how many characters are outside each class: a step costs the
+same whatever came before. A window that holds letters and digits is judged by the narrowest
+character class that holds all of it (hexadecimal, alphanumeric, base-64), so a name or path in front of a secret doesn't hide it; a candidate
+with a window whose Shannon entropy reaches its class's limit is a span. Windows that touch a placeholder word (`MASKED`) don't count.
 Added spans that overlap a base span are left out.
 
+All work on a text grows in proportion to it, but for running positions, which are summed in blocks of `BLOCK` matches.
+
 Null and empty texts have no spans. Very long texts are scanned whole.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,37 +40,57 @@ CANDIDATE_CHARS, WINDOW = 20, 20
 CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{CANDIDATE_CHARS},}}"
 #: Only texts with such a run are scanned for candidates: letters and digits mixed closely.
 CANDIDATE_HINT = rf"(?=[A-Za-z+/=_-]{{0,{CANDIDATE_CHARS}}}[0-9])[A-Za-z0-9+/=_-]{{{CANDIDATE_CHARS}}}"
-#: Class, its alphabet, the least entropy in bits of a window of 20 (at most log2 20 = 4.32; 4 for hexadecimal).
-CLASSES = (
-    ("hex", "0123456789abcdefABCDEF", 3.0),
-    ("alphanumeric", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 3.7),
-    ("base64", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-", 3.9),
-)
+#: The characters of candidates, each class's after those of the narrower ones.
+ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/=_-"
+#: Class, how many characters of the alphabet it has, the least entropy in bits of a window of 20 (at most log2 20 = 4.32; 4 for hexadecimal).
+CLASSES = (("hex", 22, 3.0), ("alphanumeric", 62, 3.7), ("base64", 67, 3.9))
+#: Candidates that are no secrets. No pattern may take a step of recursion for each repeat: repeated groups are possessive.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9/_=+-]+$",
     r"^[A-Za-z/_=+-]+$",
-    r"^(?:[A-Za-z]+[/_-])*[A-Za-z]+[/_-]?[0-9]{1,4}$",
-    r"(?i)example|sample|placeholder|xxxx|0123456789|abcdefgh",
+    r"^(?:[A-Za-z]+[/_-])*+[A-Za-z]*[0-9]{1,4}$",
 )
+MASKED = r"(?i)example|sample|placeholder|xxxx|0123456789|abcdefgh"
+#: Bits of a packed counter.
+BITS = 6
+BLOCK = 128
+#: c log2 c of counts 0 to WINDOW as whole numbers, so that sums never drift; and the greatest such sum that reaches a class's limit.
+_SCALE = 1 << 40
+_PARTS = tuple(round(c * math.log2(c) * _SCALE) if c else 0 for c in range(WINDOW + 1))
+_MOST = tuple(math.floor((math.log2(WINDOW) - least) * WINDOW * _SCALE) for _, _, least in CLASSES)
 
 _SPANS = "array<struct<start: long, rank: int, past: long, kind: string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _located(text: Column, pattern: str, keep, kind: str, rank: int) -> Column:
-    """Spans of the matches that keep(match) passes, positions counted over all matches."""
+    """Spans of the matches that keep(match) passes, positions counted over all matches: within blocks, then over blocks."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.zip_with(F.split(text, pattern, -1), F.concat(matches, F.array(F.lit(None).cast("string"))), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-    empty = F.expr(f"named_struct('at', 0L, 'spans', cast(array() as {_SPANS}))")
+    size = lambda piece: (F.length(piece["gap"]) + F.coalesce(F.length(piece["m"]), F.lit(0))).cast("long")
 
     def step(state, piece):
-        start = state["at"] + F.length(piece["gap"])
-        past = start + F.coalesce(F.length(piece["m"]), F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), past.alias("past"), F.lit(kind).alias("kind")))
+        past = state["at"] + size(piece)
+        span = F.array(F.struct((past - F.length(piece["m"])).alias("start"), F.lit(rank).alias("rank"), past.alias("past"), F.lit(kind).alias("kind")))
         passed = piece["m"].isNotNull() & keep(piece["m"])
         return F.struct(past.alias("at"), F.when(passed, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
 
-    return F.aggregate(pieces, empty, step, lambda s: s["spans"])
+    def blocks(pieces):
+        start = F.expr(f"named_struct('at', 0L, 'spans', cast(array() as {_SPANS}))")
+        parts = F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(BLOCK)), lambda at: F.slice(pieces, at, F.lit(BLOCK)))
+        return F.transform(parts, lambda part: F.aggregate(part, start, step))
+
+    def shifted(blocks):
+        before = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda sums, block: F.concat(sums, F.array(F.element_at(sums, -1) + block["at"])))
+        moved = lambda x, by: F.struct((x["start"] + by).alias("start"), x["rank"].alias("rank"), (x["past"] + by).alias("past"), x["kind"].alias("kind"))
+        return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda block, by: F.transform(block["spans"], lambda x: moved(x, by))))
+
+    return _let(pieces, lambda p: _let(blocks(p), shifted))
 
 
 def _none() -> Column:
@@ -81,43 +106,68 @@ def base_spans(text: Column) -> list[Column]:
     return out
 
 
-def highest_entropy(word: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy of any window of a string of characters of the alphabet, by incremental counts."""
-    size = len(alphabet)
-    part = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(0.0)
-    empty = F.struct(F.array_repeat(F.lit(0.0), size).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-
-    def step(s, i):
-        into = F.instr(F.lit(alphabet), F.substr(word, i, F.lit(1))).cast("int")
-        out = F.when(i > window, F.instr(F.lit(alphabet), F.substr(word, i - window, F.lit(1))).cast("int"))
-        kept = F.when(out.isNull() | (out == into), s["counts"]).otherwise(F.transform(s["counts"], lambda c, k: F.when(k + 1 == out, c - 1).otherwise(c)))
-        gone = F.when(out.isNull() | (out == into), 0.0).otherwise(F.element_at(s["counts"], F.coalesce(out, F.lit(1))))
-        came = F.when(out == into, 0.0).otherwise(F.element_at(s["counts"], into))
-        counts = F.when(out == into, s["counts"]).otherwise(F.transform(kept, lambda c, k: F.when(k + 1 == into, c + 1).otherwise(c)))
-        total = s["sum"] + F.when(gone > 0, part(gone - 1) - part(gone)).otherwise(0.0) + F.when(out.isNotNull() & (out == into), 0.0).otherwise(part(came + 1) - part(came))
-        entropy = F.when(i >= window, F.log2(F.lit(float(window))) - total / window).otherwise(0.0)
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(s["best"], entropy).alias("best"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), empty, step, lambda s: s["best"])
-
-
-def is_random(word: Column) -> Column:
-    """True if the word's highest window entropy reaches the limit of the narrowest class that holds all its characters."""
-    out = F.lit(False)
-    for _, alphabet, least in reversed(CLASSES):
-        inside = F.length(F.translate(word, alphabet, "")) == 0
-        out = F.when(inside, highest_entropy(word, alphabet) >= least).otherwise(out)
-    return out
+def has_random_window(word: Column) -> Column:
+    """True if a window of letters and digits reaches the entropy of the narrowest class that holds it, by incremental counts.
+
+    The state is of fixed size: a string with one character for each of the alphabet that says how often it is in the window,
+    the sum of c log2 c, and small counters packed into one number: characters outside each class, digits, letters.
+    """
+    alphabet = ALPHABET + " "  # the last stands for masked characters, which are in no class
+    after = [[F.lit(_PARTS[max(0, min(n + by, WINDOW))] - _PARTS[n]) for n in range(WINDOW + 1)] for by in (1, -1)]
+    came, gone = (F.array(*x) for x in after)
+    counters = [lambda k, size=size: k >= size for _, size, _ in CLASSES] + [lambda k: k < 10, lambda k: 10 <= k < 62]
+    units = F.array(*[F.lit(sum(1 << BITS * j for j, holds in enumerate(counters) if holds(k))).cast("long") for k in range(len(alphabet))])
+    mask = [F.lit(((1 << BITS) - 1) << BITS * j).cast("long") for j in range(len(counters))]
+    empty = F.struct(F.lit(0).alias("i"), F.repeat(F.lit("A"), len(alphabet)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("marks"), F.lit(False).alias("found"))
+
+    def changed(s, code, by: int, parts):
+        def counted(n):
+            counts = F.overlay(s["counts"], F.char(n + (65 + by)), code + 1, 1)
+            marks = F.get(units, code)
+            return F.struct(s["i"].alias("i"), counts.alias("counts"), (s["sum"] + F.get(parts, n)).alias("sum"), (s["marks"] + marks if by > 0 else s["marks"] - marks).alias("marks"), s["found"].alias("found"))
+
+        return _let(F.ascii(F.substr(s["counts"], code + 1, F.lit(1))) - 65, counted)
+
+    def judged(s):
+        entropic = F.lit(False)
+        for j, most in reversed(list(enumerate(_MOST))):
+            entropic = F.when(s["marks"].bitwiseAND(mask[j]) == 0, s["sum"] <= most).otherwise(entropic)
+        hit = (s["i"] + 1 >= WINDOW) & (s["marks"].bitwiseAND(mask[-2]) > 0) & (s["marks"].bitwiseAND(mask[-1]) > 0) & entropic
+        return F.struct((s["i"] + 1).alias("i"), s["counts"].alias("counts"), s["sum"].alias("sum"), s["marks"].alias("marks"), hit.alias("found"))
+
+    def scanned(codes):
+        def step(s, code):
+            left = F.when(s["i"] >= WINDOW, changed(s, F.get(codes, s["i"] - WINDOW), -1, gone)).otherwise(s)
+            return F.when(s["found"], s).otherwise(_let(left, lambda s: _let(changed(s, code, 1, came), judged)))
+
+        return F.aggregate(codes, empty, step, lambda s: s["found"])
+
+    letters = F.filter(F.split(F.regexp_replace(word, MASKED, " "), ""), lambda x: x != "")
+    return _let(F.transform(letters, lambda x: (F.instr(F.lit(alphabet), x) - 1).cast("int")), scanned)
 
 
 def entropy_spans(text: Column) -> Column:
     suppressed = lambda m: F.lit(False)
     for pattern in ALLOWED:
         suppressed = lambda m, p=pattern, f=suppressed: f(m) | m.rlike(p)
-    keep = lambda m: F.when(suppressed(m), F.lit(False)).otherwise(is_random(m))
+    keep = lambda m: F.when(suppressed(m), F.lit(False)).otherwise(has_random_window(m))
     return F.when(text.rlike(CANDIDATE_HINT), _located(text, CANDIDATE, keep, "entropy", len(BASE))).otherwise(_none())
 
 
+def _fewer(ordered: Column, x: Column) -> Column:
+    """How many values of a sorted array are below x, by halving."""
+    steps = F.filter(F.array(*[F.lit(1 << b) for b in range(30, -1, -1)]), lambda b: b <= F.size(ordered))
+    return F.aggregate(steps, F.lit(0), lambda n, b: F.when((n + b <= F.size(ordered)) & (F.get(ordered, n + b - 1) < x), n + b).otherwise(n))
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of others: as many of others begin before a span's end as end before it begins."""
+    both = F.struct(F.array_sort(F.transform(others, lambda x: x["start"])).alias("starts"), F.array_sort(F.transform(others, lambda x: x["past"])).alias("ends"))
+    return F.when(F.size(spans) == 0, spans).otherwise(
+        _let(both, lambda o: F.filter(spans, lambda x: _fewer(o["starts"], x["past"]) == _fewer(o["ends"], x["start"] + 1)))
+    )
+
+
 def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with assign_spans, access_spans, hex_spans, base_spans (by start, then kind) and all_spans (with entropy spans): arrays of
     (start, rank, past, kind), in code points.
@@ -126,8 +176,7 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kinds = [f"{kind}_spans" for kind, *_ in BASE]
     found = docs.withColumns(dict(zip(kinds, base_spans(text), strict=True)) | {"_random": entropy_spans(text)})
     found = found.withColumn("base_spans", F.array_sort(F.concat(*kinds)))
-    apart = F.filter("_random", lambda x: ~F.exists("base_spans", lambda b: (x["start"] < b["past"]) & (b["start"] < x["past"])))
-    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", apart))).drop("_random")
+    return found.withColumn("all_spans", F.array_sort(F.concat("base_spans", _apart(F.col("_random"), F.col("base_spans"))))).drop("_random")
 
 
 def named(spans: str) -> Column:
@@ -155,12 +204,13 @@ def _spans_sql(kind: str, rank: int, pattern: str, keep: str) -> str:
 
 
 def _entropy_sql(m: str) -> str:
-    w = f"substring({m}, i, {WINDOW})"
-    one = f"list_sum(list_transform(list_distinct(string_split({w}, '')), lambda c: -(({WINDOW} - length(replace({w}, c, ''))) / {WINDOW}.0) * log2(({WINDOW} - length(replace({w}, c, ''))) / {WINDOW}.0)))"
-    best = f"list_max(list_transform(range(1, length({m}) - {WINDOW} + 2), lambda i: {one}))"
-    limit = " ".join(f"WHEN length(translate({m}, '{alphabet}', '')) = 0 THEN {least}" for _, alphabet, least in CLASSES)
-    allowed = " OR ".join(f"regexp_matches({m}, {_sql_text(p)})" for p in ALLOWED)
-    return f"NOT ({allowed}) AND round({best}, 9) >= CASE {limit} END"
+    w = f"substring(regexp_replace({m}, {_sql_text(MASKED)}, ' ', 'g'), i, {WINDOW})"
+    one = f"list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: -(({WINDOW} - length(replace(w, c, ''))) / {WINDOW}.0) * log2(({WINDOW} - length(replace(w, c, ''))) / {WINDOW}.0)))"
+    limit = " ".join(f"WHEN length(translate(w, {_sql_text(ALPHABET[:size])}, '')) = 0 THEN {least}" for _, size, least in CLASSES)
+    windows = f"list_transform(range(1, greatest(length({m}) - {WINDOW} + 2, 1)), lambda i: {w})"
+    found = f"list_filter({windows}, lambda w: length(w) = {WINDOW} AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]') AND round({one}, 9) >= CASE {limit} ELSE 99 END)"
+    allowed = " OR ".join(f"regexp_matches({m}, {_sql_text(p.replace('*+', '*'))})" for p in ALLOWED)
+    return f"NOT ({allowed}) AND len({found}) > 0"
 
 
 OP7_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
