@@ -427,3 +427,29 @@ def test_contexts_of_more_than_two_words(spark, p_min):
     asked = docs_of(spark, ["q x1 a b y1", "q x1 a b y2"]).selectExpr("doc_id", "text", "true AS held_out")
     score = {r["doc_id"]: r["score"] for r in suffix_tree.score(asked, tree, tokens).collect()}
     assert score[0] > score[1] + 0.9
+
+
+# --- hashes
+
+
+def structured_pair(n: int) -> tuple[str, str]:
+    """Two different texts of letters a and b that collide under polynomials mod 2^64, whatever their multiplier."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096, 1 << 19])
+def test_structured_texts_stay_apart(n):
+    raw, offsets = textops.utf8(__import__("pyarrow").array(structured_pair(n)))
+    starts, ends, _ = textops.words(raw, offsets, textops.SPACE)
+    for seed in (0, 1):
+        both = textops.hashes(raw, starts, ends, seed)
+        assert both[0] != both[1]
+        assert [textops.hashes(raw, starts[i : i + 1], ends[i : i + 1], seed, 100)[0] for i in (0, 1)] == both.tolist()
+
+
+def test_structured_lines_and_texts_are_kept(spark):
+    texts = [t for n in (2048, 4096) for t in structured_pair(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs).collect()} == dict(enumerate(texts))
+    assert {(r["d"], r["class_d"], r["n_links"]) for r in jaccard.jaccard_classes(docs).collect()} == {(i, i, 0) for i in range(4)}

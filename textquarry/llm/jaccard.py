@@ -43,11 +43,11 @@ _HASHES = BANDS * ROWS
 _MULTIPLIERS = np.random.RandomState(5).randint(1, 2**63 - 1, _HASHES, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
 
-def shingle_sets(column, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts, sorted within each, and n + 1 bounds."""
+def shingle_sets(column, size: int = SHINGLE, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all texts, sorted within each, and n + 1 bounds. seed: 0 or 1, two independent hash functions."""
     raw, offsets = T.utf8(column)
     starts, ends, first = T.words(raw, offsets, T.SPACE)
-    grams, bounds = T.grams(T.hashes(raw, starts, ends), first, size)
+    grams, bounds = T.grams(T.hashes(raw, starts, ends, seed), first, size)
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         grams[lo:hi].sort()
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
@@ -203,13 +203,18 @@ def _compared(threshold: Fraction, tolerance: float):
     return run
 
 
+def set_sums(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([np.uint64(0)], np.cumsum(T.mix(grams))))
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
 def _signed(batches):
     for batch in (part for whole in batches for part in T.slices(whole, "text")):
         grams, bounds = shingle_sets(batch.column("text"))
         sizes = np.diff(bounds)
         values = minhashes(grams, bounds)
-        total = [np.concatenate(([np.uint64(0)], np.cumsum(x))) for x in (T.mix(grams), T.mix(grams ^ np.uint64(0x5851F42D4C957F2D)))]
-        one, two = ((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
+        # 128 bits tell sets apart: sums over the hashes of two independent functions
+        one, two = (set_sums(*x).view(np.int64) for x in ((grams, bounds), shingle_sets(batch.column("text"), seed=1)))
         sig = pa.array([v.tobytes() if n else None for v, n in zip(values, sizes, strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays(
             [batch.column("d"), batch.column("row_hash"), pa.array(one), pa.array(two), pa.array(sizes.astype(np.int64)), sig], names=["d", "row_hash", "set1", "set2", "size", "sig"]

@@ -1,7 +1,7 @@
 """Line dedup: range-sorted line hashes, first occurrences streamed, compressed keep bitmaps out.
 
 1. Each text is cut at line feeds. A line's key (white space stripped at both ends, A-Z lower-cased) is hashed
-   to 128 bits; keys under `min_chars` code points take no part.
+   to 128 bits by BLAKE2, so that no two keys are known to collide; keys under `min_chars` code points take no part.
 2. The hashes are range-partitioned and sorted by (hash, document, position). A hash that fills more than one
    partition is cut between them by document, so no key, however frequent, lands in one task.
 3. Each sorted partition is streamed. The first document of a run of equal hashes keeps its lines, all others of
@@ -27,6 +27,7 @@ from . import textops as T
 from .common import ordered_id, packed, saved, shuffle_partitions, table, unpacked
 
 MIN_CHARS = 10
+_LOWER = bytes(T.LOWER)
 
 
 def _line_hashes(min_chars: int):
@@ -54,10 +55,13 @@ def _line_hashes(min_chars: int):
             points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
             long = points[e] - points[s] >= min_chars
             s, e, of, at = s[long], e[long], of[long], at[long]
+            low = raw.tobytes().translate(_LOWER)
+            digests = b"".join([hashlib.blake2b(low[i:j], digest_size=16).digest() for i, j in zip(s.tolist(), e.tolist(), strict=True)])
+            keys = np.frombuffer(digests, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(T.hashes(raw, s, e, 0).view(np.int64)),
-                    pa.array(T.hashes(raw, s, e, 1).view(np.int64)),
+                    pa.array(keys[:, 0]),
+                    pa.array(keys[:, 1]),
                     pa.array(ids[of]),
                     pa.array(marks[of]),
                     pa.array(at.astype(np.int32)),

@@ -6,6 +6,8 @@ bytes of multi-byte characters are never separators and never change by ASCII lo
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -23,23 +25,6 @@ for _lo, _hi in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-#: Two independent hash functions: odd multipliers, and random values of the 256 bytes.
-_PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_BYTE_VALUES = [np.random.RandomState(2024 + i).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) for i in range(2)]
-_powers = [(np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64))] * 2
-
-
-def _tables(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash's multiplier and of its inverse, at least n of each."""
-    if len(_powers[seed][0]) < n:
-        m = max(n, 1 << 16)
-        up = np.full(m, np.uint64(_PRIMES[seed]), dtype=np.uint64)
-        down = np.full(m, np.uint64(pow(_PRIMES[seed], -1, 1 << 64)), dtype=np.uint64)
-        up[0] = down[0] = 1
-        _powers[seed] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _powers[seed]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves every output bit."""
     x = x ^ (x >> np.uint64(30))
@@ -87,23 +72,49 @@ def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, block: int = 1 << 16) -> np.ndarray:
-    """A 64-bit hash of each byte span, ASCII case ignored: equal spans have equal hashes. seed: 0 or 1.
+#: The first rows of the table that `hashes` adds up.
+_POSITIONS = 32
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _entries(position: np.ndarray, byte: np.ndarray, seed: int) -> np.ndarray:
+    """The table's entry of a byte at a position: 64 bits that look random and hang on both."""
+    key = (position.astype(np.uint64) << np.uint64(8)) | byte
+    return mix(mix(key + np.uint64(_SEEDS[seed])) + np.uint64(_SEEDS[1 - seed]))
+
+
+_TABLES = [_entries(np.arange(_POSITIONS, dtype=np.uint64)[:, None], LOWER.astype(np.uint64)[None, :], seed).ravel() for seed in range(2)]
+
+
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, block: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each byte span, ASCII case ignored: equal spans have equal hashes. seed: 0 or 1, two independent functions.
 
-    Works through the bytes in blocks that end between words, so extra memory stays small.
+    The sum, mod 2^64, of one random number for each position and byte (tabulation hashing): spans that differ collide as random numbers
+    do, whatever their structure. Works through the bytes in blocks that end between spans, so extra memory stays small.
     """
     out = np.empty(len(starts), dtype=np.uint64)
-    values = _BYTE_VALUES[seed][LOWER]
     lo = 0
     while lo < len(starts):
         base = starts[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, base + block, side="right")))
-        span = int(ends[hi - 1] - base)
-        up, down = _tables(span + 1, seed)
-        total = np.zeros(span + 1, dtype=np.uint64)
-        np.cumsum(values[raw[base : base + span]] * up[:span], out=total[1:])
         s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = (total[e] - total[s]) * down[s]
+        if e[-1] > block:  # one long span: piece by piece
+            pieces = ((at, raw[base + at : base + min(at + block, e[-1])]) for at in range(0, int(e[-1]), block))
+            out[lo] = functools.reduce(np.add, (_entries(np.arange(at, at + len(x)), LOWER[x].astype(np.uint64), seed).sum(dtype=np.uint64) for at, x in pieces))
+            lo = hi
+            continue
+        part = raw[base : base + e[-1]]
+        first = np.zeros(len(part), dtype=np.int64)
+        first[s[1:]] = np.diff(s)
+        position = np.arange(len(part)) - np.cumsum(first)  # behind a span it runs on: those bytes aren't summed
+        if (e - s).max(initial=0) <= _POSITIONS:
+            near = np.minimum(position, _POSITIONS - 1)
+            values = _TABLES[seed][(near << 8) | part]
+        else:
+            values = _entries(position, LOWER[part].astype(np.uint64), seed)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(values, out=total[1:])
+        out[lo:hi] = total[e] - total[s]
         lo = hi
     return mix(out)
 
