@@ -263,6 +263,38 @@ def test_few_vectors(spark):
     assert neighbours.nearest(df.limit(1), "vec_id % 20 = 0").collect() == []
 
 
+def test_forest_on_unseen_queries():
+    """Leaves stay small beyond the fitted rows; queries outside the fit meet their true neighbours in a part of the rows."""
+    random = np.random.RandomState(8)
+    centres = random.normal(size=(60, 16))
+    x = (centres[random.randint(60, size=6000)] + 0.4 * random.normal(size=(6000, 16))).astype(np.float32)
+    queries, others = x[:300], x[300:]
+    forest = neighbours.Forest(others[:1500], len(x))
+    assert forest.extra == 2
+    leaves = forest.dealt(others)
+    near = lambda q: np.argsort(-(q @ others.T), axis=1)[:, :20]
+    tried = near(queries[:100])
+    most = forest.calibrated(queries[:100], others[tried.ravel()], np.repeat(np.arange(100), 20), 0.93)
+    hits, scanned = 0, 0.0
+    for walk, best in zip(forest.walks(queries[100:]), near(queries[100:]), strict=True):
+        taken = [leaf for _, leaf in zip(range(most), walk, strict=False)]
+        met = np.isin(leaves, taken).any(axis=1)
+        hits += met[best].sum()
+        scanned += met.mean()
+    assert hits >= 0.9 * 200 * 20
+    assert scanned / 200 < 0.35
+    order = list(next(forest.walks(queries[100:101])))
+    assert len(set(order)) == len(order) == len(forest.bucket_of) << forest.extra
+    forest.bound = math.inf
+    assert order == list(next(forest.walks(queries[100:101])))
+
+
+def test_all_vectors_are_queries(spark):
+    df = spark.createDataFrame([(20 * i, [float(i), 1.0]) for i in range(1, 5)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in neighbours.nearest(df, "vec_id % 20 = 0").collect()}
+    assert got == {(q, rank + 1): v for q in (20, 40, 60, 80) for rank, v in enumerate([v for v in (80, 60, 40, 20) if v != q])}
+
+
 # --- pipeline
 
 

@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees, exact reranking.
 
 1. Equal vectors are one class with its smallest ids: no other of its rows can be among the nearest.
-2. `TREES` trees are grown on at most `FIT_ROWS` classes, the first by a hash of their ids. A node sends a vector left or
-   right by its projection on the difference of two random vectors of the node, cut at the median. All classes are
-   then dealt to a leaf of each tree; the trees are bounded by FIT_ROWS, so they are broadcast.
-3. A query walks all trees through one priority queue of branches not taken, nearest cut first, and takes the first
-   leaves it pops. How many, is calibrated: the fewest leaves with which queries among the fitted rows find at least
-   `RECALL` of their true nearest there. (Among more rows the true nearest are nearer still, and easier to find.)
-4. Leaves, large ones in parts, are compared with the queries sent there in blocks, and each keeps its best. The best over
-   all leaves are ranked by inner product in double precision, then by id.
+2. `TREES` trees are grown on at most `FIT_ROWS` classes that aren't queries, the first by a hash of their ids. A node sends a vector
+   left or right by its projection on the difference of two random vectors of the node, cut at the median, down to `LEAF_ROWS` fitted
+   rows. Where there are more rows than fitted ones, leaves are split on, one level for each doubling, by planes midway between two fitted
+   vectors of the leaf, which a hash of the branch picks: those nodes are computed where they are needed and stored nowhere. So what is broadcast
+   is bounded by FIT_ROWS, and leaves hold about LEAF_ROWS rows at every size.
+3. The trees are in `GROUPS` groups; those of one group share their first levels, so that a vector is sent once for each group, to the bucket
+   that these levels choose (of about `BUCKET_ROWS` vectors), and not once for each tree.
+4. A query walks all trees through one priority queue of branches not taken, the most probable first: a branch's key is the sum over its
+   cuts of the log-probability that a neighbour is on that side, by how far from the cut the query is. It takes the first leaves that it pops.
+   How many, is calibrated: the fewest with which `CALIBRATED_ON` of the queries, held against all rows, find `RECALL` of their
+   true nearest. Queries are never fitted, so this is a recall on unseen queries, at the size at hand.
+5. A bucket's task compares each query sent there with the members of the leaves it takes, and keeps its best. The best over
+   all buckets are ranked by inner product in double precision, then by id. A bucket of too many members is compared in parts.
 
 Vectors that are null, empty or all zero, hold null or non-finite components, or have another length than most, take no
 part; nor do null ids. Of an id that repeats, the smallest vector counts. A query without other vectors has no rows.
@@ -17,100 +22,228 @@ part; nor do null ids. Of an id that repeats, the smallest vector counts. A quer
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import textops as T
 from .common import saved, shuffle_partitions, table
 
 K = 20
 QUERY_EVERY = 20
-TREES, LEAF_ROWS, FIT_ROWS, CALIBRATED_ON, RECALL = 6, 128, 16384, 200, 0.97
-#: Members of a leaf that are compared in one block.
-PART_ROWS = 8192
+TREES, GROUPS, LEAF_ROWS, FIT_ROWS = 32, 4, 32, 65536
+BUCKET_ROWS, PART_ROWS = 16384, 65536
+CALIBRATED_ON, RECALL = 128, 0.93
+
+#: log of the normal distribution function at -8 to 8, in steps of 1 / 250.
+_LOG_NORMAL = [math.log(max(0.5 * math.erfc(-z / 250 / math.sqrt(2)), 1e-15)) for z in range(-2000, 2001)]
+
+
+def _number(*parts: int) -> int:
+    """A 64-bit number that looks random and hangs on all parts."""
+    x = 0
+    for p in parts:
+        x = (x ^ p) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+        x ^= x >> 32
+    return x
 
 
 class Forest:
-    """nodes: for each tree arrays of plane, cut, left, right; children below 0 are leaves, -1 - number."""
-
-    def __init__(self, fitted: np.ndarray, seed: int = 11):
-        self.trees: list[tuple] = []
-        self.leaves = 0
-        random = np.random.RandomState(seed)
-        for _ in range(TREES if len(fitted) else 0):
-            planes, cuts, left, right = [], [], [], []
-
-            def grow(rows: np.ndarray, planes=planes, cuts=cuts, left=left, right=right) -> int:
-                for _ in range(5 if len(rows) > LEAF_ROWS else 0):
-                    a, b = random.choice(len(rows), 2, replace=False)
-                    plane = fitted[rows[a]] - fitted[rows[b]]
-                    at = fitted[rows] @ plane
-                    cut = np.median(at)
-                    low = at <= cut
-                    if low.any() and not low.all():
-                        me = len(planes)
-                        planes.append(plane)
-                        cuts.append(cut)
-                        left.append(0)
-                        right.append(0)
-                        left[me] = grow(rows[low])
-                        right[me] = grow(rows[~low])
-                        return me
-                self.leaves += 1
-                return -self.leaves
-
-            root = grow(np.arange(len(fitted)))
-            size = np.linalg.norm(np.array(planes), axis=1) if planes else np.zeros(0)
-            self.trees.append((root, np.array(planes).reshape(len(planes), fitted.shape[1]) / size[:, None] if planes else np.zeros((0, fitted.shape[1])), np.array(cuts) / size if planes else size, left, right))
+    """Nodes of all trees in common arrays: plane (of length 1), cut, deviation of the projections, children; a child below 0 is the leaf -1 - number.
+
+    rows: how many there are to deal. A leaf goes on for `extra` levels of computed nodes; it is named by its number and the way below it.
+    """
+
+    def __init__(self, fitted: np.ndarray, rows: int, trees: int = TREES, groups: int = GROUPS):
+        self.fitted = fitted.astype(np.float32)
+        self.shared = max(0, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS)))
+        self.extra = max(0, math.ceil(math.log2(max(rows, 1) / max(len(fitted), 1)) - 0.25)) if len(fitted) else 0
+        self.slope, self.bound = 1.0, math.inf
+        self.roots: list[int] = []
+        self.groups, self.bucket_of, self.deviation_of, leaf_rows = groups, [], [], []
+        planes, cuts, deviations, children = [], [], [], []
+        buckets: dict[tuple, int] = {}
+        repeated = [np.arange(LEAF_ROWS) % max(n, 1) for n in range(LEAF_ROWS + 1)]
+        for tree in range(trees if len(fitted) else 0):
+            group = tree % groups
+            stack = [(np.arange(len(fitted)), 1, 0, None, 0, 1.0)]
+            while stack:
+                own, path, depth, parent, side, deviation = stack.pop()
+                made = None
+                for again in range(5 if len(own) > LEAF_ROWS else 0):
+                    h = _number(group, path, again, 0 if depth < self.shared else tree + 1)
+                    a, b = h % len(own), (h >> 32) % len(own)
+                    plane = self.fitted[own[a]] - self.fitted[own[b]]
+                    size = math.sqrt(plane @ plane)
+                    if size > 0:
+                        plane /= size
+                        at = self.fitted[own] @ plane
+                        middle = (len(at) - 1) // 2
+                        cut = float(np.partition(at, middle)[middle])
+                        right = at > cut
+                        if right.any():
+                            at -= cut
+                            made = plane, cut, max(math.sqrt(max(at @ at / len(at) - (at.sum() / len(at)) ** 2, 0.0)), 1e-30), right
+                            break
+                if made:
+                    here = len(planes)
+                    planes.append(made[0])
+                    cuts.append(made[1])
+                    deviations.append(made[2])
+                    children.append([0, 0])
+                    stack.append((own[made[3]], path * 2 + 1, depth + 1, here, 1, made[2]))
+                    stack.append((own[~made[3]], path * 2, depth + 1, here, 0, made[2]))
+                else:
+                    here = -1 - len(self.bucket_of)
+                    top = path >> (depth - self.shared) if depth > self.shared else path
+                    self.bucket_of.append(buckets.setdefault((group, top), len(buckets)))
+                    self.deviation_of.append(deviation)
+                    leaf_rows.append(own[repeated[min(len(own), LEAF_ROWS)]])
+                if parent is None:
+                    self.roots.append(here)
+                else:
+                    children[parent][side] = here
+        self.planes = np.array(planes, np.float32).reshape(len(planes), fitted.shape[1])
+        self.cuts, self.deviations = np.array(cuts, np.float32), np.array(deviations, np.float32)
+        self.children = np.array(children, np.int64).reshape(-1, 2)
+        self.leaf_rows = np.array(leaf_rows, np.int32).reshape(-1, LEAF_ROWS)
+        self.bucket_of = np.array(self.bucket_of, np.int64)
+
+    def below(self, leaf: np.ndarray, way: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Planes and cuts of computed nodes: midway between two fitted vectors of the leaf."""
+        h = T.mix(leaf.astype(np.uint64) << np.uint64(20) ^ way.astype(np.uint64))
+        a = self.fitted[self.leaf_rows[leaf, (h % np.uint64(LEAF_ROWS)).astype(np.int64)]]
+        b = self.fitted[self.leaf_rows[leaf, (h >> np.uint64(32)).astype(np.int64) % LEAF_ROWS]]
+        size = np.maximum(np.linalg.norm(a - b, axis=1), np.float32(1e-30))
+        planes = (a - b) / size[:, None]
+        return planes, np.einsum("ij,ij->i", planes, (a + b) / 2)
 
     def dealt(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each vector in each tree."""
-        out = np.empty((len(x), len(self.trees)), dtype=np.int64)
-        for t, (root, planes, cuts, left, right) in enumerate(self.trees):
+        """The named leaf of each vector in each tree."""
+        x = x.astype(np.float32)
+        out = np.empty((len(x), len(self.roots)), dtype=np.int64)
+        for t, root in enumerate(self.roots):
             at = np.full(len(x), root)
-            go = np.array([left, right])
             while (open_ := at >= 0).any():
                 i = np.flatnonzero(open_)
                 n = at[i]
-                at[i] = go[((x[i] * planes[n]).sum(axis=1) > cuts[n]).astype(int), n]
-            out[:, t] = -1 - at
+                at[i] = self.children[n, (np.einsum("ij,ij->i", x[i], self.planes[n]) > self.cuts[n]).astype(int)]
+            leaf, way = -1 - at, np.ones(len(x), np.int64)
+            for _ in range(self.extra):
+                planes, cuts = self.below(leaf, way)
+                way = way * 2 + (np.einsum("ij,ij->i", x, planes) > cuts)
+            out[:, t] = (leaf << self.extra) + way - (1 << self.extra)
         return out
 
-    def searched(self, q: np.ndarray, most: int) -> list[list[int]]:
-        """For each query the first `most` leaves of the shared priority queue."""
-        sides = [(q @ planes.T - cuts).tolist() for _, planes, cuts, _, _ in self.trees]
-        out = []
-        for i in range(len(q)):
-            queue = [(0.0, t, tree[0]) for t, tree in enumerate(self.trees)]
-            found: list[int] = []
-            while queue and len(found) < most:
-                far, t, node = heapq.heappop(queue)
-                _, _, _, left, right = self.trees[t]
-                side = sides[t][i]
-                while node >= 0:
-                    s = side[node]
-                    heapq.heappush(queue, (max(far, abs(s)), t, left[node] if s > 0 else right[node]))
-                    node = right[node] if s > 0 else left[node]
-                found.append(-1 - node)
-            out.append(found)
-        return out
-
-    def calibrated(self, fitted: np.ndarray, k: int, recall: float) -> int:
-        """The fewest leaves to search for the recall wanted among the fitted rows."""
-        queries = fitted[:: max(1, len(fitted) // CALIBRATED_ON)][:CALIBRATED_ON]
-        if not len(queries):
-            return 0
-        best = np.argsort(-(queries @ fitted.T), axis=1, kind="stable")[:, : k + 1]
-        dealt = self.dealt(fitted)
-        met_at = []  # the place in the queue of the first leaf that holds each true neighbour
-        for nearest, order in zip(best, self.searched(queries, self.leaves), strict=True):
-            place = np.empty(self.leaves, dtype=np.int64)
-            place[order] = np.arange(len(order))
-            met_at.append(place[dealt[nearest]].min(axis=1))
-        met = np.sort(np.concatenate(met_at))
-        return int(met[min(len(met) - 1, int(np.ceil(recall * len(met))) - 1)]) + 1
+    def bucket(self, leaves: np.ndarray) -> np.ndarray:
+        return self.bucket_of[leaves >> self.extra]
+
+    def walks(self, q: np.ndarray, keys: bool = False):
+        """For each query an iterator over named leaves, in the order of the shared priority queue; with keys=True over (key, leaf)."""
+        q = q.astype(np.float32)
+        for lo in range(0, len(q), 64):
+            part = q[lo : lo + 64]
+            z = (part @ self.planes.T - self.cuts) * (self.slope * 250 / self.deviations)
+            steps = (np.clip(np.nan_to_num(z), -2000, 2000) + 2000).astype(np.int16)
+            for i in range(len(part)):
+                yield self._walk(part[i], memoryview(steps[i]), keys)
+
+    def _walk(self, q: np.ndarray, steps: memoryview, keys: bool = False):
+        """Named leaves, or with keys=True (key, leaf); keys are minus the log-probability. Branches past `bound` wait beside the queue until it is empty."""
+        children, extra, table, bound, push = self._child_list, self.extra, _LOG_NORMAL, self.bound, heapq.heappush
+        queue = [(0.0, i, root, 1) for i, root in enumerate(self.roots)]
+        later: list[tuple] = []
+        order = len(queue)
+        while queue or later:
+            if not queue:
+                queue, later, bound = later, [], math.inf
+                heapq.heapify(queue)
+            far, _, node, way = heapq.heappop(queue)
+            while node >= 0:
+                step = steps[node]
+                right, left = far - table[step], far - table[4000 - step]
+                low, high = children[node]
+                order += 1
+                if right < left:
+                    far, node, other, key = right, high, low, left
+                else:
+                    far, node, other, key = left, low, high, right
+                if key <= bound:
+                    push(queue, (key, order, other, 1))
+                else:
+                    later.append((key, order, other, 1))
+            leaf = -1 - node
+            while way >> extra == 0:
+                plane, cut = self._below(leaf, way)
+                z = (float(plane @ q) - cut) * self.slope * 250 / self.deviation_of[leaf]
+                step = int(min(max(z, -2000), 2000)) + 2000
+                right, left = far - table[step], far - table[4000 - step]
+                side = right < left
+                order += 1
+                key = left if side else right
+                if key <= bound:
+                    push(queue, (key, order, node, way * 2 + 1 - side))
+                else:
+                    later.append((key, order, node, way * 2 + 1 - side))
+                far, way = (right, way * 2 + 1) if side else (left, way * 2)
+            named = (leaf << extra) + way - (1 << extra)
+            yield (far, named) if keys else named
+
+    def _below(self, leaf: int, way: int) -> tuple[np.ndarray, float]:
+        """One computed node; those last used are kept."""
+        if "_made" not in self.__dict__ or len(self._made) > 100_000:
+            self._made: dict = {}
+        found = self._made.get((leaf, way))
+        if found is None:
+            planes, cuts = self.below(np.array([leaf]), np.array([way]))
+            found = self._made[leaf, way] = planes[0], float(cuts[0])
+        return found
+
+    @property
+    def _child_list(self) -> list:
+        if "_children" not in self.__dict__:
+            self._children = self.children.tolist()
+        return self._children
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_children", "_made")}
+
+    def calibrated(self, queries: np.ndarray, near: np.ndarray, of: np.ndarray, recall: float) -> int:
+        """The fewest leaves with which the queries meet that share of their true neighbours: near, rows of vectors, of, the query of each."""
+        if not len(near) or not len(self.roots):
+            return len(self.bucket_of) << self.extra
+        nodes = np.linspace(0, len(self.planes) - 1, min(512, len(self.planes))).astype(int)
+        if len(nodes):
+            own, others = queries.astype(np.float32) @ self.planes[nodes].T, near.astype(np.float32) @ self.planes[nodes].T
+            r = float(np.corrcoef(own[of].ravel(), others.ravel())[0, 1]) if len(of) > 2 else 0.5
+            self.slope = min(max(r if r == r else 0.5, 0.2) / math.sqrt(max(1 - r * r, 0.01)), 6.0)
+        met: list[dict] = [{} for _ in queries]  # named leaf: the neighbours there that no leaf before held
+        for at, (j, leaves) in enumerate(zip(of.tolist(), self.dealt(near).tolist(), strict=True)):
+            for leaf in leaves:
+                met[j].setdefault(leaf, []).append(at)
+        walks = list(self.walks(queries, keys=True))
+        place = np.full(len(near), np.iinfo(np.int64).max)
+        farthest: list[list[float]] = [[] for _ in queries]
+        done, goal, wanted = 0, 64, math.ceil(recall * len(near))
+        while True:
+            ended = True
+            for walk, own, far in zip(walks, met, farthest, strict=True):
+                for i, (key, leaf) in enumerate(itertools.islice(walk, goal - done)):
+                    ended = False
+                    far.append(key)
+                    for at in own.get(leaf, ()):
+                        place[at] = min(place[at], done + i)
+            done = goal
+            if ended or (place < done).sum() >= wanted:
+                most = int(np.sort(place)[wanted - 1]) + 1 if (place < done).sum() >= wanted else done
+                self.bound = max((far[min(most, len(far)) - 1] for far in farthest if far), default=math.inf)
+                return most
+            goal *= 2
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -123,80 +256,108 @@ def _best(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
 
 
 def _compared(most: int):
-    """Streams rows sorted by (leaf, part, is query): members, then the queries sent there; keeps each query's best."""
+    """Streams rows sorted by (bucket, part, is query): members with their leaves, then queries with those they take; keeps each query's best."""
     schema = pa.schema([("query", pa.int64()), ("cid", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
-        key, member_ids, members, queries = None, [], [], []
-        held: list[tuple] = []
-        size = 0
-
-        def reduced():
-            q, c, s = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((-s, c, q))  # a class met in several trees counts once
-            q, c, s = q[order], c[order], s[order]
-            new = np.concatenate(([True], (q[1:] != q[:-1]) | (c[1:] != c[:-1])))
-            q, c, s = q[new], c[new], s[new]
-            order = np.lexsort((c, -s, q))
-            q, c, s = q[order], c[order], s[order]
-            start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
-            nth = np.arange(len(q)) - np.repeat(start, np.diff(np.concatenate((start, [len(q)]))))
-            keep = nth < most
-            return q[keep], c[keep], s[keep]
-
-        def compare():
-            nonlocal size
-            if not members or not queries:
-                return
-            x, ids = np.concatenate(members), np.concatenate(member_ids)
-            q, qids = np.stack([v for _, v in queries]), np.array([i for i, _ in queries])
-            for lo in range(0, len(q), 256):
-                part = q[lo : lo + 256]
-                near = part @ x.T
-                if near.shape[1] > most:
-                    least = np.partition(near, near.shape[1] - most, axis=1)[:, near.shape[1] - most]
-                    i, j = np.nonzero(near >= least[:, None] - 1e-9 * np.abs(least[:, None]) - 1e-12)
-                else:
-                    i, j = (a.ravel() for a in np.indices(near.shape))
-                exact = np.concatenate([(part[i[a : a + 65536]] * x[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)])
-                held.append((qids[lo + i], ids[j], exact))
-                size += len(i)
-            if size > 1_000_000:
-                rest = reduced()
-                held.clear()
-                held.append(rest)
-                size = len(rest[0])
+        key, held, out = None, [], []
+        built = None
+
+        def build():
+            """Members by leaf: rows of the matrix in the order of the leaves they are in, tree after tree."""
+            ids, vectors, leaves = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(leaves.ravel(), kind="stable")
+            sizes = np.linalg.norm(vectors, axis=1)
+            rough = vectors.astype(np.float32) if sizes.max() < 1e15 and sizes.min() > 1e-15 else vectors
+            return ids, vectors, leaves.ravel()[order], order // leaves.shape[1], rough, float(sizes.max()), np.zeros(len(ids), bool)
+
+        def compare(query, q, taken):
+            ids, vectors, named, rows, rough, largest, mark = built
+            lo, hi = np.searchsorted(named, taken, "left").tolist(), np.searchsorted(named, taken, "right").tolist()
+            for s, e in zip(lo, hi, strict=True):
+                mark[rows[s:e]] = True
+            met = np.flatnonzero(mark)
+            mark[met] = False
+            if len(met) > most:
+                near = rough[met] @ q.astype(rough.dtype)
+                least = np.partition(near, len(near) - most)[len(near) - most]
+                met = met[near >= least - 2e-5 * largest * float(np.linalg.norm(q))]
+            exact = (vectors[met] * q).sum(axis=1)
+            best = _best(exact, ids[met], most)
+            out.append((np.full(len(best), query), ids[met][best], exact[best]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            leaf, part, kind, ids = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("leaf", "part", "kind", "id"))
+            bucket, part, kind, ids = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("bucket", "part", "kind", "id"))
             vectors = _matrix(batch.column("v"))
-            cut = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1]))))
-            for s, e in zip(cut, [*cut[1:], len(leaf)], strict=True):
-                if (leaf[s], part[s]) != key:
-                    compare()
-                    key, member_ids, members, queries = (leaf[s], part[s]), [], [], []
+            leaves = batch.column("leaves")
+            named, bounds = leaves.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(pa.compute.list_value_length(leaves).to_numpy(zero_copy_only=False))))
+            cut = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]))))
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
+                if (bucket[s], part[s]) != key:
+                    key, held, built = (bucket[s], part[s]), [], None
                 m = s + int((kind[s:e] == 0).sum())
                 if m > s:
-                    members.append(vectors[s:m])
-                    member_ids.append(ids[s:m])
-                queries += zip(ids[m:e].tolist(), vectors[m:e], strict=True)
-                if len(queries) >= 4096:  # members come first, so queries can be done with as they come
-                    compare()
-                    queries = []
-        compare()
-        if held:
-            q, c, s = reduced()
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(s)], schema=schema)
+                    held.append((ids[s:m].copy(), vectors[s:m].copy(), named[bounds[s] : bounds[m]].reshape(m - s, -1).copy()))
+                if m < e and held:  # members come first, so queries can be done with as they come
+                    built = built or build()
+                    for i in range(m, e):
+                        compare(ids[i], vectors[i], named[bounds[i] : bounds[i + 1]])
+                if sum(len(x[0]) for x in out) > 20000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=schema)
 
     return run
 
 
+def _exact(ids: np.ndarray, queries: np.ndarray, k: int):
+    """Streams classes against some queries: the k nearest others of each, in this task."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, x = batch.column("cid").to_numpy(), _matrix(batch.column("v"))
+            near = queries @ x.T
+            near[ids[:, None] == own[None, :]] = -np.inf
+            at = np.argpartition(-near, min(k, near.shape[1]) - 1, axis=1)[:, :k]
+            i, j = np.repeat(np.arange(len(ids)), at.shape[1]), at.ravel()
+            ok = np.isfinite(near[i, j])
+            i, j = i[ok], j[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(own[j]), pa.array(near[i, j]), batch.column("v").take(pa.array(j))], names=["of", "cid", "score", "v"])
+
+    return run
+
+
+def forest_of(classes: DataFrame, asked: DataFrame, k: int = K, recall: float = RECALL) -> tuple[Forest, int]:
+    """The forest of classes(cid, v), and how many leaves a query takes; asked(cid, v): the queries, of which none is fitted."""
+    own = asked.select("cid").distinct()
+    fit = classes.join(own, "cid", "left_anti").orderBy(F.xxhash64("cid"), "cid").limit(FIT_ROWS).select("cid", "v").toArrow()
+    if fit.num_rows < LEAF_ROWS:  # nearly all are queries: a tree of one leaf, or of those
+        fit = classes.orderBy(F.xxhash64("cid"), "cid").limit(FIT_ROWS).select("cid", "v").toArrow()
+    fitted = _matrix(fit["v"].combine_chunks()) if fit.num_rows else np.zeros((0, 1))
+    if fit.num_rows:
+        fitted = fitted[np.argsort(fit["cid"].to_numpy(), kind="stable")]
+    forest = Forest(fitted, classes.count())
+    tried = asked.dropDuplicates(["cid"]).orderBy(F.xxhash64("cid", F.lit(1)), "cid").limit(CALIBRATED_ON).select("cid", "v").toArrow()
+    if not tried.num_rows or not fit.num_rows:
+        return forest, 1
+    queries = _matrix(tried["v"].combine_chunks())
+    near = classes.select("cid", "v").mapInArrow(_exact(tried["cid"].to_numpy(), queries, k), f"of long, cid long, score double, v {classes.schema['v'].dataType.simpleString()}")
+    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("score"), "cid"))).where(F.col("nth") <= k).select("of", "v").toArrow()
+    if not near.num_rows:
+        return forest, 1
+    return forest, forest.calibrated(queries, _matrix(near["v"].combine_chunks()), near["of"].to_numpy(), recall)
+
+
 def nearest(vectors: DataFrame, queries_where: str, k: int = K, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of vectors(vec_id, embedding) for which the condition on vec_id holds."""
     spark = vectors.sparkSession
-    doubles = F.transform("embedding", lambda x: x.cast("double"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    doubles = F.col("embedding") if single else F.transform("embedding", lambda x: x.cast("double"))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.withColumn("v", doubles).where(F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), "v")
     lengths = rows.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n"))
@@ -206,38 +367,51 @@ def nearest(vectors: DataFrame, queries_where: str, k: int = K, recall: float =
     # the row_number limit is applied before the shuffle too, so a vector of very many copies sends few rows
     firsts = rows.withColumn("nth", F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     classes = saved(firsts.groupBy("h", "v").agg(F.min("vec_id").alias("cid"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
-    fit = classes.orderBy(F.xxhash64("cid"), "cid").limit(FIT_ROWS).select("cid", "v").toArrow()
-    fitted = _matrix(fit["v"].combine_chunks()) if fit.num_rows else np.zeros((0, 1))
-    if fit.num_rows:
-        fitted = fitted[np.argsort(fit["cid"].to_numpy(), kind="stable")]
-    forest = Forest(fitted)
-    most = forest.calibrated(fitted, k, recall)
-    shared = spark.sparkContext.broadcast(forest)
+    asked = rows.where(queries_where).select("vec_id", "h", "v").join(classes.select("h", "v", "cid"), ["h", "v"]).select("vec_id", "cid", "v")
+    asked = saved(asked)
+    forest, most = forest_of(classes, asked, k, recall)
+    shared = spark.sparkContext.broadcast(forest)  # FIT_ROWS and TREES bound it
+    kind = classes.schema["v"].dataType.simpleString()
+
+    def rows_of(ids, vectors, buckets, of, leaves):
+        return pa.RecordBatch.from_arrays([pa.array(buckets), ids.take(pa.array(of)), vectors.take(pa.array(of)), leaves], names=["bucket", "id", "v", "leaves"])
 
     def deal(batches):
         for batch in batches:
-            if batch.num_rows:
-                leaves = shared.value.dealt(_matrix(batch.column("v")))
-                i = np.repeat(np.arange(len(leaves)), leaves.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(leaves.ravel()), batch.column("cid").take(pa.array(i)), batch.column("v").take(pa.array(i))], names=["leaf", "id", "v"])
+            forest = shared.value
+            if batch.num_rows and forest.roots:
+                leaves = forest.dealt(_matrix(batch.column("v")))
+                for group in range(forest.groups):
+                    own = np.ascontiguousarray(leaves[:, group :: forest.groups])
+                    named = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1], dtype=np.int32)), pa.array(own.ravel()))
+                    yield rows_of(batch.column("cid"), batch.column("v"), forest.bucket(own[:, 0]), np.arange(len(own)), named)
 
     def search(batches):
         for batch in batches:
-            if batch.num_rows:
-                found = shared.value.searched(_matrix(batch.column("v")), most)
-                for lo in range(0, len(found), 64):  # each query comes back once for each leaf: in small batches
-                    part = found[lo : lo + 64]
-                    i = np.repeat(np.arange(lo, lo + len(part)), [len(x) for x in part])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).astype(np.int64)), batch.column("cid").take(pa.array(i)), batch.column("v").take(pa.array(i))], names=["leaf", "id", "v"])
-
-    dealt = classes.select("cid", "v").mapInArrow(deal, "leaf long, id long, v array<double>")
-    parts = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))  # a row for each leaf at most
-    members = dealt.join(F.broadcast(parts), "leaf").select("leaf", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(0).alias("kind"), "id", "v")
-    asked = rows.where(queries_where).select("vec_id", "h", "v").join(classes.select("h", "v", "cid"), ["h", "v"]).select("vec_id", "cid", "v")
-    asked = saved(asked)
-    probes = asked.dropDuplicates(["cid"]).select("cid", "v").mapInArrow(search, "leaf long, id long, v array<double>")
-    probes = probes.join(F.broadcast(parts), "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "v")
-    by = ["leaf", "part"]
+            forest = shared.value
+            if batch.num_rows and forest.roots:
+                for lo in range(0, batch.num_rows, 256):  # a query comes back once for each bucket: in small batches
+                    part = batch.slice(lo, 256)
+                    buckets, of, taken = [], [], []
+                    for i, walk in enumerate(forest.walks(_matrix(part.column("v")))):
+                        leaves = np.fromiter(itertools.islice(walk, most), np.int64)
+                        to = forest.bucket(leaves)
+                        order = np.argsort(to, kind="stable")
+                        cut = np.flatnonzero(np.diff(to[order], prepend=-1))
+                        buckets += to[order][cut].tolist()
+                        of += [i] * len(cut)
+                        taken += np.split(leaves[order], cut[1:])
+                    bounds = np.concatenate(([0], np.cumsum([len(x) for x in taken]))).astype(np.int32)
+                    named = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(taken)))
+                    yield rows_of(part.column("cid"), part.column("v"), np.array(buckets), np.array(of), named)
+
+    sent = f"bucket long, id long, v {kind}, leaves array<long>"
+    dealt = saved(classes.select("cid", "v").mapInArrow(deal, sent))
+    parts = dealt.groupBy("bucket").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))  # a row for each bucket
+    members = dealt.join(parts, "bucket").select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), F.lit(0).alias("kind"), "id", "v", "leaves")
+    probes = asked.dropDuplicates(["cid"]).select("cid", "v").mapInArrow(search, sent)
+    probes = probes.join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "id", "v", "leaves")
+    by = ["bucket", "part"]
     met = members.unionByName(probes).repartition(shuffle_partitions(spark), *by).sortWithinPartitions(*by, "kind").mapInArrow(_compared(k + 1), "query long, cid long, score double")
     met = met.groupBy("query", "cid").agg(F.max("score").alias("score"))
     best = met.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "cid"))).where(F.col("nth") <= k + 1)
