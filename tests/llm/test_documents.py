@@ -390,16 +390,11 @@ def test_scoring_base_and_gain(spark):
     assert held[1] > 0.8 * held[0]  # log10 probabilities: the tree's is higher by far
 
 
-def test_tree_distributions_sum_to_one(spark):
+def test_unigrams_sum_to_one(spark):
     texts = [" ".join(np.random.RandomState(i).choice(["a", "b", "c", "d"], 30, p=[0.4, 0.3, 0.2, 0.1])) + " a b a b" for i in range(60)]
     tree, _ = suffix_tree.learn(docs_of(spark, texts))
-    tree.ready()
-    p = tree.unigram(tree.counts)
-    assert p.sum() + 0.5 / tree.z == pytest.approx(1)  # the rest is for all that was never seen
-    for level in (0, 1):
-        for context in tree.levels[level][0]:
-            q = tree.step(level, np.full(len(tree.tokens), context), tree.tokens, p)
-            assert q.sum() < 1 + 1e-9 and q.sum() > 0.95
+    assert tree.unigram(tree.counts).sum() + 0.5 / tree.z == pytest.approx(1)  # the rest is for all that was never seen
+
 
 def test_scores_keep_rare_continuations(spark):
     """What is broadcast is a share of the corpus; what is counted is not: the rest is joined to the same scores."""
@@ -408,8 +403,8 @@ def test_scores_keep_rare_continuations(spark):
     texts = [*EDGES, *[" ".join(f"W{w} {follows[w]} g{w}" for w in random.randint(0, 60, 15)) for _ in range(120)]]
     docs = docs_of(spark, texts).select("doc_id", "text", suffix_tree.held_out().alias("held_out"))
     scores = []
-    for p_min in (0.0, 0.02, 0.5):
-        tree, tokens = suffix_tree.learn(docs.where("not held_out"), p_min)
+    for cache in (10**9, 40, 0):
+        tree, tokens = suffix_tree.learn(docs.where("not held_out"), cache)
         scores.append({r["doc_id"]: (r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in suffix_tree.score(docs, tree, tokens).collect()})
     assert sum(r[3] for r in scores[0].values()) > 0.7 * sum(r[2] for r in scores[0].values())
     for other in scores[1:]:
@@ -418,17 +413,71 @@ def test_scores_keep_rare_continuations(spark):
             assert r == pytest.approx(scores[0][d])
 
 
-@pytest.mark.parametrize("p_min", [0.0, 0.5])
-def test_contexts_of_more_than_two_words(spark, p_min):
+@pytest.mark.parametrize("cache", [10**9, 0])
+def test_contexts_of_more_than_two_words(spark, cache):
     """What follows "a b" depends on the words before it."""
     random = np.random.RandomState(9)
     texts = [" ".join(f"z{k} x{k} a b y{k}" for k in random.randint(0, 9, 8)) for _ in range(60)]
-    tree, tokens = suffix_tree.learn(docs_of(spark, texts), p_min)
+    tree, tokens = suffix_tree.learn(docs_of(spark, texts), cache)
     asked = docs_of(spark, ["q x1 a b y1", "q x1 a b y2"]).selectExpr("doc_id", "text", "true AS held_out")
     score = {r["doc_id"]: r["score"] for r in suffix_tree.score(asked, tree, tokens).collect()}
     assert score[0] > score[1] + 0.9
 
 
+def brute_force_scores(training, texts, depth=suffix_tree.DEPTH):
+    """The suffix tree with no pruning, no hashes and no tables: all contexts of up to `depth` tokens, each held against its parent."""
+    cut = lambda t: ["<s>", *re.findall("[^ \t\n\x0b\x0c\r]+", (t or "").translate(LOW)), "</s>"]
+    seqs = [cut(t) for t in training]
+    ones = Counter(w for s in seqs for w in s[1:])
+    total = sum(ones.values())
+    z = total + 0.5 * (len(ones) + 1)
+    kept: dict = {}
+    grams = Counter(tuple(s[i : i + k]) for s in seqs for k in range(1, depth + 2) for i in range(len(s) - k + 1))
+    after: dict = {}
+    for g, n in grams.items():
+        if len(g) > 1 and n >= suffix_tree.MIN_COUNT:
+            after.setdefault(g[:-1], {})[g[-1]] = n
+
+    def p(context, w):
+        if not context:
+            return (ones[w] + 0.5) / z
+        below = p(context[1:], w)
+        if context not in kept:
+            return below
+        n, known, m = after[context].get(w, 0), sum(after[context].values()), grams[context]
+        return (n + (m - known + 1) * below) / (m + 1)
+
+    for context in sorted(after, key=len):
+        known, m = sum(after[context].values()), grams[context]
+        back = m - known + 1
+        gain = (m - known) * math.log(back / (m + 1))
+        for w, n in after[context].items():
+            below = p(context[1:], w)
+            gain += n * math.log((n + back * below) / (m + 1) / below)
+        if gain > 0.5 * math.log(total) * len(after[context]):
+            kept[context] = True
+    out = []
+    for s in map(cut, texts):
+        out.append(sum(math.log10(p(tuple(s[max(0, i - depth) : i]), s[i])) for i in range(1, len(s))))
+    return out, kept
+
+
+@pytest.mark.parametrize("cache", [10**9, 60, 0])
+def test_suffix_tree_against_brute_force(spark, cache):
+    random = np.random.RandomState(12)
+    phrases = [[f"w{x}" for x in random.randint(60, size=random.randint(3, 9))] for _ in range(25)]
+    texts = [" ".join(w for _ in range(random.randint(1, 12)) for w in phrases[random.randint(25)]) for _ in range(60)]
+    texts += [texts[0], texts[1], texts[1], "a b c d e f " * 30, "x b c d g " * 25, "y b c d h " * 25, None, "", "W1 w1\nW2"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", suffix_tree.held_out())
+    held = {r["doc_id"] for r in docs.where("held_out").collect()}
+    truth, kept = brute_force_scores([t for i, t in rows if i not in held], texts)
+    assert len(kept) > 30 and max(map(len, kept)) == suffix_tree.DEPTH and min(map(len, kept)) == 1
+    tree, tokens = suffix_tree.learn(docs.where("not held_out"), cache)
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, tree, tokens).collect()}
+    assert got == {i: pytest.approx(x, rel=1e-9) for i, x in enumerate(truth)}
+
+
 # --- hashes
 
 

@@ -6,16 +6,17 @@ smoothed unigram distribution; deeper nodes are contexts of one to `DEPTH` prece
 1. All training tokens are counted; N tokens, V distinct.
 2. Level by level, continuations (context, next token) are counted over all training texts. One is explicit if it occurs
    `MIN_COUNT` times, whatever the size of the corpus. Contexts and suffixes that can't reach that are left out before the shuffle by a
-   table of bits of fixed size; it may let others through, which the count then drops.
+   table of bits of fixed size; it may let others through, which the count then drops. So are contexts whose shorter context always goes on
+   with the same token: they can gain less than 1 in log-likelihood over it, and never pass the test.
 3. A context is retained if its distribution diverges from its parent's by more than it costs to describe:
    the gain in log-likelihood of its occurrences must exceed log(N) / 2 for each explicit continuation.
 4. P(w | s) = (n(s, w) + (n(s) - explicit + 1) P(w | parent of s)) / (n(s) + 1), with n(s, w) of explicit continuations only:
    what a context has not seen often goes to its parent. A token is scored by its longest retained context.
 
 Contexts and continuations are written tables. In log10 a score is a sum: the unigram of each token, what each retained context
-backs off, and what each explicit continuation adds to that. So any entry can be joined to the texts by the hash of its tokens alone.
-Entries of at least `P_MIN` of the tokens (at most 1 / P_MIN a level) are broadcast and scored where the text is read; the rest
-are joined, one row for each occurrence that may have an entry (for tokens one for each document and token), in one shuffle.
+backs off, and what each explicit continuation adds to that. So each is a value of the hash of its tokens, and can be joined to the texts
+by that alone. The most frequent `CACHE_ENTRIES` of them are broadcast and added where the text is read: a cache of fixed size that
+changes no score. The rest are joined, one row for each occurrence that may have an entry (for tokens one for each document and token), in one shuffle.
 
 Null and empty texts are one end. Rows of null id are training texts. Without training texts all scores are 0.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .common import release, saved, table
 
-P_MIN = 2e-7
+CACHE_ENTRIES = 2_500_000
 MIN_COUNT, DEPTH = 2, 4
 MU = 1.0
 
@@ -64,64 +65,44 @@ def extended(context: np.ndarray, token: np.ndarray, level: int) -> np.ndarray:
     return T.mix(context * (_FIRST if level == 1 else _SECOND) + token)
 
 
-class Lookup:
-    """Positions of hashes in a sorted array, -1 for those that aren't in it."""
-
-    BITS = 20
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.maybe = np.zeros(1 << self.BITS, dtype=bool)
-        self.maybe[keys >> np.uint64(64 - self.BITS)] = True
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, dtype=np.int64)
-        if len(self.keys):
-            i = np.flatnonzero(self.maybe[h >> np.uint64(64 - self.BITS)])
-            at = np.minimum(np.searchsorted(self.keys, h[i]), len(self.keys) - 1)
-            hit = self.keys[at] == h[i]
-            out[i[hit]] = at[hit]
-        return out
-
-
 class Tree:
-    """The broadcast part: frequent tokens with counts, and by level the frequent retained contexts and explicit continuations.
+    """What is broadcast: frequent tokens with their counts, frequent entries with what they add to a score.
 
-    rest: the table (key, value) of what all other retained contexts and explicit continuations add to a score; bits: which keys may be in it.
+    rest: the table (key, value) of all other entries; bits: which keys may be in it; cached: which may be among the frequent ones.
     """
 
     def __init__(self, total: int, distinct: int):
         self.total, self.distinct = total, distinct
         self.z = total + 0.5 * (distinct + 1)
-        none = np.zeros(0, np.uint64)
-        self.tokens, self.counts = none, np.zeros(0, np.int64)
-        #: By level: hashes of retained contexts, their n(s), what backs off; hashes of explicit continuations, their counts.
-        self.levels = [(none, np.zeros(0), np.zeros(0), none, np.zeros(0))] * DEPTH
-        self.rest, self.bits = None, Bits()
+        self.tokens, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
+        self.rest, self.bits, self.cached = None, Bits(), Bits()
+        #: While it grows, by length: which explicit continuations and which contexts that more than one token follows there may be.
+        self.explicit: dict[int, Bits] = {}
+        self.open: dict[int, Bits] = {}
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "rest"}
 
-    def ready(self) -> Tree:
-        self.find = Lookup(self.tokens)
-        self.find_level = [(Lookup(c), Lookup(e)) for c, _, _, e, _ in self.levels]
-        return self
-
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / self.z
 
-    def step(self, level: int, context: np.ndarray, token: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """Probabilities of tokens in contexts: the parent's where the context isn't retained."""
-        contexts, explicit = self.find_level[level]
-        at = contexts(context)
-        i = np.flatnonzero(at >= 0)
-        out = parent.copy()
-        if len(i):
-            _, n, back, _, k = self.levels[level]
-            e = explicit(extended(context[i], token[i], level + 1))
-            seen = np.where(e >= 0, k[e] if len(k) else 0.0, 0.0)
-            out[i] = (seen + back[at[i]] * parent[i]) / (n[at[i]] + MU)
-        return out
+    def count_of(self, token: np.ndarray) -> np.ndarray:
+        """Counts of frequent tokens, 0 of others."""
+        return _looked_up(self.tokens, self.counts, token)
+
+    def value_of(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that a frequent entry has, and what it adds there."""
+        i = np.flatnonzero(self.cached(gram))
+        found = _looked_up(self.keys, self.values, gram[i], np.nan)
+        return i[found == found], found[found == found]
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray, default=0) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(h), default, dtype=values.dtype)
+    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    return np.where(keys[at] == h, values[at], default)
 
 
 def _counted(arrays: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -166,19 +147,32 @@ def _depths(n: int, bounds: np.ndarray) -> np.ndarray:
 
 
 def _grams(level: int, shared: _Shared):
-    """Continuations as (context, suffix): hashes of `level` tokens, the suffix one token further on."""
+    """Continuations as (context, suffix, counted): hashes of `level` tokens, the suffix one token further on; counted: what the context's count is found by.
+
+    That is the context itself, unless what its last token follows was left out: then that token is all that ever follows there, and the
+    count is that of the context without it.
+    """
 
     def of(seq, bounds):
-        gram = seq
+        tree = shared.broadcast.value
+        grams = [seq, seq]  # by length, from 1
         for j in range(1, level):
-            gram = np.concatenate((gram[:1], extended(gram[:-1], seq[1:], j)))
-        context, suffix = gram[:-1], gram[1:]
+            grams.append(np.concatenate((grams[-1][:1], extended(grams[-1][:-1], seq[1:], j))))
+        context, suffix = grams[level][:-1], grams[level][1:]
+        counted, alive = seq, np.ones(len(seq), dtype=bool)
+        for j in range(2, level + 1):
+            now, seen = grams[j], tree.explicit[j - 1](grams[j])
+            if j > 2:
+                own = np.concatenate(([False], tree.open[j - 2](grams[j - 2][:-1])))
+                now, seen = np.where(own, now, np.concatenate((counted[:1], counted[:-1]))), np.where(own, seen, np.concatenate((alive[:1], alive[:-1])))
+            counted, alive = now, seen
         ok = _depths(len(seq), bounds)[1:] >= level
         if level > 1:
-            maybe = shared.ready_once().bits
-            ok[ok] = maybe(context[ok]) & maybe(suffix[ok])
-        context, suffix = context[ok], suffix[ok]
-        return [extended(context, suffix, 1), context, suffix]
+            ok &= alive[:-1]
+            ok[ok] = tree.open[level - 1](grams[level - 1][:-1][ok])
+            ok[ok] = tree.explicit[level - 1](suffix[ok])
+        context, suffix, counted = context[ok], suffix[ok], counted[:-1][ok]
+        return [extended(context, suffix, 1), context, suffix, counted]
 
     return of
 
@@ -186,7 +180,7 @@ def _grams(level: int, shared: _Shared):
 class Bits:
     """A table of 2 ** SIZE bits that says which hashes may be in a set; a larger set makes it say yes more often, never no in error."""
 
-    SIZE = 27
+    SIZE = 26
 
     def __init__(self, keys: DataFrame | None = None):
         self.bytes = np.zeros(1 << (self.SIZE - 3), dtype=np.uint8)
@@ -197,26 +191,22 @@ class Bits:
                 for bucket, bits in zip(batch.column("at").to_pylist(), batch.column("bits").to_pylist(), strict=True):
                     self.bytes[bucket << 12 : (bucket + 1) << 12] = np.frombuffer(bits, np.uint8)
 
+    @classmethod
+    def of(cls, keys: np.ndarray) -> Bits:
+        out = cls()
+        at = keys >> np.uint64(64 - cls.SIZE)
+        np.bitwise_or.at(out.bytes, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        return out
+
     def __call__(self, h: np.ndarray) -> np.ndarray:
         at = h >> np.uint64(64 - self.SIZE)
         return (self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
 class _Shared:
-    """A broadcast tree whose lookups are built once in each Python worker."""
-
-    _ready: dict = {}
-
     def __init__(self, spark: SparkSession, tree: Tree):
-        self.name = f"{id(tree)}-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(1 << 62)}"
         self.broadcast = spark.sparkContext.broadcast(tree)
 
-    def ready_once(self) -> Tree:
-        if self.name not in self._ready:
-            self._ready.clear()
-            self._ready[self.name] = self.broadcast.value.ready()
-        return self._ready[self.name]
-
 
 def _swept(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing holds any more."""
@@ -235,69 +225,74 @@ def _keyed(level: int):
     return run
 
 
-def learn(docs: DataFrame, p_min: float = P_MIN) -> tuple[Tree, DataFrame]:
-    """The tree of docs(text), and the table (token, n) of all token counts. p_min: the share of tokens from which an entry is broadcast; scores don't depend on it."""
+def learn(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> tuple[Tree, DataFrame]:
+    """The tree of docs(text), and the table (token, n) of all token counts. Scores don't depend on cache_entries."""
     spark = docs.sparkSession
     texts = docs.select("text")
     tokens = saved(texts.mapInArrow(_counts(["token"], _unigrams), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     end = int(np.array(_END).view(np.int64))
     total, distinct, n_texts = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == end, F.col("n"))), F.lit(0))).first()
     tree = Tree(total, distinct)
-    least = max(MIN_COUNT, p_min * total)
-
-    def gathered(df: DataFrame) -> list[np.ndarray]:
-        """Columns of a table that `least` bounds to 1 / p_min rows, in order of the first, a hash."""
-        rows = df.toArrow()
-        arrays = [rows[c].to_numpy() for c in df.columns]
-        by = np.argsort(arrays[0].view(np.uint64))
-        return [arrays[0].view(np.uint64)[by], *(a[by].astype(np.float64) for a in arrays[1:])]
-
-    tree.tokens, counts = gathered(tokens.where(F.col("n") >= least))
-    tree.counts = counts.astype(np.int64)
     if not total:
         return tree, tokens
     explicit = tokens.where(F.col("n") >= MIN_COUNT)
     start = spark.range(1).select(F.lit(int(np.array(_START).view(np.int64))).alias("of"), F.lit(n_texts).cast("double").alias("m"))
     contexts = explicit.select(F.col("token").alias("of"), F.col("n").cast("double").alias("m")).union(start)
     parents = explicit.select(F.col("token").alias("suffix"), "token", ((F.col("n") + 0.5) / F.lit(float(tree.z))).alias("p"))
-    values = []
+    entries, levels = [], []
     siblings = Window.partitionBy("context")
     back, own = F.col("m") - F.col("known") + MU, (F.col("n") + F.col("back") * F.col("p")) / (F.col("m") + MU)
     for level in range(1, DEPTH + 1):
-        counted = texts.mapInArrow(_counts(["_h", "context", "suffix"], _grams(level, _Shared(spark, tree))), "_h long, context long, suffix long, n long")
+        counted = texts.mapInArrow(_counts(["_h", "context", "suffix", "counted"], _grams(level, _Shared(spark, tree))), "_h long, context long, suffix long, counted long, n long").drop("_h")
         # counted in each task before: dealt as they are
-        rows = counted.repartition("context", "suffix").groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
-        rows = rows.join(parents, "suffix").join(contexts, F.col("context") == F.col("of")).select("context", "token", "n", "p", "m")
-        rows = rows.withColumn("known", F.sum("n").over(siblings)).withColumn("back", back)
+        rows = counted.repartition("context", "suffix").groupBy("context", "suffix").agg(F.sum("n").alias("n"), F.first("counted").alias("of")).where(F.col("n") >= MIN_COUNT)
+        rows = rows.join(parents, "suffix").join(contexts, "of").select("context", "token", "n", "p", "m")
+        rows = rows.withColumn("known", F.sum("n").over(siblings)).withColumn("back", back).withColumn("siblings", F.count("*").over(siblings))
         # the divergence test
         gain = F.sum(F.col("n") * F.log(own / F.col("p"))).over(siblings) + (F.col("m") - F.col("known")) * F.log(F.col("back") / (F.col("m") + MU))
-        rows = rows.withColumn("kept", gain > 0.5 * np.log(total) * F.count("*").over(siblings)).withColumn("first", F.row_number().over(siblings.orderBy("context")) == 1)
-        rows = saved(rows.drop("known").mapInArrow(_keyed(level), "key long, context long, token long, n long, p double, m double, back double, kept boolean, first boolean"))
+        rows = rows.withColumn("kept", gain > 0.5 * np.log(total) * F.col("siblings")).withColumn("first", F.row_number().over(siblings.orderBy("context")) == 1)
+        rows = rows.withColumn("open", (F.col("siblings") > 1) | (F.col("known") < F.col("m"))).drop("known", "siblings")
+        rows = saved(rows.mapInArrow(_keyed(level), "key long, context long, token long, n long, p double, m double, back double, kept boolean, first boolean, open boolean"))
         del counted
         _swept(spark)
         retained = rows.where("kept")
-        nodes = retained.where("first").select("context", "m", "back")
-        tree.levels[level - 1] = (*gathered(nodes.where(F.col("m") >= least)), *gathered(retained.where(F.col("n") >= least).select("key", "n")))
-        if level > 1:
-            release(before)
-        before = rows
-        small = nodes.where(F.col("m") < least).select(F.col("context").alias("key"), F.log10(F.col("back") / (F.col("m") + MU)).alias("value"))
-        values.append(saved(small.union(retained.where(F.col("n") < least).select("key", F.log10(1 + F.col("n") / (F.col("back") * F.col("p"))).alias("value")))))
+        backs_off = retained.where("first").select(F.col("context").alias("key"), F.col("m").cast("long").alias("n"), F.log10(F.col("back") / (F.col("m") + MU)).alias("value"))
+        entries.append(saved(backs_off.union(retained.select("key", "n", F.log10(1 + F.col("n") / (F.col("back") * F.col("p"))).alias("value")))))
+        levels.append(rows)
         if level < DEPTH:
-            tree.bits = Bits(rows.select("key"))
-            contexts = rows.select(F.col("key").alias("of"), F.col("n").cast("double").alias("m"))
+            tree.explicit[level], tree.open[level] = Bits(rows.select("key")), Bits(rows.where("first and open").select(F.col("context").alias("key")))
+            contexts = functools.reduce(DataFrame.union, [x.select(F.col("key").alias("of"), F.col("n").cast("double").alias("m")) for x in levels])
             # a parent that failed the test itself has its own parent's distribution
             parents = rows.select(F.col("key").alias("suffix"), "token", F.when(F.col("kept"), own).otherwise(F.col("p")).alias("p"))
-    release(before)
-    tree.rest = functools.reduce(DataFrame.union, values)
-    tree.bits = Bits(tree.rest)
+    for rows in levels:
+        release(rows)
+    tree.explicit, tree.open = {}, {}
+    known = functools.reduce(DataFrame.union, entries)
+    least = _least(known.select("n").union(tokens.select("n")), cache_entries)
+    often = tokens.where(F.col("n") >= least).toArrow()  # cache_entries bounds both
+    hashes = often["token"].to_numpy().view(np.uint64)
+    by = np.argsort(hashes)
+    tree.tokens, tree.counts = hashes[by], often["n"].to_numpy()[by]
+    often = known.where(F.col("n") >= least).select("key", "value").toArrow()
+    tree.keys, at = np.unique(often["key"].to_numpy().view(np.uint64), return_inverse=True)
+    tree.values = np.bincount(at, often["value"].to_numpy(), len(tree.keys))  # a context and a continuation of the same tokens add up
+    del often
+    tree.rest = known.where(F.col("n") < least).select("key", "value")
+    tree.cached, tree.bits = Bits.of(tree.keys), Bits(tree.rest)
     _swept(spark)
     return tree, tokens
 
 
+def _least(counts: DataFrame, most: int) -> int:
+    """The lowest count, doubled from MIN_COUNT, that at most `most` rows of counts(n) reach."""
+    powers = [MIN_COUNT << i for i in range(50)]
+    above = counts.agg(*[F.count(F.when(F.col("n") >= p, 1)) for p in powers]).first()
+    return next((p for p, n in zip(powers, above, strict=True) if n <= most), powers[-1])
+
+
 def _scored(shared: _Shared):
     def run(batches):
-        tree = shared.ready_once()
+        tree = shared.broadcast.value
         nth = 0
         part = TaskContext.get().partitionId()
         for batch in (part for whole in batches for part in T.slices(whole, "text")):
@@ -305,27 +300,28 @@ def _scored(shared: _Shared):
             n = batch.num_rows
             first = np.zeros(len(seq), dtype=bool)
             first[bounds[:-1]] = True
-            i = np.flatnonzero(~first)
-            token = seq[i]
+            token = seq[~first]
             text_of = np.repeat(np.arange(n), np.diff(bounds) - 1)
-            at = tree.find(token)
-            frequent = at >= 0
-            base = np.where(frequent, tree.unigram(tree.counts[at]), 1.0) if len(tree.counts) else np.ones(len(token))
-            p, depth, gram = base, _depths(len(seq), bounds), seq
+            counts = tree.count_of(token)
+            frequent = counts > 0
+            base = np.where(frequent, np.log10(tree.unigram(counts)), 0.0)
+            depth, gram, added = _depths(len(seq), bounds), seq, np.zeros(len(seq))
             keys, of = [], []
-            for level in range(1, DEPTH + 1):
-                held = np.flatnonzero(tree.bits(gram) & (depth >= level - 1)) if level > 1 else np.flatnonzero(tree.bits(gram) & first)
+            for level in range(1, DEPTH + 2):
+                deep = depth >= level - 1
+                at, values = tree.value_of(gram)
+                added[at[deep[at]]] += values[deep[at]]
+                held = np.flatnonzero(tree.bits(gram) & (deep if level > 1 else first))
                 keys.append(gram[held])
                 of.append(held)
-                deep = np.flatnonzero(depth[i] >= level)
-                p = p.copy()
-                p[deep] = tree.step(level - 1, gram[i[deep] - 1], token[deep], p[deep])
-                gram = np.concatenate((gram[:1], extended(gram[:-1], seq[1:], level)))
-            held = np.flatnonzero(tree.bits(gram) & (depth >= DEPTH))
-            keys, of = np.concatenate([*keys, gram[held]]), np.concatenate([*of, held])
+                if level <= DEPTH:
+                    gram = np.concatenate((gram[:1], extended(gram[:-1], seq[1:], level)))
+            keys, of = np.concatenate(keys), np.concatenate(of)
+            added = np.add.reduceat(added, bounds[:-1]) if n else np.zeros(0)
             rid = (np.int64(part) << np.int64(33)) + nth + np.arange(n)
             nth += n
-            sums = [np.bincount(text_of, w, minlength=n) for w in (frequent, np.log10(base), np.log10(p))]
+            sums = [np.bincount(text_of, w, minlength=n) for w in (frequent, base)]
+            sums.append(sums[1] + added)
             zero = np.zeros(n, np.int64)
             columns = [zero.astype(np.int8), rid, np.diff(bounds) - 1, T.mix(rid.view(np.uint64)).view(np.int64), sums[0].astype(np.int64), sums[1], sums[2]]
             yield _batch([*columns, batch.column("doc_id"), batch.column("held_out")])
