@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import gc
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -183,7 +184,7 @@ class Bits:
     SIZE = 26
 
     def __init__(self, keys: DataFrame | None = None):
-        self.bytes = np.zeros(1 << (self.SIZE - 3), dtype=np.uint8)
+        self.bytes = np.zeros(1 << (self.SIZE - 3) if keys is not None else 0, dtype=np.uint8)
         if keys is not None:
             at = F.shiftrightunsigned("key", 64 - self.SIZE)
             buckets = keys.groupBy(F.shiftright(at, 15).cast("int").alias("at")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
@@ -194,11 +195,20 @@ class Bits:
     @classmethod
     def of(cls, keys: np.ndarray) -> Bits:
         out = cls()
+        out.bytes = np.zeros(1 << (cls.SIZE - 3), dtype=np.uint8)
         at = keys >> np.uint64(64 - cls.SIZE)
         np.bitwise_or.at(out.bytes, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         return out
 
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.bytes, 1)
+
+    def __setstate__(self, state: bytes) -> None:
+        self.bytes = np.frombuffer(zlib.decompress(state), np.uint8)
+
     def __call__(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.bytes):
+            return np.zeros(len(h), dtype=bool)
         at = h >> np.uint64(64 - self.SIZE)
         return (self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
@@ -243,7 +253,8 @@ def learn(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> tuple[Tree, Da
     siblings = Window.partitionBy("context")
     back, own = F.col("m") - F.col("known") + MU, (F.col("n") + F.col("back") * F.col("p")) / (F.col("m") + MU)
     for level in range(1, DEPTH + 1):
-        counted = texts.mapInArrow(_counts(["_h", "context", "suffix", "counted"], _grams(level, _Shared(spark, tree))), "_h long, context long, suffix long, counted long, n long").drop("_h")
+        shared = _Shared(spark, tree)
+        counted = texts.mapInArrow(_counts(["_h", "context", "suffix", "counted"], _grams(level, shared)), "_h long, context long, suffix long, counted long, n long").drop("_h")
         # counted in each task before: dealt as they are
         rows = counted.repartition("context", "suffix").groupBy("context", "suffix").agg(F.sum("n").alias("n"), F.first("counted").alias("of")).where(F.col("n") >= MIN_COUNT)
         rows = rows.join(parents, "suffix").join(contexts, "of").select("context", "token", "n", "p", "m")
@@ -254,6 +265,7 @@ def learn(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> tuple[Tree, Da
         rows = rows.withColumn("open", (F.col("siblings") > 1) | (F.col("known") < F.col("m"))).drop("known", "siblings")
         rows = saved(rows.mapInArrow(_keyed(level), "key long, context long, token long, n long, p double, m double, back double, kept boolean, first boolean, open boolean"))
         del counted
+        shared.broadcast.destroy()  # what it was read for is written
         _swept(spark)
         retained = rows.where("kept")
         backs_off = retained.where("first").select(F.col("context").alias("key"), F.col("m").cast("long").alias("n"), F.log10(F.col("back") / (F.col("m") + MU)).alias("value"))
