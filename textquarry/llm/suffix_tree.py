@@ -34,11 +34,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import release, saved, table
+from .common import release, saved, shuffle_partitions, table
 
 CACHE_ENTRIES = 2_500_000
 MIN_COUNT, DEPTH = 2, 4
 MU = 1.0
+#: Rows of counts that a task holds before it sends them on, and tokens to a part of the merge, about.
+CHUNK_ROWS, PART_TOKENS = 1_500_000, 1_000_000
 
 _START, _END = (T.mix(np.array([i], dtype=np.uint64))[0] for i in (101, 202))
 _FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
@@ -113,7 +115,7 @@ def _counted(arrays: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _counts(names: list[str], of):
-    """Arrow batches of texts to counts; `of` gives parallel arrays of a slice, the first a hash of the whole row. Combined a few million at a time."""
+    """Arrow batches of texts to counts; `of` gives parallel arrays of a slice, the first a hash of the whole row. Combined CHUNK_ROWS at a time."""
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -127,7 +129,7 @@ def _counts(names: list[str], of):
             rows = of(*sequence(batch.column("text")))
             held.append(rows)
             size += len(rows[0])
-            if size > 3_000_000:
+            if size > CHUNK_ROWS:
                 yield emit()
                 held, size = [], 0
         if size:
@@ -136,6 +138,55 @@ def _counts(names: list[str], of):
     return run
 
 
+def _packed(of, parts: int):
+    """As `_counts`, but one row for each part of the hashes, with all its counts packed in one binary: few rows and no room lost in the shuffle."""
+
+    def emit(held):
+        rows, n = _counted([np.concatenate(x) for x in zip(*held, strict=True)])
+        part = (rows[0] >> np.uint64(32)) % np.uint64(parts)
+        by = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64)).tolist()
+        arrays = [*(r[by] for r in rows[1:]), n[by].astype(np.uint64)]
+        full = [p for p in range(parts) if cut[p] < cut[p + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([np.stack([a[cut[p] : cut[p + 1]] for a in arrays]).tobytes() for p in full], pa.binary())], names=["part", "counts"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in (part for whole in batches for part in T.slices(whole, "text")):
+            held.append(of(*sequence(batch.column("text"))))
+            size += len(held[-1][0])
+            if size > CHUNK_ROWS:
+                yield emit(held)
+                held, size = [], 0
+        if size:
+            yield emit(held)
+
+    return run
+
+
+def _merged(batches):
+    """Rows sorted by part to (context, suffix, of, n) of what occurs MIN_COUNT times; one part is held at a time."""
+
+    def merge(blobs):
+        context, suffix, of, n = np.concatenate([np.frombuffer(b, np.uint64).reshape(4, -1) for b in blobs], axis=1)
+        _, at, to = np.unique(extended(context, suffix, 1), return_index=True, return_inverse=True)
+        n = np.bincount(to, n.astype(np.float64)).astype(np.int64)
+        keep = n >= MIN_COUNT
+        at = at[keep]
+        return pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(of[at].view(np.int64)), pa.array(n[keep])], names=["context", "suffix", "of", "n"])
+
+    now, blobs = None, []
+    for batch in batches:
+        for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            if part != now and blobs:
+                yield merge(blobs)
+                blobs = []
+            now = part
+            blobs.append(blob)
+    if blobs:
+        yield merge(blobs)
+
+
 def _unigrams(seq: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
     keep = np.ones(len(seq), dtype=bool)
     keep[bounds[:-1]] = False
@@ -245,6 +296,7 @@ def learn(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> tuple[Tree, Da
     tree = Tree(total, distinct)
     if not total:
         return tree, tokens
+    parts = max(2 * shuffle_partitions(spark), total // PART_TOKENS)
     explicit = tokens.where(F.col("n") >= MIN_COUNT)
     start = spark.range(1).select(F.lit(int(np.array(_START).view(np.int64))).alias("of"), F.lit(n_texts).cast("double").alias("m"))
     contexts = explicit.select(F.col("token").alias("of"), F.col("n").cast("double").alias("m")).union(start)
@@ -254,9 +306,8 @@ def learn(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> tuple[Tree, Da
     back, own = F.col("m") - F.col("known") + MU, (F.col("n") + F.col("back") * F.col("p")) / (F.col("m") + MU)
     for level in range(1, DEPTH + 1):
         shared = _Shared(spark, tree)
-        counted = texts.mapInArrow(_counts(["_h", "context", "suffix", "counted"], _grams(level, shared)), "_h long, context long, suffix long, counted long, n long").drop("_h")
-        # counted in each task before: dealt as they are
-        rows = counted.repartition("context", "suffix").groupBy("context", "suffix").agg(F.sum("n").alias("n"), F.first("counted").alias("of")).where(F.col("n") >= MIN_COUNT)
+        counted = texts.mapInArrow(_packed(_grams(level, shared), parts), "part int, counts binary")
+        rows = counted.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_merged, "context long, suffix long, of long, n long")
         rows = rows.join(parents, "suffix").join(contexts, "of").select("context", "token", "n", "p", "m")
         rows = rows.withColumn("known", F.sum("n").over(siblings)).withColumn("back", back).withColumn("siblings", F.count("*").over(siblings))
         # the divergence test
