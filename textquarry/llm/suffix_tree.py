@@ -78,7 +78,7 @@ class Tree:
         self.total, self.distinct = total, distinct
         self.z = total + 0.5 * (distinct + 1)
         self.tokens, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0)
+        self.keys, self.values, self.least = np.zeros(0, np.uint64), np.zeros(0), MIN_COUNT
         self.rest, self.bits, self.cached = None, Bits(), Bits()
         #: While it grows, by length: which explicit continuations and which contexts that more than one token follows there may be.
         self.explicit: dict[int, Bits] = {}
@@ -164,27 +164,31 @@ def _packed(of, parts: int):
     return run
 
 
-def _merged(batches):
-    """Rows sorted by part to (context, suffix, of, n) of what occurs MIN_COUNT times; one part is held at a time."""
+def _merged(width: int):
+    """Rows sorted by part to (context, suffix, of, n) of what occurs MIN_COUNT times; one part is held at a time. width: arrays in a binary, 4 or, where `of` is the context, 3."""
 
     def merge(blobs):
-        context, suffix, of, n = np.concatenate([np.frombuffer(b, np.uint64).reshape(4, -1) for b in blobs], axis=1)
+        context, suffix, *of, n = np.concatenate([np.frombuffer(b, np.uint64).reshape(width, -1) for b in blobs], axis=1)
+        of = of[0] if of else context
         _, at, to = np.unique(extended(context, suffix, 1), return_index=True, return_inverse=True)
         n = np.bincount(to, n.astype(np.float64)).astype(np.int64)
         keep = n >= MIN_COUNT
         at = at[keep]
         return pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(of[at].view(np.int64)), pa.array(n[keep])], names=["context", "suffix", "of", "n"])
 
-    now, blobs = None, []
-    for batch in batches:
-        for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            if part != now and blobs:
-                yield merge(blobs)
-                blobs = []
-            now = part
-            blobs.append(blob)
-    if blobs:
-        yield merge(blobs)
+    def run(batches):
+        now, blobs = None, []
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if part != now and blobs:
+                    yield merge(blobs)
+                    blobs = []
+                now = part
+                blobs.append(blob)
+        if blobs:
+            yield merge(blobs)
+
+    return run
 
 
 def _unigrams(seq: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
@@ -224,7 +228,7 @@ def _grams(level: int, shared: _Shared):
             ok[ok] = tree.open[level - 1](grams[level - 1][:-1][ok])
             ok[ok] = tree.explicit[level - 1](suffix[ok])
         context, suffix, counted = context[ok], suffix[ok], counted[:-1][ok]
-        return [extended(context, suffix, 1), context, suffix, counted]
+        return [extended(context, suffix, 1), context, suffix, *([counted] if level > 2 else [])]
 
     return of
 
@@ -232,7 +236,7 @@ def _grams(level: int, shared: _Shared):
 class Bits:
     """A table of 2 ** SIZE bits that says which hashes may be in a set; a larger set makes it say yes more often, never no in error."""
 
-    SIZE = 26
+    SIZE = 27
 
     def __init__(self, keys: DataFrame | None = None):
         self.bytes = np.zeros(1 << (self.SIZE - 3) if keys is not None else 0, dtype=np.uint8)
@@ -307,7 +311,7 @@ def learn(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> tuple[Tree, Da
     for level in range(1, DEPTH + 1):
         shared = _Shared(spark, tree)
         counted = texts.mapInArrow(_packed(_grams(level, shared), parts), "part int, counts binary")
-        rows = counted.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_merged, "context long, suffix long, of long, n long")
+        rows = counted.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_merged(4 if level > 2 else 3), "context long, suffix long, of long, n long")
         rows = rows.join(parents, "suffix").join(contexts, "of").select("context", "token", "n", "p", "m")
         rows = rows.withColumn("known", F.sum("n").over(siblings)).withColumn("back", back).withColumn("siblings", F.count("*").over(siblings))
         # the divergence test
@@ -331,7 +335,7 @@ def learn(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> tuple[Tree, Da
         release(rows)
     tree.explicit, tree.open = {}, {}
     known = functools.reduce(DataFrame.union, entries)
-    least = _least(known.select("n").union(tokens.select("n")), cache_entries)
+    least = tree.least = _least(known.select("n").union(tokens.select("n")), cache_entries)
     often = tokens.where(F.col("n") >= least).toArrow()  # cache_entries bounds both
     hashes = often["token"].to_numpy().view(np.uint64)
     by = np.argsort(hashes)
@@ -385,52 +389,47 @@ def _scored(shared: _Shared):
             nth += n
             sums = [np.bincount(text_of, w, minlength=n) for w in (frequent, base)]
             sums.append(sums[1] + added)
-            zero = np.zeros(n, np.int64)
-            columns = [zero.astype(np.int8), rid, np.diff(bounds) - 1, T.mix(rid.view(np.uint64)).view(np.int64), sums[0].astype(np.int64), sums[1], sums[2]]
-            yield _batch([*columns, batch.column("doc_id"), batch.column("held_out")])
+            own = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(bounds) - 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=_OWN)
+            yield _batch(T.mix(rid.view(np.uint64)), rid, np.zeros(n, np.int64), own)
             rare = np.flatnonzero(~frequent)
             order = rare[np.lexsort((token[rare], text_of[rare]))]
             h, o = token[order], text_of[order]
             new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])))) if len(h) else np.zeros(0, int)
             times = np.diff(np.concatenate((new, [len(h)]))) if len(h) else new
-            m, k = len(new), len(keys)
-            if m + k:
-                kinds = np.repeat(np.array([1, 2], np.int8), (m, k))
-                rids = rid[np.concatenate((o[new], np.searchsorted(bounds, of, side="right") - 1))]
-                none = pa.nulls(m + k, pa.float64())
-                yield _batch([kinds, rids, np.concatenate((times, np.ones(k, np.int64))), np.concatenate((h[new], keys)).view(np.int64), pa.nulls(m + k, pa.int64()), none, none, pa.nulls(m + k, pa.int64()), pa.nulls(m + k, pa.bool_())])
+            rids = rid[np.concatenate((o[new], np.searchsorted(bounds, of, side="right") - 1))]
+            if len(rids):
+                yield _batch(np.concatenate((h[new], keys)), rids, np.concatenate((times, np.full(len(keys), -1))), pa.nulls(len(rids), own.type))
 
     return run
 
 
-_NAMES = ["kind", "rid", "n", "token", "known", "base", "score", "doc_id", "held_out"]
+_OWN = ["doc_id", "held_out", "n_tokens", "known", "base", "score"]
 
 
-def _batch(columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=_NAMES)
+def _batch(key: np.ndarray, rid: np.ndarray, times: np.ndarray, own: pa.Array) -> pa.RecordBatch:
+    """times: 0 for a document's own row, how often a token is in it, or -1 for an occurrence of a longer key."""
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rid), pa.array(times.astype(np.int64)), own], names=["key", "rid", "times", "own"])
 
 
 def score(docs: DataFrame, tree: Tree, tokens: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score, score of each row of docs(doc_id, text, held_out)."""
     spark = docs.sparkSession
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), "held_out").mapInArrow(
-        _scored(_Shared(spark, tree)), "kind byte, rid long, n long, token long, known long, base double, score double, doc_id long, held_out boolean"
+        _scored(_Shared(spark, tree)), "key long, rid long, times long, own struct<doc_id: long, held_out: boolean, n_tokens: long, known: long, base: double, score: double>"
     )
-    found = tokens.select(F.col("token").alias("key"), F.col("n").alias("c"), F.lit(0.0).alias("value"))
+    found = tokens.where(F.col("n") < tree.least).select(F.col("token").alias("key"), F.col("n").alias("c"), F.lit(None).cast("double").alias("value"))
     if tree.rest is not None:
         found = found.union(tree.rest.select("key", F.lit(None).cast("long"), "value"))
-    kind, times, c = F.col("kind"), F.col("n"), F.coalesce("c", F.lit(0))
+    times, c = F.col("times"), F.coalesce("c", F.lit(0))
     # a token's count is one row, and what its context backs off another
-    is_token = (kind == 1) & (F.col("c").isNotNull() | F.col("value").isNull())
-    joined = rows.withColumnRenamed("token", "key").join(found, "key", "left")
+    is_token = (times > 0) & F.col("value").isNull()
+    joined = rows.join(found, "key", "left")
     rest = F.when(is_token, times * F.log10((c + 0.5) / F.lit(float(tree.z)))).otherwise(0.0)
-    more = F.when(kind != 0, times * F.coalesce("value", F.lit(0.0))).otherwise(0.0)
-    own = lambda c: F.max(F.when(kind == 0, F.col(c))).alias(c)
-    out = joined.groupBy("rid").agg(
-        own("doc_id"), own("held_out"), own("n").alias("n_tokens"), own("known"), own("base"), own("score"),
-        F.sum(F.when(is_token & (c > 0), times).otherwise(0)).alias("more"), F.sum(rest).alias("rest"), F.sum(more).alias("levels"),
-    )
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), (F.col("base") + F.col("rest")).alias("base_score"), (F.col("score") + F.col("rest") + F.col("levels")).alias("score"))
+    more = F.when(times != 0, F.abs(times) * F.coalesce("value", F.lit(0.0))).otherwise(0.0)
+    out = joined.groupBy("rid").agg(F.max("own").alias("own"), F.sum(F.when(is_token & (c > 0), times).otherwise(0)).alias("more"), F.sum(rest).alias("rest"), F.sum(more).alias("levels"))
+    return out.select(
+        "own.doc_id", "own.held_out", "own.n_tokens", (F.col("own.known") + F.col("more")).alias("n_known"), (F.col("own.base") + F.col("rest")).alias("base_score"), (F.col("own.score") + F.col("rest") + F.col("levels")).alias("score")
+    )
 
 
 def op3_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
