@@ -223,8 +223,31 @@ def test_ids_that_are_slugs_keep_article_text(spark):
 def test_style_tree_importance(spark):
     df = spark.createDataFrame([(i, "https://h.example/", f"<div class='a'>same</div><div class='b'>text {i}</div>") for i in range(6)], "page_id long, url string, html string")
     found = {r["branch"]: r for r in pages.style_tree(df).collect()}
-    assert found[pages.branch_hash("/div.a")]["importance"] == pytest.approx(0.0)
-    assert found[pages.branch_hash("/div.b")]["importance"] == pytest.approx(0.9)
+    assert found[pages.branch_hash("0/div.a")]["importance"] == pytest.approx(0.0)
+    assert found[pages.branch_hash("0/div.b")]["importance"] == pytest.approx(0.9)
+
+
+def test_broken_pages_in_time_in_proportion():
+    n = 200_000
+    for part in ("<a ", "<a href='x", "<div>", "<!", "<!--", "<p title=\"", "<tr></tr><div>", "</b><div>", "<a '\">", "<li><div>", "&amp;<"):
+        began = __import__("time").process_time()
+        pages.main_text(part * (n // len(part)), set())
+        assert __import__("time").process_time() - began < 20, part
+    assert pages.main_text("<p>a &lt b</p><div title='>'>c</div>d <x", set()) == "a < b c d <x"
+    assert pages.main_text("<p title=\"open>a</p> b", set()) == "a b"
+
+
+def test_style_tree_without_articles_or_names(spark):
+    """Pages of plain divs with classes that say nothing: only the tree can tell the site's own text from the pages'."""
+    random = np.random.RandomState(2)
+    words = lambda k: " ".join(f"w{random.randint(5000)}" for _ in range(k))
+    said = [words(60) for _ in range(40)]
+    html = [f'<html><body><div class="qa"><div class="qb">Our shop <b>is open</b></div><ul class="qc"><li>One</li><li>Two</li></ul></div><div class="qd"><div class="qe">{t}</div></div><div class="qf">All rights kept {2020 + i % 3}</div></body></html>' for i, t in enumerate(said)]
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    for size in (pages.BROADCAST_SIZE, -1):  # broadcast, and dealt to several tasks a host
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(pages, "BROADCAST_SIZE", size)
+            assert {r["page_id"]: r["text"] for r in pages.extracted(df).collect()} == dict(enumerate(said))
 
 
 # --- neighbours

@@ -40,12 +40,14 @@ class Layout:
     paths: tuple[str, ...]
     turns: tuple[tuple[str, str], ...]
     each: str | None = None
+    #: The column that numbers the turns, where each record is one.
+    numbered: str | None = None
 
 
 #: Roles of other layouts by their canonical names.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 LAYOUTS = (
-    Layout("rows", ("conv_id", "turn", "role", "text"), (("$.role", "$.text"),)),
+    Layout("rows", ("conv_id", "turn", "role", "text"), (("$.role", "$.text"),), numbered="turn"),
     Layout("prompt_completion", ("prompt", "completion"), (("user", "$.prompt"), ("assistant", "$.completion"))),
     Layout("prompt_response", ("prompt", "response"), (("user", "$.prompt"), ("assistant", "$.response"))),
     Layout("system_prompt_response", ("system", "prompt", "response"), (("system", "$.system"), ("user", "$.prompt"), ("assistant", "$.response"))),
@@ -101,21 +103,33 @@ def json_fingerprint(variant: Column) -> Column:
     return F.sha2(kind, 256)
 
 
-def _text_at(variant: Column, path: str) -> Column:
+def _variant_at(record: Column, path: str) -> Column:
+    return F.try_variant_get(record, path, "string")
+
+
+def _field_at(record: Column, path: str) -> Column:
+    """A path within a typed record."""
+    for name in path.removeprefix("$.").split("."):
+        record = record[name]
+    return record.cast("string")
+
+
+def _text_at(record: Column, path: str, at=_variant_at) -> Column:
     """Text at a path; parts that | joins are put together by a line feed, those that are empty left out."""
-    parts = [F.coalesce(F.try_variant_get(variant, p, "string"), F.lit("")) for p in path.split("|")]
+    parts = [F.coalesce(at(record, p), F.lit("")) for p in path.split("|")]
     return parts[0] if len(parts) == 1 else F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "\n")
 
 
-def _mapped(layout: Layout):
-    """The layout's mapping, from a record (or an element under `each`) to an array of its turns."""
+def _mapped(layout: Layout, at=_variant_at):
+    """The layout's mapping, from a record (or an element under `each`) to an array of its turns; at: how a path is read."""
     names = F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv])
 
     def turns(record: Column) -> Column:
         out = []
         for role, text in layout.turns:
-            named = F.coalesce(F.try_variant_get(record, role, "string"), F.lit("")) if role.startswith("$") else F.lit(role)
-            out.append(F.struct(F.coalesce(names[named], named).alias("role"), _text_at(record, text).alias("text")))
+            named = F.coalesce(at(record, role), F.lit("")) if role.startswith("$") else F.lit(role)
+            # rows are turns already: their roles stay as they are
+            out.append(F.struct((named if layout.numbered else F.coalesce(names[named], named)).alias("role"), _text_at(record, text, at).alias("text")))
         return F.array(*out)
 
     return turns
@@ -155,14 +169,21 @@ def json_turns(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 
 def table_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(conv_id, turn, role, text) of a table, through the mapping of the layout that its columns select."""
+    """(conv_id, turn, role, text) of a table, through the mapping of the layout that the fingerprint of its columns selects; other columns don't matter."""
     layout = table_layout(df)
     if layout is None:
         raise ValueError(f"no layout has the columns {', '.join(df.columns)}")
-    if layout is LAYOUTS[0]:
-        return df.select(*layout.paths)
-    records = df.select(F.col(id_col), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != id_col]), {"ignoreNullFields": "false"}).alias("record"))
-    return json_turns(records, id_col, "record").where("turn IS NOT NULL").select("conv_id", "turn", "role", "text")
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != id_col or layout.numbered])
+    if layout.each is None:
+        said = _mapped(layout, _field_at)(record)
+    else:
+        said = F.flatten(F.transform(_elements(df, layout.each), _mapped(layout, _field_at)))
+    rows = df.select(F.col(f"`{id_col}`").alias("conv_id"), (F.col(layout.numbered) if layout.numbered else F.lit(0)).alias("at"), F.posexplode(said).alias("nth", "said"))
+    return rows.select("conv_id", (F.col("at") if layout.numbered else F.col("nth")).cast("long").alias("turn"), "said.role", "said.text")
+
+
+def _elements(df: DataFrame, path: str) -> Column:
+    return F.coalesce(F.col(f"`{path.removeprefix('$.')}`"), F.array().cast(df.schema[path.removeprefix("$.")].dataType))
 
 
 def escaped(text: Column, escapes=ESCAPES) -> Column:

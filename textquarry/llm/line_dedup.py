@@ -165,15 +165,21 @@ def keep_bitmaps_joined(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return with_keys(docs, id_col, text_col).join(line_dedup(docs, id_col, text_col, min_chars), ["d", "row_hash"], "left")
 
 
-def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs(doc_id, text, ...), same columns, with the dropped lines taken out of the texts; texts that lose none stay as they are, null too."""
+def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS, keep_emptied: bool = True) -> DataFrame:
+    """docs(doc_id, text, ...), same columns, with the dropped lines taken out of the texts; texts that lose none stay as they are, null too.
+
+    keep_emptied=False leaves out documents that lose lines and have nothing but white space left.
+    """
     rows = packed(docs)
     schema = rows.schema
 
     def run(batches):
         for batch in batches:
             texts = [t if k is None else kept_lines(t, k)[0] for t, k in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, batch.column("text").type), batch.column("rest")], names=schema.names)
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, batch.column("text").type), batch.column("rest")], names=schema.names)
+            if not keep_emptied:
+                out = out.filter(pa.array([k is None or bool(t.strip(" \t\n\x0b\x0c\r")) for t, k in zip(texts, batch.column("keep").to_pylist(), strict=True)]))
+            yield out
 
     return unpacked(keep_bitmaps_joined(rows, min_chars=min_chars).select(*schema.names, "keep").mapInArrow(run, schema), docs.columns)
 

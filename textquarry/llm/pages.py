@@ -25,17 +25,23 @@ import functools
 import hashlib
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import table
+from .common import saved, table
 
 LOW, LEAST_PAGES, GAMMA = 0.3, 4, 0.9
+#: Most branches and characters of hosts, together, that are broadcast; tasks that a host's pages are dealt to beyond.
+BROADCAST_SIZE, SALTS = 1_000_000, 64
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: What begins markup, and the rest of a tag whose quotes are closed. A tag is looked for in TAG_CHARS characters; quotes that stay open end at the first >.
+_OPEN = re.compile(r"<!--|<[!?]|<(/?)([A-Za-z][^\s/>]*)")
+_REST = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>""")
+TAG_CHARS = 1 << 14
 _ATTRIBUTE = re.compile(r"""([A-Za-z_:][-A-Za-z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
@@ -88,6 +94,23 @@ def _element(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
     return f"{tag}{'.' if kept else ''}{kept}{'!' if content else ''}", noise, sure, within
 
 
+def tokens(page: str):
+    """Yields (start, end, closing, tag, attributes) of comments, declarations (tag empty) and tags, in time in proportion to the page. What no > ends is text."""
+    at = 0
+    while (found := _OPEN.search(page, at)) is not None:
+        start, tag = found.start(), found[2]
+        if found[0] == "<!--":
+            end = page.find("-->", start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", "", ""
+            continue
+        rest = _REST.match(page, found.end(), found.end() + TAG_CHARS) if tag else None
+        at = rest.end() if rest else page.find(">", found.end()) + 1
+        if not at:
+            return
+        yield start, at, found[1] or "", (tag or "").lower(), page[found.end() : at - 1]
+
+
 @functools.lru_cache(maxsize=65536)
 def branch_hash(branch: str) -> int:
     return int.from_bytes(hashlib.blake2b(branch.encode(), digest_size=8).digest(), "big", signed=True)
@@ -98,16 +121,17 @@ class _Node:
 
     __slots__ = ("branch", "children", "content", "inner", "noise", "sure", "tag")
 
-    def __init__(self, tag: str, branch: str, noise: bool, content: bool, sure: bool = False, inner: bool = False):
+    def __init__(self, tag: str, branch: int, noise: bool, content: bool, sure: bool = False, inner: bool = False):
         self.tag, self.branch, self.noise, self.content, self.sure, self.inner, self.children = tag, branch, noise, content, sure, inner, set()
 
 
 def blocks(page: str | None):
     """Yields (text, node) for each block of a page in order, and last (None, all block nodes)."""
     page = page or ""
-    root = _Node("", "", False, False)
+    root = _Node("", 0, False, False)
     stack, inline = [root], []
     nodes, buffer = [root], []
+    opened: Counter = Counter()
     at = 0
 
     def text() -> str:
@@ -117,39 +141,36 @@ def blocks(page: str | None):
 
     def close(tags: tuple, scope: tuple = ()) -> None:
         """Closes the nearest open element of these tags, unless one of scope is nearer."""
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
+                opened.subtract(n.tag for n in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in scope:
                 return
 
-    while True:
-        found = _TOKEN.search(page, at)
-        if found is None:
-            buffer.append(page[at:])
-            if said := text():
-                yield said, stack[-1]
-            break
-        buffer.append(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag or (tag in _INLINE and not (found[3] and _element(tag, found[3])[3 if stack[-1].content else 1])):
-            if tag and found[1] and inline and inline[-1] == tag and stack[-1].tag == tag:
+    for start, end, closing, tag, attributes in tokens(page):
+        if start < at:  # inside a script or the like
+            continue
+        buffer.append(page[at:start])
+        at = end
+        if not tag or (tag in _INLINE and not (attributes and _element(tag, attributes)[3 if stack[-1].content else 1])):
+            if tag and closing and inline and inline[-1] == tag and stack[-1].tag == tag:
                 if said := text():
                     yield said, stack[-1]
                 inline.pop()
-                stack.pop()
+                opened[stack.pop().tag] -= 1
             continue
         if said := text():
             yield said, stack[-1]
-        if found[1]:
-            if any(n.tag == tag for n in stack):
-                close((tag,))
+        if closing:
+            close((tag,))
             if tag in inline:
                 inline.remove(tag)
             continue
-        if tag in _RAW and not found[3].endswith("/"):
+        if tag in _RAW and not attributes.endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -160,19 +181,23 @@ def blocks(page: str | None):
         if tag in _SIBLINGS:
             for sibling in reversed(_SIBLINGS[tag]):
                 close((sibling,), _SCOPES[tag])
-        signature, noise, sure, within = _element(tag, found[3])
+        signature, noise, sure, within = _element(tag, attributes)
         parent = stack[-1]
         noise = within if parent.content else noise
         content = parent.content or signature.endswith("!")
         if tag == "header" and not parent.content:
             noise = sure = True
         parent.children.add(signature)
-        node = _Node(tag, f"{parent.branch}/{signature}", parent.noise or noise, content, parent.sure or sure, content and (parent.inner if parent.content else False) or (content and noise))
-        if not found[3].endswith("/"):
+        node = _Node(tag, branch_hash(f"{parent.branch}/{signature}"), parent.noise or noise, content, parent.sure or sure, content and (parent.inner if parent.content else False) or (content and noise))
+        if not attributes.endswith("/"):
             stack.append(node)
+            opened[tag] += 1
             if tag in _INLINE:
                 inline.append(tag)
         nodes.append(node)
+    buffer.append(page[at:])
+    if said := text():
+        yield said, stack[-1]
     yield None, nodes
 
 
@@ -182,9 +207,9 @@ def _features(batches):
     for batch in (part for whole in batches for part in T.slices(whole, "html")):
         rows = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            styles: dict[str, set] = {}
-            texts: dict[str, set] = {}
-            chars: dict[str, int] = {}
+            styles: dict[int, set] = {}
+            texts: dict[int, set] = {}
+            chars: dict[int, int] = {}
             for text, node in blocks(page):
                 if text is None:
                     for n in node:
@@ -193,9 +218,8 @@ def _features(batches):
                     texts.setdefault(node.branch, set()).add(text)
                     chars[node.branch] = chars.get(node.branch, 0) + len(text)
             whole = branch_hash("\n".join(sorted({x for said in texts.values() for x in said})))
-            for branch, said in texts.items():
-                key = branch_hash(branch)
-                rows.append((host, key, 0, branch_hash(" ".join(sorted(styles[branch]))), chars[branch], whole))
+            for key, said in texts.items():
+                rows.append((host, key, 0, branch_hash(" ".join(sorted(styles[key]))), chars[key], whole))
                 rows += [(host, key, 1, int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big", signed=True), 0, whole) for x in said]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
@@ -229,7 +253,7 @@ def main_text(page: str | None, low: set) -> str:
     kept = [x for x in found if not x[1].noise] or [x for x in found if x[1].content and not x[1].inner]
     if any(node.content for _, node in kept):
         kept = [x for x in kept if x[1].content]
-    high = [x for x in kept if not (low and branch_hash(x[1].branch) in low)]
+    high = [x for x in kept if x[1].branch not in low]
     if not high and kept and kept[0][1].content:
         high = kept
     return " ".join(text for text, _ in high)
@@ -244,7 +268,14 @@ def extracted(pages: DataFrame) -> DataFrame:
             texts = [main_text(page, set(low or ())) for page, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    joined = pages.select("page_id", "url", "html", host_of().alias("host")).join(low_branches(pages), "host", "left")
+    low = saved(low_branches(pages))
+    rows = pages.select("page_id", "url", "html", host_of().alias("host"))
+    size = low.agg(F.coalesce(F.sum(F.size("low") + F.length("host")), F.lit(0))).first()[0]
+    if size <= BROADCAST_SIZE:  # pages stay where they are
+        joined = rows.join(F.broadcast(low), "host", "left")
+    else:  # hosts dealt to several tasks each
+        low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(low, ["host", "salt"], "left")
     return joined.select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
