@@ -465,3 +465,39 @@ def test_rows_of_a_batch_without_results_stay(spark):
     queries = spark.createDataFrame([(1, "q"), (2, " ")], "query_id int, query string")
     results = spark.createDataFrame([(1, "x")], "query_id int, id string")
     assert sorted(tuple(r) for r in answering.batch(queries, results).collect()) == [(1, "q", 1, None), (2, " ", 0, "empty query")]
+
+
+def test_filtered_search_keeps_the_one_chunk_that_fits(spark):
+    """Many chunks of another act repeat the query's words; the one of the section and act asked for comes back, by words and by vectors."""
+    from textquarry import fixtures
+    from textquarry.plans import search
+
+    columns = fixtures.TABLES["chunks"][0]
+    rows = [(f"x{i}", "Section 302 IPC punishment for murder, punishment for murder.", f"b{i}.pdf", i, f"p{i}", "CrPC", "12", None, "commentary", None, None, "commentary") for i in range(60)]
+    rows += [("fit", "Whoever commits murder shall be punished.", "code.pdf", 9, "p900", "IPC", "302", None, "bare_act", None, None, "bare_act")]
+    chunks = spark.createDataFrame(rows, columns)
+    queries = spark.createDataFrame([(1, "Section 302 IPC punishment for murder")], "query_id int, query string")
+    assert [r["id"] for r in search.statutes(queries, chunks, "2024-07-01", filtered=True).collect()] == ["fit"]
+    assert "fit" not in [r["id"] for r in search.statutes(queries, chunks, "2024-07-01").collect()]
+    vectors = spark.createDataFrame([(r[0], [0.0, 1.0] if r[0] == "fit" else [1.0, 0.01 * i]) for i, r in enumerate(rows)], "vec_id string, embedding array<double>")
+    probes = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
+    both = search.statutes(queries, chunks, "2024-07-01", filtered=True, probes=probes, vectors=vectors).collect()
+    assert [(r["id"], r["tier"]) for r in both] == [("fit", 1)] and both[0]["rrf_score"] == pytest.approx(2 / 61)
+    whole = search.statutes(queries, chunks, "2024-07-01", probes=probes, vectors=vectors).collect()
+    assert len(whole) == 5 and all(r["semantic_score"] > 0 or r["bm25_score"] > 0 for r in whole) and any(r["boost_score"] > 0 for r in whole)
+
+
+def test_packs_and_windows_of_odd_texts(spark):
+    texts = ["", None, "   \n\n  ", "one", "a\n\nb\n\n" + "c" * 600 + "\n\nd", " ".join(f"w{i}." if i % 37 == 0 else f"w{i}" for i in range(700)), "x" * 60, "Section 1. A\n" + "w " * 700 + "\nSection 2. B\n" + "v " * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packs = {}
+    for r in chunking.paragraph_packs(docs, "doc_id", "text").collect():
+        packs.setdefault(r["doc_id"], {})[r["pos"]] = r["chunk"]
+    assert [packs[4][i] for i in range(len(packs[4]))] == ["a\n\nb", "c" * 600, "d"] and packs[3] == {0: "one"} and not {0, 1, 2} & set(packs)
+    windows = {}
+    for r in chunking.sentence_windows(docs, "doc_id", "text").orderBy("pos").collect():
+        windows.setdefault(r["doc_id"], []).append(r["chunk"].split(" "))
+    assert set(windows) == {4, 5, 6, 7} and windows[6] == [["x" * 60]]
+    assert windows[5][0][-1] == "w148." and windows[5][1][0] == "w119" and windows[5][-1][-1] == "w699"
+    cut = [r["chunk"] for r in chunking.boundary_windows(docs, "doc_id", "text").where("doc_id = 7").orderBy("pos").collect()]
+    assert cut[1].startswith("Section 2. B") and " ".join(cut).split() == texts[7].split()

@@ -61,13 +61,13 @@ def ranked(scored: DataFrame, k: int | None = None, score: str = "score", key: s
 
 
 def min_max(scored: DataFrame, score: str = "score") -> DataFrame:
-    """Adds normalized_score: the score between the query's lowest and highest, 1 if they are equal."""
-    w = Window.partitionBy("query_id")
-    low, high = F.min(score).over(w), F.max(score).over(w)
-    return scored.withColumn("normalized_score", F.when(high <= low, 1.0).otherwise(T.clamp((F.col(score) - low) / (high - low))))
+    """Adds normalized_score: the score between the query's lowest and highest, 1 if they are equal. One row a query is joined back: no query's hits meet in one task."""
+    bounds = scored.groupBy("query_id").agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    low, high = F.col("_low"), F.col("_high")
+    return scored.join(bounds, "query_id").withColumn("normalized_score", F.when(high <= low, 1.0).otherwise(T.clamp((F.col(score) - low) / (high - low)))).drop("_low", "_high")
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int, epsilon: float = 0.0, id_col: str = "vec_id", where: Column | None = None) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int | None, epsilon: float = 0.0, id_col: str = "vec_id", where: Column | None = None) -> DataFrame:
     """(query_id, doc_id, similarity, rank): exact cosine search of queries(query_id, vector) over vectors, filtered first if asked."""
     pool = vectors if where is None else vectors.where(where)
     scored = pool.select(F.col(id_col).alias("doc_id"), "embedding").crossJoin(broadcast_if_few(queries, 10_000)).select("query_id", "doc_id", T.cosine(F.col("embedding"), F.col("vector"), epsilon).alias("similarity"))

@@ -31,38 +31,56 @@ def hybrid(queries: DataFrame, docs: DataFrame, probes: DataFrame, vectors: Data
     return S.ranked(first.drop("rank"), k, digits=None).select("query_id", "doc_id", "source", "score", "rank")
 
 
-def scored_chunks(queries: DataFrame, chunks: DataFrame, as_of: str) -> DataFrame:
-    """Every pair of a query of the batch and a chunk of a small corpus, boosted."""
-    parsed = queries.select("query_id", "query", L.parsed_query("query").alias("parsed"))
-    return scoring.boosted(readers.with_derived(chunks).crossJoin(parsed), as_of)
-
-
-def statutes(queries: DataFrame, chunks: DataFrame, as_of: str, k: int = 5, pool: int = 30, filtered: bool = False, by_page: bool = True) -> DataFrame:
-    """Ranked chunks for queries about statutes: BM25, boosts, duplicates dropped by page, heuristic reranking.
+def statutes(
+    queries: DataFrame, chunks: DataFrame, as_of: str, k: int = 5, pool: int = 30, filtered: bool = False, by_page: bool = True, probes: DataFrame | None = None, vectors: DataFrame | None = None
+) -> DataFrame:
+    """Ranked chunks for queries about statutes: BM25 and, with probes(query_id, embedding) and vectors(vec_id, embedding), nearest vectors, fused; boosts, duplicates dropped by page, heuristic reranking.
 
-    filtered: only chunks of the sections and acts a query names, acts given up first, then sections. by_page: one chunk of a
-    page, as its hash names it; else one of each text.
+    filtered: only chunks of the sections and acts a query names, acts given up first, then sections; both branches rank what is left and
+    are then cut to the pool, so a chunk that fits is never lost to others that don't. by_page: one chunk of a page, as its hash names it; else one of each text.
     """
-    lexical = S.ranked(S.min_max(S.bm25(S.query_terms(queries), chunks, "id", "document")), None)
+    chunks = readers.with_derived(chunks)
     parsed = queries.select("query_id", "query", L.parsed_query("query").alias("parsed"))
-    found = lexical.withColumnRenamed("doc_id", "id").join(readers.with_derived(chunks), "id").join(parsed, "query_id")
-    if filtered:
-        names = L.full_act_names(F.col("parsed.acts"))
-        in_act = F.exists(names, lambda n: F.startswith(n, F.coalesce(F.col("act"), F.lit("?")))) | F.array_contains(F.col("parsed.acts"), F.col("act"))
-        no_act, no_section = F.size("parsed.acts") == 0, F.size("parsed.section_numbers") == 0
-        in_section = no_section | F.array_contains(F.col("parsed.section_numbers"), F.lower("section_number"))
-        strict = F.coalesce(in_section & (no_act | in_act), F.lit(False))
-        found = S.relaxed(found, strict, F.coalesce(in_section & ~no_section, F.lit(False)))
+
+    def narrowed(hits: DataFrame) -> DataFrame:
+        """Of hits(query_id, doc_id, ...), those of the best tier that each query has."""
+        placed = hits.join(chunks.select(F.col("id").alias("doc_id"), "act", "section_number"), "doc_id").join(parsed.select("query_id", "parsed"), "query_id")
+        return S.relaxed(placed, *_fit()).select(*hits.columns)
+
+    lexical = S.bm25(S.query_terms(queries), chunks, "id", "document")
+    lexical = S.ranked(S.min_max(narrowed(lexical) if filtered else lexical), pool)
+    if probes is not None:
+        near = S.dense(probes, vectors, None if filtered else pool)
+        near = S.ranked(narrowed(near).drop("rank"), pool, "similarity") if filtered else near
+        found = S.fused(near, lexical).withColumn("semantic_score", S.semantic_score())
     else:
-        found = found.withColumn("tier", F.lit(0))
-    found = found.where(F.col("rank") <= pool)
-    scored = scoring.boosted(found, as_of).withColumns({"rrf_score": F.lit(1.0) / (S.RRF_K + F.col("rank")), "bm25_score": F.col("normalized_score"), "semantic_score": F.lit(0.0)})
-    scored = scoring.reranked(scored.drop("score")).withColumn("order", F.round(F.col("rrf_score") + F.col("boost_score"), 6))
+        found = lexical.select("query_id", "doc_id", (F.lit(1.0) / (S.RRF_K + F.col("rank"))).alias("rrf_score"), F.col("normalized_score").alias("bm25_score"), F.lit(0.0).alias("semantic_score"))
+    found = found.select("query_id", F.col("doc_id").alias("id"), "rrf_score", F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), "semantic_score")
+    found = found.join(chunks, "id").join(parsed, "query_id")
+    strict, loose = _fit()
+    found = found.withColumn("tier", F.when(strict, 1).when(loose, 2).otherwise(3) if filtered else F.lit(0))
+    scored = scoring.reranked(scoring.boosted(found, as_of)).withColumn("order", F.round(F.col("rrf_score") + F.col("boost_score"), 6))
     text_key = F.concat_ws("|", "source", F.col("page").cast("string"), T.normalized_prefix("document"))
-    first = S.first_occurrences(S.ranked(scored.drop("rank"), None, "order", "id", None), F.coalesce(F.col("page_hash"), text_key) if by_page else text_key)
+    first = S.first_occurrences(S.ranked(scored, None, "order", "id", None), F.coalesce(F.col("page_hash"), text_key) if by_page else text_key)
     return S.ranked(first.drop("rank").withColumnRenamed("reranker_score", "score"), k, "score", "id", None)
 
 
+def _fit() -> tuple[Column, Column]:
+    """Whether a chunk is of the sections and acts that the query names, and whether it is of the sections."""
+    names = L.full_act_names(F.col("parsed.acts"))
+    in_act = F.exists(names, lambda n: F.startswith(n, F.coalesce(F.col("act"), F.lit("?")))) | F.array_contains(F.col("parsed.acts"), F.col("act"))
+    no_act, no_section = F.size("parsed.acts") == 0, F.size("parsed.section_numbers") == 0
+    in_section = no_section | F.array_contains(F.col("parsed.section_numbers"), F.lower("section_number"))
+    return F.coalesce(in_section & (no_act | in_act), F.lit(False)), F.coalesce(in_section & ~no_section, F.lit(False))
+
+
+def scored_chunks(queries: DataFrame, chunks: DataFrame, as_of: str, pool: int = 30) -> DataFrame:
+    """The lexical candidates of each query, `pool` at most, boosted."""
+    parsed = queries.select("query_id", "query", L.parsed_query("query").alias("parsed"))
+    found = S.ranked(S.bm25(S.query_terms(queries), chunks, "id", "document"), pool).select("query_id", F.col("doc_id").alias("id"))
+    return scoring.boosted(found.join(readers.with_derived(chunks), "id").join(parsed, "query_id"), as_of)
+
+
 def entity_reranked(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, id, entity_boost, tier) of chunks of a small corpus by the entities that queries name."""
     parsed = queries.select("query_id", "query", L.entities("query").alias("entities"))

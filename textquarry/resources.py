@@ -753,3 +753,6 @@ COURT_KEYS = (
     ("calcutta", "calcutta_high_court"),
     ("kolkata", "calcutta_high_court"),
 )
+
+#: Fixed value: where sections, chapters and parts start.
+SECTION_STARTS = r"(?m)(?:(?:^|\n)(?:Section|Sec\.?|s\.)\s*\d{1,4}[A-Z]?\.|(?:^|\n)\d{1,4}[A-Z]?\.\s+[A-Z]|(?:^|\n)(?:CHAPTER|Chapter|PART|Part)\s+(?:\d+|[A-Z]+))"
