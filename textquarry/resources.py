@@ -756,3 +756,40 @@ COURT_KEYS = (
 
 #: Fixed value: where sections, chapters and parts start.
 SECTION_STARTS = r"(?m)(?:(?:^|\n)(?:Section|Sec\.?|s\.)\s*\d{1,4}[A-Z]?\.|(?:^|\n)\d{1,4}[A-Z]?\.\s+[A-Z]|(?:^|\n)(?:CHAPTER|Chapter|PART|Part)\s+(?:\d+|[A-Z]+))"
+
+#: Patterns of the query parser, in the order in which they count; case is ignored.
+SECTION_PATTERNS = (
+    r"section[s]?\s+(\d{1,4}[a-z]?)\s+(?:of\s+)?(ipc|bns|crpc|bnss)",
+    r"section[s]?\s+(\d{1,4}[a-z]?)\s+(?:and|,)\s+(\d{1,4}[a-z]?)\s+(ipc|bns|crpc|bnss)",
+    r"section[s]?\s+(\d{1,4}[a-z]?)",
+    r"(?:s|sec|sec\.|section)\.?\s*(\d{1,4}[a-z]?)",
+    r"\[s\.?\s*(\d{1,4}[a-z]?)\]",
+)
+ARTICLE_PATTERNS = (
+    r"article\s+(\d{1,4}[a-z]?)\s+(?:of\s+(?:the\s+)?constitution)?",
+    r"art\.?\s*(\d{1,4}[a-z]?)",
+)
+
+#: Patterns and names of the query analysis. {act} stands for each of SECTION_ACTS.
+QUERY_SECTION = r"\bsection\s+(\d+[a-z]?)\b"
+QUERY_TARGET_PATTERNS = (
+    r"\bnow\b[^.]*?\bsection\s+(\d+[a-z]?)\b",
+    r"\bcorresponds?\s+to\b[^.]*?\bsection\s+(\d+[a-z]?)\b",
+    r"\bequivalent\b[^.]*?\bsection\s+(\d+[a-z]?)\b",
+)
+SECTION_ACTS = ("ipc", "bns", "crpc", "bnss")
+QUERY_SECTION_PATTERNS = (
+    r"\b{act}\b[^.]*?\bsection\s+(\d+[a-z]?)\b",
+    r"\bsection\s+(\d+[a-z]?)\b[^.]*?\b{act}\b",
+)
+ACT_PAIRS = (("ipc", "bns"), ("crpc", "bnss"))
+QUERY_ACT_PHRASES = {
+    "ipc": "indian penal code",
+    "bns": "bharatiya nyaya sanhita",
+    "crpc": "code of criminal procedure",
+    "bnss": "bharatiya nagarik suraksha sanhita",
+}
+QUERY_SAYS_ACT = (
+    r"\b(ipc|bns|crpc|bnss|bsa|cpc|act)\b|indian penal code|bharatiya nyaya sanhita|code of criminal procedure|bharatiya nagarik suraksha sanhita|bharatiya sakshya adhiniyam"
+    r"|indian evidence act|transfer of property act|consumer protection act|ndps|narcotic|motor vehicles act|hindu succession|indian contract act|limitation act"
+)
