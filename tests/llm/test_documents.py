@@ -144,6 +144,17 @@ def near_texts():
     return [*out, *(text_of(100 + i, 60) for i in range(30))]
 
 
+def test_native_keys_of_contexts(spark):
+    """The key that SQL makes of a context and a token is the one that texts have, at wrapping products too."""
+    rng = np.random.default_rng(5)
+    context, token = rng.integers(0, 2**64, (2, 500), dtype=np.uint64)
+    context[:3], token[:3] = (0, 2**63, 2**64 - 1), (2**64 - 1, 2**63, 0)
+    rows = spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(zip(context.view(np.int64).tolist(), token.view(np.int64).tolist(), strict=True))], "i long, context long, token long")
+    for level in (1, 3):
+        keys = [r["key"] for r in suffix_tree._keyed(rows, level).orderBy("i").collect()]
+        assert keys == suffix_tree.extended(context, token, level).view(np.int64).tolist()
+
+
 def test_near_copies_against_brute_force(spark):
     texts = near_texts()
     got = jaccard.jaccard_classes(docs_of(spark, texts)).select("d", "class_d", "n_links").collect()

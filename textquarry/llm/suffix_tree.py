@@ -39,8 +39,8 @@ from .common import release, saved, shuffle_partitions, table
 CACHE_ENTRIES = 2_500_000
 MIN_COUNT, DEPTH = 2, 4
 MU = 1.0
-#: Rows of counts that a task holds before it sends them on, and tokens to a part of the merge, about.
-CHUNK_ROWS, PART_TOKENS = 1_500_000, 1_000_000
+#: Rows of counts that a task holds before it sends them on, and bytes of text to a part of the merge.
+CHUNK_ROWS, PART_BYTES = 1_500_000, 6_000_000
 
 _START, _END = (T.mix(np.array([i], dtype=np.uint64))[0] for i in (101, 202))
 _FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
@@ -108,85 +108,88 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray, default=0) -
     return np.where(keys[at] == h, values[at], default)
 
 
-def _counted(arrays: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of parallel arrays, the first telling them apart, and their counts."""
-    _, at, n = np.unique(arrays[0], return_index=True, return_counts=True)
-    return [a[at] for a in arrays], n
-
-
-def _counts(names: list[str], of):
-    """Arrow batches of texts to counts; `of` gives parallel arrays of a slice, the first a hash of the whole row. Combined CHUNK_ROWS at a time."""
+def _ordered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts hashes, and where in it each distinct one begins."""
+    order = np.argsort(h)
+    ordered = h[order]
+    return order, np.flatnonzero(np.concatenate(([len(h) > 0], ordered[1:] != ordered[:-1])))
 
-    def run(batches):
-        held: list[list[np.ndarray]] = []
-        size = 0
-
-        def emit():
-            rows, n = _counted([np.concatenate(x) for x in zip(*held, strict=True)])
-            return pa.RecordBatch.from_arrays([*(pa.array(r.view(np.int64)) for r in rows), pa.array(n.astype(np.int64))], names=[*names, "n"])
 
-        for batch in (part for whole in batches for part in T.slices(whole, "text")):
-            rows = of(*sequence(batch.column("text")))
-            held.append(rows)
-            size += len(rows[0])
-            if size > CHUNK_ROWS:
-                yield emit()
-                held, size = [], 0
-        if size:
-            yield emit()
+def _counted(arrays: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of parallel arrays, sorted by the first, which tells them apart, and their counts."""
+    order, first = _ordered(arrays[0])
+    at = order[first]
+    return [a[at] for a in arrays], np.diff(np.append(first, len(order)))
 
-    return run
 
+def _packed(of, parts: int, with_tokens: bool = False):
+    """Arrow batches of texts to counts; `of` gives parallel arrays of a slice, the first a hash of the whole row. Combined CHUNK_ROWS at a time.
 
-def _packed(of, parts: int):
-    """As `_counts`, but one row for each part of the hashes, with all its counts packed in one binary: few rows and no room lost in the shuffle."""
+    One row for each range of the hashes, with all its counts packed in one binary: few rows and no room lost in the shuffle.
+    with_tokens: the counts of single tokens too, in parts from `parts` on.
+    """
 
-    def emit(held):
+    def emit(held, first_part=0):
         rows, n = _counted([np.concatenate(x) for x in zip(*held, strict=True)])
-        part = (rows[0] >> np.uint64(32)) % np.uint64(parts)
-        by = np.argsort(part, kind="stable")
-        cut = np.searchsorted(part[by], np.arange(parts + 1, dtype=np.uint64)).tolist()
-        arrays = [*(r[by] for r in rows[1:]), n[by].astype(np.uint64)]
+        part = (rows[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).tolist()
+        arrays = [*(rows[1:] or rows), n.astype(np.uint64)]
         full = [p for p in range(parts) if cut[p] < cut[p + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([np.stack([a[cut[p] : cut[p + 1]] for a in arrays]).tobytes() for p in full], pa.binary())], names=["part", "counts"])
+        blobs = [np.stack([a[cut[p] : cut[p + 1]] for a in arrays]).tobytes() for p in full]
+        return pa.RecordBatch.from_arrays([pa.array([first_part + p for p in full], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "counts"])
 
     def run(batches):
-        held, size = [], 0
+        held, tokens, size = [], [], 0
         for batch in (part for whole in batches for part in T.slices(whole, "text")):
-            held.append(of(*sequence(batch.column("text"))))
+            seq, bounds = sequence(batch.column("text"))
+            held.append(of(seq, bounds))
+            if with_tokens:
+                tokens.append(_unigrams(seq, bounds))
             size += len(held[-1][0])
             if size > CHUNK_ROWS:
                 yield emit(held)
-                held, size = [], 0
-        if size:
+                if tokens:
+                    yield emit(tokens, parts)
+                held, tokens, size = [], [], 0
+        if held:
             yield emit(held)
+        if tokens:
+            yield emit(tokens, parts)
 
     return run
 
 
-def _merged(width: int):
-    """Rows sorted by part to (context, suffix, of, n) of what occurs MIN_COUNT times; one part is held at a time. width: arrays in a binary, 4 or, where `of` is the context, 3."""
+_COUNTS = "context long, suffix long, of long, n long"
 
-    def merge(blobs):
-        context, suffix, *of, n = np.concatenate([np.frombuffer(b, np.uint64).reshape(width, -1) for b in blobs], axis=1)
-        of = of[0] if of else context
-        _, at, to = np.unique(extended(context, suffix, 1), return_index=True, return_inverse=True)
-        n = np.bincount(to, n.astype(np.float64)).astype(np.int64)
+
+def _merged(width: int, parts: int):
+    """Rows sorted by part to _COUNTS; one part is held at a time. Tokens have no context, and of the others what occurs MIN_COUNT times is left.
+
+    width: arrays in a binary, 4 or, where `of` is the context, 3.
+    """
+
+    def merge(part, blobs):
+        *columns, n = np.concatenate([np.frombuffer(b, np.uint64).reshape(2 if part >= parts else width, -1) for b in blobs], axis=1)
+        order, first = _ordered(columns[0] if part >= parts else extended(columns[0], columns[1], 1))
+        at, n = order[first], np.add.reduceat(n[order], first).view(np.int64)
+        if part >= parts:
+            none = pa.nulls(len(at), pa.int64())
+            return pa.RecordBatch.from_arrays([none, pa.array(columns[0][at].view(np.int64)), none, pa.array(n)], names=["context", "suffix", "of", "n"])
         keep = n >= MIN_COUNT
-        at = at[keep]
-        return pa.RecordBatch.from_arrays([pa.array(context[at].view(np.int64)), pa.array(suffix[at].view(np.int64)), pa.array(of[at].view(np.int64)), pa.array(n[keep])], names=["context", "suffix", "of", "n"])
+        context, suffix, of = (c[at[keep]].view(np.int64) for c in (columns[0], columns[1], columns[-1] if width > 3 else columns[0]))
+        return pa.RecordBatch.from_arrays([pa.array(context), pa.array(suffix), pa.array(of), pa.array(n[keep])], names=["context", "suffix", "of", "n"])
 
     def run(batches):
         now, blobs = None, []
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 if part != now and blobs:
-                    yield merge(blobs)
+                    yield merge(now, blobs)
                     blobs = []
                 now = part
                 blobs.append(blob)
         if blobs:
-            yield merge(blobs)
+            yield merge(now, blobs)
 
     return run
 
@@ -202,7 +205,7 @@ def _depths(n: int, bounds: np.ndarray) -> np.ndarray:
     return np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
 
 
-def _grams(level: int, shared: _Shared):
+def _grams(level: int, shared: _Shared | None = None):
     """Continuations as (context, suffix, counted): hashes of `level` tokens, the suffix one token further on; counted: what the context's count is found by.
 
     That is the context itself, unless what its last token follows was left out: then that token is all that ever follows there, and the
@@ -210,7 +213,7 @@ def _grams(level: int, shared: _Shared):
     """
 
     def of(seq, bounds):
-        tree = shared.broadcast.value
+        tree = shared.broadcast.value if shared else None
         grams = [seq, seq]  # by length, from 1
         for j in range(1, level):
             grams.append(np.concatenate((grams[-1][:1], extended(grams[-1][:-1], seq[1:], j))))
@@ -279,28 +282,41 @@ def _swept(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _keyed(level: int):
-    """Adds the hash of context and token to rows."""
+def _keyed(rows: DataFrame, level: int) -> DataFrame:
+    """Adds the key of context and token, as `extended` has it, to rows. Products and sums wrap, so the columns are resolved without ANSI mode."""
+    conf = rows.sparkSession.conf
+    long = lambda x: F.lit(int(np.uint64(x).view(np.int64)))
+    x, ansi = F.col("key"), conf.get("spark.sql.ansi.enabled")
+    conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        rows = rows.withColumn("key", F.col("context") * long(_FIRST if level == 1 else _SECOND) + F.col("token"))
+        rows = rows.withColumn("key", x.bitwiseXOR(F.shiftrightunsigned(x, 30)) * long(0xBF58476D1CE4E5B9))
+        rows = rows.withColumn("key", x.bitwiseXOR(F.shiftrightunsigned(x, 27)) * long(0x94D049BB133111EB))
+        return rows.withColumn("key", x.bitwiseXOR(F.shiftrightunsigned(x, 31)))
+    finally:
+        conf.set("spark.sql.ansi.enabled", ansi)
 
-    def run(batches):
-        for batch in batches:
-            context, token = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("context", "token"))
-            yield pa.RecordBatch.from_arrays([pa.array(extended(context, token, level).view(np.int64)), *batch.columns], names=["key", *batch.schema.names])
 
-    return run
+def _pairs(texts: DataFrame, level: int, parts: int, shared: _Shared | None = None) -> DataFrame:
+    """The written table _COUNTS of the continuations of contexts of `level` tokens; at level 1 all tokens are in it too, without a context."""
+    n = shuffle_partitions(texts.sparkSession)
+    counted = texts.mapInArrow(_packed(_grams(level, shared), parts, level == 1), "part int, counts binary")
+    return saved(counted.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_merged(4 if level > 2 else 3, parts), _COUNTS))
 
 
 def learn(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> tuple[Tree, DataFrame]:
     """The tree of docs(text), and the table (token, n) of all token counts. Scores don't depend on cache_entries."""
     spark = docs.sparkSession
     texts = docs.select("text")
-    tokens = saved(texts.mapInArrow(_counts(["token"], _unigrams), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(2 * shuffle_partitions(spark), size // PART_BYTES)
+    pairs = _pairs(texts, 1, parts)
+    tokens = saved(pairs.where("context IS NULL").select(F.col("suffix").alias("token"), "n"))
     end = int(np.array(_END).view(np.int64))
     total, distinct, n_texts = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == end, F.col("n"))), F.lit(0))).first()
     tree = Tree(total, distinct)
     if not total:
         return tree, tokens
-    parts = max(2 * shuffle_partitions(spark), total // PART_TOKENS)
     explicit = tokens.where(F.col("n") >= MIN_COUNT)
     start = spark.range(1).select(F.lit(int(np.array(_START).view(np.int64))).alias("of"), F.lit(n_texts).cast("double").alias("m"))
     contexts = explicit.select(F.col("token").alias("of"), F.col("n").cast("double").alias("m")).union(start)
@@ -309,18 +325,22 @@ def learn(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> tuple[Tree, Da
     siblings = Window.partitionBy("context")
     back, own = F.col("m") - F.col("known") + MU, (F.col("n") + F.col("back") * F.col("p")) / (F.col("m") + MU)
     for level in range(1, DEPTH + 1):
-        shared = _Shared(spark, tree)
-        counted = texts.mapInArrow(_packed(_grams(level, shared), parts), "part int, counts binary")
-        rows = counted.repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_merged(4 if level > 2 else 3), "context long, suffix long, of long, n long")
-        rows = rows.join(parents, "suffix").join(contexts, "of").select("context", "token", "n", "p", "m")
+        if level > 1:
+            shared = _Shared(spark, tree)
+            pairs = _pairs(texts, level, parts, shared)
+            shared.broadcast.destroy()  # what it was read for is written
+        _swept(spark)
+        rows = pairs.where("context IS NOT NULL").join(parents, "suffix")
+        # up to two tokens a context is counted by itself; joined by its own name, the windows need no other shuffle
+        rows = rows.join(contexts, "of") if level > 2 else rows.join(contexts.withColumnRenamed("of", "context"), "context")
+        rows = rows.select("context", "token", "n", "p", "m")
         rows = rows.withColumn("known", F.sum("n").over(siblings)).withColumn("back", back).withColumn("siblings", F.count("*").over(siblings))
         # the divergence test
         gain = F.sum(F.col("n") * F.log(own / F.col("p"))).over(siblings) + (F.col("m") - F.col("known")) * F.log(F.col("back") / (F.col("m") + MU))
         rows = rows.withColumn("kept", gain > 0.5 * np.log(total) * F.col("siblings")).withColumn("first", F.row_number().over(siblings.orderBy("context")) == 1)
         rows = rows.withColumn("open", (F.col("siblings") > 1) | (F.col("known") < F.col("m"))).drop("known", "siblings")
-        rows = saved(rows.mapInArrow(_keyed(level), "key long, context long, token long, n long, p double, m double, back double, kept boolean, first boolean, open boolean"))
-        del counted
-        shared.broadcast.destroy()  # what it was read for is written
+        rows = saved(_keyed(rows, level))
+        release(pairs)
         _swept(spark)
         retained = rows.where("kept")
         backs_off = retained.where("first").select(F.col("context").alias("key"), F.col("m").cast("long").alias("n"), F.log10(F.col("back") / (F.col("m") + MU)).alias("value"))
