@@ -93,7 +93,7 @@ def _(spark, d):
     return X.frame(spark, "bilingual").select("id", F.explode_outer(formatting.hindi_sections("text")).alias("s")).select("id", "s.number", "s.context")
 
 
-@query("devanagari")
+@query("devanagari", "SELECT id, replace(replace(t, 'kh', 'ख'), 'aa', 'ा') AS t FROM (VALUES (1, 'khaa'), (2, 'xyz'), (3, NULL)) v(id, t)")
 def _(spark, d):
     return spark.createDataFrame([(1, "khaa"), (2, "xyz"), (3, None)], "id int, t string").select("id", formatting.devanagari("t").alias("t"))
 

@@ -153,21 +153,47 @@ def _(spark, d):
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if(F.length("chunk") >= 50).alias("kept"))
 
 
-@query("paragraph_packs")
+_STRIPPED = "regexp_replace({0}, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')"
+
+
+@query("paragraph_packs", f"""WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, string_split(coalesce(text, ''), chr(10) || chr(10)) AS l FROM documents),
+    r AS (SELECT doc_id, 1 AS i, 0 AS pos, length(l[1]) + 2 AS chars FROM p UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN chars + length(l[i + 1]) > 500 THEN pos + 1 ELSE pos END, CASE WHEN chars + length(l[i + 1]) > 500 THEN 0 ELSE chars END + length(l[i + 1]) + 2 FROM r JOIN p USING (doc_id) WHERE i < len(l)),
+    packs AS (SELECT doc_id, pos, string_agg(l[i], chr(10) || chr(10) ORDER BY i) AS pack FROM r JOIN p USING (doc_id) GROUP BY doc_id, pos)
+    SELECT doc_id, pos, {_STRIPPED.format('pack')} AS chunk FROM packs QUALIFY {_STRIPPED.format('pack')} <> '' OR pos < max(pos) OVER (PARTITION BY doc_id)""")
 def _(spark, d):
     from ..operators import chunking
 
     return chunking.paragraph_packs(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("sentence_windows")
+def _sentence_end_sql(mark: str) -> str:
+    """A window up to its last mark followed by a space, if that is past the middle."""
+    at = f"(length(w) - strpos(reverse(w), ' {mark}') - 1)"
+    return f"CASE WHEN contains(w, '{mark} ') AND 2 * {at} > length(w) THEN left(w, {at} + 1) END"
+
+
+_TO_SENTENCE_END = f"coalesce({', '.join(_sentence_end_sql(mark) for mark in '.?!')}, w)"
+
+
+@query("sentence_windows", f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_STRIPPED.format("coalesce(text, '')")} AS whole, {sql_words('text')} AS l FROM documents),
+    r AS (SELECT doc_id, -1 AS pos, 0 AS start, 0 AS next, '' AS chunk FROM d WHERE length(whole) >= 50 AND len(l) > 160 UNION ALL
+        SELECT doc_id, pos + 1, next, next + greatest(len(string_split(c, ' ')) - 30, 1), c FROM
+            (SELECT doc_id, pos, next, CASE WHEN next + 160 < len(l) THEN {_TO_SENTENCE_END} ELSE w END AS c FROM (SELECT doc_id, pos, next, l, array_to_string(list_slice(l, next + 1, next + 160), ' ') AS w FROM r JOIN d USING (doc_id) WHERE next < len(l))))
+    SELECT doc_id, pos::INT AS pos, chunk FROM r WHERE pos >= 0 UNION ALL SELECT doc_id, 0, whole FROM d WHERE length(whole) >= 50 AND len(l) <= 160""")
 def _(spark, d):
     from ..operators import chunking
 
     return chunking.sentence_windows(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("boundary_windows")
+@query("boundary_windows", f"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, {sql_words('text')} AS l, string_split(regexp_replace(coalesce(text, ''), '({R.SECTION_STARTS})', chr(1) || '\\1', 'g'), chr(1)) AS pieces FROM documents),
+    lengths AS (SELECT doc_id, unnest(list_transform(pieces, lambda x: len({sql_words('x').replace('lambda x: x', 'lambda y: y')}))) AS n, generate_subscripts(pieces, 1) AS i FROM t),
+    starts AS MATERIALIZED (SELECT doc_id, list(DISTINCT s) AS starts FROM (SELECT doc_id, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM lengths) WHERE s > 0 GROUP BY doc_id),
+    d AS MATERIALIZED (SELECT doc_id, l, starts FROM t JOIN starts USING (doc_id)),
+    r AS (SELECT doc_id, -1 AS pos, 0::BIGINT AS since, 0::BIGINT AS upto FROM d UNION ALL
+        SELECT doc_id, pos + 1, upto, CASE WHEN upto + 800 < len(l) THEN coalesce(list_min(list_filter(starts, lambda n: n >= upto + 640 AND n <= upto + 800))::BIGINT, upto + 800) ELSE len(l) END FROM r JOIN d USING (doc_id) WHERE upto < len(l))
+    SELECT doc_id, pos::INT AS pos, array_to_string(list_slice(l, since + 1, upto), ' ') AS chunk FROM r JOIN d USING (doc_id) WHERE pos >= 0""")
 def _(spark, d):
     from ..operators import chunking
 
