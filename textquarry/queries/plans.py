@@ -183,7 +183,13 @@ def _(spark, d):
     return e.select(*analytics.audit_event(F.col("event_type"), value="event_id")).select("event_type", "user_id", "severity", "action", "details")
 
 
-@query("item_cache_replay")
+@query("item_cache_replay", """WITH RECURSIVE e AS MATERIALIZED (SELECT event_type, event_id, user_id % 40 AS item, epoch(ts::TIMESTAMP) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+    r(event_type, i, event_id, allowed, remaining, held) AS (SELECT DISTINCT event_type, 0::BIGINT, NULL::BIGINT, false, 0::BIGINT, []::STRUCT(until DOUBLE, name VARCHAR)[] FROM e UNION ALL
+        SELECT event_type, i, event_id, hit, CASE WHEN hit THEN len(held) ELSE len(kept) + 1 END, CASE WHEN hit THEN held ELSE list_append(kept, {'until': t + 7200, 'name': item::VARCHAR}) END
+        FROM (SELECT *, CASE WHEN len(live) >= 12 THEN list_sort(live)[2:] ELSE live END AS kept
+            FROM (SELECT e.*, held, len(list_filter(held, lambda h: h.name = item::VARCHAR AND h.until >= t)) > 0 AS hit, list_filter(held, lambda h: h.name <> item::VARCHAR AND h.until >= t) AS live
+                FROM r JOIN e ON e.event_type = r.event_type AND e.i = r.i + 1)))
+    SELECT event_id, event_type, allowed, remaining FROM r WHERE i > 0""")
 def _(spark, d):
     from ..streaming import limiters
 
