@@ -348,9 +348,8 @@ def test_pipeline_stages(spark, tmp_path):
     quality, lines, near, clean, mixed = seen
     assert set(quality) == set(range(300))
     assert shared in lines[10]["text"] and shared not in lines[11]["text"] and lines[11]["n_chars"] == len(lines[11]["text"])
-    assert set(lines) == set(quality)
-    # the later copy had all its lines dropped, so its text is empty: it is a document without words now, and stays
-    assert lines[21]["text"] == "" and set(near) == set(lines)
+    assert set(quality) - set(lines) == {21}  # the later copy: all its lines repeat earlier ones
+    assert set(near) == set(lines)
     assert set(near) - set(clean) == {30}
     assert set(mixed) == set(clean)
     run = {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard, line_dedup, mixing, neighbours, pages, quality, secrets, suffix_tree
+from . import bpe, chat, decontamination, divergence, jaccard, line_dedup, mixing, neighbours, pages, periodic, quality, secrets, suffix_tree
 
 
 def queries():
@@ -17,6 +17,9 @@ def queries():
         "op8_weighted_fair_mixing": mixing.op8_weighted_fair_mixing,
         "op9_projection_forest_neighbours": neighbours.op9_projection_forest_neighbours,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_byte_bpe": bpe.op13_byte_bpe,
     }
 
 
@@ -28,4 +31,5 @@ def oracle_sql():
         "op6_line_dedup": line_dedup.OP6_SQL,
         "op7_secret_scan": secrets.OP7_SQL,
         "op8_weighted_fair_mixing": mixing.OP8_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
     }

@@ -21,6 +21,10 @@ NOT_ALNUM[:0x80] = True
 for _lo, _hi in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B)):
     NOT_ALNUM[_lo:_hi] = False
 
+#: Terms of letters, `[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`: separators are ASCII but for A-Z, a-z.
+NOT_LETTER = NOT_ALNUM.copy()
+NOT_LETTER[0x30:0x3A] = True
+
 #: ASCII lower-casing by byte.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -72,6 +76,18 @@ def words(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def numbered(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, the same for the same bytes and for no others, and the distinct words in that order."""
+    inside = np.zeros(len(raw) + 1, dtype=np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    letters = raw[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    return column.indices.to_numpy().astype(np.int32), column.dictionary
+
+
 #: The first rows of the table that `hashes` adds up.
 _POSITIONS = 32
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
