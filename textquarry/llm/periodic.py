@@ -180,3 +180,30 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def _nibble_crc(value: int) -> int:
+    for _ in range(4):
+        value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+    return value
+
+
+_NIBBLES = "list_transform(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [ord(x) & 15, ord(x) >> 4])), lambda x: x::BIGINT)"
+_CRC = f"xor(list_reduce(list_concat([4294967295::BIGINT], {_NIBBLES}), lambda c, x: xor([{', '.join(str(_nibble_crc(i)) for i in range(16))}][(xor(c, x) & 15) + 1]::BIGINT, c >> 4)), 4294967295)"
+#: Equal words p apart by joins, their islands by gaps; periods are those that some grid point leaves.
+OP11_SQL = rf"""
+WITH hashed AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{BLANKS}]+') AS w, {_CRC} AS h FROM documents),
+sized AS (SELECT *, len(w) AS n, h // 10 AS g FROM hashed), made AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM sized),
+planted AS MATERIALIZED (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w FROM made),
+pos AS MATERIALIZED (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM planted),
+grid AS (SELECT doc_id, p, unnest(range((n - 1) // p - 1)) * p AS i FROM (SELECT doc_id, n, unnest(range(1, n // {MIN_PERIODS} + 1)) AS p FROM planted WHERE n >= {MIN_LENGTH})),
+periods AS (SELECT DISTINCT g.doc_id, g.p FROM grid g JOIN pos a ON a.doc_id = g.doc_id AND a.i = g.i JOIN pos b ON b.doc_id = g.doc_id AND b.i = g.i + g.p AND b.word = a.word JOIN pos c ON c.doc_id = g.doc_id AND c.i = g.i + 2 * g.p AND c.word = a.word),
+same AS (SELECT q.doc_id, q.p, a.i FROM periods q JOIN pos a ON a.doc_id = q.doc_id JOIN pos b ON b.doc_id = a.doc_id AND b.i = a.i + q.p AND b.word = a.word),
+spans AS MATERIALIZED (SELECT doc_id, p, min(i) AS s, count(*) + p AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM same) GROUP BY doc_id, p, island HAVING count(*) + p >= greatest({MIN_LENGTH}, {MIN_PERIODS} * p)),
+runs AS MATERIALIZED (SELECT * FROM spans x WHERE NOT EXISTS (SELECT 1 FROM spans y WHERE y.doc_id = x.doc_id AND y.p < x.p AND y.s <= x.s AND y.s + y.l >= x.s + x.l)),
+listed AS (SELECT doc_id, count(*) AS n_runs, arg_min(s, o) AS start, arg_min(l, o) AS length, arg_min(p, o) AS period, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / p DESC, s, p) AS o FROM runs) GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + l)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS line FROM pos ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(r.n_runs, 0) AS n_runs, r.start, r.length, r.period, 1000 * r.length // r.period AS exponent_milli, sha256(coalesce(r.line, '')) AS runs_sha256, sha256(coalesce(k.line, '')) AS collapsed_sha256
+FROM planted d LEFT JOIN listed r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -31,5 +31,6 @@ def oracle_sql():
         "op6_line_dedup": line_dedup.OP6_SQL,
         "op7_secret_scan": secrets.OP7_SQL,
         "op8_weighted_fair_mixing": mixing.OP8_SQL,
+        "op11_periodic_runs": periodic.OP11_SQL,
         "op12_source_divergence": divergence.OP12_SQL,
     }
