@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import order
+
 DAY = 86400
 
 
@@ -67,12 +69,12 @@ def recent(log: DataFrame, limit: int = 20, key: str = "query") -> DataFrame:
 def floor_percentiles(values: DataFrame, value: str, by: list[str], points: dict[str, float]) -> DataFrame:
     """For each group, sorted[int(n q)] of each point, counted from 0, without interpolation; and count, mean, min, max, stddev.
 
-    Ranks come from a sort within groups; no group is gathered into one array.
+    Values are ranked over range partitions: a group, however large, is spread over many tasks.
     """
-    w = Window.partitionBy(*by)
-    ranked = values.where(F.col(value).isNotNull()).withColumns({"_n": F.count("*").over(w), "_i": F.row_number().over(w.orderBy(value)) - 1})
-    picks = [F.max(F.when(F.col("_i") == F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1), F.col(value))).alias(name) for name, q in points.items()]
-    return ranked.groupBy(*by).agg(F.count("*").alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stddev"), *picks)
+    present = values.where(F.col(value).isNotNull())
+    summed = present.groupBy(*by).agg(F.count("*").alias("count"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("stddev"))
+    picked = order.at_ranks(present, value, by, points).select(*[F.col(c).alias(f"_of_{c}") for c in by], *points)
+    return summed.join(picked, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]).drop(*[f"_of_{c}" for c in by])
 
 
 # --- query cache: (cache_key, query_text, response, route, created_at, expires_at, hit_count)

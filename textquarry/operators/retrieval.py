@@ -97,7 +97,8 @@ def semantic_score(inverted: bool = False) -> Column:
 def relaxed(candidates: DataFrame, strict: Column, loose: Column) -> DataFrame:
     """candidates(query_id, ...) with tier: those that pass the strict filter if the query has any, else the loose one, else all."""
     tiered = candidates.withColumn("tier", F.when(strict, 1).when(loose, 2).otherwise(3))
-    return tiered.withColumn("_best", F.min("tier").over(Window.partitionBy("query_id"))).where("tier <= _best").drop("_best")
+    best = tiered.groupBy("query_id").agg(F.min("tier").alias("_best"))  # joined back: no query's candidates meet in one task
+    return tiered.join(broadcast_if_few(best), "query_id").where("tier <= _best").drop("_best")
 
 
 def first_occurrences(results: DataFrame, key: Column, order: str = "rank") -> DataFrame:
@@ -116,9 +117,8 @@ def one_per_group_first(results: DataFrame, group: str, wanted: Column, limit: i
 
 def page_of(results: DataFrame, page: int, size: int) -> DataFrame:
     """The rows of one page by rank, with total_pages (at least 1)."""
-    total = F.count("*").over(Window.partitionBy("query_id"))
-    out = results.withColumn("total_pages", F.greatest(F.ceil(total / size), F.lit(1)).cast("int"))
-    return out.where(F.col("rank").between((page - 1) * size + 1, page * size))
+    total = results.groupBy("query_id").agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).cast("int").alias("total_pages"))
+    return results.where(F.col("rank").between((page - 1) * size + 1, page * size)).join(broadcast_if_few(total), "query_id")
 
 
 def window_and_pool(page: int, size: int) -> tuple[int, int]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import resources as R
 from ..functions import legal as L
 from ..functions import text as T
+from . import dictionary
 
 THEFT = {
     "terms": "theft",
@@ -57,15 +58,15 @@ def expanded(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
 
     Terms of three letters or fewer must stand alone. Without a term, terms whose phrases the query has are taken.
     """
-    low = F.lower(T.text_of("query"))
-    pairs = queries.select("query_id", low.alias("low")).crossJoin(synonyms)
-    forward = F.when(F.length("term") <= 3, F.rlike("low", F.concat(F.lit(r"\b"), "term", F.lit(r"\b")))).otherwise(F.contains("low", F.col("term")))
-    marked = pairs.withColumns({"fwd": forward, "rev": F.contains("low", F.lower("phrase"))})
-    by_term = marked.groupBy("query_id", "ord", "term").agg(F.max("fwd").alias("fwd"), F.max("rev").alias("rev"))
-    by_term = by_term.withColumn("any", F.max("fwd").over(Window.partitionBy("query_id"))).where("fwd OR (NOT any AND rev)")
-    chosen = by_term.select("query_id", "ord", "term").join(marked.select("query_id", "ord", "n", "phrase", "rev"), ["query_id", "ord"]).where("NOT rev")
+    forward = dictionary.hits(queries, synonyms, "query_id", "query", alone_upto=3).select("query_id", "term")
+    listed = synonyms.select("ord", "n", "term", "phrase")
+    fwd = listed.withColumn("term_low", F.lower("term")).select("ord", "term", "term_low").distinct().join(forward.withColumnRenamed("term", "term_low"), "term_low").select("query_id", "ord", "term")
+    held = dictionary.hits(queries, synonyms, "query_id", "query", term_col="phrase").select("query_id", F.col("term").alias("phrase_low"))
+    rev = listed.withColumn("phrase_low", F.lower("phrase")).join(held, "phrase_low").select("query_id", "ord", "n", "term")
+    by_term = fwd.unionByName(rev.select("query_id", "ord", "term").join(fwd.select("query_id").distinct(), "query_id", "left_anti")).distinct()
+    chosen = by_term.join(listed.select("ord", "n", "phrase"), "ord").join(rev.select("query_id", "ord", "n"), ["query_id", "ord", "n"], "left_anti")
     terms = by_term.groupBy("query_id").agg(F.collect_set("term").alias("terms"))
-    phrases = chosen.join(terms, "query_id").where(~F.array_contains("terms", F.lower("phrase")))
+    phrases = chosen.drop("term").join(terms, "query_id").where(~F.array_contains("terms", F.lower("phrase")))
     first = phrases.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", F.lower("phrase")).orderBy("ord", "n"))).where("_n = 1")
     listed = first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "n", "phrase"))), lambda x: x["phrase"]).alias("phrases"))
     words = F.slice(F.split(F.array_join("phrases", " "), r"\s+"), 1, MOST_WORDS)

@@ -64,13 +64,13 @@ def _(spark, d):
 _COS = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE))) + {eps})"
 
 
-def _dense_sql(k: int, where: str = "TRUE", eps: str = "0") -> str:
+def _dense_sql(k: int, where: str = "TRUE", eps: str = "0", probes: str = "vec_id % 20 = 0") -> str:
     return f"""dn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, doc_id)::INT AS rank FROM (SELECT b.vec_id::INT + 1 AS query_id, a.vec_id AS doc_id, {_COS.format(eps=eps)} AS similarity
-        FROM embeddings a CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 4) b WHERE {where}) QUALIFY rank <= {k})"""
+        FROM embeddings a CROSS JOIN (SELECT * FROM embeddings WHERE {probes}) b WHERE {where}) QUALIFY rank <= {k})"""
 
 
-def _probes(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 4").select((F.col("vec_id") + 1).cast("int").alias("query_id"), F.col("embedding").alias("vector"))
+def _probes(spark, d, where: str = "vec_id % 20 = 0"):
+    return table(spark, d, "embeddings").where(where).select((F.col("vec_id") + 1).cast("int").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 @query("dense_topk", f"WITH {_dense_sql(20)} SELECT query_id, doc_id, rank, round(similarity, 6) AS similarity FROM dn")
@@ -83,14 +83,16 @@ def _(spark, d):
     return S.dense(_probes(spark, d), table(spark, d, "embeddings"), 20, 1e-8, where=F.col("label") == 1).withColumn("similarity", F.round("similarity", 6))
 
 
-_FUSED = f"""{_bm25_sql()}, {_dense_sql(30)}, fu AS (SELECT coalesce(s.query_id, b.query_id) AS query_id, coalesce(s.doc_id, b.doc_id) AS doc_id, s.rank AS semantic_rank, b.rank AS bm25_rank,
+#: The vectors of the four literal queries.
+_FOUR = "vec_id < 4"
+_FUSED = f"""{_bm25_sql()}, {_dense_sql(30, probes=_FOUR)}, fu AS (SELECT coalesce(s.query_id, b.query_id) AS query_id, coalesce(s.doc_id, b.doc_id) AS doc_id, s.rank AS semantic_rank, b.rank AS bm25_rank,
     coalesce(1.0::DOUBLE / (60 + s.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS rrf_score, coalesce(b.norm, 0) AS bm25_score, s.similarity FROM dn s FULL JOIN (SELECT * FROM br WHERE rank <= 30) b ON s.query_id = b.query_id AND s.doc_id = b.doc_id)"""
 
 
 @query("rrf_fusion", f"WITH {_FUSED} SELECT query_id, doc_id, semantic_rank, bm25_rank, round(rrf_score, 6) AS rrf_score FROM fu")
 def _(spark, d):
     lexical = S.ranked(S.bm25(S.query_terms(asked(spark)), table(spark, d, "documents")), 30)
-    return S.fused(S.dense(_probes(spark, d), table(spark, d, "embeddings"), 30), lexical).select("query_id", "doc_id", "semantic_rank", "bm25_rank", F.round("rrf_score", 6).alias("rrf_score"))
+    return S.fused(S.dense(_probes(spark, d, _FOUR), table(spark, d, "embeddings"), 30), lexical).select("query_id", "doc_id", "semantic_rank", "bm25_rank", F.round("rrf_score", 6).alias("rrf_score"))
 
 
 _HYBRID = f"""{_FUSED}, sc AS (SELECT fu.*, coalesce(greatest(0, least(1, similarity / greatest(max(similarity) OVER (PARTITION BY query_id), 1e-9))), 0) AS semantic_score FROM fu),
@@ -99,13 +101,13 @@ _HYBRID = f"""{_FUSED}, sc AS (SELECT fu.*, coalesce(greatest(0, least(1, simila
 
 @query("fallback_rerank", f"WITH {_HYBRID} SELECT query_id, doc_id, score FROM rr")
 def _(spark, d):
-    return search.candidates(asked(spark), table(spark, d, "documents"), _probes(spark, d), table(spark, d, "embeddings"), 30).select("query_id", "doc_id", F.col("reranker_score").alias("score"))
+    return search.candidates(asked(spark), table(spark, d, "documents"), _probes(spark, d, _FOUR), table(spark, d, "embeddings"), 30).select("query_id", "doc_id", F.col("reranker_score").alias("score"))
 
 
 @query("hybrid_search", f"""WITH {_HYBRID}, dd AS (SELECT rr.*, dc.source, dc.text, row_number() OVER (PARTITION BY query_id, coalesce(dc.source, ''), md5(substring(lower({sql_collapse('dc.text')}), 1, 300)) ORDER BY score DESC, rr.doc_id) AS n FROM rr LEFT JOIN documents dc ON dc.doc_id = rr.doc_id)
     SELECT query_id, doc_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM dd WHERE n = 1 QUALIFY rank <= 10""")
 def _(spark, d):
-    return search.hybrid(asked(spark), table(spark, d, "documents"), _probes(spark, d), table(spark, d, "embeddings"), 10, 30).select("query_id", "doc_id", "source", "score", "rank")
+    return search.hybrid(asked(spark), table(spark, d, "documents"), _probes(spark, d, _FOUR), table(spark, d, "embeddings"), 10, 30).select("query_id", "doc_id", "source", "score", "rank")
 
 
 @query("metadata_filter_relax", """WITH w AS (SELECT * FROM (VALUES (1, 'en', 'src1'), (2, 'xx', 'src2'), (3, 'xx', 'nowhere')) v(query_id, lang, source)),
