@@ -126,6 +126,10 @@ def _after(prefix: str) -> str:
     return prefix[:-1] + chr(ord(prefix[-1]) + 1)
 
 
+def _moved(positions: Column, by: int) -> Column:
+    return F.transform(positions, lambda x: x - by)
+
+
 def matches(index: Index, expressions: dict[int, str], fields: dict[str, str] | None = None) -> DataFrame:
     """(query_id, doc_id) of the living documents of an index that each expression asks for; texts aren't read.
 
@@ -158,7 +162,7 @@ def matches(index: Index, expressions: dict[int, str], fields: dict[str, str] |
             return F.col(f"prefix_{tokens[-1]}")
         if len(tokens) == 1:
             return F.col(f"word_{tokens[0]}")
-        begins = [F.transform(f"at_{w}", lambda x, i=i: x - i) for i, w in enumerate(tokens)]
+        begins = [_moved(F.col(f"at_{w}"), i) for i, w in enumerate(tokens)]
         return F.size(reduce(F.array_intersect, begins)) > 0
 
     hit = [F.when(_tested(tree, test), F.lit(q)) for q, tree in trees.items()]

@@ -14,14 +14,15 @@ that hold the documents, a merge writes one segment of what lives. Postings, ter
 length are sums over segments less tombstones: those of one build of the same documents. The state (a line of JSON that names what counts) is
 written last, so a writer lost midway leaves no trace. One writer at a time; readers keep the state they began with.
 
-Search (`top`) is exact: MaxScore over blocks, in three readings for all queries at once.
+Search (`top`) is exact: MaxScore over blocks, in three readings for all queries at once. What passes from one to the next is written, so that
+Spark knows its size and broadcasts it only below its threshold.
 
-1. The first blocks of each term give a score that k documents surely reach.
+1. Of the first blocks of each term, the k documents with most of one term are scored in full: k documents surely reach the least of these scores.
 2. A query's terms are ordered by the most that they can add. A block is read if its bound and the most of the later terms reach that score:
    any document of the top has its first term, in this order, in such a block. Sums of what was read raise the score to be reached.
-3. Documents that can still reach it are looked up in the terms not seen: their zone's blocks only.
+3. Documents that can still reach it are looked up in all terms: the blocks of their zones only.
 
-doc_id is an integer and unique among living documents; null ids and texts are allowed (null texts have no terms).
+doc_id is an integer and unique among living documents; documents without an id are left out, null texts have no terms.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +41,7 @@ from ..functions import text as T
 from .retrieval import B, K1, broadcast_if_few
 
 #: Postings of a term that share a zone, about.
-BLOCK = 512
+BLOCK = 256
 TIERS = 8
 #: Sums of the same numbers in another order differ by less.
 SLACK = 1e-6
@@ -58,6 +62,70 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+_POSTINGS = "doc_id long, term string, tf int, dl int, positions array<int>"
+_BLOCKS = "term string, tier int, zone int, zones int, n long, max_tf int, min_dl int, doc_ids array<long>, tfs array<int>, dls array<int>, positions array<array<int>>"
+#: Tokens worked on at once.
+_TOKENS = 1 << 20
+
+
+def _lists(bounds: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
+
+
+def _postings_of(batches):
+    """A row for each distinct term of each document, with the positions it has there; a document's tokens are all in its row, so nothing is shuffled."""
+    for whole in batches:
+        sizes = pc.list_value_length(whole.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // _TOKENS
+        for lo, hi in zip(cuts := np.flatnonzero(np.concatenate([[True], np.diff(part) > 0])), [*cuts[1:], len(sizes)], strict=True):
+            batch, dl = whole.slice(lo, hi - lo), sizes[lo:hi]
+            terms = batch.column("tokens").flatten().dictionary_encode()
+            doc = np.repeat(np.arange(len(dl)), dl)
+            position = (np.arange(len(doc)) - np.repeat(np.cumsum(dl) - dl, dl)).astype(np.int32)
+            key = doc * max(1, len(terms.dictionary)) + terms.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(order) else np.zeros(0, np.int64)
+            at, bounds = order[first], np.append(first, len(order))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(doc[at])), terms.dictionary.take(terms.indices.take(pa.array(at))), pa.array(np.diff(bounds).astype(np.int32)), pa.array(dl[doc[at]].astype(np.int32)), _lists(bounds, pa.array(position[order]))],
+                names=["doc_id", "term", "tf", "dl", "positions"],
+            )
+
+
+def _blocks_of(batches):
+    """Sorted postings as a row for each (term, tier, zone)."""
+
+    def rows(table: pa.Table) -> pa.RecordBatch:
+        batch = table.combine_chunks()
+        column = lambda c: batch.column(c).chunk(0)
+        first = starts(batch)
+        bounds = np.append(first, batch.num_rows)
+        at = pa.array(first)
+        reduced = lambda f, c: pa.array(f.reduceat(column(c).to_numpy(), first).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [*(column(c).take(at) for c in ("term", "tier", "zone", "zones")), pa.array(np.diff(bounds)), reduced(np.maximum, "tf"), reduced(np.minimum, "dl"), *(_lists(bounds, column(c)) for c in ("doc_id", "tf", "dl", "positions"))],
+            names=["term", "tier", "zone", "zones", "n", "max_tf", "min_dl", "doc_ids", "tfs", "dls", "positions"],
+        )
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.ones(table.num_rows, bool)
+        if table.num_rows > 1:
+            differs = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in (table.column(n).combine_chunks() for n in ("term", "tier", "zone"))]
+            new[1:] = differs[0] | differs[1] | differs[2]
+        return np.flatnonzero(new)
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if table.num_rows:
+            last = int(starts(table)[-1])  # its block may go on in the next batch
+            if last:
+                yield rows(table.slice(0, last))
+            held = table.slice(last)
+    if held is not None and held.num_rows:
+        yield rows(held)
+
+
 class Index:
     """The index in a folder; made by its first append."""
 
@@ -78,21 +146,20 @@ class Index:
         stats = self.spark.read.parquet(f"{self.folder}/{name}/documents").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
         average = stats["tokens"] / stats["n"] if stats["n"] else 0.0
         postings = store.saved(postings)
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
-        zones = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("df") / BLOCK)))).cast("int")
-        tier = F.greatest(F.lit(0), F.least(F.lit(TIERS - 1), F.floor((1 - impact(F.col("tf"), F.col("dl"), average) / (K1 + 1)) * TIERS))).cast("int")
-        placed = postings.join(df.select("term", zones.alias("zones")), "term").select("*", tier.alias("tier"), _zone(F.col("doc_id"), F.col("zones")).alias("zone"))
-        held = placed.groupBy("term", "tier", "zone", "zones").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf", "dl", "positions"))).alias("p"), F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
-        blocks = held.select("term", "tier", "zone", "zones", "n", "max_tf", "min_dl", *[F.col(f"p.{c}").alias(f"{c}s" if c != "positions" else c) for c in ("doc_id", "tf", "dl", "positions")])
-        blocks.repartitionByRange("term", "tier", "zone").sortWithinPartitions("term", "tier", "zone").write.parquet(f"{self.folder}/{name}/blocks")
+        frequent = postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > BLOCK)
+        zones = F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("df") / BLOCK))).cast("int"), F.lit(1))
+        tier = F.when(F.col("df").isNull(), 0).otherwise(F.least(F.lit(TIERS - 1), F.floor((1 - impact(F.col("tf"), F.col("dl"), average) / (K1 + 1)) * TIERS))).cast("int")
+        placed = postings.join(broadcast_if_few(frequent), "term", "left").select("term", tier.alias("tier"), zones.alias("zones"), "doc_id", "tf", "dl", "positions")
+        placed = placed.withColumn("zone", _zone(F.col("doc_id"), F.col("zones")))
+        ordered = placed.repartitionByRange("term", "tier", "zone").sortWithinPartitions("term", "tier", "zone", "doc_id")
+        ordered.mapInArrow(_blocks_of, _BLOCKS).write.parquet(f"{self.folder}/{name}/blocks")
         return {"name": name, "n": stats["n"], "tokens": stats["tokens"], "deletions": []}
 
     def append(self, docs: DataFrame, fields: tuple[str, ...] = (), text_col: str = "text") -> Index:
         """A segment of docs(doc_id, text, fields): texts are read here and never by a search."""
-        tokened = docs.select(F.col("doc_id").cast("long").alias("doc_id"), T.tokens(text_col).alias("tokens"), *fields)
+        tokened = store.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), T.tokens(text_col).alias("tokens"), *fields).where("doc_id IS NOT NULL"))
         documents = tokened.select("doc_id", F.size("tokens").alias("dl"), *fields)
-        each = tokened.select("doc_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("position", "term"))
-        postings = each.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.array_sort(F.collect_list("position")).alias("positions"))
+        postings = tokened.where(F.size("tokens") > 0).select("doc_id", "tokens").mapInArrow(_postings_of, _POSTINGS)
         self._wrote([*self.state["segments"], self._add(documents, postings)])
         return self
 
@@ -188,35 +255,40 @@ class Index:
         weighted = weighted.join(heads.groupBy("term").agg(F.max("most").alias("top_most")), "term").withColumn("most_of_term", F.col("w") * F.col("top_most"))
         order = Window.partitionBy("query_id").orderBy(F.desc("most_of_term"), "term")
         # the terms of one query: few rows
-        weighted = store.saved(weighted.withColumn("later", F.coalesce(F.sum("most_of_term").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))).withColumn("all_terms", F.sum("most_of_term").over(Window.partitionBy("query_id"))))
-        weights = broadcast_if_few(weighted)
-
-        first = self._first_blocks(heads, k)
-        begun = self._read(first).join(weights, "term").select("query_id", "term", "doc_id", self._part())
-        nth = F.row_number().over(Window.partitionBy("query_id", "term").orderBy(F.desc("part")))
-        floor = store.saved(begun.withColumn("nth", nth).where(F.col("nth") <= k).where(F.col("nth") == k).groupBy("query_id").agg(F.max("part").alias("reached")))
-
-        needed = heads.join(weights, "term").join(broadcast_if_few(floor), "query_id", "left").where(F.col("w") * F.col("most") + F.col("later") >= F.coalesce("reached", F.lit(0.0)) - SLACK)
-        needed = store.saved(needed.select("query_id", *_KEY, "w", "most_of_term", "all_terms"))
-        parts = store.saved(self._read(needed.select(*_KEY).distinct(), "tier", "zone").join(needed, _KEY).select("query_id", "term", "segment", "doc_id", self._part(), "most_of_term", "all_terms"))
+        weights = store.saved(weighted.withColumn("later", F.coalesce(F.sum("most_of_term").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0))).withColumn("all_terms", F.sum("most_of_term").over(Window.partitionBy("query_id"))))
+        least = F.coalesce("reached", F.lit(0.0)) - SLACK
+        kth = lambda sums: sums.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sum")))).where(F.col("nth") <= k)
+
+        # 1. k documents with much of one term, scored in full, reach this much at least
+        first = store.saved(self._first_blocks(heads, k))
+        begun = self._read(first).join(weights, "term").select("query_id", "segment", "doc_id", self._part())
+        best = kth(begun.groupBy("query_id", "segment", "doc_id").agg(F.max("part").alias("sum")))
+        begun = self._looked_up(store.saved(best.select("query_id", "segment", "doc_id")), weights, heads)
+        first = first.unionByName(begun[1])
+        floor = store.saved(kth(begun[0].groupBy("query_id", "segment", "doc_id").agg(F.sum("part").alias("sum"))).where(F.col("nth") == k).select("query_id", F.col("sum").alias("reached")))
+
+        # 2. the blocks that a document of the top may have its first term in
+        needed = store.saved(heads.join(weights, "term").join(floor, "query_id", "left").where(F.col("w") * F.col("most") + F.col("later") >= least).select("query_id", *_KEY, "w", "most_of_term", "all_terms"))
+        read = store.saved(needed.select(*_KEY).distinct())
+        parts = store.saved(self._read(read, "tier", "zone").join(needed, _KEY).select("query_id", "term", "segment", "doc_id", self._part(), "most_of_term", "all_terms"))
         sums = parts.groupBy("query_id", "segment", "doc_id").agg(F.sum("part").alias("sum"), (F.first("all_terms") - F.sum("most_of_term")).alias("unseen"))
-        kth = sums.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sum")))).where(F.col("nth") <= k).where(F.col("nth") == k).select("query_id", F.col("sum").alias("raised"))
-        least = F.greatest(F.coalesce("raised", F.lit(0.0)), F.coalesce("reached", F.lit(0.0)))
-        able = sums.join(broadcast_if_few(kth), "query_id", "left").join(broadcast_if_few(floor), "query_id", "left").where(F.col("sum") + F.col("unseen") >= least - SLACK)
-        able = store.saved(able.select("query_id", "segment", "doc_id", "sum"))
-
-        seen = parts.select("query_id", "segment", "doc_id", "term")
-        zones = heads.select("segment", "term", "zones").distinct()
-        missing = able.join(weights, "query_id").join(seen, ["query_id", "segment", "doc_id", "term"], "left_anti").join(zones, ["segment", "term"])
-        missing = store.saved(missing.select("query_id", "segment", "doc_id", "term", "w", _zone(F.col("doc_id"), F.col("zones")).alias("zone")))
-        looked = heads.select(*_KEY).join(missing.select("segment", "term", "zone").distinct(), ["segment", "term", "zone"], "left_semi")
-        found = self._read(looked).join(missing, ["segment", "term", "doc_id"]).select("query_id", "segment", "doc_id", self._part())
-        total = able.select("query_id", "doc_id", F.col("sum").alias("part")).unionByName(found.select("query_id", "doc_id", "part")).groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
+        raised = kth(sums).where(F.col("nth") == k).select("query_id", F.col("sum").alias("reached")).unionByName(floor).groupBy("query_id").agg(F.max("reached").alias("reached"))
+        able = sums.join(store.saved(raised), "query_id", "left").where(F.col("sum") + F.col("unseen") >= least)
+
+        # 3. those that can still be of the top, in full
+        scored, looked = self._looked_up(store.saved(able.select("query_id", "segment", "doc_id")), weights, heads)
+        total = scored.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id"))
         out = total.where("score > 0").withColumn("rank", rank).where(F.col("rank") <= k)
-        read = _union([first, needed.select(*_KEY), looked.select(*_KEY)]).distinct().join(heads, _KEY).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings_read"))
-        report = heads.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings")).crossJoin(read)  # one row each
-        return out, report
+        used = _union([first, read, looked]).distinct().join(heads, _KEY).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings_read"))
+        return out, heads.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("postings")).crossJoin(used)  # one row each
+
+    def _looked_up(self, wanted: DataFrame, weights: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(query_id, segment, doc_id, part) of documents wanted(query_id, segment, doc_id) in all their query's terms, and the keys of the blocks read: those of the documents' zones."""
+        placed = wanted.join(weights, "query_id").join(heads.select("segment", "term", "zones").distinct(), ["segment", "term"])
+        placed = store.saved(placed.select("query_id", "segment", "doc_id", "term", "w", _zone(F.col("doc_id"), F.col("zones")).alias("zone")))
+        keys = store.saved(heads.select(*_KEY).join(placed.select("segment", "term", "zone").distinct(), ["segment", "term", "zone"], "left_semi"))
+        return self._read(keys).join(placed, ["segment", "term", "doc_id"]).select("query_id", "segment", "doc_id", self._part()), keys
 
     @staticmethod
     def _first_blocks(heads: DataFrame, k: int) -> DataFrame:
@@ -227,7 +299,7 @@ class Index:
 
     def _read(self, keys: DataFrame, *more: str) -> DataFrame:
         """The living postings of the blocks of distinct keys."""
-        return self._living(self._exploded(self._blocks().join(broadcast_if_few(keys.select(*_KEY)), _KEY, "left_semi"), *more))
+        return self._living(self._exploded(self._blocks().join(keys, _KEY, "left_semi"), *more))
 
     def _part(self) -> Column:
         return (F.col("w") * impact(F.col("tf"), F.col("dl"), self.average)).alias("part")

@@ -45,7 +45,7 @@ def _matrix(column, kind=np.float64) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.finfo(x.dtype).tiny)
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray, block: int = 4_096) -> np.ndarray:
