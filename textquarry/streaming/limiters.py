@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 import math
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 @dataclass(frozen=True)
@@ -176,6 +179,69 @@ def streamed(events: DataFrame, key: str, time: str, rule, idle: str = "1 day")
     return events.select(key, time).groupBy(key).applyInPandasWithState(update, f"`{key}` {kinds[key]}, `{time}` {kinds[time]}, allowed boolean, retry_after long", "held string", "append", "ProcessingTimeTimeout")
 
 
+class _InOrder(StatefulProcessor):
+    """One key: requests wait until the watermark has passed them, then take the rule in the order of their times, ties by id."""
+
+    def __init__(self, rule, idle_ms: int):
+        self.rule, self.idle_ms = rule, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long, id long", "n int")
+        self.held = handle.getValueState("held", "state binary, ms long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        times = set()
+        for frame in rows:
+            for i, t in zip(frame["id"], frame["ms"], strict=True):
+                at = (int(t), int(i))
+                n = self.waiting.getValue(at)[0] if self.waiting.containsKey(at) else 0
+                self.waiting.updateValue(at, (n + 1,))
+                times.add(int(t))
+        for t in times:
+            self.handle.registerTimer(t)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        upto = expiredTimerInfo.getExpiryTimeInMs()
+        held = self.held.get() if self.held.exists() else None
+        state = pickle.loads(held[0]) if held else self.rule.start()
+        due = sorted((at, n) for at, (n,) in self.waiting.iterator() if at[0] <= upto)
+        out = []
+        for (ms, i), n in due:
+            for _ in range(n):
+                state, allowed, remaining, wait = self.rule.step(state, ms / 1000)
+                out.append((key[0], i, ms, allowed, remaining, wait))
+            self.waiting.removeKey((ms, i))
+        if due:
+            self.held.update((pickle.dumps(state), due[-1][0][0]))
+            self.handle.registerTimer(due[-1][0][0] + self.idle_ms)
+            yield pd.DataFrame(out, columns=["key", "id", "ms", "allowed", "remaining", "retry_after"])
+        elif held and held[1] + self.idle_ms <= upto:  # nothing came for so long: the key starts anew
+            self.held.clear()
+
+    def close(self) -> None:
+        pass
+
+
+#: What the state of a stream with timers is kept in.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def in_event_time(events: DataFrame, key: str, time: str, event_id: str, rule, late: str = "10 minutes", idle: str = "1 day") -> DataFrame:
+    """(key, id, ms, allowed, remaining, retry_after) of a stream of requests, the same rows as `replay` gives whatever the order and the batches they come in.
+
+    A request waits in the key's state until the watermark (the latest time less `late`) has passed it; later ones than that are dropped by Spark. A timer for each time
+    lets those due take the rule in order; after `idle` without a request the key's state goes (a rule forgets by then, if idle is its longest span at least).
+    key: text, event_id: an integer, time: a timestamp, taken to the millisecond. The session needs the state store of `STATE_STORE`.
+    """
+    ms = (F.unix_micros(time) / 1000).cast("long")
+    rows = events.withWatermark(time, late).select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("id"), ms.alias("ms"), F.col(time).alias("at"))
+    return rows.groupBy("key").transformWithStateInPandas(
+        _InOrder(rule, int(pd.Timedelta(idle).total_seconds() * 1000)), "key string, id long, ms long, allowed boolean, remaining long, retry_after long", "append", "EventTime"
+    )
+
+
 def with_limits(clients: DataFrame, custom: DataFrame, default: int) -> DataFrame:
     """Each client's own limit, or the default."""
     return clients.join(custom, "client_id", "left").withColumn("max_requests", F.coalesce("max_requests", F.lit(default)))
