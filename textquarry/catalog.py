@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import indexes, plans, ranking, statutes, texts, usage
+from .queries import incremental, indexes, plans, ranking, statutes, texts, usage
 
-MODULES = (texts, ranking, indexes, usage, statutes, plans)
+MODULES = (texts, ranking, indexes, usage, incremental, statutes, plans)
 
 
 def flagship(spark, sf_dir):

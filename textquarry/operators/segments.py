@@ -140,27 +140,30 @@ class Index:
         store.write_state(self.spark, f"{self.folder}/state", self.state)
 
     def _add(self, documents: DataFrame, postings: DataFrame) -> dict:
-        """Writes a segment of documents(doc_id, dl, fields) and postings(doc_id, term, tf, dl, positions)."""
+        """Writes a segment of documents(doc_id, dl, fields) and postings(doc_id, term, tf, dl, positions); postings are cheap to make again."""
         name = uuid.uuid4().hex
         documents.write.parquet(f"{self.folder}/{name}/documents")
         stats = self.spark.read.parquet(f"{self.folder}/{name}/documents").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
         average = stats["tokens"] / stats["n"] if stats["n"] else 0.0
-        postings = store.saved(postings)
         frequent = postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > BLOCK)
         zones = F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("df") / BLOCK))).cast("int"), F.lit(1))
         tier = F.when(F.col("df").isNull(), 0).otherwise(F.least(F.lit(TIERS - 1), F.floor((1 - impact(F.col("tf"), F.col("dl"), average) / (K1 + 1)) * TIERS))).cast("int")
+        frequent = store.saved(frequent)
         placed = postings.join(broadcast_if_few(frequent), "term", "left").select("term", tier.alias("tier"), zones.alias("zones"), "doc_id", "tf", "dl", "positions")
         placed = placed.withColumn("zone", _zone(F.col("doc_id"), F.col("zones")))
         ordered = placed.repartitionByRange("term", "tier", "zone").sortWithinPartitions("term", "tier", "zone", "doc_id")
         ordered.mapInArrow(_blocks_of, _BLOCKS).write.parquet(f"{self.folder}/{name}/blocks")
         return {"name": name, "n": stats["n"], "tokens": stats["tokens"], "deletions": []}
 
-    def append(self, docs: DataFrame, fields: tuple[str, ...] = (), text_col: str = "text") -> Index:
-        """A segment of docs(doc_id, text, fields): texts are read here and never by a search."""
+    def append(self, docs: DataFrame, fields: tuple[str, ...] = (), text_col: str = "text", positions: bool = True) -> Index:
+        """A segment of docs(doc_id, text, fields): texts are read here and never by a search. Without positions it serves ranked search only: a phrase finds nothing in it."""
         tokened = store.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), T.tokens(text_col).alias("tokens"), *fields).where("doc_id IS NOT NULL"))
         documents = tokened.select("doc_id", F.size("tokens").alias("dl"), *fields)
         postings = tokened.where(F.size("tokens") > 0).select("doc_id", "tokens").mapInArrow(_postings_of, _POSTINGS)
+        if not positions:
+            postings = postings.withColumn("positions", F.lit(None).cast("array<int>"))
         self._wrote([*self.state["segments"], self._add(documents, postings)])
+        store.release(tokened)
         return self
 
     def delete(self, ids: DataFrame) -> Index:

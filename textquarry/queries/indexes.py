@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 @query("segment_topk", f"WITH {_bm25_sql()} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM br WHERE rank <= 30")
 def _(spark, d):
-    index = Index(spark, store.folder(spark)).append(table(spark, d, "documents"))
+    index = Index(spark, store.folder(spark)).append(table(spark, d, "documents"), positions=False)
     return index.top(S.query_terms(asked(spark)), 30).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -38,7 +38,7 @@ def _upkept(spark, d) -> Index:
     docs = table(spark, d, "documents")
     index = Index(spark, store.folder(spark))
     for part in ("lang = 'en'", "lang IN ('de', 'fr')", "coalesce(lang NOT IN ('en', 'de', 'fr'), TRUE)"):
-        index.append(docs.where(part), ("lang", "source"))
+        index.append(docs.where(part), ("lang", "source"), positions=False)
     return index.delete(docs.where("source = 'src7'"))
 
 

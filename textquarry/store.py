@@ -41,10 +41,17 @@ def _remove_at_exit(spark: SparkSession, path: str) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df as a written table: lineage ends here, and a lost executor costs no more than a reread."""
+    """df as a written table: lineage ends here, and a lost executor costs no more than a reread. `release` deletes it before the session ends."""
     path = folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._textquarry_folder = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a table made by `saved` that no later plan reads."""
+    remove(df.sparkSession, df._textquarry_folder)
 
 
 def _numbers(spark: SparkSession, path: str) -> list[int]:
