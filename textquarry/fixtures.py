@@ -150,3 +150,67 @@ def sql(name: str) -> str:
     values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
     casts = ", ".join(f"CAST({n} AS {_SQL_TYPES[t]}) AS {n}" for n, t in columns)
     return f"{name} AS (SELECT {casts} FROM (VALUES {values}) v({', '.join(n for n, _ in columns)}))"
+
+
+# --- the same tables over the given ones: every row of a given table takes one row (or each) of a table above as its pattern, and adds its own text and keys
+
+#: name: (given table, filter, pattern column and key that chooses the row, columns that differ from the pattern's).
+#: The expressions are SQL of both engines: b is the given table, t the pattern, {text} the given text's letters and digits.
+_TURN = "b.conv_id * 100 + b.turn"
+_BEFORE = "b.conv_id * 100 + b.turn - 1"  # of an answer: the turn asked
+_SUPPLIER = "'-' || CAST(b.s_suppkey AS STRING)"
+OVER = {
+    "asked": ("conversations", "b.role = 'user'", ("_n", _TURN), {"query_id": f"CAST({_TURN} AS INT)", "query": "t.query || ' ' || {text}"}),
+    "chunks": ("documents", "TRUE", ("_n", "b.doc_id"), {"id": "'d' || CAST(b.doc_id AS STRING)", "document": "t.document || ' ' || {text}", "page": "CAST(t.page + b.doc_id AS INT)", "page_hash": "t.page_hash || CAST(b.doc_id AS STRING)"}),
+    "answers": ("conversations", "b.role = 'assistant'", ("response_id", _BEFORE), {"response_id": f"CAST({_BEFORE} AS INT)", "response": "t.response || ' ' || {text}"}),
+    "evidence": ("conversations", "b.role = 'assistant'", ("response_id", _BEFORE), {"response_id": f"CAST({_BEFORE} AS INT)", "id": f"t.id || '-' || CAST({_BEFORE} AS STRING)", "document": "t.document || ' ' || {text}"}),
+    "statute_pages": ("documents", "TRUE", ("_n", "b.doc_id"), {"page_id": "CAST(b.doc_id AS INT)", "text": "t.text || chr(10) || {text}"}),
+    "spoken": ("conversations", "b.role = 'user'", ("_n", _TURN), {"id": f"CAST({_TURN} AS INT)", "text": "t.text || ' ' || {text}"}),
+    "bilingual": ("conversations", "b.role = 'user'", ("_n", _TURN), {"id": f"CAST({_TURN} AS INT)", "text": "t.text || ' ' || {text}"}),
+    "log_lines": ("conversations", "b.role = 'assistant'", ("_n", _TURN), {"line_id": f"CAST({_TURN} AS INT)", "message": "t.message || ' ' || {text}"}),
+    "scored": ("conversations", "b.role = 'user'", ("_n", _TURN), {"id": f"CAST({_TURN} AS INT)", "chunks": "array_append(t.chunks, {text})"}),
+    "users": ("customer", "TRUE", ("_n", "b.c_custkey"), {"user_id": "'u' || CAST(b.c_custkey AS STRING)", "username": "t.username || CAST(b.c_custkey AS STRING)"}),
+    "members": ("orders", "TRUE", ("_n", "b.o_orderkey"), {"workspace_id": "'w' || CAST(b.o_orderkey % 50 AS STRING)", "user_id": "'u' || CAST(b.o_custkey AS STRING)"}),
+    "cases": ("supplier", "TRUE", None, {"case_id": f"t.case_id || {_SUPPLIER}", "case_name": "t.case_name || ' ' || b.s_name"}),
+    "cites": ("supplier", "TRUE", None, {"src": f"t.src || {_SUPPLIER}", "dst": f"t.dst || {_SUPPLIER}"}),
+    "rulings": ("supplier", "TRUE", None, {"case_id": f"t.case_id || {_SUPPLIER}", "ruled_by": f"t.ruled_by || {_SUPPLIER}"}),
+    "gazette": ("pages", "TRUE", ("_n", "b.page_id"), {"page_id": "CAST(b.page_id AS INT)", "html": "t.html || '<p>' || b.url || '</p>'"}),
+    "runs": ("nation", "TRUE", None, {"metric": "t.metric || ' of ' || b.n_name", "value": "t.value + b.n_nationkey"}),
+    "sources": ("documents", "TRUE", ("_n", "b.doc_id"), {"file": "CAST(b.doc_id AS STRING) || t.file", "length": "CAST(b.n_chars AS INT)"}),
+}
+_TEXT = "regexp_replace(coalesce(b.text, ''), '[^A-Za-z0-9]+', ' '{0})"
+
+
+def _columns(name: str) -> list[str]:
+    return [c.rsplit(" ", 1)[0] if "<" not in c else c.split(" ", 1)[0] for c in TABLES[name][0].split(", ")]
+
+
+def _of(name: str, text: str) -> tuple[str, str, list[str]]:
+    """The given table, the condition of the join with the patterns, and the columns."""
+    given, where, chosen, changed = OVER[name]
+    rows = TABLES[name][1]
+    if chosen:
+        column, key = chosen
+        n = len(rows) if column == "_n" else len({r[_columns(name).index(column)] for r in rows})
+        where += f" AND t.{column} = ({key}) % {n} + 1"
+    return given, where, [f"{changed.get(c, f't.{c}').replace('{text}', text)} AS {c}" for c in _columns(name)]
+
+
+def over(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table over the given one of sf_dir. The patterns are a few rows of this module."""
+    from pyspark.sql import functions as F
+
+    ddl, rows = TABLES[name]
+    patterns = spark.createDataFrame([(*r, i) for i, r in enumerate(rows, 1)], f"{ddl}, _n int")
+    given, where, columns = _of(name, _TEXT.format(""))
+    return spark.read.parquet(f"{sf_dir}/{given}.parquet").alias("b").join(F.broadcast(patterns).alias("t"), F.expr(where)).selectExpr(*columns)
+
+
+def over_sql(name: str) -> str:
+    """The same as a CTE: `name AS (...)`."""
+    ddl, rows = TABLES[name]
+    kinds = [c.rsplit(" ", 1) if "<" not in c else c.split(" ", 1) for c in ddl.split(", ")]
+    values = ", ".join("(" + ", ".join(map(_literal, (*r, i))) + ")" for i, r in enumerate(rows, 1))
+    casts = ", ".join(f"CAST({n} AS {_SQL_TYPES[t]}) AS {n}" for n, t in kinds)
+    given, where, columns = _of(name, _TEXT.format(", 'g'"))
+    return f"{name} AS (SELECT {', '.join(columns)} FROM {given} b JOIN (SELECT {casts}, _n FROM (VALUES {values}) v({', '.join(n for n, _ in kinds)}, _n)) t ON {where})"

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _pages(spark):
-    return X.frame(spark, "statute_pages").select(F.col("filename").alias("source"), F.col("page_id").alias("page"), "text")
+    return X.over(spark, d, "statute_pages").select(F.col("filename").alias("source"), F.col("page_id").alias("page"), "text")
 
 
 @query("ingested_chunks")
@@ -53,44 +53,44 @@ def _(spark, d):
 
 @query("orchestrated_answers")
 def _(spark, d):
-    return answering.orchestrated(X.frame(spark, "asked"), X.frame(spark, "chunks"), X.frame(spark, "crosswalk"), X.frame(spark, "synonyms"), "2024-07-01").select("query_id", "rank", "id", "score", "entity_boost")
+    return answering.orchestrated(X.frame(spark, "asked"), X.over(spark, d, "chunks"), X.frame(spark, "crosswalk"), X.frame(spark, "synonyms"), "2024-07-01").select("query_id", "rank", "id", "score", "entity_boost")
 
 
 @query("api_page")
 def _(spark, d):
-    return answering.api(X.frame(spark, "asked"), X.frame(spark, "chunks"), "2024-07-01", 1, 3)
+    return answering.api(X.frame(spark, "asked"), X.over(spark, d, "chunks"), "2024-07-01", 1, 3)
 
 
 @query("verified_answers")
 def _(spark, d):
-    return answering.verified_answers(X.frame(spark, "answers"), X.frame(spark, "evidence"))
+    return answering.verified_answers(X.over(spark, d, "answers"), X.over(spark, d, "evidence"))
 
 
-@query("batch_results", f"WITH {X.sql('asked')}, {X.sql('evidence')} SELECT query_id, query, (SELECT count(*) FROM evidence WHERE response_id = query_id) AS n_results, CASE WHEN trim(query) = '' THEN 'empty query' END AS error FROM asked")
+@query("batch_results", f"WITH {X.over_sql('asked')}, {X.over_sql('evidence')} SELECT query_id, query, (SELECT count(*) FROM evidence WHERE response_id = query_id) AS n_results, CASE WHEN trim(query) = '' THEN 'empty query' END AS error FROM asked")
 def _(spark, d):
-    return answering.batch(X.frame(spark, "asked"), X.frame(spark, "evidence").withColumnRenamed("response_id", "query_id"))
+    return answering.batch(X.over(spark, d, "asked"), X.over(spark, d, "evidence").withColumnRenamed("response_id", "query_id"))
 
 
-@query("rendered_summary", f"""WITH {X.sql('evidence')} SELECT response_id AS query_id, string_agg(rank || '. ' || concat_ws(' | ', source, 'Page ' || page, 'Section ' || section, act) || chr(10) || substring(document, 1, 300), chr(10) || chr(10) ORDER BY rank) AS text FROM evidence WHERE rank <= 3 GROUP BY 1""")
+@query("rendered_summary", f"""WITH {X.over_sql('evidence')} SELECT response_id AS query_id, string_agg(rank || '. ' || concat_ws(' | ', source, 'Page ' || page, 'Section ' || section, act) || chr(10) || substring(document, 1, 300), chr(10) || chr(10) ORDER BY rank) AS text FROM evidence WHERE rank <= 3 GROUP BY 1""")
 def _(spark, d):
-    rows = X.frame(spark, "evidence").withColumnsRenamed({"response_id": "query_id", "section": "section_number", "act": "act_name"})
+    rows = X.over(spark, d, "evidence").withColumnsRenamed({"response_id": "query_id", "section": "section_number", "act": "act_name"})
     return formatting.rendered(rows, "summary")
 
 
-@query("rendered_citations", f"""WITH {X.sql('evidence')} SELECT response_id AS query_id, string_agg(rank || '. ' || concat_ws(' | ', source, 'Page ' || page, 'Section ' || section, act), chr(10) ORDER BY rank) AS text FROM evidence GROUP BY 1""")
+@query("rendered_citations", f"""WITH {X.over_sql('evidence')} SELECT response_id AS query_id, string_agg(rank || '. ' || concat_ws(' | ', source, 'Page ' || page, 'Section ' || section, act), chr(10) ORDER BY rank) AS text FROM evidence GROUP BY 1""")
 def _(spark, d):
-    rows = X.frame(spark, "evidence").withColumnsRenamed({"response_id": "query_id", "section": "section_number", "act": "act_name"})
+    rows = X.over(spark, d, "evidence").withColumnsRenamed({"response_id": "query_id", "section": "section_number", "act": "act_name"})
     return formatting.rendered(rows, "citations")
 
 
 @query("page_elements")
 def _(spark, d):
-    return X.frame(spark, "statute_pages").select("page_id", F.explode(formatting.elements("text")).alias("e")).select("page_id", "e.kind", "e.value", "e.position")
+    return X.over(spark, d, "statute_pages").select("page_id", F.explode(formatting.elements("text")).alias("e")).select("page_id", "e.kind", "e.value", "e.position")
 
 
 @query("hindi_sections")
 def _(spark, d):
-    return X.frame(spark, "bilingual").select("id", F.explode_outer(formatting.hindi_sections("text")).alias("s")).select("id", "s.number", "s.context")
+    return X.over(spark, d, "bilingual").select("id", F.explode_outer(formatting.hindi_sections("text")).alias("s")).select("id", "s.number", "s.context")
 
 
 @query("devanagari", "SELECT id, replace(replace(t, 'kh', 'ख'), 'aa', 'ा') AS t FROM (VALUES (1, 'khaa'), (2, 'xyz'), (3, NULL)) v(id, t)")
@@ -120,7 +120,7 @@ def _(spark, d):
 @query("intent_histogram")
 def _(spark, d):
     none = F.expr("cast(map() as map<string, string>)")
-    a = X.frame(spark, "asked").select(L.analysis("query", none, none).alias("a"))
+    a = X.over(spark, d, "asked").select(L.analysis("query", none, none).alias("a"))
     return a.groupBy(F.col("a.intent").alias("intent"), F.startswith("a.search_strategy", F.lit("filtered")).alias("filtered")).agg(F.count("*").alias("n"))
 
 
@@ -147,23 +147,23 @@ def _(spark, d):
     from ..operators import answers
     from ..plans import search
 
-    found = answers.hits(search.statutes(X.frame(spark, "asked"), X.frame(spark, "chunks"), "2024-07-01"))
+    found = answers.hits(search.statutes(X.frame(spark, "asked"), X.over(spark, d, "chunks"), "2024-07-01"))
     return found.select("query_id", "rank", "id", "score", "reranker_score" if "reranker_score" in found.columns else "bm25_score", "citation.section", "snippet")
 
 
-@query("related_provisions", f"WITH {X.sql('evidence')}, t AS (SELECT response_id, act, section FROM evidence WHERE rank = 1), r AS (SELECT DISTINCT e.response_id, 'Section ' || e.section || ' ' || e.act AS p FROM evidence e JOIN t USING (response_id) WHERE e.act = t.act AND e.section IS NOT NULL AND e.section IS DISTINCT FROM t.section) SELECT response_id AS query_id, string_agg(p, '; ' ORDER BY p) AS related FROM r GROUP BY 1")
+@query("related_provisions", f"WITH {X.over_sql('evidence')}, t AS (SELECT response_id, act, section FROM evidence WHERE rank = 1), r AS (SELECT DISTINCT e.response_id, 'Section ' || e.section || ' ' || e.act AS p FROM evidence e JOIN t USING (response_id) WHERE e.act = t.act AND e.section IS NOT NULL AND e.section IS DISTINCT FROM t.section) SELECT response_id AS query_id, string_agg(p, '; ' ORDER BY p) AS related FROM r GROUP BY 1")
 def _(spark, d):
     from ..operators import answers
 
-    results = X.frame(spark, "evidence").withColumnRenamed("response_id", "query_id").withColumn("chapter", F.lit(None).cast("string"))
+    results = X.over(spark, d, "evidence").withColumnRenamed("response_id", "query_id").withColumn("chapter", F.lit(None).cast("string"))
     return answers.related(results).withColumn("related", F.array_join("related", "; "))
 
 
-@query("refusals", f"WITH {X.sql('asked')} SELECT query_id, true AS named, 4 AS templates FROM asked WHERE query <> ''")
+@query("refusals", f"WITH {X.over_sql('asked')} SELECT query_id, true AS named, 4 AS templates FROM asked WHERE query <> ''")
 def _(spark, d):
     from ..operators import answers
 
-    asked = X.frame(spark, "asked").where("query <> ''")
+    asked = X.over(spark, d, "asked").where("query <> ''")
     return asked.select("query_id", F.contains(answers.refusal(F.col("query"), R.REFUSALS), F.col("query")).alias("named"), F.lit(len(R.REFUSALS)).alias("templates"))
 
 

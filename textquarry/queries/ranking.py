@@ -151,53 +151,53 @@ def _(spark, d):
 
 @query("chunk_citations")
 def _(spark, d):
-    chunks = fixtures.frame(spark, "chunks")
+    chunks = fixtures.over(spark, d, "chunks")
     return chunks.select("id", L.citation_section("document").alias("section"), L.act_code("act_name", "source", "document").alias("act"))
 
 
 QUERIES["chunk_citations"] = (
     QUERIES["chunk_citations"][0],
-    f"""WITH {fixtures.sql('chunks')}, x AS (SELECT *, lower(source) || ' ' || lower(substring(document, 1, 300)) AS around FROM chunks)
+    f"""WITH {fixtures.over_sql('chunks')}, x AS (SELECT *, lower(source) || ' ' || lower(substring(document, 1, 300)) AS around FROM chunks)
     SELECT id, lower(coalesce(nullif(regexp_extract(document, '(?i)\\[s\\s*(\\d{{1,4}}[a-z]?)(?:\\.\\d+)?\\]', 1), ''), nullif(regexp_extract(document, '(?i)^\\s*(\\d{{1,4}}[a-z]?)\\.\\s', 1), ''), nullif(regexp_extract(document, '(?i)\\b(?:section|sec\\.?|s\\.)\\s*(\\d{{1,4}}[a-z]?)\\b', 1), ''))) AS section,
         coalesce(element_at({sql_map(R.ACT_CODES)}, lower(act_name))[1], upper(act_name), CASE {' '.join(f"WHEN contains(around, '{a}') THEN '{c}'" for a, c in R.ACT_CODES.items())} WHEN contains(around, 'evidence') AND contains(around, 'bharatiya') THEN 'BSA' END) AS act FROM x""",
 )
 
 
-@query("query_filters", f"""WITH {fixtures.sql('asked')}, p AS (SELECT query_id, list_transform(regexp_extract_all(query, '(?i)\\b(?:section|sec\\.?|s\\.)\\s*(\\d{{1,4}}[a-z]?)\\b', 1), lambda x: lower(x)) AS s,
+@query("query_filters", f"""WITH {fixtures.over_sql('asked')}, p AS (SELECT query_id, list_transform(regexp_extract_all(query, '(?i)\\b(?:section|sec\\.?|s\\.)\\s*(\\d{{1,4}}[a-z]?)\\b', 1), lambda x: lower(x)) AS s,
     list_transform(regexp_extract_all(query, '(?i){L.ACT.replace("(", "(", 1)}', 1), lambda x: coalesce(element_at({sql_map(R.ACT_CODES)}, lower(x))[1], upper(x))) AS a FROM asked),
     u AS (SELECT query_id, list_filter(s, lambda x, i: list_position(s, x) = i) AS s, list_filter(a, lambda x, i: list_position(a, x) = i) AS a FROM p)
     SELECT query_id, array_to_string(s, ',') AS sections, array_to_string(a, ',') AS acts, len(s) + len(a) > 0 AS cited FROM u""")
 def _(spark, d):
-    p = fixtures.frame(spark, "asked").select("query_id", L.parsed_query("query").alias("p"))
+    p = fixtures.over(spark, d, "asked").select("query_id", L.parsed_query("query").alias("p"))
     return p.select("query_id", F.array_join("p.section_numbers", ",").alias("sections"), F.array_join("p.acts", ",").alias("acts"), F.col("p.has_legal_citation").alias("cited"))
 
 
-@query("exact_act_names", f"""WITH {fixtures.sql('asked')}, p AS (SELECT query_id, unnest(a) AS act, generate_subscripts(a, 1) AS i FROM (SELECT query_id, list_transform(regexp_extract_all(query, '(?i){L.ACT}', 1), lambda x: coalesce(element_at({sql_map(R.ACT_CODES)}, lower(x))[1], upper(x))) AS a FROM asked)),
+@query("exact_act_names", f"""WITH {fixtures.over_sql('asked')}, p AS (SELECT query_id, unnest(a) AS act, generate_subscripts(a, 1) AS i FROM (SELECT query_id, list_transform(regexp_extract_all(query, '(?i){L.ACT}', 1), lambda x: coalesce(element_at({sql_map(R.ACT_CODES)}, lower(x))[1], upper(x))) AS a FROM asked)),
     n(k, names) AS (VALUES {', '.join("('" + k + "', " + sql_list(v) + ")" for k, v in R.ACT_FULL_NAMES.items())}), x AS (SELECT query_id, i, unnest(coalesce(n.names, [act])) AS name, generate_subscripts(coalesce(n.names, [act]), 1) AS j FROM p LEFT JOIN n ON n.k = lower(act)),
     u AS (SELECT query_id, name, min(i * 100 + j) AS o FROM x GROUP BY ALL) SELECT asked.query_id, coalesce(string_agg(name, '; ' ORDER BY o), '') AS names FROM asked LEFT JOIN u ON u.query_id = asked.query_id GROUP BY 1""")
 def _(spark, d):
-    p = fixtures.frame(spark, "asked").select("query_id", L.query_acts("query").alias("acts"))
+    p = fixtures.over(spark, d, "asked").select("query_id", L.query_acts("query").alias("acts"))
     return p.select("query_id", F.array_join(L.full_act_names(F.col("acts")), "; ").alias("names"))
 
 
 @query("legal_boosts")
 def _(spark, d):
-    return search.scored_chunks(fixtures.frame(spark, "asked"), fixtures.frame(spark, "chunks"), "2024-07-01").select("query_id", "id", "boost_score", F.array_join("reasons", "; ").alias("reasons"))
+    return search.scored_chunks(fixtures.frame(spark, "asked"), fixtures.over(spark, d, "chunks"), "2024-07-01").select("query_id", "id", "boost_score", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("statute_search")
 def _(spark, d):
-    return search.statutes(fixtures.frame(spark, "asked"), fixtures.frame(spark, "chunks"), "2024-07-01", 5).select("query_id", "rank", "id", "score", F.array_join("reasons", "; ").alias("reasons"))
+    return search.statutes(fixtures.frame(spark, "asked"), fixtures.over(spark, d, "chunks"), "2024-07-01", 5).select("query_id", "rank", "id", "score", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query("filtered_statute_search")
 def _(spark, d):
-    return search.statutes(fixtures.frame(spark, "asked"), fixtures.frame(spark, "chunks"), "2024-07-01", 5, filtered=True).select("query_id", "rank", "id", "tier", "score")
+    return search.statutes(fixtures.frame(spark, "asked"), fixtures.over(spark, d, "chunks"), "2024-07-01", 5, filtered=True).select("query_id", "rank", "id", "tier", "score")
 
 
 @query("entity_rerank")
 def _(spark, d):
-    return search.entity_reranked(fixtures.frame(spark, "asked"), fixtures.frame(spark, "chunks")).select("query_id", "id", "entity_boost", "tier")
+    return search.entity_reranked(fixtures.frame(spark, "asked"), fixtures.over(spark, d, "chunks")).select("query_id", "id", "entity_boost", "tier")
 
 
 @query("answer_confidence", """WITH r AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank, (vec_id % 100) / 100.0::DOUBLE AS sim FROM embeddings QUALIFY rank <= 5)
