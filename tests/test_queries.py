@@ -22,8 +22,8 @@ def test_query(spark, duck, name):
     df = catalog.queries()[name](spark, SF_DIR)
     rows = df.collect()
     sql = catalog.oracle_sql().get(name)
-    if sql is None:
-        assert rows or name in ()
+    if sql is None:  # their operators are tested by hand in test_operators
+        assert rows
         return
     relation = duck.sql(sql)
     columns = relation.columns

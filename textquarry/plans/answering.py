@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import legal as L
 from ..functions import text as T
 from ..operators import answers, retrieval, scoring, understanding, verification
@@ -21,8 +22,8 @@ def orchestrated(queries: DataFrame, chunks: DataFrame, crosswalk: DataFrame, sy
     """(query_id, rank, id, score, entity_boost): the best chunks of each query that is legal research."""
     route = queries.select("query_id", "query", L.rule_route("query").alias("r"), L.entities("query").alias("e"))
     legal = route.where((F.col("r.route") == "LEGAL_RESEARCH") | L.route_hint("e").isNotNull()).select("query_id", "query")
-    rewritten = understanding.normalized(legal, crosswalk).select("query_id", F.col("normalized").alias("query"))
-    rewritten = understanding.expanded(rewritten, synonyms).select("query_id", F.col("expanded").alias("query"))
+    rewritten = store.saved(understanding.normalized(legal, crosswalk).select("query_id", F.col("normalized").alias("query")))
+    rewritten = store.saved(understanding.expanded(rewritten, synonyms).select("query_id", F.col("expanded").alias("query")))
     found = search.statutes(rewritten, chunks, as_of, retrieve, filtered=True)
     entities = queries.select("query_id", L.entities("query").alias("entities"))
     boost = scoring.entity_boost("document", "section_number", "section", T.text_of("source"), "act")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import legal as L
 from ..functions import text as T
 from ..operators import retrieval as S
@@ -45,10 +46,12 @@ def statutes(
     def narrowed(hits: DataFrame) -> DataFrame:
         """Of hits(query_id, doc_id, ...), those of the best tier that each query has."""
         placed = hits.join(chunks.select(F.col("id").alias("doc_id"), "act", "section_number"), "doc_id").join(parsed.select("query_id", "parsed"), "query_id")
-        return S.relaxed(placed, *_fit()).select(*hits.columns)
+        strict, loose = _fit()
+        marked = store.saved(placed.select(*hits.columns, strict.alias("_strict"), loose.alias("_loose")))  # scored once, read for the best tier and for its hits
+        return S.relaxed(marked, F.col("_strict"), F.col("_loose")).select(*hits.columns)
 
     lexical = S.bm25(S.query_terms(queries), chunks, "id", "document")
-    lexical = S.ranked(S.min_max(narrowed(lexical) if filtered else lexical), pool)
+    lexical = S.ranked(S.min_max(narrowed(lexical) if filtered else store.saved(lexical)), pool)
     if probes is not None:
         near = S.dense(probes, vectors, None if filtered else pool)
         near = S.ranked(narrowed(near).drop("rank"), pool, "similarity") if filtered else near
