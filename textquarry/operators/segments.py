@@ -1,6 +1,6 @@
 """A stored inverted index in segments: append, delete, merge; ranked search that reads only blocks that can reach the top.
 
-Layout. A segment holds the documents of one append: `documents` (doc_id, dl, the fields kept) and `blocks`, sorted by term. A block holds
+Layout. A segment holds the documents of one append: `documents` (doc_id, dl, the fields kept) and `blocks`, each file sorted by term. A block holds
 some postings of a term as parallel arrays (doc_ids, tfs, dls, positions). Postings of a term are parted twice:
 
 * by impact, into tiers of what they can add to a score, the highest first (impact order: what can't matter is never read);
@@ -93,32 +93,29 @@ def _postings_of(batches):
 
 
 def _blocks_of(batches):
-    """Sorted postings as a row for each (term, tier, zone)."""
+    """Postings sorted by h, a hash of (term, tier, zone), as a row for each of these."""
 
     def rows(table: pa.Table) -> pa.RecordBatch:
-        batch = table.combine_chunks()
-        column = lambda c: batch.column(c).chunk(0)
-        first = starts(batch)
-        bounds = np.append(first, batch.num_rows)
-        at = pa.array(first)
-        reduced = lambda f, c: pa.array(f.reduceat(column(c).to_numpy(), first).astype(np.int32))
+        column = {c: table.column(c).combine_chunks() for c in table.column_names}
+        term, tier, zone = column["term"].dictionary_encode().indices.to_numpy(), column["tier"].to_numpy(), column["zone"].to_numpy()
+        order = np.lexsort((column["doc_id"].to_numpy(), zone, tier, term, column["h"].to_numpy()))  # keys of one hash, if ever there are two, apart
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(term[order]) != 0) | (np.diff(tier[order]) != 0) | (np.diff(zone[order]) != 0)
+        first = np.flatnonzero(new)
+        column = {c: v.take(pa.array(order)) for c, v in column.items()}
+        at, bounds = pa.array(first), np.append(first, len(order))
+        reduced = lambda f, c: pa.array(f.reduceat(column[c].to_numpy(), first).astype(np.int32))
         return pa.RecordBatch.from_arrays(
-            [*(column(c).take(at) for c in ("term", "tier", "zone", "zones")), pa.array(np.diff(bounds)), reduced(np.maximum, "tf"), reduced(np.minimum, "dl"), *(_lists(bounds, column(c)) for c in ("doc_id", "tf", "dl", "positions"))],
+            [*(column[c].take(at) for c in ("term", "tier", "zone", "zones")), pa.array(np.diff(bounds)), reduced(np.maximum, "tf"), reduced(np.minimum, "dl"), *(_lists(bounds, column[c]) for c in ("doc_id", "tf", "dl", "positions"))],
             names=["term", "tier", "zone", "zones", "n", "max_tf", "min_dl", "doc_ids", "tfs", "dls", "positions"],
         )
 
-    def starts(table: pa.Table) -> np.ndarray:
-        new = np.ones(table.num_rows, bool)
-        if table.num_rows > 1:
-            differs = [pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in (table.column(n).combine_chunks() for n in ("term", "tier", "zone"))]
-            new[1:] = differs[0] | differs[1] | differs[2]
-        return np.flatnonzero(new)
-
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         if table.num_rows:
-            last = int(starts(table)[-1])  # its block may go on in the next batch
+            h = table.column("h").to_numpy()
+            last = int(np.searchsorted(h, h[-1]))  # its block may go on in the next batch
             if last:
                 yield rows(table.slice(0, last))
             held = table.slice(last)
@@ -151,8 +148,9 @@ class Index:
         frequent = store.saved(frequent)
         placed = postings.join(broadcast_if_few(frequent), "term", "left").select("term", tier.alias("tier"), zones.alias("zones"), "doc_id", "tf", "dl", "positions")
         placed = placed.withColumn("zone", _zone(F.col("doc_id"), F.col("zones")))
-        ordered = placed.repartitionByRange("term", "tier", "zone").sortWithinPartitions("term", "tier", "zone", "doc_id")
-        ordered.mapInArrow(_blocks_of, _BLOCKS).write.parquet(f"{self.folder}/{name}/blocks")
+        # one shuffle; rows are sorted by one number, the far fewer blocks of each file then by term
+        ordered = placed.withColumn("h", F.xxhash64("term", "tier", "zone")).repartition("h").sortWithinPartitions("h")
+        ordered.mapInArrow(_blocks_of, _BLOCKS).sortWithinPartitions("term", "tier", "zone").write.parquet(f"{self.folder}/{name}/blocks")
         return {"name": name, "n": stats["n"], "tokens": stats["tokens"], "deletions": []}
 
     def append(self, docs: DataFrame, fields: tuple[str, ...] = (), text_col: str = "text", positions: bool = True) -> Index:
