@@ -149,7 +149,7 @@ class Index:
         placed = postings.join(broadcast_if_few(frequent), "term", "left").select("term", tier.alias("tier"), zones.alias("zones"), "doc_id", "tf", "dl", "positions")
         placed = placed.withColumn("zone", _zone(F.col("doc_id"), F.col("zones")))
         # one shuffle; rows are sorted by one number, the far fewer blocks of each file then by term
-        ordered = placed.withColumn("h", F.xxhash64("term", "tier", "zone")).repartition("h").sortWithinPartitions("h")
+        ordered = placed.repartition("term", "tier", "zone").withColumn("h", F.xxhash64("term", "tier", "zone")).sortWithinPartitions("h")
         ordered.mapInArrow(_blocks_of, _BLOCKS).sortWithinPartitions("term", "tier", "zone").write.parquet(f"{self.folder}/{name}/blocks")
         return {"name": name, "n": stats["n"], "tokens": stats["tokens"], "deletions": []}
 
