@@ -25,24 +25,24 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def _pages(spark):
+def _pages(spark, d):
     return X.over(spark, d, "statute_pages").select(F.col("filename").alias("source"), F.col("page_id").alias("page"), "text")
 
 
 @query("ingested_chunks")
 def _(spark, d):
-    return ingestion.chunks_of(_pages(spark)).select("id", "source", "page", "chunk_index", "chunk_chars", "act_name", "section_number", "section_title", "source_type", "is_bns", "is_ipc", "has_provided_that")
+    return ingestion.chunks_of(_pages(spark, d)).select("id", "source", "page", "chunk_index", "chunk_chars", "act_name", "section_number", "section_title", "source_type", "is_bns", "is_ipc", "has_provided_that")
 
 
 @query("ingestion_stats")
 def _(spark, d):
-    return ingestion.statistics(ingestion.chunks_of(_pages(spark)))
+    return ingestion.statistics(ingestion.chunks_of(_pages(spark, d)))
 
 
 @query("ingested_twice", "SELECT 0::BIGINT AS fresh")
 def _(spark, d):
-    chunks = ingestion.chunks_of(_pages(spark))
-    return ingestion.chunks_of(_pages(spark), chunks).agg(F.count("*").alias("fresh"))
+    chunks = ingestion.chunks_of(_pages(spark, d))
+    return ingestion.chunks_of(_pages(spark, d), chunks).agg(F.count("*").alias("fresh"))
 
 
 @query("jobs_due", "SELECT kind, due, next_due FROM (VALUES ('full', false, DATE '2024-05-30'), ('partial', true, DATE '2024-03-31'), ('never', true, DATE '2024-04-15')) v(kind, due, next_due)")
