@@ -30,7 +30,7 @@ from .retrieval import broadcast_if_few
 FIT_ROWS = 65_536
 ROWS_PER_CELL, MAX_CELLS = 12, 4_096
 ROUNDS = 8
-RECALL, CALIBRATED_ON, NEIGHBOURS = 0.92, 200, 20
+RECALL, CALIBRATED_ON, NEIGHBOURS = 0.91, 200, 20
 #: Shares of the rows that may pass a filter, for which shares to probe are measured.
 DENSITIES = (1.0, 0.5, 0.25, 0.1, 0.03)
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024
