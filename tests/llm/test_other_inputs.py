@@ -286,6 +286,34 @@ def test_few_vectors(spark):
     assert neighbours.nearest(df.limit(1), "vec_id % 20 = 0").collect() == []
 
 
+def test_many_queries_go_down_a_bucket_together():
+    """What a bucket's task takes for all its queries is what each query's own queue would give up to the calibrated key; a query is sent with its vector alone."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 12))
+    forest = neighbours.Forest(x[:700], 3 * neighbours.BUCKET_ROWS)
+    forest.extra = 1
+    queries = x[2900:]
+    best = np.argsort(-(queries @ x[:2900].T), axis=1)[:, :20]
+    forest.reach(queries, x[best.ravel()], np.repeat(np.arange(100), 20), 0.9)
+    assert (forest.keys_at(np.repeat(queries, 20, axis=0), x[best.ravel()]) <= forest.bound).mean() >= 0.9
+    rows, buckets = forest.buckets_for(queries)
+    got = set()
+    for bucket in range(len(forest.begins)):
+        own = rows[buckets == bucket]
+        for leaf, of in forest.local(bucket).taken(queries[own]) if len(own) else ():
+            assert forest.bucket(np.array([leaf]))[0] == bucket
+            got |= {(int(q), int(leaf)) for q in own[of]}
+    bound, forest.bound = forest.bound, math.inf
+    wanted, near = set(), set()
+    for q, walk in enumerate(forest.walks(queries, keys=True)):
+        for key, leaf in walk:
+            if key <= bound - 0.02:  # the walk projects in another order: a step of its table may differ
+                wanted.add((q, leaf))
+            elif key <= bound + 0.02:
+                near.add((q, leaf))
+    assert wanted <= got <= wanted | near and len(wanted) > 100
+
+
 def test_forest_on_unseen_queries():
     """Leaves stay small beyond the fitted rows; queries outside the fit meet their true neighbours in a part of the rows."""
     random = np.random.RandomState(8)
