@@ -18,6 +18,29 @@ def one(spark, column, **values):
     return spark.createDataFrame([Row(**values)]).select(column.alias("x")).first()["x"]
 
 
+# --- dense search
+
+
+def test_dense_by_blocks_is_the_search_pair_by_pair(spark):
+    """Every query meets every row by products of matrices, odd vectors pair by pair: no row for each pair, and the ranks of a cross join."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 8)).astype(np.float32).tolist()
+    x[50:80] = [x[50]] * 30  # copies tie: the smallest ids stay
+    rows = [(i, v) for i, v in enumerate(x)] + [(900, None), (901, [1.0, None, *[0.5] * 6]), (902, [float("inf"), *[0.0] * 7])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id % 50 = 0 AND vec_id < 700").select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("vector"))
+    for epsilon in (0.0, 1e-3):
+        found = retrieval.dense(queries, vectors, 20, epsilon)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan.split("Union")[0] and "MapInArrow" in plan
+        pairs = vectors.crossJoin(queries).select("query_id", F.col("vec_id").alias("doc_id"), T.cosine(F.col("embedding"), F.col("vector"), epsilon).alias("similarity"))
+        wanted = retrieval.ranked(pairs, 20, "similarity")
+        order = lambda df: sorted(map(tuple, df.select("query_id", "rank", "doc_id", "similarity").collect()), key=lambda r: r[:2])
+        assert repr(order(found)) == repr(order(wanted))
+
+
 # --- text
 
 

@@ -5,8 +5,11 @@ All operators take queries as a table: a single query is a table of one row. Tie
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions import text as T
 from . import index
@@ -67,11 +70,133 @@ def min_max(scored: DataFrame, score: str = "score") -> DataFrame:
     return scored.join(bounds, "query_id").withColumn("normalized_score", F.when(high <= low, 1.0).otherwise(T.clamp((F.col(score) - low) / (high - low)))).drop("_low", "_high")
 
 
+#: Queries that a task holds at once, with the best of each; rows compared with them at once.
+QUERY_BLOCK, ROW_BLOCK = 8192, 256
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int | None, epsilon: float = 0.0, id_col: str = "vec_id", where: Column | None = None) -> DataFrame:
-    """(query_id, doc_id, similarity, rank): exact cosine search of queries(query_id, vector) over vectors, filtered first if asked."""
+    """(query_id, doc_id, similarity, rank): exact cosine search of queries(query_id, vector) over vectors, filtered first if asked.
+
+    With k, every query of a block meets every row of a part by products of matrices, and a task keeps the best of each query: a row for each is all that goes on.
+    Vectors that are null, hold null or non-finite components, have another length than most or are too long or short for single precision are compared one by one.
+    """
     pool = vectors if where is None else vectors.where(where)
-    scored = pool.select(F.col(id_col).alias("doc_id"), "embedding").crossJoin(broadcast_if_few(queries, 10_000)).select("query_id", "doc_id", T.cosine(F.col("embedding"), F.col("vector"), epsilon).alias("similarity"))
-    return ranked(scored, k, "similarity")
+    pool = pool.select(F.col(id_col).alias("doc_id"), "embedding")
+    pairs = lambda rows, asked: rows.crossJoin(asked).select("query_id", "doc_id", T.cosine(F.col("embedding"), F.col("vector"), epsilon).alias("similarity"))
+    whole = all(isinstance(df.schema[c].dataType, IntegralType) for c, df in (("query_id", queries), ("doc_id", pool)))
+    if k is None or not whole:  # every pair is asked for, or ids are texts
+        return ranked(pairs(pool, broadcast_if_few(queries, 10_000)), k, "similarity")
+    counted = queries.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).collect()  # a row for each length
+    n, size = sum(r["n"] for r in counted), max([counted[0]["size"] if counted else 0, 1])
+
+    def sound(vector: str) -> Column:
+        lengthy = F.sqrt(T.dot(F.col(vector), F.col(vector)))
+        return F.coalesce((F.size(vector) == size) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)) & lengthy.between(1e-15, 1e15), F.lit(False))
+
+    single = lambda v: F.transform(v, lambda x: x.cast("double"))
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    # some parts for each task; many would send each query's best often
+    parts = max(1, -(-3 * pool.sparkSession.sparkContext.defaultParallelism // blocks))
+    asked = queries.where(sound("vector")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "block", F.lit(0).alias("kind"), F.col("query_id").cast("long").alias("id"), single("vector").alias("v"))
+    rows = pool.where(sound("embedding")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    rows = rows.select("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), F.col("doc_id").cast("long").alias("id"), single("embedding").alias("v"))
+    met = asked.unionByName(rows).repartition(blocks * parts, "block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(_nearest(k, size, epsilon), "query_id long, doc_id long, similarity double")
+    kinds = [F.col(c).cast(df.schema[c].dataType).alias(c) for c, df in (("query_id", queries), ("doc_id", pool))]
+    met = met.select(*kinds, "similarity")
+    odd_rows, odd_queries = pool.where(~sound("embedding")), queries.where(~sound("vector"))
+    if not odd_rows.isEmpty():
+        met = met.unionByName(pairs(odd_rows, queries))
+    if not odd_queries.isEmpty():
+        met = met.unionByName(pairs(pool.where(sound("embedding")), odd_queries))
+    return ranked(met, k, "similarity")
+
+
+def _nearest(k: int, size: int, epsilon: float):
+    """Rows sorted by block, part and kind, queries first, to each query's best rows of the part: the k best, and those that rounding ties with the last."""
+
+    def run(batches):
+        key, held, block = None, [], None
+        for batch in batches:
+            where = batch.column("block").to_numpy().astype(np.int64) << 32 | batch.column("part").to_numpy().astype(np.int64)
+            kind, ids = batch.column("kind").to_numpy(), batch.column("id").to_numpy()
+            vectors = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            cut = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if batch.num_rows else []
+            for s, e in zip(cut, [*cut[1:], batch.num_rows], strict=True):
+                if where[s] != key:
+                    if block is not None:
+                        yield block.best()
+                    key, held, block = where[s], [], None
+                m = s + int((kind[s:e] == 0).sum())
+                if m > s:
+                    held.append((ids[s:m].copy(), vectors[s:m].copy()))
+                if m < e and held:
+                    block = block or _Block(*(np.concatenate(x) for x in zip(*held, strict=True)), k, epsilon)
+                    for lo in range(m, e, ROW_BLOCK):
+                        block.meet(ids[lo : min(e, lo + ROW_BLOCK)], vectors[lo : min(e, lo + ROW_BLOCK)])
+        if block is not None:
+            yield block.best()
+
+    return run
+
+
+class _Block:
+    """A block of queries and the best rows that they have met."""
+
+    #: What single precision and the rounding of ranks to 9 places may differ by.
+    SLACK = 1e-5
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, epsilon: float):
+        self.ids, self.vectors, self.k, self.epsilon = ids, vectors, k, epsilon
+        self.lengths = _lengths(vectors)
+        self.unit = (vectors / self.lengths[:, None]).astype(np.float32)
+        self.least = np.full(len(ids), -np.inf, np.float32)
+        self.held: list[tuple] = []
+        self.size = 0
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        lengths = _lengths(vectors)
+        near = self.unit @ (vectors / lengths[:, None]).astype(np.float32).T
+        if self.epsilon:  # epsilon is added to the product of both lengths
+            both = self.lengths[:, None] * lengths
+            near *= (both / (both + self.epsilon)).astype(np.float32)
+        of, at = np.nonzero(near >= self.least[:, None])
+        for lo in range(0, len(of), 1 << 15):
+            o, r = of[lo : lo + (1 << 15)].astype(np.int32), at[lo : lo + (1 << 15)]
+            self.held.append((o, ids[r], _dot(self.vectors[o], vectors[r]) / (self.lengths[o] * lengths[r] + self.epsilon)))
+        self.size += len(of)
+        if self.size > 4 * self.k * len(self.ids):
+            self._drop()
+
+    def _drop(self) -> None:
+        """Leaves each query's k best and what is as near as the last of them but for rounding, of equal values the k smallest ids: Spark ranks them."""
+        of, ids, near = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((ids, -near, of))
+        of, ids, near = of[order], ids[order], near[order]
+        first = np.searchsorted(of, np.arange(len(self.ids)))
+        full = np.flatnonzero(np.diff(np.append(first, len(of))) >= self.k)
+        last = np.full(len(self.ids), -np.inf)
+        last[full] = near[first[full] + self.k - 1]
+        self.least = (last - self.SLACK).astype(np.float32)
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(of) != 0) | (np.diff(near) != 0))))
+        nth = np.arange(len(of)) - np.repeat(new, np.diff(np.append(new, len(of))))
+        on = (near >= last[of] - 2e-9) & (nth < self.k)
+        self.held, self.size = [(of[on], ids[on], near[on])], int(on.sum())
+
+    def best(self) -> pa.RecordBatch:
+        if self.held:
+            self._drop()
+        of, ids, near = self.held[0] if self.held else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[of]), pa.array(ids), pa.array(near)], names=["query_id", "doc_id", "similarity"])
+
+
+def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed in the order of the components as `functions.text.dot` does, so that the last bits agree."""
+    return np.add.accumulate(a * b, axis=1)[:, -1]
+
+
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt(_dot(vectors, vectors))
 
 
 def fused(semantic: DataFrame, lexical: DataFrame, k: int = RRF_K) -> DataFrame:
