@@ -31,6 +31,13 @@ def test_query(spark, duck, name):
     assert rows_of(df.columns, rows) == rows_of(columns, relation.fetchall())
 
 
+@pytest.mark.parametrize("name", "act_names_short batch_lines civil_acts crosswalk_compare crosswalk_reverse devanagari file_names jobs_due plain_texts synonyms_extended".split())
+def test_reads_a_given_table(spark, name):
+    """Queries that once ran on rows of their own: their plan reads a given table, and their rows grow with it."""
+    df = catalog.queries()[name](spark, SF_DIR)
+    assert df.inputFiles() and df.count() >= 50
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
