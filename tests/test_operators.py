@@ -41,6 +41,23 @@ def test_dense_by_blocks_is_the_search_pair_by_pair(spark):
         assert repr(order(found)) == repr(order(wanted))
 
 
+# --- texts are read once
+
+
+def test_searches_read_texts_once(spark):
+    """Scores come from written tokens, chunks' columns are derived for what is found only, and no query is multiplied with chunks by partitions."""
+    from textquarry.plans import search
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    asked, chunks = fixtures.frame(spark, "asked"), fixtures.frame(spark, "chunks")
+    terms = retrieval.query_terms(asked)
+    assert "regexp_extract_all" not in plan(retrieval.bm25(terms.localCheckpoint(), chunks, "id", "document"))
+    assert "LeftSemi" in plan(search.scored_chunks(asked, chunks, "2024-07-01")) and "LeftSemi" in plan(search.statutes(asked, chunks, "2024-07-01"))
+    found = search.entity_reranked(asked, chunks)
+    assert "CartesianProduct" not in plan(found) and "BroadcastNestedLoopJoin" in plan(found)
+    assert {r["query_id"] for r in found.collect()} & {1, 2, 3} == {1, 2, 3}
+
+
 # --- text
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from .. import store
 from ..functions import text as T
-from . import index
 
 K1, B, RRF_K = 1.5, 0.75, 60
 
@@ -34,13 +34,14 @@ def broadcast_if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
 def bm25(terms: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of all documents that share a term with a query; statistics are those of docs.
 
-    Tokens that no query has are dropped where they are read, before anything is counted or shuffled.
+    Texts are read and cut into tokens once, and written: statistics, frequencies and weights all come from there. Tokens that no query has are
+    dropped where they are read, before anything is counted or shuffled.
     """
-    tokened = docs.select(F.col(id_col).alias("doc_id"), T.tokens(text_col).alias("tokens"))
-    stats = index.corpus_stats(docs, text_col)
+    tokened = store.saved(docs.select(F.col(id_col).alias("doc_id"), T.tokens(text_col).alias("tokens")).withColumn("dl", F.size("tokens")))
+    stats = tokened.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
     wanted = broadcast_if_few(terms.select("term").distinct())
-    rows = tokened.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    posted = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    rows = tokened.select("doc_id", "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    posted = store.saved(rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")))
     df = posted.groupBy("term").agg(F.count("*").alias("df"))
     return bm25_of_postings(terms, posted, df, stats, k1, b)
 

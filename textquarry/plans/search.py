@@ -40,12 +40,12 @@ def statutes(
     filtered: only chunks of the sections and acts a query names, acts given up first, then sections; both branches rank what is left and
     are then cut to the pool, so a chunk that fits is never lost to others that don't. by_page: one chunk of a page, as its hash names it; else one of each text.
     """
-    chunks = readers.with_derived(chunks)
+    texts, chunks = chunks, readers.with_derived(chunks)
     parsed = queries.select("query_id", "query", L.parsed_query("query").alias("parsed"))
 
     def narrowed(hits: DataFrame) -> DataFrame:
         """Of hits(query_id, doc_id, ...), those of the best tier that each query has."""
-        placed = hits.join(chunks.select(F.col("id").alias("doc_id"), "act", "section_number"), "doc_id").join(parsed.select("query_id", "parsed"), "query_id")
+        placed = hits.join(chunks.select(F.col("id").alias("doc_id"), "act", "section_number"), "doc_id").join(_few(parsed.select("query_id", "parsed")), "query_id")
         strict, loose = _fit()
         marked = store.saved(placed.select(*hits.columns, strict.alias("_strict"), loose.alias("_loose")))  # scored once, read for the best tier and for its hits
         return S.relaxed(marked, F.col("_strict"), F.col("_loose")).select(*hits.columns)
@@ -59,7 +59,7 @@ def statutes(
     else:
         found = lexical.select("query_id", "doc_id", (F.lit(1.0) / (S.RRF_K + F.col("rank"))).alias("rrf_score"), F.col("normalized_score").alias("bm25_score"), F.lit(0.0).alias("semantic_score"))
     found = found.select("query_id", F.col("doc_id").alias("id"), "rrf_score", F.coalesce("bm25_score", F.lit(0.0)).alias("bm25_score"), "semantic_score")
-    found = found.join(chunks, "id").join(parsed, "query_id")
+    found = _with_chunks(found, texts).join(_few(parsed), "query_id")
     strict, loose = _fit()
     found = found.withColumn("tier", F.when(strict, 1).when(loose, 2).otherwise(3) if filtered else F.lit(0))
     scored = scoring.reranked(scoring.boosted(found, as_of)).withColumn("order", F.round(F.col("rrf_score") + F.col("boost_score"), 6))
@@ -68,6 +68,18 @@ def statutes(
     return S.ranked(first.drop("rank").withColumnRenamed("reranker_score", "score"), k, "score", "id", None)
 
 
+def _with_chunks(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """found(query_id, id, ...) with the chunks' columns and what is derived from their texts: only texts that are found are looked at."""
+    found = store.saved(found)
+    ids = S.broadcast_if_few(found.select("id").distinct())
+    return found.join(readers.with_derived(chunks.join(ids, "id", "left_semi")), "id")
+
+
+def _few(parsed: DataFrame) -> DataFrame:
+    """What is read from the queries, marked for broadcast if they are few."""
+    return S.broadcast_if_few(parsed, 10_000)
+
+
 def _fit() -> tuple[Column, Column]:
     """Whether a chunk is of the sections and acts that the query names, and whether it is of the sections."""
     names = L.full_act_names(F.col("parsed.acts"))
@@ -81,13 +93,14 @@ def scored_chunks(queries: DataFrame, chunks: DataFrame, as_of: str, pool: int =
     """The lexical candidates of each query, `pool` at most, boosted."""
     parsed = queries.select("query_id", "query", L.parsed_query("query").alias("parsed"))
     found = S.ranked(S.bm25(S.query_terms(queries), chunks, "id", "document"), pool).select("query_id", F.col("doc_id").alias("id"))
-    return scoring.boosted(found.join(readers.with_derived(chunks), "id").join(parsed, "query_id"), as_of)
+    return scoring.boosted(_with_chunks(found, chunks).join(_few(parsed), "query_id"), as_of)
 
 
 def entity_reranked(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, id, entity_boost, tier) of chunks of a small corpus by the entities that queries name."""
+    """(query_id, id, entity_boost, tier) of chunks by the entities that queries name. Queries that name none boost nothing and meet no chunk; the others go to where the chunks are, if they are few."""
     parsed = queries.select("query_id", "query", L.entities("query").alias("entities"))
-    pairs = readers.with_derived(chunks).crossJoin(parsed)
+    named = F.exists(F.array(*[F.size(f"entities.{e}") for e in ("sections", "ipc_sections", "bns_sections", "acts", "topics", "articles")]), lambda n: n > 0)
+    pairs = readers.with_derived(chunks).drop("tokens").crossJoin(_few(store.saved(parsed.where(named))))
     boost = scoring.entity_boost("document", "section_number", "section", T.text_of("source"), "act")
     return pairs.withColumn("entity_boost", F.round(boost, 6)).where("entity_boost > 0").withColumn("tier", scoring.entity_tier(F.col("entity_boost")))
 
