@@ -58,6 +58,18 @@ def test_searches_read_texts_once(spark):
     assert {r["query_id"] for r in found.collect()} & {1, 2, 3} == {1, 2, 3}
 
 
+def test_pages_are_read_once(spark):
+    """The pages' patterns are tried before anything is joined; a title's pattern only where its end is found."""
+    from textquarry.plans import ingestion
+
+    pages = fixtures.frame(spark, "statute_pages").select(F.col("filename").alias("source"), F.col("page_id").alias("page"), "text")
+    plan = ingestion.chunks_of(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "LocalTableScan" not in plan
+    assert one(spark, L.act_of_title("t", F.lit("x.pdf")), t="Notes on THE  ARMS ACT,  1959 and " + "the rule " * 300) == "ARMS Act, 1959"
+    assert one(spark, L.act_of_title("t", F.lit("x.pdf")), t="on the Forest Act 1927 and the " * 3) == "Forest Act, 1927"
+    assert one(spark, L.act_of_title("t", F.lit("My_Book_1999.pdf")), t="the act of the rule " * 100) == "My Book, 1999"
+
+
 # --- text
 
 
