@@ -70,6 +70,21 @@ def test_pages_are_read_once(spark):
     assert one(spark, L.act_of_title("t", F.lit("My_Book_1999.pdf")), t="the act of the rule " * 100) == "My Book, 1999"
 
 
+def test_dictionary_hits_go_on_in_parts(monkeypatch):
+    """A task never holds the hits of a whole batch of texts."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from textquarry.operators import dictionary
+
+    monkeypatch.setattr(dictionary, "HELD_HITS", 5)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(["one two three"] * 19 + [""])], names=["id", "text"])
+    out = list(dictionary._walked(SimpleNamespace(value=("one", "three", "two")), frozenset())(iter([batch])))
+    assert [b.num_rows for b in out] == [6] * 9 + [3]
+    assert sorted((r["id"], r["term"], r["first"]) for b in out for r in b.to_pylist()) == sorted((i, t, f) for i in range(19) for t, f in (("one", 1), ("two", 5), ("three", 9)))
+
+
 # --- text
 
 

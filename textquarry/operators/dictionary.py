@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 MOST_TERMS = 200_000
+#: Hits after which a task sends on what it holds.
+HELD_HITS = 100_000
 
 
 @functools.lru_cache(4)
@@ -48,6 +50,31 @@ def found_in(text: str, automaton, alone: frozenset[int]) -> dict[int, list[int]
     return out
 
 
+def _walked(sent, alone: frozenset[int]):
+    """Batches (id, text) to hits of the terms in sent.value; a batch of texts goes on in batches of HELD_HITS, or of one text's hits if it has more."""
+
+    def run(batches):
+        for batch in batches:
+            terms, held = sent.value, ([], [], [], [])
+
+            def rows(held=held, batch=batch):
+                row, which, n, first = held
+                return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int64())), pa.array(which, pa.string()), pa.array(n, pa.int64()), pa.array(first, pa.int64())], names=["id", "term", "n", "first"])
+
+            for at, text in enumerate(batch.column("text")):
+                for number, (n, first) in found_in(text.as_py(), _automaton(terms), alone).items():
+                    for column, x in zip(held, (at, terms[number], n, first + 1), strict=True):
+                        column.append(x)
+                if len(held[0]) >= HELD_HITS:
+                    yield rows()
+                    for column in held:
+                        column.clear()
+            if held[0]:
+                yield rows()
+
+    return run
+
+
 def hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_col: str = "term", alone_upto: int = 0) -> DataFrame:
     """(id, term, n, first) of each term of terms(term) in each text: n occurrences, the first at that character, counted from 1. Case is ignored.
 
@@ -65,18 +92,7 @@ def hits(texts: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_co
         alone = frozenset(i for i, w in enumerate(words) if len(w) <= alone_upto)
         sent = texts.sparkSession.sparkContext.broadcast(words)
 
-        def walked(batches):
-            for batch in batches:
-                ids, ns, firsts, which = [], [], [], []
-                for row, text in enumerate(batch.column("text").to_pylist()):
-                    for number, (n, first) in found_in(text, _automaton(sent.value), alone).items():
-                        ids.append(row)
-                        which.append(sent.value[number])
-                        ns.append(n)
-                        firsts.append(first + 1)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), pa.array(which, pa.string()), pa.array(ns, pa.int64()), pa.array(firsts, pa.int64())], names=["id", "term", "n", "first"])
-
         out = f"id {kind}, term string, n long, first long"
-        return lower.mapInArrow(walked, out) if words else texts.sparkSession.createDataFrame([], out)
+        return lower.mapInArrow(_walked(sent, alone), out) if words else texts.sparkSession.createDataFrame([], out)
 
     return reduce(DataFrame.unionByName, [of_block(i) for i in range(blocks)]).withColumnRenamed("id", id_col)
