@@ -351,3 +351,19 @@ def test_sketches_merge_within_their_error(spark):
     assert whole["n"] == 20_000
     for name, q in (("p50", 0.5), ("p99", 0.99)):
         assert abs(np.searchsorted(ordered, whole[name]) / 20_000 - q) < 0.0266  # twice the bound of one try in a hundred
+
+
+def test_an_index_without_positions_sends_none(spark, monkeypatch):
+    def without(batches, blocks=segments._blocks_of):
+        batches = list(batches)
+        assert all("positions" not in b.schema.names for b in batches)
+        yield from blocks(batches)
+
+    docs = spark.createDataFrame([(i, f"red fox {i % 7}", "en") for i in range(600)], "doc_id long, text string, lang string")
+    blocks_of = segments._blocks_of
+    monkeypatch.setattr(segments, "_blocks_of", without)
+    plain = Index(spark, store.folder(spark)).append(docs, positions=False).merge()
+    assert plain.postings().count() == 1800 and {r["term"]: r["df"] for r in plain.frequencies().collect()}["fox"] == 600
+    monkeypatch.setattr(segments, "_blocks_of", blocks_of)
+    mixed = Index(spark, store.folder(spark)).append(docs.where("doc_id < 300")).append(docs.where("doc_id >= 300"), positions=False).merge()
+    assert boolean_search.matches(mixed, {1: '"red fox"', 2: "fox"}).groupBy("query_id").count().orderBy("query_id").collect() == [(1, 300), (2, 600)]

@@ -62,8 +62,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-_POSTINGS = "doc_id long, term string, tf int, dl int, positions array<int>"
-_BLOCKS = "term string, tier int, zone int, zones int, n long, max_tf int, min_dl int, doc_ids array<long>, tfs array<int>, dls array<int>, positions array<array<int>>"
+_POSTINGS = "doc_id long, term string, tf int, dl int"
+_BLOCKS = "term string, tier int, zone int, zones int, n long, max_tf int, min_dl int, doc_ids array<long>, tfs array<int>, dls array<int>"
 #: Tokens worked on at once.
 _TOKENS = 1 << 20
 
@@ -72,28 +72,44 @@ def _lists(bounds: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values)
 
 
-def _postings_of(batches):
-    """A row for each distinct term of each document, with the positions it has there; a document's tokens are all in its row, so nothing is shuffled."""
+def _pieces(batches):
+    """Rows (doc_id, tokens) in pieces of some _TOKENS tokens: the piece, its documents' sizes, its distinct terms, and of each token (document, term) as one number."""
     for whole in batches:
         sizes = pc.list_value_length(whole.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.cumsum(sizes) // _TOKENS
         for lo, hi in zip(cuts := np.flatnonzero(np.concatenate([[True], np.diff(part) > 0])), [*cuts[1:], len(sizes)], strict=True):
             batch, dl = whole.slice(lo, hi - lo), sizes[lo:hi]
             terms = batch.column("tokens").flatten().dictionary_encode()
+            yield batch, dl, terms, np.repeat(np.arange(len(dl)), dl) * max(1, len(terms.dictionary)) + terms.indices.to_numpy()
+
+
+def _counts_of(batches):
+    """(term, n): in how many documents of a piece a term is."""
+    for _, _, terms, key in _pieces(batches):
+        n = np.bincount(np.unique(key) % max(1, len(terms.dictionary)), minlength=len(terms.dictionary))
+        yield pa.RecordBatch.from_arrays([terms.dictionary, pa.array(n)], names=["term", "n"])
+
+
+def _postings_of(positions: bool):
+    """A row for each distinct term of each document, with the positions it has there if asked; a document's tokens are all in its row, so nothing is shuffled."""
+
+    def run(batches):
+        for batch, dl, terms, key in _pieces(batches):
             doc = np.repeat(np.arange(len(dl)), dl)
-            position = (np.arange(len(doc)) - np.repeat(np.cumsum(dl) - dl, dl)).astype(np.int32)
-            key = doc * max(1, len(terms.dictionary)) + terms.indices.to_numpy()
             order = np.argsort(key, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(order) else np.zeros(0, np.int64)
             at, bounds = order[first], np.append(first, len(order))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc[at])), terms.dictionary.take(terms.indices.take(pa.array(at))), pa.array(np.diff(bounds).astype(np.int32)), pa.array(dl[doc[at]].astype(np.int32)), _lists(bounds, pa.array(position[order]))],
-                names=["doc_id", "term", "tf", "dl", "positions"],
-            )
+            columns = [batch.column("doc_id").take(pa.array(doc[at])), terms.dictionary.take(terms.indices.take(pa.array(at))), pa.array(np.diff(bounds).astype(np.int32)), pa.array(dl[doc[at]].astype(np.int32))]
+            if positions:
+                position = (np.arange(len(doc)) - np.repeat(np.cumsum(dl) - dl, dl)).astype(np.int32)
+                columns.append(_lists(bounds, pa.array(position[order])))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "term", "tf", "dl", "positions"][: len(columns)])
+
+    return run
 
 
 def _blocks_of(batches):
-    """Postings sorted by h, a hash of (term, tier, zone), as a row for each of these."""
+    """Postings sorted by h, a hash of (term, tier, zone), as a row for each of these; with positions if they have them."""
 
     def rows(table: pa.Table) -> pa.RecordBatch:
         column = {c: table.column(c).combine_chunks() for c in table.column_names}
@@ -105,9 +121,10 @@ def _blocks_of(batches):
         column = {c: v.take(pa.array(order)) for c, v in column.items()}
         at, bounds = pa.array(first), np.append(first, len(order))
         reduced = lambda f, c: pa.array(f.reduceat(column[c].to_numpy(), first).astype(np.int32))
+        lists = [_lists(bounds, column[c]) for c in ("doc_id", "tf", "dl", "positions") if c in column]
         return pa.RecordBatch.from_arrays(
-            [*(column[c].take(at) for c in ("term", "tier", "zone", "zones")), pa.array(np.diff(bounds)), reduced(np.maximum, "tf"), reduced(np.minimum, "dl"), *(_lists(bounds, column[c]) for c in ("doc_id", "tf", "dl", "positions"))],
-            names=["term", "tier", "zone", "zones", "n", "max_tf", "min_dl", "doc_ids", "tfs", "dls", "positions"],
+            [*(column[c].take(at) for c in ("term", "tier", "zone", "zones")), pa.array(np.diff(bounds)), reduced(np.maximum, "tf"), reduced(np.minimum, "dl"), *lists],
+            names=["term", "tier", "zone", "zones", "n", "max_tf", "min_dl", "doc_ids", "tfs", "dls", "positions"][: 7 + len(lists)],
         )
 
     held = None
@@ -136,31 +153,35 @@ class Index:
         self.state = {"segments": segments}
         store.write_state(self.spark, f"{self.folder}/state", self.state)
 
-    def _add(self, documents: DataFrame, postings: DataFrame) -> dict:
-        """Writes a segment of documents(doc_id, dl, fields) and postings(doc_id, term, tf, dl, positions); postings are cheap to make again."""
+    def _add(self, documents: DataFrame, postings: DataFrame, counts: DataFrame) -> dict:
+        """Writes a segment of documents(doc_id, dl, fields), postings(doc_id, term, tf, dl, and positions if it is to have them) and counts(term, df)."""
         name = uuid.uuid4().hex
         documents.write.parquet(f"{self.folder}/{name}/documents")
         stats = self.spark.read.parquet(f"{self.folder}/{name}/documents").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
         average = stats["tokens"] / stats["n"] if stats["n"] else 0.0
-        frequent = postings.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") > BLOCK)
         zones = F.coalesce(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("df") / BLOCK))).cast("int"), F.lit(1))
         tier = F.when(F.col("df").isNull(), 0).otherwise(F.least(F.lit(TIERS - 1), F.floor((1 - impact(F.col("tf"), F.col("dl"), average) / (K1 + 1)) * TIERS))).cast("int")
-        frequent = store.saved(frequent)
-        placed = postings.join(broadcast_if_few(frequent), "term", "left").select("term", tier.alias("tier"), zones.alias("zones"), "doc_id", "tf", "dl", "positions")
+        frequent = store.saved(counts.where(F.col("df") > BLOCK))
+        # a list that is null makes Spark fill the whole Arrow batch again for each row: what has no positions doesn't send any
+        held = "positions" in postings.columns
+        placed = postings.join(broadcast_if_few(frequent), "term", "left").select("term", tier.alias("tier"), zones.alias("zones"), "doc_id", "tf", "dl", *(["positions"] if held else []))
         placed = placed.withColumn("zone", _zone(F.col("doc_id"), F.col("zones")))
         # one shuffle; rows are sorted by one number, the far fewer blocks of each file then by term
         ordered = placed.repartition("term", "tier", "zone").withColumn("h", F.xxhash64("term", "tier", "zone")).sortWithinPartitions("h")
-        ordered.mapInArrow(_blocks_of, _BLOCKS).sortWithinPartitions("term", "tier", "zone").write.parquet(f"{self.folder}/{name}/blocks")
-        return {"name": name, "n": stats["n"], "tokens": stats["tokens"], "deletions": []}
+        blocks = ordered.mapInArrow(_blocks_of, _BLOCKS + (", positions array<array<int>>" if held else ""))
+        blocks = blocks if held else blocks.withColumn("positions", F.lit(None).cast("array<array<int>>"))
+        blocks.sortWithinPartitions("term", "tier", "zone").write.parquet(f"{self.folder}/{name}/blocks")
+        store.release(frequent)
+        return {"name": name, "n": stats["n"], "tokens": stats["tokens"], "deletions": [], "positions": held}
 
     def append(self, docs: DataFrame, fields: tuple[str, ...] = (), text_col: str = "text", positions: bool = True) -> Index:
         """A segment of docs(doc_id, text, fields): texts are read here and never by a search. Without positions it serves ranked search only: a phrase finds nothing in it."""
         tokened = store.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), T.tokens(text_col).alias("tokens"), *fields).where("doc_id IS NOT NULL"))
         documents = tokened.select("doc_id", F.size("tokens").alias("dl"), *fields)
-        postings = tokened.where(F.size("tokens") > 0).select("doc_id", "tokens").mapInArrow(_postings_of, _POSTINGS)
-        if not positions:
-            postings = postings.withColumn("positions", F.lit(None).cast("array<int>"))
-        self._wrote([*self.state["segments"], self._add(documents, postings)])
+        worded = tokened.where(F.size("tokens") > 0).select("doc_id", "tokens")
+        postings = worded.mapInArrow(_postings_of(positions), _POSTINGS + (", positions array<int>" if positions else ""))
+        counts = worded.mapInArrow(_counts_of, "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+        self._wrote([*self.state["segments"], self._add(documents, postings, counts)])
         store.release(tokened)
         return self
 
@@ -185,7 +206,11 @@ class Index:
     def merge(self) -> Index:
         """One segment of all that lives; texts aren't read."""
         fields = [c for c in self.documents().columns if c not in ("segment", "doc_id", "dl")]
-        self._wrote([self._add(self.documents("doc_id", "dl", *fields), self.postings(positions=True))])
+        held = any(s.get("positions", True) for s in self.state["segments"])
+        postings = self.postings(positions=held)
+        if held:  # a segment without any may be among them
+            postings = postings.withColumn("positions", F.coalesce("positions", F.array().cast("array<int>")))
+        self._wrote([self._add(self.documents("doc_id", "dl", *fields), postings, self.frequencies())])
         return self
 
     # --- what is stored
@@ -198,6 +223,8 @@ class Index:
     def _exploded(blocks: DataFrame, *more: str, positions: bool = False) -> DataFrame:
         """A row for each posting of blocks, with the columns named."""
         arrays = {"doc_ids": "doc_id", "tfs": "tf", "dls": "dl"} | ({"positions": "positions"} if positions else {})
+        if positions:  # blocks without any are zipped with nulls
+            blocks = blocks.withColumn("positions", F.coalesce("positions", F.array().cast("array<array<int>>")))
         rows = blocks.select("segment", "term", *more, F.explode(F.arrays_zip(*arrays)).alias("p"))
         return rows.select("segment", "term", *more, *[F.col(f"p.{a}").alias(c) for a, c in arrays.items()])
 
