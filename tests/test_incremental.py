@@ -4,6 +4,7 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,59 @@ def test_limiters_in_event_time_are_those_of_a_batch(spark, tmp_path, rule):
     assert {r["id"]: (r["allowed"], r["remaining"], r["retry_after"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == truth
 
 
+def test_requests_of_a_key_that_come_due_together_are_taken_at_once():
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self.rows)
+
+        def appendValue(self, row):  # noqa: N802
+            self.rows.append(row)
+
+        def clear(self):
+            self.rows = []
+
+    class Held(State):
+        def get(self):
+            return self.rows[0] if self.rows else None
+
+        def update(self, row):
+            self.rows = [row]
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.waiting, self.held = set(), State(), Held()
+
+        def getListState(self, *_):  # noqa: N802
+            return self.waiting
+
+        def getValueState(self, *_):  # noqa: N802
+            return self.held
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.add(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: ms
+
+    handle, processor = Handle(), limiters._InOrder(limiters.SlidingWindow(2, 10), 60_000)
+    processor.init(handle)
+    for lo in (500, 0):
+        frame = pd.DataFrame({"id": range(lo, lo + 500), "ms": range(1000 * lo, 1000 * (lo + 500), 1000)})
+        list(processor.handleInputRows(("k",), iter([frame]), None))
+    assert handle.timers == {0, 500_000}
+    out = [list(processor.handleExpiredTimer(("k",), At(699_000), At(t))) for t in (0, 500_000)]
+    assert [len(x) for x in out] == [1, 0] and handle.waiting.calls == 1
+    assert out[0][0]["ms"].tolist() == list(range(0, 700_000, 1000)) and out[0][0]["allowed"].sum() == 140
+    assert 700_000 in handle.timers and 759_000 in handle.timers
+    rest = list(processor.handleExpiredTimer(("k",), At(10_000_000), At(700_000)))
+    assert len(rest[0]) == 300 and not handle.held.rows and not handle.waiting.rows
+
+
 def test_bloom_filters():
     rng = np.random.RandomState(1)
     h = rng.randint(-(1 << 62), 1 << 62, 5_000)
