@@ -577,3 +577,13 @@ def test_windows_of_a_long_text_are_cut_in_one_pass(spark):
     assert "aggregate" not in chunks._jdf.queryExecution().analyzed().toString()  # which copies all windows found for each word
     rows = chunks.orderBy("pos").collect()
     assert {r["doc_id"] for r in rows} == {1} and [r["pos"] for r in rows] == list(range(len(rows))) and any(r["chunk"].split()[-1:] == ["w59999"] or "w59999 " in r["chunk"] for r in rows)
+
+
+def test_hops_read_only_edges_at_the_frontier(spark):
+    edges = spark.range(20_000).selectExpr("id AS src", "-1 - id % 50 AS dst")
+    start = spark.createDataFrame([(1,)], "start long")
+    got = {(r["node"], r["distance"]) for r in graph.within(edges, start, 2).collect()}
+    assert got == {(-2, 1)} | {(i, 2) for i in range(20_000) if i % 50 == 1 and i != 1}
+    assert "Aggregate" not in graph.within(edges, start, 2)._jdf.queryExecution().optimizedPlan().toString()  # all edges are told apart nowhere
+    both = graph.within(edges, spark.createDataFrame([(1,), (-2,)], "start long"), 1).groupBy("start").count().orderBy("start").collect()
+    assert both == [(-2, 400), (1, 1)]

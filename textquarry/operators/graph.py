@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import store
 from . import scoring
+from .retrieval import broadcast_if_few
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -22,15 +26,16 @@ def neighbours(edges: DataFrame, vertices: DataFrame, direction: str = "out") ->
 def within(edges: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
     """(start, node, distance) of nodes up to `hops` undirected steps away, start itself left out.
 
-    One join and one anti join a hop; a frontier of several starts is walked at once. Hops are few, so the plan stays one.
+    One reading of the edges and one anti join a hop; a frontier of several starts is walked at once. Only edges at the frontier are told apart and
+    shuffled: each meets it where it is read, and what passes from hop to hop is written, so that its rows are counted before any are broadcast.
     """
-    e = distinct_edges(edges)
-    both = e.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(e.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    seen = start.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("distance"))
+    edges = edges.select("src", "dst")
+    seen = store.saved(start.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("distance")))
     frontier = seen
     for hop in range(1, hops + 1):
-        step = frontier.join(both, frontier["node"] == both["a"]).select("start", F.col("b").alias("node")).distinct()
-        frontier = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(hop))
+        at = broadcast_if_few(frontier.select("start", "node").distinct())
+        step = reduce(DataFrame.union, [edges.join(at, edges[a] == at["node"]).select("start", F.col(b).alias("node")) for a, b in (("src", "dst"), ("dst", "src"))]).distinct()
+        frontier = store.saved(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen.where("distance > 0")
 
