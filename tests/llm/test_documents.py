@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textquarry.llm import decontamination, jaccard, line_dedup, mixing, quality, suffix_tree, textops
@@ -489,6 +490,34 @@ def test_suffix_tree_against_brute_force(spark, cache):
     assert got == {i: pytest.approx(x, rel=1e-9) for i, x in enumerate(truth)}
 
 
+def test_one_word_is_counted_in_several_parts():
+    """What follows a word of all texts is dealt out to several parts, in batches of some MB, and its totals add up."""
+    texts = [" ".join(f"the w{i * 50 + j}" for j in range(50)) for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    sent = list(suffix_tree._counting(1, 64)(iter([batch])))
+    merged = list(suffix_tree._merging(1, 64)(iter(sent)))
+    the = suffix_tree.sequence(pa.array(["the"]))[0][1]
+    totals, parts = 0, set()
+    for b in sent:
+        for part, k, blob in zip(b.column("part").to_pylist(), b.column("k").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            if the in np.frombuffer(blob, np.uint64, k):
+                parts.add(part)
+    for b in merged:
+        for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            if kind == suffix_tree._TOTAL:
+                context, n = np.frombuffer(blob, np.uint64).reshape(2, -1)
+                totals += int(n[context == the].sum())
+    assert len(parts) == 8 and totals == 400 * 50
+
+
+def test_bits_grow_with_their_members(spark):
+    """Two probes in a table sized by its members let few others through, and all members."""
+    keys = textops.mix(np.arange(50_000, dtype=np.uint64))
+    bits = suffix_tree.Bits(spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "key long"), 30, 2)
+    assert bits(keys).all()
+    assert bits(textops.mix(np.arange(10**6, 10**6 + 50_000, dtype=np.uint64))).mean() < 0.06
+
+
 # --- hashes
 
 

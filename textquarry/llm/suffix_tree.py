@@ -30,17 +30,21 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import release, saved, shuffle_partitions, table
+from .common import BATCH_BYTES, release, saved, shuffle_partitions, table
 
 CACHE_ENTRIES = 2_500_000
 MIN_COUNT, DEPTH = 2, 4
 MU = 1.0
-#: Rows of counts that a task holds before it sends them on, and bytes of text to a part of the merge.
-CHUNK_ROWS, PART_BYTES = 1_500_000, 6_000_000
+#: Rows that a task counts together, rows that it holds before it sends them on, and bytes of text to a part of the merge.
+CHUNK_ROWS, SENT_ROWS, PART_BYTES = 1_000_000, 500_000, 6_000_000
+#: Entries to a part of scoring, texts to a group (their numbers have 16 bits), and tasks that answer at most.
+PART_ENTRIES, GROUP_TEXTS, ANSWERING = 250_000, 1 << 16, 64
+#: Parts of small inputs.
+LEAST_PARTS = 32
 
 _START, _END = (T.mix(np.array([i], dtype=np.uint64))[0] for i in (101, 202))
 _FIRST, _SECOND = np.uint64(0x9FB21C651E98DF25), np.uint64(0xA24BAED4963EE407)
@@ -68,18 +72,43 @@ def extended(context: np.ndarray, token: np.ndarray, level: int) -> np.ndarray:
     return T.mix(context * (_FIRST if level == 1 else _SECOND) + token)
 
 
+class _Found:
+    """Values by hash, looked up where the first bits of a hash say they begin."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+        self.shift = np.uint64(64 - max(8, len(keys).bit_length()))
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is, -1 if nowhere."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        bucket = h >> self.shift
+        at, end = self.first[bucket], self.first[bucket + np.uint64(1)]
+        left = np.flatnonzero(at < end)
+        at, end, h = at[left], end[left], h[left]
+        while len(left):
+            hit = self.keys[at] == h
+            out[left[hit]] = at[hit]
+            on = ~hit & (at + 1 < end)
+            left, at, end, h = left[on], at[on] + 1, end[on], h[on]
+        return out
+
+
 class Tree:
     """What is broadcast: frequent tokens with their counts, frequent entries with what they add to a score.
 
-    rest: the table (key, value) of all other entries; bits: which keys may be in it; cached: which may be among the frequent ones.
+    rest: the table (key, value, known) of all other entries and tokens; bits: which keys may be an entry, frequent or not.
     """
 
     def __init__(self, total: int, distinct: int):
         self.total, self.distinct = total, distinct
         self.z = total + 0.5 * (distinct + 1)
-        self.tokens, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.keys, self.values, self.least = np.zeros(0, np.uint64), np.zeros(0), MIN_COUNT
-        self.rest, self.bits, self.cached = None, Bits(), Bits()
+        self.tokens, self.entries, self.least = _Found(np.zeros(0, np.uint64), np.zeros(0, np.int64)), _Found(np.zeros(0, np.uint64), np.zeros(0)), MIN_COUNT
+        #: What frequent tokens add to a score themselves, and as contexts of one token.
+        self.logs, self.backs = np.zeros(0), np.zeros(0)
+        self.rest, self.bits = None, Bits()
         #: While it grows, by length: which explicit continuations and which contexts that more than one token follows there may be.
         self.explicit: dict[int, Bits] = {}
         self.open: dict[int, Bits] = {}
@@ -87,117 +116,253 @@ class Tree:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "rest"}
 
+    @property
+    def counts(self) -> np.ndarray:
+        """Of frequent tokens."""
+        return self.tokens.values
+
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / self.z
 
-    def count_of(self, token: np.ndarray) -> np.ndarray:
-        """Counts of frequent tokens, 0 of others."""
-        return _looked_up(self.tokens, self.counts, token)
 
-    def value_of(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that a frequent entry has, and what it adds there."""
-        i = np.flatnonzero(self.cached(gram))
-        found = _looked_up(self.keys, self.values, gram[i], np.nan)
-        return i[found == found], found[found == found]
+def _starts(*arrays: np.ndarray) -> np.ndarray:
+    """Where in parallel arrays a row differs from the one before."""
+    new = np.ones(len(arrays[0]), dtype=bool)
+    if len(new):
+        new[1:] = functools.reduce(np.logical_or, [a[1:] != a[:-1] for a in arrays])
+    return np.flatnonzero(new)
 
 
-def _looked_up(keys: np.ndarray, values: np.ndarray, h: np.ndarray, default=0) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(h), default, dtype=values.dtype)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, values[at], default)
+def _summed(key: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their values."""
+    order = np.argsort(key)
+    key = key[order]
+    at = _starts(key)
+    return key[at], np.add.reduceat(values[order], at) if len(at) else values[:0]
 
 
-def _ordered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts hashes, and where in it each distinct one begins."""
-    order = np.argsort(h)
-    ordered = h[order]
-    return order, np.flatnonzero(np.concatenate(([len(h) > 0], ordered[1:] != ordered[:-1])))
+#: What goes between Python tasks: for each range of hashes, and sender, one row with many packed rows of a kind. Few rows, and no room lost in the shuffle.
+_PACKED = "part int, kind int, k long, blob binary"
+_COUNT, _ASK, _TOTAL, _PARENT, _ROW, _ENTRY, _OWN, _KEY = range(8)
 
 
-def _counted(arrays: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of parallel arrays, sorted by the first, which tells them apart, and their counts."""
-    order, first = _ordered(arrays[0])
-    at = order[first]
-    return [a[at] for a in arrays], np.diff(np.append(first, len(order)))
+def _packed(part: list, kind: int, k: list, blobs: list):
+    """Arrow batches of some MB of packed rows."""
+    whole = pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([kind] * len(part), pa.int32()), pa.array(k, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "kind", "k", "blob"])
+    step = max(1, len(part) * BATCH_BYTES // (1 + whole.nbytes))
+    yield from (whole.slice(i, step) for i in range(0, len(part), step))
 
 
-def _packed(of, parts: int, with_tokens: bool = False):
-    """Arrow batches of texts to counts; `of` gives parallel arrays of a slice, the first a hash of the whole row. Combined CHUNK_ROWS at a time.
+def _cuts(h: np.ndarray, parts: int) -> np.ndarray:
+    """Where in sorted hashes each of `parts` equal ranges of them begins, and the end."""
+    return np.searchsorted((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
-    One row for each range of the hashes, with all its counts packed in one binary: few rows and no room lost in the shuffle.
-    with_tokens: the counts of single tokens too, in parts from `parts` on.
-    """
 
-    def emit(held, first_part=0):
-        rows, n = _counted([np.concatenate(x) for x in zip(*held, strict=True)])
-        part = (rows[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).tolist()
-        arrays = [*(rows[1:] or rows), n.astype(np.uint64)]
+class _Sender:
+    """Holds parallel arrays of 64 bits, the first a hash, and packs them by ranges of it, SENT_ROWS at a time."""
+
+    def __init__(self, kind: int, parts: int):
+        self.kind, self.parts, self.held, self.size = kind, parts, [], 0
+
+    def add(self, *arrays: np.ndarray):
+        if len(arrays[0]):
+            self.held.append([a.view(np.uint64) for a in arrays])
+            self.size += len(arrays[0])
+        if self.size > SENT_ROWS:
+            yield from self.rest()
+
+    def rest(self):
+        if self.size:
+            arrays = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+            order = np.argsort(arrays[0])
+            cut = _cuts(arrays[0][order], self.parts).tolist()
+            arrays = np.stack([a[order] for a in arrays])
+            full = [p for p in range(self.parts) if cut[p] < cut[p + 1]]
+            yield from _packed(full, self.kind, [cut[p + 1] - cut[p] for p in full], [arrays[:, cut[p] : cut[p + 1]].tobytes() for p in full])
+        self.held, self.size = [], 0
+
+
+def _by_part(batches):
+    """Each part of rows sorted by part, with its (k, blob) by kind; one part is held at a time."""
+    now, held = None, {}
+    for batch in batches:
+        for part, kind, k, blob in zip(*(batch.column(x).to_pylist() for x in ("part", "kind", "k", "blob")), strict=True):
+            if part != now and held:
+                yield now, held
+                held = {}
+            now = part
+            held.setdefault(kind, []).append((k, blob))
+    if held:
+        yield now, held
+
+
+def _unpacked(rows: list, width: int) -> np.ndarray:
+    """The arrays that a _Sender has packed."""
+    return np.concatenate([np.frombuffer(blob, np.uint64).reshape(width, -1) for _, blob in rows] or [np.zeros((width, 0), np.uint64)], axis=1)
+
+
+def _met(rows: DataFrame, run, schema: str = _PACKED, tasks: int = 0) -> DataFrame:
+    """run on all rows of each part together."""
+    return rows.repartition(tasks or shuffle_partitions(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(run, schema)
+
+
+def _sending(kind: int, parts: int, columns: list[str], probes: int = 1):
+    """Rows to what a _Sender packs of their columns, the first a hash. probes: at 2 its lower half is sent too, as `Bits` asks for it."""
+
+    def run(batches):
+        sender = _Sender(kind, parts)
+        for batch in batches:
+            arrays = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            yield from sender.add(*arrays)
+            if probes == 2:
+                yield from sender.add(arrays[0] << 32)
+        yield from sender.rest()
+
+    return run
+
+
+#: In place of a suffix that can't be explicit: only its context's total counts it.
+_NONE = np.uint64(0)
+
+
+def _counting(level: int, parts: int, shared: _Shared | None = None):
+    """Arrow batches of texts to packed counts of (context, suffix), CHUNK_ROWS at a time.
+
+    A context is named once for all that follows it, with how often it occurs. Ranges are of the contexts' hashes; at level 1, where
+    one word may be in all texts, each context is dealt out to eight by its suffixes.
+    """
+    of = _grams(level, shared)
+
+    def emit(held):
+        context, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        h = context & np.uint64(0xFFFFFFFF00000000) | extended(context, suffix, 1) >> np.uint64(32)
+        if level == 1:
+            h = h >> np.uint64(3) | suffix & np.uint64(7 << 61)
+        order = np.argsort(h)
+        context, suffix, h = context[order], suffix[order], h[order]
+        at = _starts(context, suffix)
+        n = np.diff(np.append(at, len(h))).astype(np.uint32)
+        context, suffix, h = context[at], suffix[at], h[at]
+        first = _starts(context, h >> np.uint64(32))
+        real = suffix != _NONE
+        totals, follow = (np.add.reduceat(x, first, dtype=np.uint32) for x in (n, real))
+        cut, inner = _cuts(h[first], parts).tolist(), _cuts(h[real], parts).tolist()
+        context, suffix, n = context[first], suffix[real], n[real]
         full = [p for p in range(parts) if cut[p] < cut[p + 1]]
-        blobs = [np.stack([a[cut[p] : cut[p + 1]] for a in arrays]).tobytes() for p in full]
-        return pa.RecordBatch.from_arrays([pa.array([first_part + p for p in full], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "counts"])
+        blobs = [b"".join(x[c[p] : c[p + 1]].tobytes() for x, c in ((context, cut), (suffix, inner), (totals, cut), (follow, cut), (n, inner))) for p in full]
+        yield from _packed(full, _COUNT, [cut[p + 1] - cut[p] for p in full], blobs)
 
     def run(batches):
-        held, tokens, size = [], [], 0
+        held, size = [], 0
         for batch in (part for whole in batches for part in T.slices(whole, "text")):
-            seq, bounds = sequence(batch.column("text"))
-            held.append(of(seq, bounds))
-            if with_tokens:
-                tokens.append(_unigrams(seq, bounds))
+            held.append(of(*sequence(batch.column("text"))))
             size += len(held[-1][0])
             if size > CHUNK_ROWS:
-                yield emit(held)
-                if tokens:
-                    yield emit(tokens, parts)
-                held, tokens, size = [], [], 0
-        if held:
-            yield emit(held)
-        if tokens:
-            yield emit(tokens, parts)
+                yield from emit(held)
+                held, size = [], 0
+        if size:
+            yield from emit(held)
 
     return run
 
 
-_COUNTS = "context long, suffix long, of long, n long"
+def _merging(level: int, parts: int):
+    """Counts to asks of (suffix, context, n) for what occurs MIN_COUNT times, and totals of contexts; at level 1 of all."""
 
+    def run(batches):
+        asks, totals = _Sender(_ASK, parts), _Sender(_TOTAL, parts)
+        for _, held in _by_part(batches):
+            read = []
+            for k, blob in held[_COUNT]:
+                r = (len(blob) - 16 * k) // 12
+                wide, narrow = np.frombuffer(blob, np.uint64, k + r), np.frombuffer(blob, np.uint32, offset=8 * (k + r))
+                read.append((wide[:k], wide[k:], narrow[:k], narrow[k : 2 * k], narrow[2 * k :]))
+            context, suffix, total, follow, n = (np.concatenate(x) for x in zip(*read, strict=True))
+            del read
+            of = np.repeat(context, follow)
+            order = np.argsort(extended(of, suffix, 1))
+            of, suffix, n = of[order], suffix[order], n[order].astype(np.uint64)
+            at = _starts(of, suffix)
+            n = np.add.reduceat(n, at) if len(at) else n
+            keep = n >= MIN_COUNT
+            of, suffix, n = of[at[keep]], suffix[at[keep]], n[keep]
+            context, total = _summed(context, total.astype(np.uint64))
+            if level > 1:
+                asked = total >= MIN_COUNT
+                asked[asked] = np.isin(context[asked], of)
+                context, total = context[asked], total[asked]
+            yield from asks.add(suffix, of, n)
+            yield from totals.add(context, total)
+        yield from asks.rest()
+        yield from totals.rest()
 
-def _merged(width: int, parts: int):
-    """Rows sorted by part to _COUNTS; one part is held at a time. Tokens have no context, and of the others what occurs MIN_COUNT times is left.
+    return run
 
-    width: arrays in a binary, 4 or, where `of` is the context, 3.
-    """
 
-    def merge(part, blobs):
-        *columns, n = np.concatenate([np.frombuffer(b, np.uint64).reshape(2 if part >= parts else width, -1) for b in blobs], axis=1)
-        order, first = _ordered(columns[0] if part >= parts else extended(columns[0], columns[1], 1))
-        at, n = order[first], np.add.reduceat(n[order], first).view(np.int64)
-        if part >= parts:
-            none = pa.nulls(len(at), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.array(columns[0][at].view(np.int64)), none, pa.array(n)], names=["context", "suffix", "of", "n"])
-        keep = n >= MIN_COUNT
-        context, suffix, of = (c[at[keep]].view(np.int64) for c in (columns[0], columns[1], columns[-1] if width > 3 else columns[0]))
-        return pa.RecordBatch.from_arrays([pa.array(context), pa.array(suffix), pa.array(of), pa.array(n[keep])], names=["context", "suffix", "of", "n"])
+def _token_counts(batches):
+    """Totals of contexts of one token to counts of tokens: each is followed by something but the end, and that is as often as the start."""
+    for _, held in _by_part(batches):
+        token, n = _summed(*_unpacked(held[_TOTAL], 2))
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(token == _START, _END, token).view(np.int64)), pa.array(n.view(np.int64))], names=["token", "n"])
+
+
+def _meeting_parents(parts: int):
+    """Asks and parents of a part to rows (context, token, n, p)."""
 
     def run(batches):
-        now, blobs = None, []
-        for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                if part != now and blobs:
-                    yield merge(now, blobs)
-                    blobs = []
-                now = part
-                blobs.append(blob)
-        if blobs:
-            yield merge(now, blobs)
+        out = _Sender(_ROW, parts)
+        for _, held in _by_part(batches):
+            suffix, context, n = _unpacked(held.get(_ASK, []), 3)
+            key, token, p = _unpacked(held.get(_PARENT, []), 3)
+            if not len(key) or not len(suffix):
+                continue
+            order = np.argsort(key)
+            key, token, p = key[order], token[order], p[order]
+            at = np.minimum(np.searchsorted(key, suffix), len(key) - 1)
+            found = key[at] == suffix
+            at = at[found]
+            yield from out.add(context[found], token[at], n[found], p[at])
+        yield from out.rest()
 
     return run
 
 
-def _unigrams(seq: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    keep = np.ones(len(seq), dtype=bool)
-    keep[bounds[:-1]] = False
-    return [seq[keep]]
+_TESTED = "context long, token long, n long, p double, value double, open boolean"
+
+
+def _testing(total: int):
+    """Rows and totals of a part's contexts to _TESTED: a row for each continuation, with its p here, and one without a token for each context.
+
+    value: what it adds to a score, null if its context fails the divergence test.
+    """
+
+    def run(batches):
+        for _, held in _by_part(batches):
+            context, token, n, p = _unpacked(held.get(_ROW, []), 4)
+            if not len(context):
+                continue
+            order = np.argsort(context)
+            context, token, n, p = context[order], token[order], n[order].astype(float), p.view(float)[order]
+            at = _starts(context)
+            siblings = np.diff(np.append(at, len(context)))
+            own_key, m = _summed(*_unpacked(held[_TOTAL], 2))
+            m = m[np.searchsorted(own_key, context[at])].astype(float)
+            known = np.add.reduceat(n, at)
+            back = m - known + MU
+            of = np.repeat(np.arange(len(at)), siblings)
+            own = (n + back[of] * p) / (m + MU)[of]
+            gain = np.add.reduceat(n * np.log(own / p), at) + (m - known) * np.log(back / (m + MU))
+            kept = gain > 0.5 * np.log(total) * siblings
+            of_rows = [context.view(np.int64), n.astype(np.int64), np.where(kept[of], own, p), np.where(kept[of], np.log10(1 + n / (back[of] * p)), np.nan)]
+            of_contexts = [context[at].view(np.int64), m.astype(np.int64), np.zeros(len(at)), np.where(kept, np.log10(back / (m + MU)), np.nan)]
+            key, n, p, value = (np.concatenate(x) for x in zip(of_rows, of_contexts, strict=True))
+            tokens = pa.concat_arrays([pa.array(token.view(np.int64)), pa.nulls(len(at), pa.int64())])
+            opens = pa.concat_arrays([pa.nulls(len(of), pa.bool_()), pa.array((siblings > 1) | (known < m))])
+            whole = pa.RecordBatch.from_arrays([pa.array(key), tokens, pa.array(n), pa.array(p), pa.array(value, from_pandas=True), opens], names=["context", "token", "n", "p", "value", "open"])
+            yield from (whole.slice(i, 1 << 16) for i in range(0, whole.num_rows, 1 << 16))
+
+    return run
 
 
 def _depths(n: int, bounds: np.ndarray) -> np.ndarray:
@@ -206,10 +371,10 @@ def _depths(n: int, bounds: np.ndarray) -> np.ndarray:
 
 
 def _grams(level: int, shared: _Shared | None = None):
-    """Continuations as (context, suffix, counted): hashes of `level` tokens, the suffix one token further on; counted: what the context's count is found by.
+    """Continuations as (context, suffix): hashes of `level` tokens, the suffix one token further on, _NONE if it can't be explicit.
 
-    That is the context itself, unless what its last token follows was left out: then that token is all that ever follows there, and the
-    count is that of the context without it.
+    Of contexts that matter all occurrences are given. A context may have been left out as a continuation, because what its last token follows
+    always goes on with that token; then it occurs as often as the context without that token.
     """
 
     def of(seq, bounds):
@@ -218,56 +383,74 @@ def _grams(level: int, shared: _Shared | None = None):
         for j in range(1, level):
             grams.append(np.concatenate((grams[-1][:1], extended(grams[-1][:-1], seq[1:], j))))
         context, suffix = grams[level][:-1], grams[level][1:]
-        counted, alive = seq, np.ones(len(seq), dtype=bool)
-        for j in range(2, level + 1):
-            now, seen = grams[j], tree.explicit[j - 1](grams[j])
-            if j > 2:
-                own = np.concatenate(([False], tree.open[j - 2](grams[j - 2][:-1])))
-                now, seen = np.where(own, now, np.concatenate((counted[:1], counted[:-1]))), np.where(own, seen, np.concatenate((alive[:1], alive[:-1])))
-            counted, alive = now, seen
         ok = _depths(len(seq), bounds)[1:] >= level
-        if level > 1:
-            ok &= alive[:-1]
-            ok[ok] = tree.open[level - 1](grams[level - 1][:-1][ok])
-            ok[ok] = tree.explicit[level - 1](suffix[ok])
-        context, suffix, counted = context[ok], suffix[ok], counted[:-1][ok]
-        return [extended(context, suffix, 1), context, suffix, *([counted] if level > 2 else [])]
+        if level == 1:
+            return context[ok], suffix[ok]
+
+        def alive(j, at):
+            """Whether what ends at these positions may be explicit, as the last of `j` tokens."""
+            own = np.ones(len(at), dtype=bool) if j == 2 else tree.open[j - 2](grams[j - 2][at - 1])
+            out = np.zeros(len(at), dtype=bool)
+            out[own] = tree.explicit[j - 1](grams[j][at[own]])
+            if j > 2:
+                out[~own] = alive(j - 1, at[~own] - 1)
+            return out
+
+        at = np.flatnonzero(ok)
+        at = at[tree.open[level - 1](grams[level - 1][at])]
+        at = at[alive(level, at)]
+        suffix = suffix[at]
+        return context[at], np.where(tree.explicit[level - 1](suffix), suffix, _NONE)
 
     return of
 
 
 class Bits:
-    """A table of 2 ** SIZE bits that says which hashes may be in a set; a larger set makes it say yes more often, never no in error."""
+    """A table of bits that says which hashes may be in a set: some eight bits a member, at most 2 ** most; beyond that it says yes more often, never no in error.
+
+    probes: bits that tell a hash, one or two.
+    """
 
-    SIZE = 27
+    PARTS = 32
 
-    def __init__(self, keys: DataFrame | None = None):
-        self.bytes = np.zeros(1 << (self.SIZE - 3) if keys is not None else 0, dtype=np.uint8)
+    def __init__(self, keys: DataFrame | None = None, most: int = 28, probes: int = 1):
+        self.probes, self.size = probes, 0
+        self.bytes = np.zeros(0, dtype=np.uint8)
         if keys is not None:
-            at = F.shiftrightunsigned("key", 64 - self.SIZE)
-            buckets = keys.groupBy(F.shiftright(at, 15).cast("int").alias("at")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
-            for batch in buckets.toArrow().to_batches():
-                for bucket, bits in zip(batch.column("at").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                    self.bytes[bucket << 12 : (bucket + 1) << 12] = np.frombuffer(bits, np.uint8)
+            self.size = min(most, max(18, (8 * keys.count()).bit_length()))
+            self.bytes = np.zeros(1 << (self.size - 3), dtype=np.uint8)
+            sent = keys.mapInArrow(_sending(_KEY, self.PARTS, ["key"], probes), _PACKED)
+            for batch in _met(sent, self._set(self.size)).select("part", "blob").toArrow().to_batches():
+                for part, bits in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                    self.bytes[part * len(bits) : (part + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
 
     @classmethod
-    def of(cls, keys: np.ndarray) -> Bits:
-        out = cls()
-        out.bytes = np.zeros(1 << (cls.SIZE - 3), dtype=np.uint8)
-        at = keys >> np.uint64(64 - cls.SIZE)
-        np.bitwise_or.at(out.bytes, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        return out
+    def _set(cls, size: int):
+        def run(batches):
+            for part, held in _by_part(batches):
+                bits = np.zeros((1 << size) // cls.PARTS, dtype=bool)
+                bits[(_unpacked(held[_KEY], 1)[0] >> np.uint64(64 - size)) % np.uint64(len(bits))] = True
+                yield from _packed([part], _KEY, [0], [np.packbits(bits, bitorder="little").tobytes()])
+
+        return run
 
-    def __getstate__(self) -> bytes:
-        return zlib.compress(self.bytes, 1)
+    def __getstate__(self) -> tuple:
+        return self.probes, self.size, zlib.compress(self.bytes, 1)
 
-    def __setstate__(self, state: bytes) -> None:
-        self.bytes = np.frombuffer(zlib.decompress(state), np.uint8)
+    def __setstate__(self, state: tuple) -> None:
+        self.probes, self.size = state[:2]
+        self.bytes = np.frombuffer(zlib.decompress(state[2]), np.uint8)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         if not len(self.bytes):
             return np.zeros(len(h), dtype=bool)
-        at = h >> np.uint64(64 - self.SIZE)
+        out = self._at(h)
+        if self.probes == 2:
+            out[out] = self._at(h[out] << np.uint64(32))
+        return out
+
+    def _at(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.size)
         return (self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
@@ -297,11 +480,9 @@ def _keyed(rows: DataFrame, level: int) -> DataFrame:
         conf.set("spark.sql.ansi.enabled", ansi)
 
 
-def _pairs(texts: DataFrame, level: int, parts: int, shared: _Shared | None = None) -> DataFrame:
-    """The written table _COUNTS of the continuations of contexts of `level` tokens; at level 1 all tokens are in it too, without a context."""
-    n = shuffle_partitions(texts.sparkSession)
-    counted = texts.mapInArrow(_packed(_grams(level, shared), parts, level == 1), "part int, counts binary")
-    return saved(counted.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_merged(4 if level > 2 else 3, parts), _COUNTS))
+def _level(texts: DataFrame, level: int, parts: int, shared: _Shared | None = None) -> DataFrame:
+    """The written table of packed asks and totals of the contexts of `level` tokens."""
+    return saved(_met(texts.mapInArrow(_counting(level, parts, shared), _PACKED), _merging(level, parts)))
 
 
 def learn(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> tuple[Tree, DataFrame]:
@@ -309,63 +490,55 @@ def learn(docs: DataFrame, cache_entries: int = CACHE_ENTRIES) -> tuple[Tree, Da
     spark = docs.sparkSession
     texts = docs.select("text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(2 * shuffle_partitions(spark), size // PART_BYTES)
-    pairs = _pairs(texts, 1, parts)
-    tokens = saved(pairs.where("context IS NULL").select(F.col("suffix").alias("token"), "n"))
-    end = int(np.array(_END).view(np.int64))
-    total, distinct, n_texts = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == end, F.col("n"))), F.lit(0))).first()
+    parts = max(LEAST_PARTS, size // PART_BYTES)
+    counted = _level(texts, 1, parts)
+    tokens = saved(_met(counted.where(F.col("kind") == _TOTAL), _token_counts, "token long, n long"))
+    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tree = Tree(total, distinct)
     if not total:
         return tree, tokens
     explicit = tokens.where(F.col("n") >= MIN_COUNT)
-    start = spark.range(1).select(F.lit(int(np.array(_START).view(np.int64))).alias("of"), F.lit(n_texts).cast("double").alias("m"))
-    contexts = explicit.select(F.col("token").alias("of"), F.col("n").cast("double").alias("m")).union(start)
-    parents = explicit.select(F.col("token").alias("suffix"), "token", ((F.col("n") + 0.5) / F.lit(float(tree.z))).alias("p"))
-    entries, levels = [], []
-    siblings = Window.partitionBy("context")
-    back, own = F.col("m") - F.col("known") + MU, (F.col("n") + F.col("back") * F.col("p")) / (F.col("m") + MU)
+    parents = explicit.select(F.col("token").alias("key"), "token", ((F.col("n") + 0.5) / F.lit(float(tree.z))).alias("p"))
+    start, end = (int(np.array(x).view(np.int64)) for x in (_START, _END))
+    totals = explicit.select(F.when(F.col("token") == end, F.lit(start)).otherwise(F.col("token")).alias("context"), "n").mapInArrow(_sending(_TOTAL, parts, ["context", "n"]), _PACKED)
+    entries, before = [], None
     for level in range(1, DEPTH + 1):
         if level > 1:
             shared = _Shared(spark, tree)
-            pairs = _pairs(texts, level, parts, shared)
+            counted = _level(texts, level, parts, shared)
             shared.broadcast.destroy()  # what it was read for is written
+            totals = counted.where(F.col("kind") == _TOTAL)
         _swept(spark)
-        rows = pairs.where("context IS NOT NULL").join(parents, "suffix")
-        # up to two tokens a context is counted by itself; joined by its own name, the windows need no other shuffle
-        rows = rows.join(contexts, "of") if level > 2 else rows.join(contexts.withColumnRenamed("of", "context"), "context")
-        rows = rows.select("context", "token", "n", "p", "m")
-        rows = rows.withColumn("known", F.sum("n").over(siblings)).withColumn("back", back).withColumn("siblings", F.count("*").over(siblings))
-        # the divergence test
-        gain = F.sum(F.col("n") * F.log(own / F.col("p"))).over(siblings) + (F.col("m") - F.col("known")) * F.log(F.col("back") / (F.col("m") + MU))
-        rows = rows.withColumn("kept", gain > 0.5 * np.log(total) * F.col("siblings")).withColumn("first", F.row_number().over(siblings.orderBy("context")) == 1)
-        rows = rows.withColumn("open", (F.col("siblings") > 1) | (F.col("known") < F.col("m"))).drop("known", "siblings")
-        rows = saved(_keyed(rows, level))
-        release(pairs)
+        asked = counted.where(F.col("kind") == _ASK).union(parents.mapInArrow(_sending(_PARENT, parts, ["key", "token", "p"]), _PACKED))
+        rows = _met(_met(asked, _meeting_parents(parts)).union(totals), _testing(total), _TESTED)
+        rows = saved(_keyed(rows, level).withColumn("key", F.coalesce("key", "context")).drop("context"))
+        release(counted)
+        if level > 2:
+            release(before)
+        before = rows
         _swept(spark)
-        retained = rows.where("kept")
-        backs_off = retained.where("first").select(F.col("context").alias("key"), F.col("m").cast("long").alias("n"), F.log10(F.col("back") / (F.col("m") + MU)).alias("value"))
-        entries.append(saved(backs_off.union(retained.select("key", "n", F.log10(1 + F.col("n") / (F.col("back") * F.col("p"))).alias("value")))))
-        levels.append(rows)
+        retained = rows.where("value IS NOT NULL").select("key", "n", "value")
+        entries.append(saved(retained) if level > 1 else retained)  # at the first level most are retained: no second copy
+        # a parent that failed the test itself has its own parent's distribution
+        parents = rows.where("token IS NOT NULL").select("key", "token", "p")
         if level < DEPTH:
-            tree.explicit[level], tree.open[level] = Bits(rows.select("key")), Bits(rows.where("first and open").select(F.col("context").alias("key")))
-            contexts = functools.reduce(DataFrame.union, [x.select(F.col("key").alias("of"), F.col("n").cast("double").alias("m")) for x in levels])
-            # a parent that failed the test itself has its own parent's distribution
-            parents = rows.select(F.col("key").alias("suffix"), "token", F.when(F.col("kept"), own).otherwise(F.col("p")).alias("p"))
-    for rows in levels:
-        release(rows)
+            tree.explicit[level], tree.open[level] = Bits(parents.select("key")), Bits(rows.where("open").select("key"))
+    release(before)
     tree.explicit, tree.open = {}, {}
     known = functools.reduce(DataFrame.union, entries)
     least = tree.least = _least(known.select("n").union(tokens.select("n")), cache_entries)
     often = tokens.where(F.col("n") >= least).toArrow()  # cache_entries bounds both
-    hashes = often["token"].to_numpy().view(np.uint64)
-    by = np.argsort(hashes)
-    tree.tokens, tree.counts = hashes[by], often["n"].to_numpy()[by]
+    tree.tokens = _Found(often["token"].to_numpy().view(np.uint64), often["n"].to_numpy())
     often = known.where(F.col("n") >= least).select("key", "value").toArrow()
-    tree.keys, at = np.unique(often["key"].to_numpy().view(np.uint64), return_inverse=True)
-    tree.values = np.bincount(at, often["value"].to_numpy(), len(tree.keys))  # a context and a continuation of the same tokens add up
-    del often
-    tree.rest = known.where(F.col("n") < least).select("key", "value")
-    tree.cached, tree.bits = Bits.of(tree.keys), Bits(tree.rest)
+    keys, at = np.unique(often["key"].to_numpy().view(np.uint64), return_inverse=True)
+    tree.entries = _Found(keys, np.bincount(at, often["value"].to_numpy(), len(keys)))  # a context and a continuation of the same tokens add up
+    tree.logs = np.log10(tree.unigram(tree.counts))
+    at = tree.entries(tree.tokens.keys)  # a context of one token occurs as often as the token
+    tree.backs = np.where(at >= 0, np.append(tree.entries.values, 0.0)[at], 0.0)
+    del often, keys, at
+    rare = tokens.where(F.col("n") < least).select(F.bitwise_not("token").alias("key"), F.log10((F.col("n") + 0.5) / 0.5).alias("value"), F.lit(1.0).alias("known"))
+    tree.rest = rare.union(known.where(F.col("n") < least).select("key", "value", F.lit(0.0)))
+    tree.bits = Bits(tree.rest.select("key").union(known.where(F.col("n") >= least).select("key")), 30, 2)
     _swept(spark)
     return tree, tokens
 
@@ -377,79 +550,162 @@ def _least(counts: DataFrame, most: int) -> int:
     return next((p for p, n in zip(powers, above, strict=True) if n <= most), powers[-1])
 
 
-def _scored(shared: _Shared):
+#: A token's own count goes by another key than what it backs off as a context: its complement.
+_OWN_SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+
+
+def _asking(shared: _Shared, parts: int):
+    """Texts to what they are without the rest of the tree, packed as one _OWN for some thousand texts, and what they ask of the rest.
+
+    An ask is a key, and the number of the text that asks; `k` numbers the group of texts.
+    """
+
+    def emit(group, own, keys, texts):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _OWN_SCHEMA) as writer:
+            for batch in own:
+                writer.write_batch(batch)
+        yield from _packed([group % parts], _OWN, [group], [sink.getvalue().to_pybytes()])
+        keys, texts = np.concatenate(keys), np.concatenate(texts)
+        order = np.argsort(keys)
+        keys, texts = keys[order], texts[order]
+        cut = _cuts(keys, parts).tolist()
+        full = [p for p in range(parts) if cut[p] < cut[p + 1]]
+        yield from _packed(full, _ASK, [group] * len(full), [keys[cut[p] : cut[p + 1]].tobytes() + texts[cut[p] : cut[p + 1]].tobytes() for p in full])
+
     def run(batches):
         tree = shared.broadcast.value
-        nth = 0
-        part = TaskContext.get().partitionId()
+        group = TaskContext.get().partitionId() << 32
+        own, keys, texts, size, count = [], [], [], 0, 0
+        unseen = np.log10(tree.unigram(0))
         for batch in (part for whole in batches for part in T.slices(whole, "text")):
-            seq, bounds = sequence(batch.column("text"))
-            n = batch.num_rows
-            first = np.zeros(len(seq), dtype=bool)
-            first[bounds[:-1]] = True
-            token = seq[~first]
-            text_of = np.repeat(np.arange(n), np.diff(bounds) - 1)
-            counts = tree.count_of(token)
-            frequent = counts > 0
-            base = np.where(frequent, np.log10(tree.unigram(counts)), 0.0)
-            depth, gram, added = _depths(len(seq), bounds), seq, np.zeros(len(seq))
-            keys, of = [], []
-            for level in range(1, DEPTH + 2):
-                deep = depth >= level - 1
-                at, values = tree.value_of(gram)
-                added[at[deep[at]]] += values[deep[at]]
-                held = np.flatnonzero(tree.bits(gram) & (deep if level > 1 else first))
-                keys.append(gram[held])
-                of.append(held)
-                if level <= DEPTH:
-                    gram = np.concatenate((gram[:1], extended(gram[:-1], seq[1:], level)))
-            keys, of = np.concatenate(keys), np.concatenate(of)
-            added = np.add.reduceat(added, bounds[:-1]) if n else np.zeros(0)
-            rid = (np.int64(part) << np.int64(33)) + nth + np.arange(n)
-            nth += n
-            sums = [np.bincount(text_of, w, minlength=n) for w in (frequent, base)]
-            sums.append(sums[1] + added)
-            own = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(bounds) - 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], names=_OWN)
-            yield _batch(T.mix(rid.view(np.uint64)), rid, np.zeros(n, np.int64), own)
-            rare = np.flatnonzero(~frequent)
-            order = rare[np.lexsort((token[rare], text_of[rare]))]
-            h, o = token[order], text_of[order]
-            new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1])))) if len(h) else np.zeros(0, int)
-            times = np.diff(np.concatenate((new, [len(h)]))) if len(h) else new
-            rids = rid[np.concatenate((o[new], np.searchsorted(bounds, of, side="right") - 1))]
-            if len(rids):
-                yield _batch(np.concatenate((h[new], keys)), rids, np.concatenate((times, np.full(len(keys), -1))), pa.nulls(len(rids), own.type))
+            for batch in (batch.slice(i, GROUP_TEXTS // 2) for i in range(0, batch.num_rows, GROUP_TEXTS // 2)):
+                n = batch.num_rows
+                if own and (size > SENT_ROWS or count + n > GROUP_TEXTS):
+                    yield from emit(group, own, keys, texts)
+                    own, keys, texts, size, count, group = [], [], [], 0, 0, group + 1
+                seq, bounds = sequence(batch.column("text"))
+                text_of = np.repeat(np.arange(n), np.diff(bounds))
+                depth = _depths(len(seq), bounds)
+                at = tree.tokens(seq)
+                is_token = depth > 0
+                frequent = at >= 0
+                base, added = np.full(len(seq), unseen), np.zeros(len(seq))
+                base[frequent], added[frequent] = tree.logs[at[frequent]], tree.backs[at[frequent]]
+                base[bounds[:-1]] = 0.0
+                rare = np.flatnonzero(~frequent & is_token)
+                rare = rare[tree.bits(~seq[rare])]
+                keys.append(~seq[rare])
+                of = [rare]
+                gram = seq
+                for level in range(1, DEPTH + 2):
+                    # a frequent token's context is in its row
+                    deep = np.flatnonzero(~frequent if level == 1 else depth >= level - 1)
+                    deep = deep[tree.bits(gram[deep])]
+                    h = gram[deep]
+                    at = tree.entries(h)
+                    hit = at >= 0
+                    added[deep[hit]] += tree.entries.values[at[hit]]
+                    keys.append(h[~hit])
+                    of.append(deep[~hit])
+                    if level <= DEPTH:
+                        gram = np.concatenate((gram[:1], extended(gram[:-1], seq[1:], level)))
+                of = np.concatenate(of)
+                texts.append((count + text_of[of]).astype(np.uint16))
+                sums = [np.bincount(text_of, w, minlength=n) for w in (frequent, base, base + added)]
+                columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(np.diff(bounds) - 1), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])]
+                own.append(pa.RecordBatch.from_arrays(columns, schema=_OWN_SCHEMA))
+                size += len(of)
+                count += n
+        if own:
+            yield from emit(group, own, keys, texts)
 
     return run
 
 
-_OWN = ["doc_id", "held_out", "n_tokens", "known", "base", "score"]
+def _answering(parts: int):
+    """Asks and entries of each part to sums by group of texts: a row for each group and task, of what its texts gain in all, in tokens and in tokens known."""
+
+    def answers(sums):
+        for group, held in sums.items():
+            yield from _packed([_place(group)], _ENTRY, [group], [held.tobytes()])
+
+    def run(batches):
+        sums, size = {}, 0
+        for _, held in _by_part(batches):
+            for group, blob in held.get(_OWN, []):
+                yield from _packed([_place(group)], _OWN, [group], [blob])
+            if _ENTRY not in held or _ASK not in held:
+                continue
+            key, value, known = _unpacked(held[_ENTRY], 3)
+            order = np.argsort(key)
+            key, value, known = key[order], value.view(float)[order], known.view(float)[order]
+            at = _starts(key)
+            key, value, known = key[at], np.add.reduceat(value, at), known[at]
+            for group, blob in held[_ASK]:
+                n = len(blob) // 10
+                asked, text = np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint16, offset=8 * n)
+                at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+                hit = key[at] == asked
+                at, text = at[hit], text[hit]
+                if not len(at):
+                    continue
+                most = int(text.max()) + 1
+                own = known[at] > 0
+                new = np.stack([np.bincount(text, value[at], most), np.bincount(text[own], value[at[own]], most), np.bincount(text[own], minlength=most).astype(float)])
+                old = sums.get(group)
+                if old is None or old.shape[1] < most:
+                    size += most - (0 if old is None else old.shape[1])
+                    if old is not None:
+                        new[:, : old.shape[1]] += old
+                    sums[group] = new
+                else:
+                    old[:, :most] += new
+            if size > CHUNK_ROWS:
+                yield from answers(sums)
+                sums, size = {}, 0
+        yield from answers(sums)
+
+    return run
+
+
+def _place(group: int) -> int:
+    """The part of a group's answers."""
+    return int(T.mix(np.array([group], np.uint64))[0] >> np.uint64(34))
+
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _batch(key: np.ndarray, rid: np.ndarray, times: np.ndarray, own: pa.Array) -> pa.RecordBatch:
-    """times: 0 for a document's own row, how often a token is in it, or -1 for an occurrence of a longer key."""
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rid), pa.array(times.astype(np.int64)), own], names=["key", "rid", "times", "own"])
+def _adding(batches):
+    """Groups of texts with their answers to _SCORED."""
+    for _, held in _by_part(batches):
+        answers = {}
+        for group, blob in held.get(_ENTRY, []):
+            answers.setdefault(group, []).append(np.frombuffer(blob, float).reshape(3, -1))
+        for group, blob in held[_OWN]:
+            own = pa.ipc.open_stream(blob).read_all().combine_chunks()
+            known, base, score = (own[c].to_numpy().astype(float) for c in ("known", "base", "score"))
+            for more in answers.get(group, []):
+                n = more.shape[1]
+                score[:n] += more[0]
+                base[:n] += more[1]
+                known[:n] += more[2]
+            columns = [*(own[c].combine_chunks() for c in ("doc_id", "held_out", "n_tokens")), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 def score(docs: DataFrame, tree: Tree, tokens: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, score of each row of docs(doc_id, text, held_out)."""
+    """doc_id, held_out, n_tokens, n_known, base_score, score of each row of docs(doc_id, text, held_out); tokens are in the tree's rest or broadcast with it."""
     spark = docs.sparkSession
-    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), "held_out").mapInArrow(
-        _scored(_Shared(spark, tree)), "key long, rid long, times long, own struct<doc_id: long, held_out: boolean, n_tokens: long, known: long, base: double, score: double>"
-    )
-    found = tokens.where(F.col("n") < tree.least).select(F.col("token").alias("key"), F.col("n").alias("c"), F.lit(None).cast("double").alias("value"))
-    if tree.rest is not None:
-        found = found.union(tree.rest.select("key", F.lit(None).cast("long"), "value"))
-    times, c = F.col("times"), F.coalesce("c", F.lit(0))
-    # a token's count is one row, and what its context backs off another
-    is_token = (times > 0) & F.col("value").isNull()
-    joined = rows.join(found, "key", "left")
-    rest = F.when(is_token, times * F.log10((c + 0.5) / F.lit(float(tree.z)))).otherwise(0.0)
-    more = F.when(times != 0, F.abs(times) * F.coalesce("value", F.lit(0.0))).otherwise(0.0)
-    out = joined.groupBy("rid").agg(F.max("own").alias("own"), F.sum(F.when(is_token & (c > 0), times).otherwise(0)).alias("more"), F.sum(rest).alias("rest"), F.sum(more).alias("levels"))
-    return out.select(
-        "own.doc_id", "own.held_out", "own.n_tokens", (F.col("own.known") + F.col("more")).alias("n_known"), (F.col("own.base") + F.col("rest")).alias("base_score"), (F.col("own.score") + F.col("rest") + F.col("levels")).alias("score")
-    )
+    tasks = shuffle_partitions(spark)
+    rest = tree.rest.count() if tree.rest is not None else 0
+    parts = max(LEAST_PARTS, rest // PART_ENTRIES)
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), "held_out").mapInArrow(_asking(_Shared(spark, tree), parts), _PACKED)
+    if rest:
+        rows = rows.union(tree.rest.mapInArrow(_sending(_ENTRY, parts, ["key", "value", "known"]), _PACKED))
+    # few tasks answer: each sends on a sum for every text
+    return _met(_met(rows, _answering(parts), tasks=min(tasks, ANSWERING)), _adding, _SCORED)
 
 
 def op3_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
