@@ -6,7 +6,7 @@ smoothed unigram distribution; deeper nodes are contexts of one to `DEPTH` prece
 1. All training tokens are counted; N tokens, V distinct.
 2. Level by level, continuations (context, next token) are counted over all training texts. One is explicit if it occurs
    `MIN_COUNT` times, whatever the size of the corpus. Contexts and suffixes that can't reach that are left out before the shuffle by a
-   table of bits of fixed size; it may let others through, which the count then drops. So are contexts whose shorter context always goes on
+   table of bits of bounded size; it may let others through, which the count then drops. So are contexts whose shorter context always goes on
    with the same token: they can gain less than 1 in log-likelihood over it, and never pass the test.
 3. A context is retained if its distribution diverges from its parent's by more than it costs to describe:
    the gain in log-likelihood of its occurrences must exceed log(N) / 2 for each explicit continuation.
@@ -16,7 +16,8 @@ smoothed unigram distribution; deeper nodes are contexts of one to `DEPTH` prece
 Contexts and continuations are written tables. In log10 a score is a sum: the unigram of each token, what each retained context
 backs off, and what each explicit continuation adds to that. So each is a value of the hash of its tokens, and can be joined to the texts
 by that alone. The most frequent `CACHE_ENTRIES` of them are broadcast and added where the text is read: a cache of fixed size that
-changes no score. The rest are joined, one row for each occurrence that may have an entry (for tokens one for each document and token), in one shuffle.
+changes no score. The rest are asked for: keys that a table of bits lets through go, packed by ranges of hashes, where the entries go, and
+sums come back to each group of texts.
 
 Null and empty texts are one end. Rows of null id are training texts. Without training texts all scores are 0.
 """
