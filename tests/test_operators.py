@@ -526,6 +526,37 @@ def test_ingestion_is_repeatable(spark, tmp_path):
     assert ingestion.indexed(first).where(F.size("embedding") == 64).count() == first.count()
 
 
+def test_pages_given_twice_give_their_chunks_once(spark):
+    """What is read of a page goes with its chunks: nothing of it is joined again, once by once or with a store."""
+    from textquarry.plans import ingestion
+
+    pages = fixtures.frame(spark, "statute_pages").select(F.col("filename").alias("source"), F.col("page_id").alias("page"), "text")
+    once = ingestion.chunks_of(pages)
+    twice = ingestion.chunks_of(pages.unionByName(pages))
+    assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect())) and once.count() == 4
+    fresh = ingestion.chunks_of(pages, once.where("source <> 'bns_notes.pdf'"))
+    assert [r["source"] for r in fresh.collect()] == ["bns_notes.pdf"]
+    plan = fresh._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("MapInArrow") == 1
+
+
+def test_marks_are_tried_at_lines_only():
+    text = "Section 5.\nSection 6. Scope\n  Section 7. x\n\n8. Above\n9. low\nsec. 10B \n\nProvided\nthat x\nof s. 5 Exception:\n"
+    for cut in range(len(text)):
+        for t in (text[cut:], text[:cut]):
+            for pattern in (chunking._SECTION, *chunking._FLAGS.values()):
+                assert [m.span() for m in chunking._at_lines(pattern, t)] == [m.span() for m in pattern.finditer(t)]
+            slow, fast = chunking._TITLE.search(t), chunking._ASCII_TITLE.search(t)
+            assert (slow and slow[1]) == (fast and fast[1])
+
+
+def test_texts_made_plain_in_arrow(spark, tmp_path):
+    texts = ["a-b  c", " x ", "...", "", None, "é漢a\u00a0😀9", "plain", "\x00\x1ctab\tnew\n", "-a", "a-"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, expected = (sorted(fixtures.over(spark, str(tmp_path), "statute_pages", fast).collect()) for fast in (True, False))
+    assert got == expected and len(got) == len(texts)
+
+
 def test_rows_of_a_batch_without_results_stay(spark):
     from textquarry.plans import answering
 
