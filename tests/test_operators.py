@@ -540,6 +540,25 @@ def test_pages_given_twice_give_their_chunks_once(spark):
     assert plan.count("Join ") == 1 and plan.count("MapInArrow") == 1
 
 
+def test_ingestion_bounds_its_batches(spark, tmp_path):
+    """Pages go between the JVM and Python in batches of some 4 MB, whatever the session's setting."""
+    import pyarrow as pa
+
+    from textquarry.plans import ingestion
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "64m")
+        spark.range(300).selectExpr("'x.pdf' AS source", "CAST(id AS INT) AS page", "repeat(concat(id, ' words '), 8000) AS text").coalesce(1).write.parquet(f"{tmp_path}/pages")
+        pages = spark.read.parquet(f"{tmp_path}/pages")
+        assert ingestion.chunks_of(pages).count() == 300
+        sizes = pages.mapInArrow(lambda batches: (pa.record_batch({"n": [b.nbytes] * b.num_rows}, pa.schema([("n", pa.int64())])) for b in batches), "n long").distinct().collect()
+        assert max(r["n"] for r in sizes) < 8 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_marks_are_tried_at_lines_only():
     text = "Section 5.\nSection 6. Scope\n  Section 7. x\n\n8. Above\n9. low\nsec. 10B \n\nProvided\nthat x\nof s. 5 Exception:\n"
     for cut in range(len(text)):
